@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfold.llm.common import table
+from inkfold.llm import warc
+from inkfold.llm.audio import media_digest
+from inkfold.llm.common import Scratch, table
 from inkfold.llm.mixing import taken_words
 
 
@@ -33,10 +35,35 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = Scratch(spark, "warc").path("archive")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), archive)
+    read = warc.read_warc(spark, archive, payload=False, verify=True)
+    return read.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_media": op5_media,
     "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op6_mixing": OP6_SQL,
+    "op8_warc": OP8_SQL,
 }
