@@ -5,11 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkfold.llm import warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
 from inkfold.llm.mixing import taken_words
+from inkfold.llm.packing import pack
+from inkfold.llm.topk import quantized, top_k
+
+#: The tokenizer vocabulary that the packing query uses.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(quantized(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return pack(table(spark, sf_dir, "documents"), path(TOKENIZER))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +84,15 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_topk": OP1_SQL,
     "op6_mixing": OP6_SQL,
     "op8_warc": OP8_SQL,
 }
