@@ -55,3 +55,13 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows whose key has one of the `rows` smallest hashes: the same rows in every run, however the input is split.
+
+    Rows that share a key come together; rows without one are left out.
+    """
+    mark = F.xxhash64(key)
+    last = df.filter(F.col(key).isNotNull()).select(mark.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.filter(F.col(key).isNotNull() & (mark <= F.lit(last))) if last is not None else df.limit(0)

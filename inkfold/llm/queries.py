@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import warc
+from inkfold.llm import pii, warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
 from inkfold.llm.mixing import taken_words
@@ -83,12 +83,17 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
 }
 
 ORACLE: dict[str, str] = {
