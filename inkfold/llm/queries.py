@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import pii, warc
+from inkfold.llm import pii, quality, warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
 from inkfold.llm.mixing import taken_words
@@ -87,6 +87,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "p_text", "p_metadata", "score", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op4_packing": op4_packing,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
