@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import pii, quality, warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
+from inkfold.llm.lines import line_report
 from inkfold.llm.mixing import taken_words
 from inkfold.llm.packing import pack
 from inkfold.llm.topk import quantized, top_k
@@ -32,6 +33,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -95,6 +100,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_lines": op3_lines,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
