@@ -6,7 +6,7 @@ and, all lengths being powers of two, nothing is padded; sequences of one length
 a batch reads one bucket of equal lengths.
 
 Tokens: the word-level BPE drops white space and never joins what ASCII white space parts, so a text's
-ids are those of its words, and each task encodes a word once while its bounded cache holds it.
+ids are those of its words and units, and a worker encodes each once while its bounded cache holds it.
 
 Scale: tokenizing is a map over documents; its pieces (without ids, unless asked for) are written once,
 then range-partitioned by (length, document, start), which spreads a popular length over many tasks.
@@ -17,6 +17,8 @@ of their own; null ids are kept; an empty table gives no pieces; other columns a
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from functools import cache
 
@@ -28,15 +30,11 @@ from pyspark.sql import functions as F
 from inkfold.llm.common import Scratch
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Words that a task's cache holds at most, and the longest word (bytes) that it takes.
-CACHE_WORDS, CACHE_LETTERS = 400_000, 64
-
-
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Units or words that a worker's caches hold at most, and the longest (in letters) that they take.
+CACHE_UNITS, CACHE_LETTERS = 1_000_000, 64
+#: Texts of these letters alone fall into the tokenizer's own units by _UNIT once they are in lower case.
+_PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
+_UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -44,24 +42,57 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 class WordEncoder:
-    """Little-endian ids of whole texts, word by word through a bounded cache."""
+    """Little-endian ids of whole texts, unit by unit through bounded caches.
+
+    New units of letters are encoded together, as one text: every unit's last token ends in the
+    end-of-word mark, so that the ids can be parted again. Texts with other letters go word by word.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
+        self.tokenizer, self.words, self.units = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, units: list[str]) -> list[bytes]:
+        letters = [u for u in units if u[0].isalpha()]
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(letters):
+            return self._each(units)
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        found = dict(zip(letters, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        marks = [u for u in units if not u[0].isalpha()]
+        found.update(zip(marks, self._each(marks) if marks else [], strict=True))
+        return [found[u] for u in units]
+
+    def _join(self, parts: list[str], known: dict[str, bytes], encode) -> bytes:
+        if len(known) > CACHE_UNITS:
+            known.clear()
+        new = list(set(parts).difference(known))
+        if not new:
+            return b"".join(map(known.__getitem__, parts))
+        own = dict(zip(new, encode(new), strict=True))
+        known.update((u, b) for u, b in own.items() if len(u) <= CACHE_LETTERS)
+        return b"".join([own[u] if u in own else known[u] for u in parts])
 
     def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = {w for w in words if w not in self.known}
-        batch = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        own = {w: _as_bytes(e.ids) for w, e in zip(new, batch, strict=True)}
-        self.known.update((w, b) for w, b in own.items() if len(w) <= CACHE_LETTERS)
-        return b"".join(own[w] if w in own else self.known[w] for w in words)
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._join(_UNIT.findall(text.lower()), self.units, self._together)
+        words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
+        return self._join(words, self.words, self._each)
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that tasks share what it knows."""
+    return WordEncoder(path)
 
 
 def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -76,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, longest: int
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def batches(it):
-        encoder, end = WordEncoder(tokenizer), _as_bytes([END_ID])
+        encoder, end = _encoder(tokenizer), _as_bytes([END_ID])
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, 512):

@@ -10,13 +10,13 @@ from inkfold.llm import packing, topk
 
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
-TEXTS = [None, "", " \t\n", "The theory's don't 12 345", "naïve café é ́x", "a<|endoftext|>b <|startoftext|>", "x" * 5000, "wörd " * 9000, "İstanbul ΣΑΣ\x1cword\x85next"]
+TEXTS = [None, "Über-Größe straße, ÇA!! I'm he'll don't|*** x's ÿ×÷ª µ ß", "", " \t\n", "The theory's don't 12 345", "naïve café é ́x", "a<|endoftext|>b <|startoftext|>", "x" * 5000, "wörd " * 9000, "İstanbul ΣΑΣ\x1cword\x85next"]
 
 
 def test_pieces_are_whole_encodes(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, length string")
     rows = packing.pack(docs, PATH, with_ids=True).collect()
-    tokenizer = packing._tokenizer(PATH)
+    tokenizer = packing._encoder(PATH).tokenizer
     assert len({r.sequence_id for r in rows}) == len(rows) and {r.offset for r in rows} == {0}
     for i, text in enumerate(TEXTS):
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
@@ -28,6 +28,14 @@ def test_pieces_are_whole_encodes(spark):
             assert r.ids_crc32 == zlib.crc32(np.asarray(r.ids, "<u4").tobytes())
 
 
+def test_words_of_the_small_table():
+    import pyarrow.parquet as pq
+
+    encoder = packing._encoder(PATH)
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        assert encoder.encode(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
