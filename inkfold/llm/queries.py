@@ -11,6 +11,7 @@ from inkfold.llm import pii, quality, warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
 from inkfold.llm.lines import line_report
+from inkfold.llm.minhash import near_duplicates
 from inkfold.llm.mixing import taken_words
 from inkfold.llm.packing import pack
 from inkfold.llm.topk import quantized, top_k
@@ -67,6 +68,10 @@ FROM placed
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = Scratch(spark, "warc").path("archive")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), archive)
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
+    "op7_minhash": op7_minhash,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
