@@ -14,6 +14,7 @@ from inkfold.llm.lines import line_report
 from inkfold.llm.minhash import near_duplicates
 from inkfold.llm.mixing import taken_words
 from inkfold.llm.packing import pack
+from inkfold.llm.substrings import kept_words
 from inkfold.llm.topk import quantized, top_k
 
 #: The tokenizer vocabulary that the packing query uses.
@@ -34,6 +35,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_words(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+keyed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i+19], ' ') ORDER BY doc_id, i) AS r FROM win),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM keyed WHERE r > 1) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(ps), 0) AS g,
+    list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS ks FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -105,6 +121,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_substrings": op2_substrings,
     "op3_lines": op3_lines,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
@@ -117,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_topk": OP1_SQL,
+    "op2_substrings": OP2_SQL,
     "op6_mixing": OP6_SQL,
     "op8_warc": OP8_SQL,
 }
