@@ -121,3 +121,17 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     """For each document what the mix takes: doc_id, size, source_size, target, taken."""
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["taken"])
     return fair_queue(docs, **options).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them, a row a copy, whole, with their own columns.
+
+    A copy in service when the budget is spent is taken if at least half of it was served. Of rows that share an
+    id, each comes as often as the most favoured one.
+    """
+    copies = F.size(F.filter("copies", lambda c: c["taken"] > 0))
+    times = fair_queue(docs, cut_documents=False, **options).select("doc_id", copies.alias("n")).groupBy("doc_id").agg(F.max("n").alias("_times")).filter("_times > 0")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    taken = own.join(times, F.col("own.doc_id").eqNullSafe(F.col("doc_id")))
+    repeated = taken.select("own", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    return repeated.select(*[F.col(f"own.`{c}`") for c in docs.columns])
