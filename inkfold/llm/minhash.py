@@ -1,15 +1,17 @@
 """MinHash near dedup by an inverted join on signature coordinates.
 
 Every document's set of five-word shingles gives a signature of COORDINATES minima. Documents with equal sets are one
-class at once. Class representatives are posted under their first PREFIX (coordinate, value) pairs: two
-documents with MATCHES equal coordinates of COORDINATES share one of these except with a probability of
-0.25 ** PREFIX at similarity 0.75. A pair that shares a posting list has its equal coordinates counted
-over whole signatures; pairs below MATCHES are skipped, the others are confirmed on their full sets.
+class at once. Class representatives are posted under their first PREFIX (coordinate, value) pairs. Two
+documents of similarity 0.75 share COLLIDE of these lists (but for 2 in a million), so each may leave its
+COLLIDE - 1 longest lists: in one global order of lists, the rarest list they share is among the rest (prefix
+filter; the skipped ones are what many documents share, as a common passage's). A pair that meets in a list has its
+equal coordinates counted over whole signatures; pairs below MATCHES are skipped, the others are confirmed on
+their full sets, each document with its best partner first.
 
 No list is expanded into all its pairs. First each list links its members to its smallest one, which joins groups of
 copies in a pass. Lists whose members are then in one component are done; in the others, members are
-compared block by block inside tasks, by signature alone, and give their best partners in other components, a
-slice of them a round (RANKS at first), until no list has a partner left. So every candidate of every list is
+compared block by block inside tasks, by signature alone, and give their best partners in other components,
+RANKS of them at first and eight times as many a round, until no list has a partner left. So every candidate of every list is
 either confirmed, refuted or inside one component, and rows per round grow with the documents only.
 
 Components: smallest id by repeated minimum over links and pointer jumping, in tables of links between
@@ -28,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import Scratch
 
-WORDS, COORDINATES, PREFIX, MATCHES = 5, 64, 16, 30
+WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 64, 32, 12, 30
 SIMILAR = (75, 100)
 RANKS, BLOCK, TABLE_WORDS = 8, 2048, 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -73,16 +76,17 @@ def shingles(text: str | None) -> np.ndarray:
 @cache
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(75)
-    return rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * 2 + 1, rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, (COORDINATES, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, (COORDINATES, 1)).astype(np.uint32)
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
     """COORDINATES minima of 32-bit hashes, as int32."""
     a, b = _multipliers()
-    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
+    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    high = (codes >> np.uint64(32)).astype(np.uint32)[None, :]
     for at in range(0, len(codes), 1024):
-        np.minimum(least, (codes[None, at : at + 1024] * a[:, None] + b[:, None]).min(1) >> np.uint64(32), out=least)
-    return least.astype(np.uint32).view(np.int32)
+        np.minimum(least, (high[:, at : at + 1024] * a + b).min(1), out=least)
+    return least.view(np.int32)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(list, node) for each of the first PREFIX coordinates."""
+    """(list, node) for each of the first PREFIX coordinates; a list's number holds coordinate and value."""
 
     def rows(it):
         for batch in it:
@@ -115,36 +119,49 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(rows, "list long, node long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of distinct pairs (a, b), those with MATCHES equal coordinates and similar full sets."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+def _skipped(posted: DataFrame) -> DataFrame:
+    """(list, node) without lists of one node and without each node's COLLIDE - 1 longest lists."""
+    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+    order = W.partitionBy("node").orderBy(F.col("n").desc(), "list")
+    return posted.join(sizes, "list").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= COLLIDE).select("list", "node")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, equal) of the pairs with MATCHES equal coordinates and sets of like size."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(low * SIMILAR[1] >= high * SIMILAR[0])
 
     def agree(it):
         for batch in it:
             a, b = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, COORDINATES) for c in batch.columns[2:])
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= MATCHES))
+            equal = (a == b).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= MATCHES))
+
+    return met.select("a", "b", "s_a", "s_b").mapInArrow(agree, "a long, b long, equal int")
 
-    likely = scratch.save(met.select("a", "b", "s_a", "s_b").mapInArrow(agree, "a long, b long"), f"{name}-likely")
+
+def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose full sets are similar."""
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
 
     def confirm(it):
+        last, own = None, None
         for batch in it:
-            a_ids, b_ids, a_texts, b_texts = (c.to_pylist() for c in batch.columns)
-            keep, last, own = [], None, None
-            for a, ta, tb in zip(a_ids, a_texts, b_texts, strict=True):
+            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, a in enumerate(a_ids):
                 if a != last:
-                    last, own = a, shingles(ta)
-                other = shingles(tb)
+                    last, own = a, shingles(batch.column(2)[i].as_py())
+                other = shingles(batch.column(3)[i].as_py())
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()), pa.array(b_ids, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b")
-    return scratch.save(both.mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
+    return both.mapInArrow(confirm, "a long, b long").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -166,6 +183,18 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return now
 
 
+def _extended(links: DataFrame, likely: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The links with those of the likely pairs that join two components, and the components then."""
+    of = components(links, scratch, f"{name}-before")
+    side = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    apart = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    new = scratch.save(_confirmed(apart.select("a", "b"), docs), f"{name}-new")
+    if new.isEmpty():
+        return links, of
+    links = scratch.save(links.union(new), f"{name}-links")
+    return links, components(links, scratch, f"{name}-after")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """(list, part, held, members): members of mixed lists in blocks of about BLOCK rows.
 
@@ -182,11 +211,10 @@ def _blocks(members: DataFrame) -> DataFrame:
     return blocks.groupBy("list", "part").agg(F.first("held").alias("held"), F.collect_list(F.struct("component", "node", "signature")).alias("members"))
 
 
-def _best_partners(blocks: DataFrame, first: int, width: int) -> DataFrame:
-    """For each pair of blocks of a list, partners ranked first to first + width of each member: (a, b, more).
+def _best_partners(blocks: DataFrame, width: int) -> DataFrame:
+    """For each pair of blocks of a list, each member's `width` best partners in other components: (a, b, more).
 
-    Ranks are by equal coordinates, then id, over all partners with MATCHES, whatever their component, so that
-    rounds don't overlap; of these, partners in other components are given. A last row tells whether ranks are left.
+    Best by equal coordinates, then id, of partners with MATCHES. A last row tells whether there are more.
     """
     other = blocks.select("list", F.col("part").alias("part2"), F.col("held").alias("held2"), F.col("members").alias("members2"))
     apart = F.col("held").isNull() | F.col("held2").isNull() | (F.col("held") != F.col("held2"))
@@ -207,13 +235,9 @@ def _best_partners(blocks: DataFrame, first: int, width: int) -> DataFrame:
                 for at in range(len(nodes)):
                     lo = at + 1 if same else 0
                     equal = (sigs2[lo:] == sigs[at]).sum(1)
-                    hits = np.flatnonzero(equal >= MATCHES)
-                    if not len(hits) or not (comps2[lo + hits] != comps[at]).any():
-                        continue
-                    hits = lo + hits[np.argsort(-equal[hits], kind="stable")]
-                    more |= len(hits) > first + width
-                    pick = hits[first : first + width]
-                    pick = pick[comps2[pick] != comps[at]]
+                    hits = np.flatnonzero((equal >= MATCHES) & (comps2[lo:] != comps[at]))
+                    pick = lo + hits[np.argsort(-equal[hits], kind="stable")[:width]]
+                    more |= len(hits) > width
                     out_a += [int(nodes[at])] * len(pick)
                     out_b += nodes2[pick].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([*out_a, None], pa.int64()), pa.array([*out_b, None], pa.int64()), pa.array([False] * len(out_a) + [more], pa.bool_())], ["a", "b", "more"])
@@ -232,24 +256,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = classes.groupBy("node").agg(F.min_by("signature", "twin").alias("signature"), F.min_by("n_shingles", "twin").alias("n_shingles"))
 
     posted = scratch.save(_postings(classes), "posted")
-    heads = posted.groupBy("list").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("list", "a")
-    lists = scratch.save(posted.join(heads, "list"), "lists")
+    lists = scratch.save(_skipped(posted), "lists")
     scratch.drop("posted")
-    links = _confirmed(lists.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), nodes, docs, scratch, "stars")
-    first, width = 0, RANKS
+    heads = lists.groupBy("list").agg(F.min("node").alias("a"))
+    stars = lists.join(heads, "list").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    likely = scratch.save(_likely(stars, nodes), "likely")
+    best = W.partitionBy("b").orderBy(F.col("equal").desc(), "a")
+    links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs), "best")
+    links, of = _extended(links, likely, docs, scratch, "stars")
+    checked, width = likely.select("a", "b"), RANKS
     while True:
-        of = components(links, scratch, f"components-{first}") if not links.isEmpty() else None
-        named = lists.select("list", "node")
-        named = named.withColumn("component", F.col("node")) if of is None else named.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = lists.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
         members = named.join(mixed, "list").join(nodes.select("node", "signature"), "node")
-        found = scratch.save(_best_partners(_blocks(members), first, width), f"partners-{first}")
+        found = scratch.save(_best_partners(_blocks(members), width), f"partners-{width}")
         more = found.filter("more").limit(1).count()
         pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _confirmed(pairs, nodes, docs, scratch, f"round-{first}")
-        if not new.isEmpty():
-            links = scratch.save(links.union(new).distinct(), f"links-{first}")
-        first, width = first + width, width * 8
+        new = scratch.save(_likely(pairs.join(checked, ["a", "b"], "left_anti"), nodes), f"likely-{width}")
+        links, of = _extended(links, new, docs, scratch, f"round-{width}")
+        checked, width = checked.union(new.select("a", "b")), width * 8
         if not more:
             break
     every = scratch.save(links.union(twins), "every")
