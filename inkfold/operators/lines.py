@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAGE = W.partitionBy("page_id").orderBy("y")
 #: Least height of a line, and the largest gap inside one.
 MIN_LINE, MAX_GAP = 10, 10
 #: Tiling: height and width that the recogniser takes, and the share of a tile searched for a blank column.
@@ -19,6 +18,10 @@ TARGET_HEIGHT, TARGET_WIDTH, SEARCH = 160, 1024, (12, 100)
 COLUMN_INK = 250
 
 
+def down_page():
+    return W.partitionBy("page_id").orderBy("y")
+
+
 def row_profile(mask: DataFrame, dims: DataFrame) -> DataFrame:
     """(page_id, y, raw): ink of every row, rows without any included."""
     spine = dims.select("page_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
@@ -28,7 +31,7 @@ def row_profile(mask: DataFrame, dims: DataFrame) -> DataFrame:
 
 def smooth_profile(profile: DataFrame, size: int = 3) -> DataFrame:
     """Adds smooth: mean over `size` rows, fewer at the edges; smooth60 is 60 times it, a whole number."""
-    window = PAGE.rowsBetween(-(size // 2), size // 2)
+    window = down_page().rowsBetween(-(size // 2), size // 2)
     total, n = F.sum("raw").over(window), F.count("*").over(window)
     return profile.withColumns({"smooth60": (total * 60 / n).cast("long"), "smooth": total / n})
 
@@ -43,9 +46,9 @@ def profile_threshold(smoothed: DataFrame, ratio_percent: int = 3) -> DataFrame:
 
 def detect_runs(profile: DataFrame, threshold: DataFrame) -> DataFrame:
     """(page_id, run_no, r0, r1, blank): maximal runs of raw rows above the threshold; blank: rows without ink between the run before and this."""
-    zeros = F.sum((F.col("raw") == 0).cast("int")).over(PAGE.rowsBetween(W.unboundedPreceding, 0))
+    zeros = F.sum((F.col("raw") == 0).cast("int")).over(down_page().rowsBetween(W.unboundedPreceding, 0))
     above = profile.withColumn("zeros", zeros).join(threshold, "page_id").filter(F.col("raw") * F.col("den") > F.col("num"))
-    island = above.withColumn("island", F.col("y") - F.row_number().over(PAGE))
+    island = above.withColumn("island", F.col("y") - F.row_number().over(down_page()))
     runs = island.groupBy("page_id", "island").agg(F.min("y").alias("r0"), (F.max("y") + 1).alias("r1"), F.min("zeros").alias("zeros"))
     order = W.partitionBy("page_id").orderBy("r0")
     return runs.select(

@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROW, COLUMN = W.partitionBy("page_id", "y").orderBy("x"), W.partitionBy("page_id", "x").orderBy("y")
 #: Rule suppression: least run, share of the side, and the share of all ink (4 of 5) above which rules are left alone.
 LEAST_SPAN, SPAN_SHARE = 15, 0.5
 
 
+def along_row():
+    return W.partitionBy("page_id", "y").orderBy("x")
+
+
+def along_column():
+    return W.partitionBy("page_id", "x").orderBy("y")
+
+
 def luma(r: Column, g: Column, b: Column, how: str = "raw") -> Column:
     """0.299 R + 0.587 G + 0.114 B; floored for the mask, rounded for polarity, raw for sharpness."""
     v = F.lit(0.299) * r + F.lit(0.587) * g + F.lit(0.114) * b
@@ -39,8 +46,8 @@ def _span(at: str, size: str, radius: int) -> Column:
 
 def box_sum(pixels: DataFrame, value: str, radius: int) -> DataFrame:
     """Adds `total` and `places` of the square window, cut at the edges. Needs width and height."""
-    rows = pixels.withColumn("_row", F.sum(value).over(ROW.rowsBetween(-radius, radius)))
-    return rows.withColumns({"total": F.sum("_row").over(COLUMN.rowsBetween(-radius, radius)), "places": _span("x", "width", radius) * _span("y", "height", radius)}).drop("_row")
+    rows = pixels.withColumn("_row", F.sum(value).over(along_row().rowsBetween(-radius, radius)))
+    return rows.withColumns({"total": F.sum("_row").over(along_column().rowsBetween(-radius, radius)), "places": _span("x", "width", radius) * _span("y", "height", radius)}).drop("_row")
 
 
 def box_blur(pixels: DataFrame, surface: str = "web") -> DataFrame:
@@ -53,7 +60,7 @@ def box_blur(pixels: DataFrame, surface: str = "web") -> DataFrame:
         edges = F.greatest(2 - F.col(at), F.lit(0)) * F.first(value).over(whole) + F.greatest(F.col(at) + 3 - F.col(size), F.lit(0)) * F.last(value).over(whole)
         return F.floor((F.sum(value).over(window.rowsBetween(-2, 2)) + edges) / 5).cast("int")
 
-    return with_dims(pixels).withColumn("_row", axis("luma", ROW, "x", "width")).withColumn("blur", axis("_row", COLUMN, "y", "height")).drop("_row")
+    return with_dims(pixels).withColumn("_row", axis("luma", along_row(), "x", "width")).withColumn("blur", axis("_row", along_column(), "y", "height")).drop("_row")
 
 
 def adaptive_threshold(pixels: DataFrame, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
@@ -102,8 +109,8 @@ def suppress_rules(mask: DataFrame, dims: DataFrame, least: int = LEAST_SPAN, sh
     def run(window, at: str, *keys: str) -> Column:
         return F.count("*").over(W.partitionBy("page_id", *keys, f"_{at}"))
 
-    marked = sized.withColumns({"_x": F.col("x") - F.row_number().over(ROW), "_y": F.col("y") - F.row_number().over(COLUMN)})
-    hit = (run(ROW, "x", "y") >= span("width")) | (run(COLUMN, "y", "x") >= span("height"))
+    marked = sized.withColumns({"_x": F.col("x") - F.row_number().over(along_row()), "_y": F.col("y") - F.row_number().over(along_column())})
+    hit = (run(along_row(), "x", "y") >= span("width")) | (run(along_column(), "y", "x") >= span("height"))
     page = W.partitionBy("page_id")
     judged = marked.withColumn("rule", hit).withColumns({"ink": F.count("*").over(page), "rule_ink": F.sum(F.col("rule").cast("int")).over(page)})
     return judged.filter(~F.col("rule") | (F.col("rule_ink") * 5 > F.col("ink") * 4)).select("page_id", "y", "x")
@@ -126,7 +133,7 @@ def smear(mask: DataFrame, dims: DataFrame, across: int = 5, down: int = 2) -> D
 
 def laplacian_variance(pixels: DataFrame, soft_below: float = 100.0) -> DataFrame:
     """page_id, sharpness and soft: population variance of the Laplacian over the interior; 0 for pages under 3 pixels."""
-    around = F.lag("luma").over(ROW) + F.lead("luma").over(ROW) + F.lag("luma").over(COLUMN) + F.lead("luma").over(COLUMN)
+    around = F.lag("luma").over(along_row()) + F.lead("luma").over(along_row()) + F.lag("luma").over(along_column()) + F.lead("luma").over(along_column())
     lap = (around - 4 * F.col("luma")).cast("long")
     sums = with_dims(pixels).withColumn("lap", lap).groupBy("page_id").agg(F.count("lap").alias("n"), F.coalesce(F.sum("lap"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("lap") * F.col("lap")), F.lit(0)).alias("ss"))
     n, s = F.col("n").cast("double"), F.col("s").cast("double")

@@ -169,7 +169,7 @@ def rule_ink_guard(spark, sf):
     span = lambda side: F.greatest(F.floor(F.col(side) / 2), F.lit(3))
     from pyspark.sql import Window as W
 
-    marked = mask.join(size, "page_id").withColumns({"_x": F.col("x") - F.row_number().over(R.ROW), "_y": F.col("y") - F.row_number().over(R.COLUMN)})
+    marked = mask.join(size, "page_id").withColumns({"_x": F.col("x") - F.row_number().over(R.along_row()), "_y": F.col("y") - F.row_number().over(R.along_column())})
     long = (F.count("*").over(W.partitionBy("page_id", "y", "_x")) >= span("width")) | (F.count("*").over(W.partitionBy("page_id", "x", "_y")) >= span("height"))
     return R.rule_ink_guard(mask, marked.withColumn("rule", long).filter("not rule").select("page_id", "y", "x"))
 
