@@ -37,7 +37,7 @@ from inkfold.llm.common import Scratch
 
 WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 64, 32, 12, 30
 SIMILAR = (75, 100)
-RANKS, BLOCK, TABLE_WORDS = 8, 2048, 500_000
+RANKS, BLOCK, TABLE_WORDS, BROADCAST_ROWS = 8, 2048, 500_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -165,34 +165,40 @@ def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component): the smallest node that links (a, b) reach, for every node that has one."""
-    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both")
-    now = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), f"{name}-0")
+    """(node, component): the smallest node that links (a, b) reach, for every node that has one.
+
+    Tables of up to BROADCAST_ROWS rows (their count is checked) are joined by broadcast, larger ones by shuffle.
+    """
+    n = links.count()
+    parts = max(2, n // 200_000)
+    near_by = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both", parts)
+    now = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), f"{name}-0", parts)
     turn = 0
     while True:
         turn += 1
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        found = now.join(near, now.node == near.a).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        found = scratch.save(found, f"{name}-found-{turn}")
+        near = both.join(near_by(now.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near"))
+        found = near.join(near_by(now), now.node == near.a).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
+        found = scratch.save(found, f"{name}-found-{turn}", parts)
         hop = found.select(F.col("node").alias("next"), F.col("next").alias("hop"))
-        then = scratch.save(found.join(hop, "next").select("node", F.least("next", "hop").alias("component"), "was"), f"{name}-{turn}")
+        then = scratch.save(found.join(near_by(hop), "next").select("node", F.least("next", "hop").alias("component"), "was"), f"{name}-{turn}", parts)
         changed = then.filter("component <> was").limit(1).count()
-        scratch.drop(f"{name}-found-{turn}", *([f"{name}-{turn - 1}"]))
+        scratch.drop(f"{name}-found-{turn}", f"{name}-{turn - 1}")
         now = then.select("node", "component")
         if not changed:
             return now
 
 
-def _extended(links: DataFrame, likely: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _extended(links: DataFrame, of: DataFrame, likely: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """The links with those of the likely pairs that join two components, and the components then."""
-    of = components(links, scratch, f"{name}-before")
     side = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     apart = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    new = scratch.save(_confirmed(apart.select("a", "b"), docs), f"{name}-new")
-    if new.isEmpty():
+    apart = scratch.save(apart.select("a", "b"), f"{name}-apart")
+    new = None if apart.isEmpty() else scratch.save(_confirmed(apart, docs), f"{name}-new")
+    if new is None or new.isEmpty():
         return links, of
     links = scratch.save(links.union(new), f"{name}-links")
-    return links, components(links, scratch, f"{name}-after")
+    return links, components(links, scratch, name)
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -251,8 +257,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.save(_signatures(docs), "signed")
     full = signed.filter("twin is not null and doc_id is not null")
     classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
-    ids = full.select("twin", "doc_id").distinct()
-    twins = ids.join(classes.select("twin", "node"), "twin").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     nodes = classes.groupBy("node").agg(F.min_by("signature", "twin").alias("signature"), F.min_by("n_shingles", "twin").alias("n_shingles"))
 
     posted = scratch.save(_postings(classes), "posted")
@@ -263,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = scratch.save(_likely(stars, nodes), "likely")
     best = W.partitionBy("b").orderBy(F.col("equal").desc(), "a")
     links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs), "best")
-    links, of = _extended(links, likely, docs, scratch, "stars")
+    links, of = _extended(links, components(links, scratch, "first"), likely, docs, scratch, "stars")
     checked, width = likely.select("a", "b"), RANKS
     while True:
         named = lists.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -273,18 +277,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = found.filter("more").limit(1).count()
         pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = scratch.save(_likely(pairs.join(checked, ["a", "b"], "left_anti"), nodes), f"likely-{width}")
-        links, of = _extended(links, new, docs, scratch, f"round-{width}")
+        links, of = _extended(links, of, new, docs, scratch, f"round-{width}")
         checked, width = checked.union(new.select("a", "b")), width * 8
         if not more:
             break
-    every = scratch.save(links.union(twins), "every")
-    final = components(every, scratch, "final")
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(final, signed.doc_id == final.node, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    found = classes.select("twin", "node").join(of, "node", "left").select("twin", F.coalesce("component", "node").alias("component"))
+    own = signed.select("doc_id", "n_shingles", "twin").join(found, "twin", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
