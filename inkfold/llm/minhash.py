@@ -5,7 +5,7 @@ class at once. Class representatives are posted under their first PREFIX (coordi
 documents of similarity 0.75 share COLLIDE of these lists (but for 2 in a million), so each may leave its
 COLLIDE - 1 longest lists: in one global order of lists, the rarest list they share is among the rest (prefix
 filter; the skipped ones are what many documents share, as a common passage's). A pair that meets in a list has its
-equal coordinates counted over whole signatures; pairs below MATCHES are skipped, the others are confirmed on
+equal coordinates counted over whole signatures; pairs below MATCHES (of COORDINATES) are skipped, the others are confirmed on
 their full sets, each document with its best partner first.
 
 No list is expanded into all its pairs. First each list links its members to its smallest one, which joins groups of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from inkfold.llm.common import Scratch
 
-WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 64, 32, 12, 30
+WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 128, 32, 12, 75
 SIMILAR = (75, 100)
 RANKS, BLOCK, TABLE_WORDS, BROADCAST_ROWS = 8, 2048, 500_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -90,21 +90,27 @@ def signature(codes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, twin (digest of the set) and signature; twin and signature are null for empty sets."""
+    """doc_id, n_shingles, twin (digest of the set), heads (first PREFIX minima) and signature (a byte of every minimum).
+
+    The last three are null for empty sets. Bytes of two minima that differ are equal once in 256 times.
+    """
 
     def rows(it):
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, 1024):
-                n, twin, sig = [], [], []
+                n, twin, heads, sig = [], [], [], []
                 for text in texts[at : at + 1024].to_pylist():
                     codes = shingles(text)
                     n.append(len(codes))
                     twin.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-                    sig.append(signature(codes).tobytes() if len(codes) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), pa.array(twin, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "twin", "signature"])
+                    least = signature(codes) if len(codes) else None
+                    heads.append(least[:PREFIX].tobytes() if len(codes) else None)
+                    sig.append(least.astype(np.uint8).tobytes() if len(codes) else None)
+                columns = [pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (twin, heads, sig))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "twin", "heads", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, twin binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, twin binary, heads binary, signature binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -112,11 +118,11 @@ def _postings(classes: DataFrame) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, COORDINATES)[:, :PREFIX]
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, PREFIX)
             lists = (np.arange(PREFIX, dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), PREFIX))], ["list", "node"])
 
-    return classes.select("node", "signature").mapInArrow(rows, "list long, node long")
+    return classes.select("node", "heads").mapInArrow(rows, "list long, node long")
 
 
 def _skipped(posted: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def agree(it):
         for batch in it:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, COORDINATES) for c in batch.columns[2:])
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in batch.columns[2:])
             equal = (a == b).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= MATCHES))
 
@@ -229,7 +235,7 @@ def _best_partners(blocks: DataFrame, width: int) -> DataFrame:
     def unpack(members):
         members = sorted(members, key=lambda m: m["node"])
         nodes, comps = (np.array([m[k] for m in members], np.int64) for k in ("node", "component"))
-        return nodes, comps, np.frombuffer(b"".join(m["signature"] for m in members), np.int32).reshape(-1, COORDINATES)
+        return nodes, comps, np.frombuffer(b"".join(m["signature"] for m in members), np.uint8).reshape(-1, COORDINATES)
 
     def rows(it):
         for batch in it:
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(_signatures(docs), "signed")
     full = signed.filter("twin is not null and doc_id is not null")
-    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("heads").alias("heads"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     nodes = classes.groupBy("node").agg(F.min_by("signature", "twin").alias("signature"), F.min_by("n_shingles", "twin").alias("n_shingles"))
 
     posted = scratch.save(_postings(classes), "posted")
