@@ -3,18 +3,20 @@
 A line's tokens with digits are variable fields. The tree has a fixed depth: token count, then DEPTH leading
 tokens; its leaves hold what may share a template. In a leaf, a token stays constant at its place if
 MIN_DOCS documents have it there, and is a variable field otherwise; where fewer than half of the tokens stay
-constant, the line is its own template. Templates in at least MIN_DOCS documents are dropped, if these documents
-differ: a copied document repeats all its lines, and such copies are for near dedup. To tell, each document has
-a sketch (the least hash of its letter windows) which copies share; at least half as many sketches as
-documents have to have the template.
+constant, the line is its own template. Templates in at least MIN_DOCS independent documents are dropped. A
+copied document repeats all its lines, and such copies are for near dedup: a class of near copies (op7's components,
+full word sets at 0.75) is one independent document, however many copies it has, and however long a line that
+unlike documents share is. Classes are found among the documents with a line in a leaf of MIN_DOCS documents.
 
 Scale: only hashes of lines are shuffled, 24 bytes a line. Texts of lines come from a second scan, for lines of
 leaves with MIN_DOCS documents; a bitmap of fixed size (BITMAP_BITS) is all that tasks get of those leaves, it
 lets through a few lines too many, never too few. Counts go through partial aggregation, so that a line that
-a third of all rows hold is a row a task.
+a third of all rows hold is a row a task; of such a line's classes, joins get MIN_DOCS a task, which settle it.
+The classes cost more than all the rest: op7 over the documents named above.
 
 Defined cases: null text has no lines and stays null; empty lines and lines of white space are kept; a line
-that recurs in one document only is kept; an empty table gives an empty result; columns beside doc_id and text
+that recurs in one document only is kept; rows that share an id are one document, rows without an id count for
+none and are kept whole; an empty table gives an empty result; columns beside doc_id and text
 pass through unchanged in `drop_lines`, whatever their names.
 """
 
@@ -28,16 +30,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import WORD, Scratch
+from inkfold.llm.minhash import near_duplicates
 
-DEPTH, MIN_DOCS, LEAST_CONSTANT, DISTINCT_SHARE = 2, 12, 0.5, 0.5
+DEPTH, MIN_DOCS, LEAST_CONSTANT = 2, 12, 0.5
 BITMAP_BITS = 1 << 22
 WINDOW = 32
 VARIABLE = "<*>"
 _DIGIT, _TOKEN = re.compile("[0-9]"), re.compile(WORD)
-_ROWS = "doc_id long, leaf long, line long, sketch long"
+_ROWS = "doc_id long, leaf long, line long"
 
 
 def _hash(data: bytes) -> int:
@@ -85,18 +89,23 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
                 found = {k[:2] for k in map(keys, set(text.split("\n"))) if k}
-                own = sketch(text)
                 for leaf, line in found:
-                    for column, value in zip(out, (doc_id, leaf, line, own), strict=True):
+                    for column, value in zip(out, (doc_id, leaf, line), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "leaf", "line", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "leaf", "line"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, _ROWS)
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(rows, _ROWS)
+
+
+def _classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, class): the near-copy class of each wanted document."""
+    near = near_duplicates(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"))
+    return near.groupBy("doc_id").agg(F.min("component_id").alias("class"))
 
 
 def _line_texts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -130,10 +139,12 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Dat
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.save(_line_rows(docs), "rows")
     wide = scratch.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    held = scratch.save(
-        rows.join(wide, "leaf", "left_semi").groupBy("leaf", "line", "sketch").agg(F.count("*").alias("docs")), "held"
-    )  # a row for each line and sketch
-    counts = held.groupBy("leaf", "line").agg(F.sum("docs").alias("docs"))
+    wide_rows = scratch.save(rows.join(wide, "leaf", "left_semi"), "wide-rows")
+    classes = scratch.save(_classes(docs, scratch.save(wide_rows.select("doc_id").distinct(), "wanted")), "classes")
+    held = scratch.save(wide_rows.join(classes, "doc_id").select("leaf", "line", "class").distinct(), "held")
+    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy("leaf", "line").orderBy("class")))
+    few = scratch.save(ranked.filter(F.col("rank") <= min_docs).drop("rank"), "few")  # all classes of lines with fewer than min_docs
+    counts = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     texts = _line_texts(docs, _bitmap(wide)).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = scratch.save(counts.join(texts, ["leaf", "line"]), "lines")
 
@@ -143,9 +154,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Dat
     fixed = F.size(F.filter("kept", lambda k: k["token"] != VARIABLE))
     template = F.when(fixed >= F.lit(LEAST_CONSTANT) * F.size("tokens"), F.xxhash64(F.array_sort("kept"))).otherwise(F.col("line"))
     templates = lines.join(kept, ["leaf", "line"], "left").select("leaf", "line", F.coalesce(template, F.col("line")).alias("template"))
-    sized = held.join(templates, ["leaf", "line"]).groupBy("leaf", "template", "sketch").agg(F.sum("docs").alias("docs"))
-    over = sized.groupBy("leaf", "template").agg(F.count("*").alias("sketches"), F.sum("docs").alias("docs"))
-    dropped = over.filter((F.col("sketches") >= min_docs) & (F.col("sketches") >= F.lit(DISTINCT_SHARE) * F.col("docs")))
+    templates = scratch.save(templates, "templates")
+    over = few.join(templates, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("class").alias("docs"))
+    dropped = over.filter(F.col("docs") >= min_docs)
     return rows, scratch.save(templates.join(dropped.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line"), "dropped")
 
 
