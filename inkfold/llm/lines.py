@@ -2,7 +2,7 @@
 
 A line's tokens with digits are variable fields. The tree has a fixed depth: token count, then DEPTH leading
 tokens; its leaves hold what may share a template. In a leaf, a token stays constant at its place if
-MIN_DOCS documents have it there, and is a variable field otherwise; where fewer than half of the tokens stay
+MIN_DOCS independent documents have it there, and is a variable field otherwise; where fewer than half of the tokens stay
 constant, the line is its own template. Templates in at least MIN_DOCS independent documents are dropped. A
 copied document repeats all its lines, and such copies are for near dedup: a class of near copies (op7's components,
 full word sets at 0.75) is one independent document, however many copies it has, and however long a line that
@@ -149,7 +149,12 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Dat
     lines = scratch.save(counts.join(texts, ["leaf", "line"]), "lines")
 
     placed = lines.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
-    constant = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
+    spot = ["leaf", "place", "token"]
+    bounds = placed.groupBy(spot).agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs)
+    bounds = scratch.save(bounds, "bounds")  # of the classes with a token at its place; counted where the bounds leave it open
+    unsure = placed.join(bounds.filter(F.col("least") < min_docs), spot).select("line", *spot).join(few, ["leaf", "line"])
+    counted = unsure.groupBy(spot).agg(F.count_distinct("class").alias("support")).filter(F.col("support") >= min_docs)
+    constant = bounds.filter(F.col("least") >= min_docs).select(spot).union(counted.select(spot))
     kept = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("place", "token")).alias("kept"))
     fixed = F.size(F.filter("kept", lambda k: k["token"] != VARIABLE))
     template = F.when(fixed >= F.lit(LEAST_CONSTANT) * F.size("tokens"), F.xxhash64(F.array_sort("kept"))).otherwise(F.col("line"))
