@@ -1,24 +1,27 @@
 """MinHash near dedup by an inverted join on signature coordinates.
 
 Every document's set of five-word shingles gives a signature of COORDINATES minima. Documents with equal sets are one
-class at once. Class representatives are posted under their first PREFIX (coordinate, value) pairs. Two
-documents of similarity 0.75 share COLLIDE of these lists (but for 2 in a million), so each may leave its
-COLLIDE - 1 longest lists: in one global order of lists, the rarest list they share is among the rest (prefix
-filter; the skipped ones are what many documents share, as a common passage's). A pair that meets in a list has its
-equal coordinates counted over whole signatures; pairs below MATCHES (of COORDINATES) are skipped, the others are confirmed on
-their full sets, each document with its best partner first.
-
-No list is expanded into all its pairs. First each list links its members to its smallest one, which joins groups of
-copies in a pass. Lists whose members are then in one component are done; in the others, members are
-compared block by block inside tasks, by signature alone, and give their best partners in other components,
-RANKS of them at first and eight times as many a round, until no list has a partner left. So every candidate of every list is
-either confirmed, refuted or inside one component, and rows per round grow with the documents only.
+class at once. Class representatives are posted under (coordinate, value) pairs, in two turns: first under PREFIX
+coordinates, and who shares fewer than COLLIDE of these lists with anybody has no partner of similarity 0.75 (but for 2 in
+a million) and is left out; the others are posted under every coordinate. Two documents with MATCHES equal coordinates share
+as many lists, so each may skip its MATCHES - 1 longest lists: in one global order of lists, the rarest
+one they share is among the rest of both. What many documents share, as a common passage's lists, is skipped so, and
+a document with too few shared lists has none left. Pairs that meet have their collisions counted over all
+coordinates; pairs with MATCHES are confirmed on their full sets, each document with its best partner first.
+
+No list is expanded into all its pairs. Each list links its members to its smallest one, which joins groups of
+copies in a pass. Lists whose members are then in one component are done. What the others hold is dealt
+with once, in families (components that meet in a list), whole sets side by side: a family is cut into blocks by
+size of set (sets of unlike size can't be similar) and pairs of blocks are counted inside tasks, where members with less than three
+quarters of their shingles in the other block go first. A pair of blocks gives the links that join components, never a row for a pair that
+is refuted. So rows grow with the documents; the counting inside a family of unlinked look-alikes, which no bound
+excludes, is the one thing that grows with the square of the family, in blocks.
 
 Components: smallest id by repeated minimum over links and pointer jumping, in tables of links between
 classes. Every round's tables are written to the shared folder; nothing but counts reaches the driver.
 
 Defined cases: null and empty texts have no set and are linked with nothing; fewer than five words make one
-shingle; a null id takes no part and has a null component, kept; rows that share an id are one
+shingle; very long texts are read whole, and blocks are bounded by shingles too; a null id takes no part and has a null component, kept; rows that share an id are one
 document, compared with the others by one of their texts; an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,7 +40,7 @@ from inkfold.llm.common import Scratch
 
 WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 128, 32, 12, 75
 SIMILAR = (75, 100)
-RANKS, BLOCK, TABLE_WORDS, BROADCAST_ROWS = 8, 2048, 500_000, 100_000
+BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS, BROADCAST_ROWS = 2048, 500_000, 4096, 500_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -90,57 +93,57 @@ def signature(codes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, twin (digest of the set), heads (first PREFIX minima) and signature (a byte of every minimum).
-
-    The last three are null for empty sets. Bytes of two minima that differ are equal once in 256 times.
-    """
+    """doc_id, n_shingles, twin (digest of the set) and signature; the last two are null for empty sets."""
 
     def rows(it):
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, 1024):
-                n, twin, heads, sig = [], [], [], []
+                n, twin, sig = [], [], []
                 for text in texts[at : at + 1024].to_pylist():
                     codes = shingles(text)
                     n.append(len(codes))
                     twin.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-                    least = signature(codes) if len(codes) else None
-                    heads.append(least[:PREFIX].tobytes() if len(codes) else None)
-                    sig.append(least.astype(np.uint8).tobytes() if len(codes) else None)
-                columns = [pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (twin, heads, sig))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "twin", "heads", "signature"])
+                    sig.append(signature(codes).tobytes() if len(codes) else None)
+                columns = [pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (twin, sig))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "twin", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, twin binary, heads binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, twin binary, signature binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(list, node) for each of the first PREFIX coordinates; a list's number holds coordinate and value."""
+def _postings(nodes: DataFrame, coordinates: int) -> DataFrame:
+    """(list, node) for each of the first `coordinates`; a list's number holds coordinate and value."""
 
     def rows(it):
         for batch in it:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, PREFIX)
-            lists = (np.arange(PREFIX, dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), PREFIX))], ["list", "node"])
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, COORDINATES)[:, :coordinates]
+            lists = (np.arange(coordinates, dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), coordinates))], ["list", "node"])
+
+    return nodes.select("node", "signature").mapInArrow(rows, "list long, node long")
 
-    return classes.select("node", "heads").mapInArrow(rows, "list long, node long")
 
+def _shared(posted: DataFrame) -> DataFrame:
+    """(list, node, n, least): postings of lists of more than one node, with a list's length and smallest node."""
+    sizes = posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return posted.join(sizes, "list")
 
-def _skipped(posted: DataFrame) -> DataFrame:
-    """(list, node) without lists of one node and without each node's COLLIDE - 1 longest lists."""
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+
+def _skipped(shared: DataFrame) -> DataFrame:
+    """(list, node, least) without each node's MATCHES - 1 longest lists."""
     order = W.partitionBy("node").orderBy(F.col("n").desc(), "list")
-    return posted.join(sizes, "list").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= COLLIDE).select("list", "node")
+    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= MATCHES).select("list", "node", "least")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, equal) of the pairs with MATCHES equal coordinates and sets of like size."""
+    """(a, b, equal) of the pairs with MATCHES collisions over all coordinates and sets of like size."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(low * SIMILAR[1] >= high * SIMILAR[0])
 
     def agree(it):
         for batch in it:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in batch.columns[2:])
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, COORDINATES) for c in batch.columns[2:])
             equal = (a == b).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= MATCHES))
 
@@ -207,54 +210,138 @@ def _extended(links: DataFrame, of: DataFrame, likely: DataFrame, docs: DataFram
     return links, components(links, scratch, name)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(list, part, held, members): members of mixed lists in blocks of about BLOCK rows.
+def _families(lists: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, component, family) of what lists with several components hold; None if there are none."""
+    named = lists.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "low")
+    members = scratch.save(named.join(mixed, "list").select("node", "component", "low").distinct(), "members")
+    ties = members.filter("low <> component").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
+    if ties.isEmpty():
+        return None
+    family = components(ties, scratch, "families").select(F.col("node").alias("component"), F.col("component").alias("family"))
+    return members.select("node", "component").distinct().join(family, "component").select("node", "component", "family")
+
 
-    A component with many members in a list has blocks of its own (held: which), so that what is already
-    linked is never compared; all other members of a list share blocks.
+def _blocks(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(block, family, band, held, members): a family's sets in blocks of at most about BLOCK members and BLOCK_SHINGLES.
+
+    Sets in one or two neighbouring bands may be similar, others can't. A component with many members in a band has blocks of
+    its own (held: which), so that what is already linked is not compared; all other members share blocks.
     """
-    many = F.col("n") >= BLOCK // 4
-    sizes = members.groupBy("list", "component").agg(F.count("*").alias("n"))
-    rest = sizes.groupBy("list").agg(F.sum(F.when(~many, F.col("n")).otherwise(0)).alias("rest"))
-    held = members.join(sizes, ["list", "component"]).join(rest, "list")
-    n_parts = F.ceil(F.when(many, F.col("n")).otherwise(F.col("rest")) / BLOCK)
-    part = F.concat_ws("-", F.when(many, F.col("component").cast("string")).otherwise(F.lit("rest")), F.pmod(F.xxhash64("node"), n_parts))
-    blocks = held.withColumn("part", part).withColumn("held", F.when(many, F.col("component")))
-    return blocks.groupBy("list", "part").agg(F.first("held").alias("held"), F.collect_list(F.struct("component", "node", "signature")).alias("members"))
 
+    def rows(it):
+        for batch in it:
+            nodes, comps, families, texts = batch.columns
+            for at in range(0, batch.num_rows, 512):
+                sets = [shingles(t) for t in texts[at : at + 512].to_pylist()]
+                band = np.floor(np.log([len(x) for x in sets]) / np.log(SIMILAR[1] / SIMILAR[0]) + 1e-9).astype(np.int32)
+                n = [len(x) for x in sets]
+                columns = [*(c[at : at + 512] for c in (nodes, comps, families)), pa.array(band), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "component", "family", "band", "size", "codes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "component", "family", "text")
+    sets = texts.mapInArrow(rows, "node long, component long, family long, band int, size long, codes binary").filter("size > 0")
+    keys = ["family", "band"]
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sets.groupBy(*keys, "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    many = F.col("n") >= BLOCK // 4
+    own = sizes.select(*keys, "component", F.when(many, parts(F.col("n"), F.col("total"))).alias("own_parts"))
+    rest = sizes.filter(~many).groupBy(*keys).agg(parts(F.sum("n"), F.sum("total")).alias("rest_parts"))
+    dealt = sets.join(own, [*keys, "component"]).join(rest, keys, "left")
+    alone = F.col("own_parts").isNotNull()
+    part = F.pmod(F.xxhash64("node"), F.coalesce("own_parts", "rest_parts"))
+    name = F.concat_ws("-", "family", "band", F.when(alone, F.col("component").cast("string")).otherwise(F.lit("rest")), part)
+    named = dealt.withColumns({"block": name, "held": F.when(alone, F.col("component"))})
+    return named.groupBy("block").agg(F.first("family").alias("family"), F.first("band").alias("band"), F.first("held").alias("held"), F.collect_list(F.struct("node", "component", "codes")).alias("members"))
 
-def _best_partners(blocks: DataFrame, width: int) -> DataFrame:
-    """For each pair of blocks of a list, each member's `width` best partners in other components: (a, b, more).
 
-    Best by equal coordinates, then id, of partners with MATCHES. A last row tells whether there are more.
-    """
-    other = blocks.select("list", F.col("part").alias("part2"), F.col("held").alias("held2"), F.col("members").alias("members2"))
-    apart = F.col("held").isNull() | F.col("held2").isNull() | (F.col("held") != F.col("held2"))
-    met = blocks.join(other, "list").filter((F.col("part") <= F.col("part2")) & apart)
+class _Sets:
+    """A block's members: nodes, components, sizes of sets, all codes and whose they are."""
 
-    def unpack(members):
+    def __init__(self, members: list[dict]):
         members = sorted(members, key=lambda m: m["node"])
-        nodes, comps = (np.array([m[k] for m in members], np.int64) for k in ("node", "component"))
-        return nodes, comps, np.frombuffer(b"".join(m["signature"] for m in members), np.uint8).reshape(-1, COORDINATES)
+        self.nodes, self.components = (np.array([m[k] for m in members], np.int64) for k in ("node", "component"))
+        sets = [np.frombuffer(m["codes"], np.uint64) for m in members]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.codes, self.owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+
+    def within(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, place in codes) of the codes that are among `codes` (sorted)."""
+        place = np.minimum(np.searchsorted(codes, self.codes), max(len(codes) - 1, 0))
+        hit = codes[place] == self.codes if len(codes) else np.zeros(len(self.codes), bool)
+        return self.owner[hit], place[hit]
+
+    def only(self, keep: np.ndarray) -> _Sets:
+        out = object.__new__(_Sets)
+        out.nodes, out.components, out.sizes = self.nodes[keep], self.components[keep], self.sizes[keep]
+        held = keep[self.owner]
+        out.codes, out.owner = self.codes[held], (np.cumsum(keep) - 1)[self.owner[held]]
+        return out
+
+
+def linked_pairs(left: _Sets, right: _Sets | None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of links of the full sets that join all components that links between the blocks (None: inside the one) join."""
+    same = right is None
+    while True:
+        right = left if same else right
+        if same:
+            codes, count = np.unique(left.codes, return_counts=True)
+            codes = codes[count > 1]
+        else:
+            codes = np.intersect1d(left.codes, right.codes)
+        found = left.within(codes), right.within(codes)
+        enough = [SIMILAR[1] * np.bincount(own, minlength=len(s.sizes)) >= SIMILAR[0] * s.sizes for (own, _), s in zip(found, (left, right), strict=True)]
+        if not enough[0].any() or not enough[1].any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if enough[0].all() and enough[1].all():
+            break
+        left, right = left.only(enough[0]), right if same else right.only(enough[1])
+    both = np.zeros((len(left.sizes), len(right.sizes)), np.float32)
+    for lo in range(0, len(codes), COLUMNS):
+        cube = []
+        for (own, place), s in zip(found, (left, right), strict=True):
+            at = (place >= lo) & (place < lo + COLUMNS)
+            cube.append(np.zeros((len(s.sizes), min(COLUMNS, len(codes) - lo)), np.float32))
+            cube[-1][own[at], place[at] - lo] = 1
+        both += cube[0] @ cube[1].T
+    near = SIMILAR[1] * both >= SIMILAR[0] * (left.sizes[:, None] + right.sizes[None, :] - both)
+    i, j = np.nonzero(near & (left.components[:, None] != right.components[None, :]))
+    ends = np.sort(np.stack([left.components[i], right.components[j]]), axis=0)
+    _, once = np.unique(ends, axis=1, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    picked = []
+    for k in once.tolist():
+        x, y = root(int(ends[0, k])), root(int(ends[1, k]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            picked.append(k)
+    return left.nodes[i[picked]], right.nodes[j[picked]]
+
+
+def _between(blocks: DataFrame) -> DataFrame:
+    """(a, b): links that join the components that the blocks of each family have."""
+    named = blocks.select("block", "family", "band", "held")
+    other = named.select("family", *[F.col(c).alias(f"{c}2") for c in ("block", "band", "held")])
+    apart = F.col("held").isNull() | F.col("held2").isNull() | (F.col("held") != F.col("held2"))
+    pairs = named.join(other, "family").filter((F.col("block") <= F.col("block2")) & (F.abs(F.col("band") - F.col("band2")) <= 1) & apart)
+    members = blocks.select("block", "members")
+    met = pairs.select("block", "block2").join(members, "block").join(members.select(F.col("block").alias("block2"), F.col("members").alias("members2")), "block2")
+    met = met.select("block", "block2", "members", F.when(F.col("block") != F.col("block2"), F.col("members2")).alias("members2")).repartition("block", "block2")
 
     def rows(it):
         for batch in it:
             for i in range(batch.num_rows):
-                same, left, right = (c[0] for c in batch.slice(i, 1).to_pydict().values())
-                nodes, comps, sigs = unpack(left)
-                nodes2, comps2, sigs2 = (nodes, comps, sigs) if same else unpack(right)
-                out_a, out_b, more = [], [], False
-                for at in range(len(nodes)):
-                    lo = at + 1 if same else 0
-                    equal = (sigs2[lo:] == sigs[at]).sum(1)
-                    hits = np.flatnonzero((equal >= MATCHES) & (comps2[lo:] != comps[at]))
-                    pick = lo + hits[np.argsort(-equal[hits], kind="stable")[:width]]
-                    more |= len(hits) > width
-                    out_a += [int(nodes[at])] * len(pick)
-                    out_b += nodes2[pick].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([*out_a, None], pa.int64()), pa.array([*out_b, None], pa.int64()), pa.array([False] * len(out_a) + [more], pa.bool_())], ["a", "b", "more"])
-
-    return met.select((F.col("part") == F.col("part2")).alias("same"), "members", "members2").mapInArrow(rows, "a long, b long, more boolean")
+                left, right = (c[0] for c in batch.slice(i, 1).to_pydict().values())
+                a, b = linked_pairs(_Sets(left), None if right is None else _Sets(right))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return met.select("members", "members2").mapInArrow(rows, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,31 +349,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(_signatures(docs), "signed")
     full = signed.filter("twin is not null and doc_id is not null")
-    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("heads").alias("heads"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
-    nodes = classes.groupBy("node").agg(F.min_by("signature", "twin").alias("signature"), F.min_by("n_shingles", "twin").alias("n_shingles"))
-
-    posted = scratch.save(_postings(classes), "posted")
-    lists = scratch.save(_skipped(posted), "lists")
-    scratch.drop("posted")
-    heads = lists.groupBy("list").agg(F.min("node").alias("a"))
-    stars = lists.join(heads, "list").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
+
+    heads = scratch.save(_postings(classes, PREFIX), "heads")
+    met = _shared(heads).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= COLLIDE).select("node")
+    held = classes.join(met, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("signature", "n_shingles"), "twin").alias("own"))
+    nodes = scratch.save(held.select("node", "own.signature", "own.n_shingles"), "nodes")
+    posted = scratch.save(_postings(nodes, COORDINATES), "posted")
+    lists = scratch.save(_skipped(_shared(posted)), "lists")
+    scratch.drop("heads", "posted")
+
+    stars = lists.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     likely = scratch.save(_likely(stars, nodes), "likely")
     best = W.partitionBy("b").orderBy(F.col("equal").desc(), "a")
     links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs), "best")
     links, of = _extended(links, components(links, scratch, "first"), likely, docs, scratch, "stars")
-    checked, width = likely.select("a", "b"), RANKS
-    while True:
-        named = lists.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-        members = named.join(mixed, "list").join(nodes.select("node", "signature"), "node")
-        found = scratch.save(_best_partners(_blocks(members), width), f"partners-{width}")
-        more = found.filter("more").limit(1).count()
-        pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = scratch.save(_likely(pairs.join(checked, ["a", "b"], "left_anti"), nodes), f"likely-{width}")
-        links, of = _extended(links, of, new, docs, scratch, f"round-{width}")
-        checked, width = checked.union(new.select("a", "b")), width * 8
-        if not more:
-            break
+    members = _families(lists, of, scratch)
+    if members is not None:
+        new = scratch.save(_between(scratch.save(_blocks(members, docs), "blocks")), "between")
+        if not new.isEmpty():
+            links = links.union(new)
+            of = components(links, scratch, "last")
     found = classes.select("twin", "node").join(of, "node", "left").select("twin", F.coalesce("component", "node").alias("component"))
     own = signed.select("doc_id", "n_shingles", "twin").join(found, "twin", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

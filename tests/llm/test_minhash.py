@@ -69,7 +69,67 @@ def test_chains_groups_and_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
-def test_mixed_lists_in_blocks(spark, monkeypatch):
+def test_families_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "RANKS", 1)
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
     test_chains_groups_and_odd_rows(spark)
+
+
+def lookalikes(n, changed, seed=3):
+    """Copies of one text, each with words of its own at `changed` of 200 places."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(200)]
+    texts = {}
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(200), changed):
+            own[at] = word()
+        texts[i] = " ".join(own)
+    return texts
+
+
+def test_unlinked_lookalikes(spark, monkeypatch):
+    """Thousands of documents with similarities of about 0.5 to 0.74: tables stay linear in the documents, however many pairs there are."""
+    texts = lookalikes(3000, 5)
+    rows = {}
+    saved = minhash.Scratch.save
+
+    def save(self, df, name, partitions=None):
+        out = saved(self, df, name, partitions)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", save)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    sets_of = {d: minhash.shingles(t) for d, t in texts.items()}
+    held = random.Random(1).sample(sorted(texts), 40)
+    like = [len(set(sets_of[a]) & set(sets_of[b])) / len(set(sets_of[a]) | set(sets_of[b])) for a in held for b in held if a < b]
+    assert sum(0.5 < x < 0.75 for x in like) > 0.9 * len(like)
+    want, up = {}, minhash.linked_pairs(minhash._Sets([{"node": d, "component": d, "codes": s.tobytes()} for d, s in sets_of.items()]), None)
+    for a, b in zip(*up, strict=True):
+        x, y = want.get(a, a), want.get(b, b)
+        want = want | {d: min(x, y) for d in (a, b, x, y)} | {d: min(x, y) for d, c in want.items() if c in (x, y)}
+    assert {r.doc_id: r.component_id for r in got} == {d: want.get(d, d) for d in texts}
+    per_document = {"posted": 128}
+    assert all(n <= per_document.get(name, 54) * len(texts) for name, n in rows.items()), rows
+
+
+def test_links_inside_a_block():
+    """linked_pairs against every pair of sets."""
+    texts = lookalikes(120, 4) | {200 + i: t for i, t in lookalikes(60, 2, 9).items()}
+    blocks = [{"node": d, "component": d, "codes": minhash.shingles(t).tobytes()} for d, t in texts.items()]
+
+    def groups(pairs):
+        up = {d: d for d in texts}
+        for a, b in pairs:
+            x, y = up[int(a)], up[int(b)]
+            up = {d: min(x, y) if c in (x, y) else c for d, c in up.items()}
+        return up
+
+    want = {d: c for d, (_, c) in brute(texts).items()}
+    inside = minhash.linked_pairs(minhash._Sets(blocks), None)
+    assert groups(zip(*inside, strict=True)) == want
+    halves = blocks[::2], blocks[1::2]
+    parts = [minhash.linked_pairs(minhash._Sets(h), None) for h in halves] + [minhash.linked_pairs(*map(minhash._Sets, halves))]
+    assert groups(p for x in parts for p in zip(*x, strict=True)) == want
