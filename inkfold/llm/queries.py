@@ -75,12 +75,18 @@ weighted AS (SELECT *, CASE r % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBL
 levels AS (SELECT *, (budget - coalesce(sum(cap) OVER prev, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER prev, 0)) AS level
            FROM weighted WINDOW prev AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, least(cap, w * max(level) OVER ()) AS target FROM levels),
-placed AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
-    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(greatest(quota - st, 0), size) + least(greatest(quota - st - source_size, 0), size) AS BIGINT) AS taken
-FROM placed
+placed AS (SELECT s.doc_id, s.size, t.source_size, t.target, s.k, coalesce('=' || s.source, '') AS queue,
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st,
+    row_number() OVER (PARTITION BY s.source ORDER BY s.k, s.size) AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT *, st + c * source_size AS start FROM (SELECT *, unnest([0, 1]) AS c FROM placed)),
+lengths AS (SELECT *, CASE WHEN start < target AND start + size > target THEN 16 ELSE greatest(size, 1) END AS l FROM copies),
+packets AS (SELECT *, least(l, size - p * l) AS words FROM (SELECT *, unnest(range(0, greatest(CAST(ceil(size / l) AS BIGINT), 1))) AS p FROM lengths)),
+finish AS (SELECT *, coalesce(CAST(start + p * l + words AS DOUBLE) / nullif(target, 0), 0) AS v FROM packets),
+served AS (SELECT *, (SELECT CAST(round(sum(target)) AS BIGINT) FROM targets)
+    - coalesce(sum(words) OVER (ORDER BY v, queue, k, place, c, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM finish)
+SELECT doc_id, size, source_size, target, CAST(sum(least(greatest(left_over, 0), words)) AS BIGINT) AS taken
+FROM served GROUP BY queue, place, doc_id, size, source_size, target
 """
 
 

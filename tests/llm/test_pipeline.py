@@ -1,4 +1,4 @@
-"""Each stage of the pipeline against a brute-force version over what the stage before kept; mixing and media too."""
+"""Each stage of the pipeline against a brute-force version over what the stage before kept; media and archives too."""
 
 import hashlib
 import struct
@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from inkfold.llm import audio, lines, mixing, packing, quality, warc
+from inkfold.llm import audio, lines, packing, quality, warc
 from test_lines import brute as brute_lines
 from test_minhash import brute as brute_near
+from test_mixing import plain_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,8 @@ def test_stages(spark):
     near = rows(near_df)
     assert set(near) == {d for d, (_, c) in brute_near({d: r.text for d, r in lined.items()}).items() if d == c}
     mixed_df = stages["mixing"](spark, near_df, SF).cache()
-    want = {r.doc_id: sum(c.taken > 0 for c in r.copies) for r in mixing.fair_queue(near_df, cut_documents=False).collect()}
+    queued = [(r.doc_id, r.source, r.text) for r in near.values()]
+    want = {d: sum(n > 0 and 2 * n >= len((t or "").split()) for n in x["copies"]) for (d, _, t), x in zip(queued, plain_mix(queued), strict=True)}
     got = defaultdict(int)
     for r in mixed_df.collect():
         got[r.doc_id] += 1
@@ -48,23 +50,6 @@ def test_stages(spark):
     assert packed == {d: n * (len(encoder.encode(near[d].text or "")) // 4 + 1) for d, n in got.items()}
 
 
-def test_mixing_cases(spark):
-    rows = [(i, "w " * (i % 9), ["a", "b", "é", None][i % 4], 1) for i in range(200)] + [(300, None, "a", 1), (301, "", "z", 1), (301, "", "z", 1), (None, "one", "b", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
-    got = mixing.taken_words(docs).collect()
-    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
-    of = defaultdict(int)
-    target, source = {}, {r[0]: r[2] for r in rows}
-    for r in got:
-        of[source[r.doc_id]] += r.taken
-        target[source[r.doc_id]] = r.target
-    assert all(abs(of[s] - t) <= 1 for s, t in target.items())
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.taken_words(docs.repartition(7)).collect()), key=str)
-    mix = mixing.mix(docs).collect()
-    assert [r.v_finish for r in mix] == sorted(r.v_finish for r in mix)
-    assert mixing.taken_words(docs.limit(0)).collect() == []
-
-
 def test_media(spark):
     texts = [None, "", "a", "é" * 31 + "xx", "long text " * 3000, "a"]
     docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
