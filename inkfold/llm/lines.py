@@ -2,21 +2,23 @@
 
 A line's tokens with digits are variable fields. The tree has a fixed depth: token count, then DEPTH leading
 tokens; its leaves hold what may share a template. In a leaf, a token stays constant at its place if
-MIN_DOCS independent documents have it there, and is a variable field otherwise; where fewer than half of the tokens stay
-constant, the line is its own template. Templates in at least MIN_DOCS independent documents are dropped. A
-copied document repeats all its lines, and such copies are for near dedup: a class of near copies (op7's components,
-full word sets at 0.75) is one independent document, however many copies it has, and however long a line that
-unlike documents share is. Classes are found among the documents with a line in a leaf of MIN_DOCS documents.
+MIN_DOCS documents have it there, and is a variable field otherwise; where fewer than half of the tokens stay
+constant, the line is its own template. Templates in at least MIN_DOCS documents recur, and their lines are dropped.
 
-Scale: only hashes of lines are shuffled, 24 bytes a line. Texts of lines come from a second scan, for lines of
+A copied document repeats all its lines, and such copies are for near dedup, so what counts is documents unlike each other:
+equal texts are one document, and so are near copies (op7's components, full word sets at 0.75). Near
+copies are looked for where they matter, among documents with SUSPECT of their words in recurring lines; one
+with less can't lose more than that share, whoever it resembles.
+
+Scale: only hashes of lines are shuffled, 40 bytes a line. Texts of lines come from a second scan, for lines of
 leaves with MIN_DOCS documents; a bitmap of fixed size (BITMAP_BITS) is all that tasks get of those leaves, it
 lets through a few lines too many, never too few. Counts go through partial aggregation, so that a line that
-a third of all rows hold is a row a task; of such a line's classes, joins get MIN_DOCS a task, which settle it.
-The classes cost more than all the rest: op7 over the documents named above.
+a third of all rows hold is a row a task; of such a line's documents, joins get MIN_DOCS a task, which settle it.
+Tables of leaves, recurring lines and dropped templates are joined by broadcast up to BROADCAST_ROWS rows (their count is checked), else by shuffle.
 
 Defined cases: null text has no lines and stays null; empty lines and lines of white space are kept; a line
-that recurs in one document only is kept; rows that share an id are one document, rows without an id count for
-none and are kept whole; an empty table gives an empty result; columns beside doc_id and text
+that recurs in one document only is kept; very long texts and lines are read whole; rows that share an id count by their texts and lose the same lines, rows without an id count for
+none and are kept whole; ties: none, counts alone decide; an empty table gives an empty result; columns beside doc_id and text
 pass through unchanged in `drop_lines`, whatever their names.
 """
 
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,79 +34,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import WORD, Scratch
+from inkfold.llm.common import Scratch
 from inkfold.llm.minhash import near_duplicates
 
-DEPTH, MIN_DOCS, LEAST_CONSTANT = 2, 12, 0.5
-BITMAP_BITS = 1 << 22
-WINDOW = 32
+DEPTH, MIN_DOCS, LEAST_CONSTANT, SUSPECT = 2, 12, 0.5, 0.25
+BITMAP_BITS, BROADCAST_ROWS = 1 << 22, 100_000
 VARIABLE = "<*>"
-_DIGIT, _TOKEN = re.compile("[0-9]"), re.compile(WORD)
-_ROWS = "doc_id long, leaf long, line long"
+_VARIABLE, _DIGIT = VARIABLE.encode(), re.compile(b"[0-9]")
+_ROWS = "doc_id long, leaf long, line long, same long, words int"
 
 
 def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def tokens(line: str) -> list[str]:
-    """Tokens of a line, those with digits as VARIABLE."""
-    found = _TOKEN.findall(line)
-    return [VARIABLE if _DIGIT.search(t) else t for t in found] if _DIGIT.search(line) else found
-
-
-def keys(line: str) -> tuple[int, int, list[str]] | None:
-    """(leaf, hash of the line with its fields generalised, tokens); None for a blank line."""
-    ts = tokens(line)
+def keys(line: str) -> tuple[int, int, list[bytes]] | None:
+    """(leaf, hash of the line with its fields generalised, tokens, those with digits as VARIABLE); None for a blank line."""
+    data = line.encode("utf-8", "replace")
+    ts = data.split()  # of bytes: at ASCII white space alone
     if not ts:
         return None
-    return _hash("\x1f".join([str(len(ts)), *ts[:DEPTH]]).encode("utf-8", "replace")), _hash(" ".join(ts).encode("utf-8", "replace")), ts
-
-
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    return np.cumprod(np.full(n, base)), np.cumprod(np.full(n, inverse))
-
-
-def sketch(text: str) -> int:
-    """The least mixed hash of a text's WINDOW-byte windows."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    if len(data) < WINDOW:
-        return _hash(data.tobytes())
-    n = 1 << max(16, (len(data) - 1).bit_length())
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)])])
-    h = (sums[WINDOW:] - sums[:-WINDOW]) * down[: len(sums) - WINDOW]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return int(h.min()) - (1 << 63)
+    if _DIGIT.search(data):
+        ts = [_VARIABLE if _DIGIT.search(t) else t for t in ts]
+    return _hash(b"%d\x1f%b" % (len(ts), b"\x1f".join(ts[:DEPTH]))), _hash(b" ".join(ts)), ts
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each distinct line of each document."""
+    """A row for each distinct line of each document; `same` tells equal texts."""
 
     def rows(it):
         for batch in it:
-            out = [[], [], []]
+            out = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                found = {k[:2] for k in map(keys, set(text.split("\n"))) if k}
-                for leaf, line in found:
-                    for column, value in zip(out, (doc_id, leaf, line), strict=True):
+                found = {k[:2]: len(k[2]) for k in map(keys, set(text.split("\n"))) if k}
+                same = _hash(text.encode("utf-8", "replace"))
+                for (leaf, line), words in found.items():
+                    for column, value in zip(out, (doc_id, leaf, line, same, words), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "leaf", "line"])
+            columns = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "leaf", "line", "same", "words"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(rows, _ROWS)
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, _ROWS)
 
 
-def _classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, class): the near-copy class of each wanted document."""
-    near = near_duplicates(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"))
-    return near.groupBy("doc_id").agg(F.min("component_id").alias("class"))
+def _small(table: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _line_texts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -113,14 +89,13 @@ def _line_texts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            out: dict[tuple[int, int], list[str]] = {}
+            out: dict[tuple[int, int], list[bytes]] = {}
             for text in batch.column(1).to_pylist():
-                for k in map(keys, (text or "").split("\n")):
+                for k in map(keys, set((text or "").split("\n"))):
                     if k and bitmap[(k[0] % BITMAP_BITS) >> 3] >> (k[0] % BITMAP_BITS & 7) & 1:
                         out[k[:2]] = k[2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.list_(pa.string()))], ["leaf", "line", "tokens"]
-            )
+            tokens = [[t.decode() for t in ts] for ts in out.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["leaf", "line", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "leaf long, line long, tokens array<string>")
 
@@ -134,41 +109,54 @@ def _bitmap(leaves: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(line rows, (leaf, line) of lines whose template recurs across documents)."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    rows = scratch.save(_line_rows(docs), "rows")
-    wide = scratch.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    wide_rows = scratch.save(rows.join(wide, "leaf", "left_semi"), "wide-rows")
-    classes = scratch.save(_classes(docs, scratch.save(wide_rows.select("doc_id").distinct(), "wanted")), "classes")
-    held = scratch.save(wide_rows.join(classes, "doc_id").select("leaf", "line", "class").distinct(), "held")
-    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy("leaf", "line").orderBy("class")))
-    few = scratch.save(ranked.filter(F.col("rank") <= min_docs).drop("rank"), "few")  # all classes of lines with fewer than min_docs
-    counts = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+def _templates(docs: DataFrame, wide_rows: DataFrame, wide: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
+    """(leaf, line, template) of the lines whose template is in min_docs documents of unequal texts."""
+    held = wide_rows.select("leaf", "line", "same").distinct()
+    counts = scratch.save(held.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "counts")
+    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy("leaf", "line").orderBy("same")))
+    few = scratch.save(ranked.filter(F.col("rank") <= min_docs).drop("rank"), "few")  # all texts of lines with fewer than min_docs
     texts = _line_texts(docs, _bitmap(wide)).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = scratch.save(counts.join(texts, ["leaf", "line"]), "lines")
 
     placed = lines.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
     spot = ["leaf", "place", "token"]
     bounds = placed.groupBy(spot).agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).filter(F.col("most") >= min_docs)
-    bounds = scratch.save(bounds, "bounds")  # of the classes with a token at its place; counted where the bounds leave it open
+    bounds = scratch.save(bounds, "bounds")  # of the texts with a token at its place; counted where the bounds leave it open
     unsure = placed.join(bounds.filter(F.col("least") < min_docs), spot).select("line", *spot).join(few, ["leaf", "line"])
-    counted = unsure.groupBy(spot).agg(F.count_distinct("class").alias("support")).filter(F.col("support") >= min_docs)
+    counted = unsure.groupBy(spot).agg(F.count_distinct("same").alias("support")).filter(F.col("support") >= min_docs)
     constant = bounds.filter(F.col("least") >= min_docs).select(spot).union(counted.select(spot))
-    kept = placed.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("place", "token")).alias("kept"))
+    kept = placed.join(constant, spot).groupBy("leaf", "line").agg(F.collect_list(F.struct("place", "token")).alias("kept"))
     fixed = F.size(F.filter("kept", lambda k: k["token"] != VARIABLE))
     template = F.when(fixed >= F.lit(LEAST_CONSTANT) * F.size("tokens"), F.xxhash64(F.array_sort("kept"))).otherwise(F.col("line"))
-    templates = lines.join(kept, ["leaf", "line"], "left").select("leaf", "line", F.coalesce(template, F.col("line")).alias("template"))
-    templates = scratch.save(templates, "templates")
-    over = few.join(templates, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("class").alias("docs"))
-    dropped = over.filter(F.col("docs") >= min_docs)
-    return rows, scratch.save(templates.join(dropped.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line"), "dropped")
+    templates = scratch.save(lines.join(kept, ["leaf", "line"], "left").select("leaf", "line", F.coalesce(template, F.col("line")).alias("template")), "templates")
+    over = few.join(templates, ["leaf", "line"]).groupBy("leaf", "template").agg(F.count_distinct("same").alias("docs"))
+    return scratch.save(templates.join(over.filter(F.col("docs") >= min_docs).select("leaf", "template"), ["leaf", "template"]), "recurring")
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, leaf, line) of the lines to drop: their template recurs across min_docs documents unlike each other."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = scratch.save(_line_rows(docs), "rows")
+    wide = scratch.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    wide_rows = scratch.save(rows.join(_small(wide), "leaf", "left_semi"), "wide-rows")
+    found = _templates(docs, wide_rows, wide, min_docs, scratch)
+    hits = scratch.save(wide_rows.join(_small(found), ["leaf", "line"]), "hits")
+    scratch.drop("wide-rows", "counts", "few", "lines", "bounds", "templates")
+
+    whole = rows.groupBy("doc_id").agg(F.sum("words").alias("whole"))
+    share = hits.groupBy("doc_id").agg(F.sum("words").alias("held")).join(whole, "doc_id")
+    suspects = scratch.save(share.filter(F.col("held") >= F.lit(SUSPECT) * F.col("whole")).select("doc_id"), "suspects")
+    near = near_duplicates(docs.select(F.col("doc_id").cast("long"), "text").join(_small(suspects), "doc_id", "left_semi"))
+    classes = scratch.save(near.groupBy("doc_id").agg(F.min("component_id").alias("class")), "classes")
+    alike = F.when(F.col("class").isNotNull(), F.xxhash64(F.lit("near"), "class")).otherwise(F.col("same"))
+    counted = hits.join(_small(classes), "doc_id", "left").select("leaf", "template", alike.alias("alike")).distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
+    dropped = scratch.save(counted.filter(F.col("docs") >= min_docs).select("leaf", "template"), "dropped")
+    return hits.join(_small(dropped), ["leaf", "template"], "left_semi").select("doc_id", "leaf", "line")
 
 
 def _marked(docs: DataFrame, min_docs: int) -> DataFrame:
     """The documents as struct `own`, with text and the hashes of the lines to drop (null: none)."""
-    rows, dropped = recurring(docs, min_docs)
-    by_doc = rows.join(dropped, ["leaf", "line"], "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
+    by_doc = recurring(docs, min_docs).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     return named.join(by_doc.select(F.col("doc_id").alias("_key"), "drop"), F.col("own.doc_id") == F.col("_key"), "left").select("own", "drop")
 

@@ -57,31 +57,37 @@ def plain(rows: dict[int, str], least: int) -> dict[int, str]:
         for x in found:
             leaves[len(x), x[:2]].append((d, x))
     leaves = {k: v for k, v in leaves.items() if len(v) >= least}
-    wanted = sorted({d for v in leaves.values() for d, _ in v})
-    low = {c: chr(ord(c) + 32) for c in map(chr, range(65, 91))}
-    words = {d: [w for w in split("".join(low.get(c, c) for c in rows[d])) if w] for d in wanted}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
-    of = {d: d for d in wanted}
-    for i, a in enumerate(wanted):
-        for b in wanted[:i]:
-            both = len(sets[a] & sets[b])
-            if of[a] != of[b] and 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
-                low_, high = sorted((of[a], of[b]))
-                of = {d: low_ if c == high else c for d, c in of.items()}
-    gone = set()
+    template = {}
     for v in leaves.values():
         at = defaultdict(set)
         for d, x in v:
             for i, t in enumerate(x):
-                at[i, t].add(of[d])
-        template = {}
+                at[i, t].add(rows[d])
         for _, x in v:
             kept = tuple((i, t) for i, t in enumerate(x) if len(at[i, t]) >= least)
-            template[x] = kept if 2 * sum(t != "<*>" for _, t in kept) >= len(x) else x
+            template[x] = (len(x), x[:2], kept) if 2 * sum(t != "<*>" for _, t in kept) >= len(x) else x
+
+    def over(of):
         classes = defaultdict(set)
-        for d, x in v:
-            classes[template[x]].add(of[d])
-        gone |= {x for x, t in template.items() if len(classes[t]) >= least}
+        for v in leaves.values():
+            for d, x in v:
+                classes[template[x]].add(of[d])
+        return {x for x, t in template.items() if len(classes[t]) >= least}
+
+    first = over(rows)
+    suspects = [d for d, found in sorted(holds.items()) if found and 4 * sum(len(x) for x in found & first) >= sum(map(len, found))]
+    suspects = [d for d in suspects if holds[d] & first]
+    low = {c: chr(ord(c) + 32) for c in map(chr, range(65, 91))}
+    words = {d: [w for w in split("".join(low.get(c, c) for c in rows[d])) if w] for d in suspects}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    of = {d: d for d in suspects}
+    for i, a in enumerate(suspects):
+        for b in suspects[:i]:
+            both = len(sets[a] & sets[b])
+            if of[a] != of[b] and 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                low_, high = sorted((of[a], of[b]))
+                of = {d: low_ if c == high else c for d, c in of.items()}
+    gone = over({d: of.get(d, t) for d, t in rows.items()})
     return {d: t if t is None else "\n".join(x for x in t.split("\n") if fields(x) not in gone) for d, t in rows.items()}
 
 
@@ -91,3 +97,21 @@ def test_whole_table_with_production_value(spark):
     want = plain(rows, lines.MIN_DOCS)
     assert sum(want[d] != rows[d] for d in rows) > 100
     assert {r.doc_id: r.text for r in lines.drop_lines(docs).collect()} == want
+
+
+def test_large_groups_of_copies_keep_their_text(spark):
+    """Copies, equal ones and edited ones, beside unlike documents: no line of theirs goes, however many they are."""
+    rows = {i: "\n".join(prose(12, "equal", k) for k in range(5)) for i in range(50)}
+    rows |= {100 + i: "\n".join(prose(12, "edited", k) for k in range(9)) + f"\n{prose(3, 'own', i)}" for i in range(50)}
+    rows |= {200 + i: prose(50, i) for i in range(20)}
+    assert texts(spark, rows) == rows == plain(rows, lines.MIN_DOCS)
+
+
+def test_cases(spark):
+    rows = [(1, None), (2, ""), (None, "a line here"), (3, "\n \t\n"), (4, "word " * 60_000)] + [(10 + i, f"{prose(30, i)}\nshared line of theirs") for i in range(12)] + [(10, "other text\nshared line of theirs"), (11, f"{prose(30, 1)}\nshared line of theirs")]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], "doc_id long, text string, line int, leaf string, class int")
+    got = lines.drop_lines(docs)
+    assert got.columns == docs.columns
+    want = [(d, t if t is None or d is None else t.removesuffix("\nshared line of theirs")) for d, t in rows]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert lines.drop_lines(docs.limit(0)).collect() == [] and lines.line_report(docs.limit(0)).collect() == []

@@ -1,44 +1,15 @@
-"""Line dedup against a brute-force version, and on planted templates, copies and odd rows."""
+"""Line dedup against a plain version with a low count, and on planted templates, copies and odd rows."""
 
 import hashlib
-from collections import defaultdict
 
 from inkfold.llm import lines
-
-
-def brute(texts: dict[int, str], min_docs: int) -> dict[int, str]:
-    """The same rules, all in memory."""
-    occurs, of = defaultdict(set), {}
-    for d, t in texts.items():
-        for k in filter(None, map(lines.keys, (t or "").split("\n"))):
-            occurs[k[:2]].add(d)
-            of[k[:2]] = k[2]
-    leaves = defaultdict(list)
-    for k in occurs:
-        leaves[k[0]].append(k)
-    template, docs, sketches = {}, defaultdict(int), defaultdict(set)
-    for ks in leaves.values():
-        if sum(len(occurs[k]) for k in ks) < min_docs:
-            continue
-        support = defaultdict(int)
-        for k in ks:
-            for i, t in enumerate(of[k]):
-                support[i, t] += len(occurs[k])
-        for k in ks:
-            kept = tuple((i, t) for i, t in enumerate(of[k]) if support[i, t] >= min_docs)
-            constant = sum(t != lines.VARIABLE for _, t in kept)
-            template[k] = (k[0], kept if constant >= 0.5 * len(of[k]) else k[1])
-            docs[template[k]] += len(occurs[k])
-            sketches[template[k]] |= {lines.sketch(texts[d]) for d in occurs[k]}
-    gone = {k for k, t in template.items() if len(sketches[t]) >= min_docs and len(sketches[t]) >= 0.5 * docs[t]}
-    keep = lambda x: not (k := lines.keys(x)) or k[:2] not in gone
-    return {d: t if t is None else "\n".join(filter(keep, t.split("\n"))) for d, t in texts.items()}
+from test_line_classes import plain
 
 
 def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = brute(texts, 4)
+    want = plain(texts, 4)
     got = {r.doc_id: r for r in lines.line_report(docs, min_docs=4).collect()}
     assert sum(want[d] != texts[d] for d in texts) > 5
     for d, t in want.items():

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from inkfold.llm import audio, lines, packing, quality, warc
-from test_lines import brute as brute_lines
+from test_line_classes import plain as plain_lines
 from test_minhash import brute as brute_near
 from test_mixing import plain_mix
 
@@ -29,7 +29,7 @@ def test_stages(spark):
     assert {r.doc_id for r in quality.score(docs, model).collect() if r.keep} == set(good) and len(good) < len(start)
     lined_df = stages["line_dedup"](spark, good_df, SF).cache()
     lined = rows(lined_df)
-    assert {d: r.text for d, r in lined.items()} == brute_lines({d: r.text for d, r in good.items()}, lines.MIN_DOCS)
+    assert {d: r.text for d, r in lined.items()} == plain_lines({d: r.text for d, r in good.items()}, lines.MIN_DOCS)
     near_df = stages["near_dedup"](spark, lined_df, SF).cache()
     near = rows(near_df)
     assert set(near) == {d for d, (_, c) in brute_near({d: r.text for d, r in lined.items()}).items() if d == c}
