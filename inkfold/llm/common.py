@@ -57,6 +57,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Tables of up to so many rows of a few numbers (counted, 10 MB at most) are joined by broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def near_by(table: DataFrame) -> DataFrame:
+    """A saved table of short rows, to be broadcast if its count is within BROADCAST_ROWS, else joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The rows whose key has one of the `rows` smallest hashes: the same rows in every run, however the input is split.
 

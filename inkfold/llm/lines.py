@@ -14,7 +14,7 @@ Scale: only hashes of lines are shuffled, 40 bytes a line. Texts of lines come f
 leaves with MIN_DOCS documents; a bitmap of fixed size (BITMAP_BITS) is all that tasks get of those leaves, it
 lets through a few lines too many, never too few. Counts go through partial aggregation, so that a line that
 a third of all rows hold is a row a task; of such a line's documents, joins get MIN_DOCS a task, which settle it.
-Tables of leaves, recurring lines and dropped templates are joined by broadcast up to BROADCAST_ROWS rows (their count is checked), else by shuffle.
+Tables of leaves, recurring lines and dropped templates are joined by broadcast up to a checked size, else by shuffle.
 
 Defined cases: null text has no lines and stays null; empty lines and lines of white space are kept; a line
 that recurs in one document only is kept; very long texts and lines are read whole; rows that share an id count by their texts and lose the same lines, rows without an id count for
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Scratch
+from inkfold.llm.common import Scratch, near_by
 from inkfold.llm.minhash import near_duplicates
 
 DEPTH, MIN_DOCS, LEAST_CONSTANT, SUSPECT = 2, 12, 0.5, 0.25
-BITMAP_BITS, BROADCAST_ROWS = 1 << 22, 100_000
+BITMAP_BITS = 1 << 22
 VARIABLE = "<*>"
 _VARIABLE, _DIGIT = VARIABLE.encode(), re.compile(b"[0-9]")
 _ROWS = "doc_id long, leaf long, line long, same long, words int"
@@ -79,11 +79,6 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, _ROWS)
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A saved table, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _line_texts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """leaf, line and tokens of the lines whose leaf the bitmap has."""
 
@@ -138,20 +133,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.save(_line_rows(docs), "rows")
     wide = scratch.save(rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    wide_rows = scratch.save(rows.join(_small(wide), "leaf", "left_semi"), "wide-rows")
+    wide_rows = scratch.save(rows.join(near_by(wide), "leaf", "left_semi"), "wide-rows")
     found = _templates(docs, wide_rows, wide, min_docs, scratch)
-    hits = scratch.save(wide_rows.join(_small(found), ["leaf", "line"]), "hits")
+    hits = scratch.save(wide_rows.join(near_by(found), ["leaf", "line"]), "hits")
     scratch.drop("wide-rows", "counts", "few", "lines", "bounds", "templates")
 
     whole = rows.groupBy("doc_id").agg(F.sum("words").alias("whole"))
     share = hits.groupBy("doc_id").agg(F.sum("words").alias("held")).join(whole, "doc_id")
     suspects = scratch.save(share.filter(F.col("held") >= F.lit(SUSPECT) * F.col("whole")).select("doc_id"), "suspects")
-    near = near_duplicates(docs.select(F.col("doc_id").cast("long"), "text").join(_small(suspects), "doc_id", "left_semi"))
+    near = near_duplicates(docs.select(F.col("doc_id").cast("long"), "text").join(near_by(suspects), "doc_id", "left_semi"))
     classes = scratch.save(near.groupBy("doc_id").agg(F.min("component_id").alias("class")), "classes")
     alike = F.when(F.col("class").isNotNull(), F.xxhash64(F.lit("near"), "class")).otherwise(F.col("same"))
-    counted = hits.join(_small(classes), "doc_id", "left").select("leaf", "template", alike.alias("alike")).distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
+    counted = hits.join(near_by(classes), "doc_id", "left").select("leaf", "template", alike.alias("alike")).distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     dropped = scratch.save(counted.filter(F.col("docs") >= min_docs).select("leaf", "template"), "dropped")
-    return hits.join(_small(dropped), ["leaf", "template"], "left_semi").select("doc_id", "leaf", "line")
+    return hits.join(near_by(dropped), ["leaf", "template"], "left_semi").select("doc_id", "leaf", "line")
 
 
 def _marked(docs: DataFrame, min_docs: int) -> DataFrame:

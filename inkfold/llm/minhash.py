@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Scratch
+from inkfold.llm.common import BROADCAST_ROWS, Scratch, near_by
 
 WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 128, 32, 12, 75
 SIMILAR = (75, 100)
-BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS, BROADCAST_ROWS = 2048, 500_000, 4096, 500_000, 100_000
+BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS = 2048, 500_000, 4096, 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -93,34 +93,42 @@ def signature(codes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, twin (digest of the set) and signature; the last two are null for empty sets."""
+    """doc_id, n_shingles, twin (digest of the set), heads (PREFIX minima), marks (a byte of every minimum) and signature; null for empty sets.
+
+    Bytes of two minima that differ are equal once in 256 times, so marks count a collision too many at times, never one too few.
+    """
+    schema = "doc_id long, n_shingles long, twin binary, heads binary, marks binary, signature binary"
 
     def rows(it):
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, 1024):
-                n, twin, sig = [], [], []
+                n, own = [], [[], [], [], []]
                 for text in texts[at : at + 1024].to_pylist():
                     codes = shingles(text)
                     n.append(len(codes))
-                    twin.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-                    sig.append(signature(codes).tobytes() if len(codes) else None)
-                columns = [pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (twin, sig))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "twin", "signature"])
+                    least = signature(codes)
+                    values = (xxhash.xxh3_128_digest(codes.tobytes()), least[:PREFIX].tobytes(), least.astype(np.uint8).tobytes(), least.tobytes()) if len(codes) else [None] * 4
+                    for column, value in zip(own, values, strict=True):
+                        column.append(value)
+                columns = [pa.array(ids[at : at + 1024], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in own)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "twin", "heads", "marks", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, twin binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def _postings(nodes: DataFrame, coordinates: int) -> DataFrame:
-    """(list, node) for each of the first `coordinates`; a list's number holds coordinate and value."""
+def _postings(nodes: DataFrame, minima: str) -> DataFrame:
+    """(list, node) for each of the `minima` (heads or signature); a list's number holds coordinate and value."""
 
     def rows(it):
         for batch in it:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, COORDINATES)[:, :coordinates]
-            lists = (np.arange(coordinates, dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), coordinates))], ["list", "node"])
+            if not batch.num_rows:
+                continue
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(batch.num_rows, -1)
+            lists = (np.arange(sigs.shape[1], dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sigs.shape[1]))], ["list", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(rows, "list long, node long")
+    return nodes.select("node", minima).mapInArrow(rows, "list long, node long")
 
 
 def _shared(posted: DataFrame) -> DataFrame:
@@ -137,23 +145,23 @@ def _skipped(shared: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, equal) of the pairs with MATCHES collisions over all coordinates and sets of like size."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("marks").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(low * SIMILAR[1] >= high * SIMILAR[0])
 
     def agree(it):
         for batch in it:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.int32).reshape(-1, COORDINATES) for c in batch.columns[2:])
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in batch.columns[2:])
             equal = (a == b).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= MATCHES))
 
     return met.select("a", "b", "s_a", "s_b").mapInArrow(agree, "a long, b long, equal int")
 
 
-def _confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(likely: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar."""
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+    wanted = scratch.save(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{name}-wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(near_by(wanted), "doc_id", "left_semi")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
 
     def confirm(it):
@@ -180,17 +188,17 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     n = links.count()
     parts = max(2, n // 200_000)
-    near_by = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    held = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
     both = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both", parts)
     now = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), f"{name}-0", parts)
     turn = 0
     while True:
         turn += 1
-        near = both.join(near_by(now.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near"))
-        found = near.join(near_by(now), now.node == near.a).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
+        near = both.join(held(now.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near"))
+        found = near.join(held(now), now.node == near.a).select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
         found = scratch.save(found, f"{name}-found-{turn}", parts)
         hop = found.select(F.col("node").alias("next"), F.col("next").alias("hop"))
-        then = scratch.save(found.join(near_by(hop), "next").select("node", F.least("next", "hop").alias("component"), "was"), f"{name}-{turn}", parts)
+        then = scratch.save(found.join(held(hop), "next").select("node", F.least("next", "hop").alias("component"), "was"), f"{name}-{turn}", parts)
         changed = then.filter("component <> was").limit(1).count()
         scratch.drop(f"{name}-found-{turn}", f"{name}-{turn - 1}")
         now = then.select("node", "component")
@@ -203,7 +211,7 @@ def _extended(links: DataFrame, of: DataFrame, likely: DataFrame, docs: DataFram
     side = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     apart = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
     apart = scratch.save(apart.select("a", "b"), f"{name}-apart")
-    new = None if apart.isEmpty() else scratch.save(_confirmed(apart, docs), f"{name}-new")
+    new = None if apart.isEmpty() else scratch.save(_confirmed(apart, docs, scratch, name), f"{name}-new")
     if new is None or new.isEmpty():
         return links, of
     links = scratch.save(links.union(new), f"{name}-links")
@@ -239,7 +247,7 @@ def _blocks(members: DataFrame, docs: DataFrame) -> DataFrame:
                 columns = [*(c[at : at + 512] for c in (nodes, comps, families)), pa.array(band), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "component", "family", "band", "size", "codes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "component", "family", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(near_by(members), "node").select("node", "component", "family", "text")
     sets = texts.mapInArrow(rows, "node long, component long, family long, band int, size long, codes binary").filter("size > 0")
     keys = ["family", "band"]
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
@@ -349,24 +357,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(_signatures(docs), "signed")
     full = signed.filter("twin is not null and doc_id is not null")
-    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
-
-    heads = scratch.save(_postings(classes, PREFIX), "heads")
-    met = _shared(heads).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= COLLIDE).select("node")
-    held = classes.join(met, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("signature", "n_shingles"), "twin").alias("own"))
-    nodes = scratch.save(held.select("node", "own.signature", "own.n_shingles"), "nodes")
-    posted = scratch.save(_postings(nodes, COORDINATES), "posted")
+    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node")), "classes")
+    first = full.join(classes, (full["doc_id"] == classes["node"]) & (full["twin"] == classes["twin"])).select("node", "heads")
+
+    heads = scratch.save(_postings(first, "heads"), "heads")
+    met = scratch.save(_shared(heads).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= COLLIDE).select("node"), "met")
+    own = full.join(near_by(met), full["doc_id"] == met["node"]).groupBy("node").agg(F.min_by(F.struct("signature", "marks", "n_shingles"), "twin").alias("own"))
+    nodes = scratch.save(own.select("node", "own.*"), "nodes")
+    posted = scratch.save(_postings(nodes, "signature"), "posted")
     lists = scratch.save(_skipped(_shared(posted)), "lists")
     scratch.drop("heads", "posted")
 
     stars = lists.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     likely = scratch.save(_likely(stars, nodes), "likely")
     best = W.partitionBy("b").orderBy(F.col("equal").desc(), "a")
-    links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs), "best")
+    links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs, scratch, "best"), "best")
     links, of = _extended(links, components(links, scratch, "first"), likely, docs, scratch, "stars")
     members = _families(lists, of, scratch)
     if members is not None:
-        new = scratch.save(_between(scratch.save(_blocks(members, docs), "blocks")), "between")
+        new = scratch.save(_between(scratch.save(_blocks(scratch.save(members, "family-members"), docs), "blocks")), "between")
         if not new.isEmpty():
             links = links.union(new)
             of = components(links, scratch, "last")
