@@ -2,15 +2,16 @@
 
 A media column holds WAV bytes (8-bit PCM, mono). Features of a recording: polyphase resampling, log-mel
 filterbanks over half-overlapping Hann frames, and energy segments with hysteresis (a segment is a run of frames
-above the low threshold that reaches the high one). The log-mel frames are cut into tensors of one
-fixed shape, TENSOR_SHAPE, each with its time span, and come as Arrow lists that `as_tensors` turns into
-an Arrow fixed-shape tensor array.
+above the low threshold that reaches the high one), each with its time span. The log-mel frames are cut into tensors of one
+fixed shape, TENSOR_SHAPE of float16, each with its time span and the number of frames that are not padding; their bytes are
+a column of the result, which `as_tensors` turns into an Arrow fixed-shape tensor array without copying values one by one.
 
 Everything is a map over rows: no shuffle, and a task holds one Arrow batch. Features are whole: no prefix
-of a recording is taken.
+of a recording is taken. `media_digest` stores the media in the shared folder and computes from the bytes that it reads back.
 
 Defined cases: null text is the empty payload (64 zero bytes); null media gives null features; a recording
-shorter than one frame is padded with silence to one; other columns are not read by `text_media`.
+shorter than one frame is padded with silence to one; very long texts are more tensors of the same shape; repeated rows and null ids are
+rows of their own; an empty table gives an empty result; there are no ties; other columns, whatever their names, are not read by `text_media`.
 """
 
 from __future__ import annotations
@@ -27,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import Scratch
+
 RATE, OUT_RATE = 16_000, 12_000
 UP, DOWN, TAPS = 3, 4, 8
 FRAME, HOP, MELS = 256, 128, 32
 TENSOR_SHAPE = (64, MELS)
 BLOCK = 64
 FEATURES = (
-    "n_samples long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, "
-    "segments array<struct<start_s:double,end_s:double>>, tensors array<struct<start_s:double,end_s:double,frames:int,log_mel:array<float>>>, feature string"
+    "n_samples long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, "
+    "segments array<struct<start_s:double,end_s:double>>, tensors array<struct<start_s:double,end_s:double,frames:int,log_mel:binary>>"
 )
 ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_samples", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()),
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_samples", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()),
      ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
-     ("tensors", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("log_mel", pa.list_(pa.float32()))]))), ("feature", pa.string())]
+     ("tensors", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("log_mel", pa.binary())])))]
 )
 
 
@@ -117,32 +120,35 @@ def segments(energy: np.ndarray) -> np.ndarray:
     return edges[reached[edges[:, 1]] > reached[edges[:, 0]]]
 
 
-def features(media: bytes, with_tensors: bool) -> dict:
+def tensors(mel: np.ndarray) -> list[dict]:
+    """The frames in TENSOR_SHAPE pieces of float16, the last one padded with zeros."""
+    rows, step, out = TENSOR_SHAPE[0], HOP / OUT_RATE, []
+    for at in range(0, len(mel), rows):
+        part = mel[at : at + rows]
+        cube = np.zeros(TENSOR_SHAPE, "<f2")
+        cube[: len(part)] = part
+        out.append({"start_s": at * step, "end_s": (at + len(part) - 1) * step + FRAME / OUT_RATE, "frames": len(part), "log_mel": cube.tobytes()})
+    return out
+
+
+def features(media: bytes) -> dict:
     with wave.open(io.BytesIO(media)) as f:
         payload = f.readframes(f.getnframes())
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     mel, energy = log_mel(resample(x))
     spans = segments(energy)
     step = HOP / OUT_RATE
-    rows, tensors = TENSOR_SHAPE[0], None
-    if with_tensors:
-        tensors = []
-        for at in range(0, len(mel), rows):
-            part = mel[at : at + rows]
-            cube = np.zeros(TENSOR_SHAPE, np.float32)
-            cube[: len(part)] = part
-            tensors.append({"start_s": at * step, "end_s": (at + len(part) - 1) * step + FRAME / OUT_RATE, "frames": len(part), "log_mel": cube.ravel()})
     mean, spread = np.round(mel.mean(0), 2) + 0.0, np.round(mel.std(0).mean(), 2)
     covered = int((spans[:, 1] - spans[:, 0]).sum())
     return {
         "n_samples": len(payload), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-BLOCK:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "n_frames": len(mel), "segments": [{"start_s": a * step, "end_s": (b - 1) * step + FRAME / OUT_RATE} for a, b in spans.tolist()] if with_tensors else None, "tensors": tensors,
+        "n_frames": len(mel), "segments": [{"start_s": a * step, "end_s": (b - 1) * step + FRAME / OUT_RATE} for a, b in spans.tolist()], "tensors": tensors(mel),
         "feature": f"frames={len(mel)};segments={len(spans)};active={covered};spread={spread:.2f};mel=" + ",".join(f"{v:.2f}" for v in mean),
     }
 
 
-def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """doc_id, n_bytes and FEATURES of each row of (doc_id, n_bytes, media). with_tensors=False leaves segments and tensors null."""
+def audio_features(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and FEATURES of each row of (doc_id, n_bytes, media)."""
 
     def batches(it):
         for batch in it:
@@ -150,20 +156,21 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for doc_id, n_bytes, blob in zip(ids[at : at + 256], sizes[at : at + 256], blobs[at : at + 256], strict=True):
-                    rows.append({"doc_id": doc_id, "n_bytes": n_bytes} | (features(blob.as_buffer().to_pybytes(), with_tensors) if blob.is_valid else {}))
+                    rows.append({"doc_id": doc_id, "n_bytes": n_bytes} | (features(blob.as_buffer().to_pybytes()) if blob.is_valid else {}))
                 yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(batches, f"doc_id long, n_bytes long, {FEATURES}")
 
 
-def as_tensors(tensors: pa.Array) -> pa.ExtensionArray:
-    """An Arrow list array of log_mel values as one array of fixed-shape tensors."""
-    shape = pa.fixed_shape_tensor(pa.float32(), TENSOR_SHAPE)
-    flat = pa.FixedSizeListArray.from_arrays(pa.chunked_array([tensors]).combine_chunks().flatten().cast(pa.float32()), TENSOR_SHAPE[0] * TENSOR_SHAPE[1])
-    return pa.ExtensionArray.from_storage(shape, flat)
+def as_tensors(log_mel: pa.Array) -> pa.ExtensionArray:
+    """The tensors' bytes as one Arrow array of fixed-shape tensors."""
+    size = TENSOR_SHAPE[0] * TENSOR_SHAPE[1]
+    data = pa.py_buffer(b"".join(log_mel.to_pylist()))
+    flat = pa.Array.from_buffers(pa.float16(), len(log_mel) * size, [None, data])
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), TENSOR_SHAPE), pa.FixedSizeListArray.from_arrays(flat, size))
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the digest columns of each document's stored media, read back from its bytes."""
-    read = audio_features(text_media(docs), with_tensors=False)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """doc_id, n_bytes, the digest columns of each document's stored media as read back, and its frames, segments and tensors."""
+    stored = Scratch(docs.sparkSession, "media").save(text_media(docs), "media", codec="zstd")
+    return audio_features(stored).drop("n_samples")

@@ -44,9 +44,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partitions: int | None = None, codec: str = "snappy") -> DataFrame:
         df = df.coalesce(partitions) if partitions else df
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

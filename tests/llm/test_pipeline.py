@@ -1,15 +1,12 @@
-"""Each stage of the pipeline against a brute-force version over what the stage before kept; media and archives too."""
+"""Each stage of the pipeline against a brute-force version over what the stage before kept; archives too."""
 
 import hashlib
-import struct
-import zlib
 from collections import defaultdict
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from inkfold.llm import audio, lines, packing, quality, warc
+from inkfold.llm import lines, packing, quality, warc
 from test_line_classes import plain as plain_lines
 from test_minhash import brute as brute_near
 from test_mixing import plain_mix
@@ -50,38 +47,6 @@ def test_stages(spark):
     assert packed == {d: n * (len(encoder.encode(near[d].text or "")) // 4 + 1) for d, n in got.items()}
 
 
-def test_media(spark):
-    texts = [None, "", "a", "é" * 31 + "xx", "long text " * 3000, "a"]
-    docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
-    media = audio.text_media(docs)
-    for r in media.collect():
-        data = (texts[r.doc_id] or "").encode()
-        payload = data + bytes(-len(data) % 64 if data else 64)
-        assert bytes(r.media) == b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, audio.RATE, audio.RATE, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
-        assert r.n_bytes == len(data)
-    got = {r.doc_id: r for r in audio.audio_features(media).collect()}
-    assert got[2][3:] == got[5][3:] and got[0].feature == got[1].feature
-    for i, t in enumerate(texts):
-        payload = (t or "").encode()
-        payload += bytes(-len(payload) % 64 if payload else 64)
-        assert got[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[i].tail_crc32 == zlib.crc32(payload[-64:])
-        assert sum(x.frames for x in got[i].tensors) == got[i].n_frames
-    arrow = audio.audio_features(media).toArrow()
-    cubes = audio.as_tensors(arrow.column("tensors").combine_chunks().flatten().field("log_mel"))
-    assert cubes.to_numpy_ndarray().shape[1:] == audio.TENSOR_SHAPE
-    assert audio.media_digest(docs.limit(0)).collect() == []
-
-
-def test_resample_and_segments():
-    t = np.arange(16_000) / audio.RATE
-    y = audio.resample(np.sin(2 * np.pi * 440 * t).astype(np.float32))
-    assert len(y) == 12_000
-    spectrum = np.abs(np.fft.rfft(y[1000:11_000]))
-    assert abs(spectrum.argmax() * audio.OUT_RATE / 10_000 - 440) < 2
-    energy = np.array([0, 5, 9, 5, 5, 0, 5, 0, 10.0])
-    assert audio.segments(energy).tolist() == [[1, 5], [8, 9]]
-
-
 def test_warc(spark):
     big = "<p>" + "é" * 60
     rows = [(5, "http://a/1", big), (3, None, big), (9, "http://b/2", big), (3, None, big), (1, "http://b/3", "x" * 99), (2, "u", "x" * 99), (None, "u", big), (7, "u", None), (8, "u", "WARC/1.1\r\n\r\n" + "y" * 200)]
