@@ -67,10 +67,14 @@ def near_by(table: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows whose key has one of the `rows` smallest hashes: the same rows in every run, however the input is split.
+    """At most `rows` rows, one for each of the keys with the smallest hashes: the same in every run, however the input is split.
 
-    Rows that share a key come together; rows without one are left out.
+    Of rows that share a key, one is chosen by the hash of its values; rows without a key are left out.
     """
     mark = F.xxhash64(key)
-    last = df.filter(F.col(key).isNotNull()).select(mark.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.filter(F.col(key).isNotNull() & (mark <= F.lit(last))) if last is not None else df.limit(0)
+    keyed = df.filter(F.col(key).isNotNull())
+    last = keyed.select(mark.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return df.limit(0)
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return keyed.filter(mark <= F.lit(last)).groupBy(mark.alias("_mark")).agg(F.min_by(own, F.xxhash64(own)).alias("own")).select("own.*")
