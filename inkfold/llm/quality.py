@@ -5,12 +5,13 @@ these join the other view's training rows. What neither has trained on calibrate
 combination of the two views' log odds is fitted to the held-out labelled rows, and the cut is the score
 above which KEEP_GOOD of their good documents lie.
 
-Fitting reads at most LABELLED labelled and POOL unlabelled rows, chosen by hash; only their features (numbers)
+Fitting reads at most LABELLED labelled and POOL unlabelled documents, chosen by hash, one row a document id; only their features (numbers)
 reach the driver. Scoring is one column expression over all documents: a single scan, no shuffle, no Python.
 
-Defined cases: null text counts as empty; null lang or source is a value of its own; label rows without quality are
-left out and repeated ones averaged; without labels of both classes everything is kept with score null;
-repeated rows are scored each; an empty table gives an empty result; other columns are not read.
+Defined cases: null text counts as empty; null lang or source is a value of its own; very long texts are read whole; label rows without quality are
+left out and repeated ones averaged, ties (as many good as bad) are good; without labels of both classes everything is kept with score null;
+repeated rows are scored each and train once; null ids are scored and never train; an empty table gives an empty result; documents' own columns, whatever their
+names, are neither read (but for those of `documents`) nor changed.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ LABELLED, POOL, ROUNDS, SURE, KEEP_GOOD = 20_000, 20_000, 3, 0.97, 0.995
 LANG_BINS, SOURCE_BINS = 8, 32
 
 
-def text_view() -> dict[str, Column]:
-    """Numbers from the text alone."""
-    text = F.coalesce("text", F.lit(""))
+def text_view(of: str = "") -> dict[str, Column]:
+    """Numbers from the text alone. of: where the documents' columns are, as a prefix."""
+    text = F.coalesce(f"{of}text", F.lit(""))
     n = F.length(text)
     lines = F.split(text, "\n")
     share = lambda letters: (n - F.length(F.translate(text, letters, ""))) / F.greatest(n, F.lit(1))
@@ -47,14 +48,14 @@ def text_view() -> dict[str, Column]:
     }
 
 
-def metadata_view() -> dict[str, Column]:
+def metadata_view(of: str = "") -> dict[str, Column]:
     """Numbers from what is known without reading the text."""
-    n = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0))
-    of = lambda c, bins: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(bins))
+    n = F.coalesce(F.col(f"{of}n_chars").cast("double"), F.lit(0.0))
+    bin_of = lambda c, bins: F.pmod(F.xxhash64(F.coalesce(F.col(of + c).cast("string"), F.lit(""))), F.lit(bins))
     bit = lambda c: c.cast("double")
     view = {"log_chars": F.log1p(F.greatest(n, F.lit(0.0))), "short": bit(n < 200), "long": bit(n > 20_000)}
-    view |= {f"lang_{i}": bit(of("lang", LANG_BINS) == i) for i in range(LANG_BINS)}
-    return view | {f"source_{i}": bit(of("source", SOURCE_BINS) == i) for i in range(SOURCE_BINS)}
+    view |= {f"lang_{i}": bit(bin_of("lang", LANG_BINS) == i) for i in range(LANG_BINS)}
+    return view | {f"source_{i}": bit(bin_of("source", SOURCE_BINS) == i) for i in range(SOURCE_BINS)}
 
 
 @dataclass
@@ -119,18 +120,23 @@ def co_train(views: dict[str, list[str]], x: np.ndarray, y: np.ndarray, columns:
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """None if the labelled rows lack a class."""
-    marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    some = hash_sample(marks, "doc_id", labelled)  # at most `labelled` rows, so that they may be broadcast
-    mark = F.xxhash64("doc_id")
-    last = docs.filter(F.col("doc_id").isNotNull()).select(mark.alias("h")).orderBy("h").limit(pool).agg(F.max("h")).first()[0]
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
+    some = hash_sample(marks, "_id", labelled)  # at most `labelled` rows, so that they may be broadcast
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.struct("doc_id", "text", "lang", "source", "n_chars").alias("own"))
+    mark = F.xxhash64("own.doc_id")
+    last = own.select(mark.alias("h")).distinct().orderBy("h").limit(pool).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    text, metadata = text_view(), metadata_view()
+    text, metadata = text_view("own."), metadata_view("own.")
     columns = [*text, *metadata]
+    values = F.struct(*[c.cast("double").alias(n) for n, c in (text | metadata).items()])
     rows = (
-        docs.join(F.broadcast(some), "doc_id", "left")
-        .filter(F.col("y").isNotNull() | (mark <= F.lit(last)))
-        .select(F.coalesce("y", F.lit(-1)).alias("y"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).alias("part"), F.xxhash64("doc_id").alias("h"), *[c.alias(n) for n, c in (text | metadata).items()])
+        own.join(F.broadcast(some), F.col("own.doc_id") == F.col("_id"), "left")
+        .filter(F.col("_y").isNotNull() | (mark <= F.lit(last)))
+        .select(F.coalesce("_y", F.lit(-1)).alias("y"), F.pmod(F.xxhash64("own.doc_id", F.lit(7)), F.lit(4)).alias("part"), mark.alias("h"), values.alias("v"))
+        .groupBy("h", "part", "y")
+        .agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+        .select("h", "part", "y", "v.*")
         .toPandas()
         .sort_values(["h", "y"], kind="stable")
     )
@@ -150,21 +156,25 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return Model(models["text"], models["metadata"], (joint.bias, *joint.weights.values()), float(min(cut, best)))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with p_text, p_metadata, score (calibrated probability of good) and keep added."""
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents as struct `own`, with p_text, p_metadata, score and keep."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in ("p_text", "p_metadata", "score")} | {"keep": F.lit(True)})
+        return own.select("own", *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_metadata", "score")], F.lit(True).alias("keep"))
     sigmoid = lambda odds: F.round(1 / (1 + F.exp(-odds)), 6)
     clip = lambda c: F.greatest(F.least(c, F.lit(30.0)), F.lit(-30.0))
-    text, metadata = clip(model.text.column(text_view())), clip(model.metadata.column(metadata_view()))
+    text, metadata = clip(model.text.column(text_view("own."))), clip(model.metadata.column(metadata_view("own.")))
     bias, a, b = model.joint
-    views = F.struct(text.alias("t"), metadata.alias("m"))
-    named = docs.withColumn("_views", views)
-    odds = F.lit(bias) + F.lit(a) * F.col("_views.t") + F.lit(b) * F.col("_views.m")
-    return named.withColumns({"p_text": sigmoid(F.col("_views.t")), "p_metadata": sigmoid(F.col("_views.m")), "score": sigmoid(odds), "keep": odds >= F.lit(model.cut)}).drop("_views")
+    views = own.select("own", F.struct(text.alias("t"), metadata.alias("m")).alias("views"))
+    odds = F.lit(bias) + F.lit(a) * F.col("views.t") + F.lit(b) * F.col("views.m")
+    return views.select("own", sigmoid(F.col("views.t")).alias("p_text"), sigmoid(F.col("views.m")).alias("p_metadata"), sigmoid(odds).alias("score"), (odds >= F.lit(model.cut)).alias("keep"))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, p_text, p_metadata, score (calibrated probability of good) and keep, a row for each of the documents."""
+    return _scored(docs, model).select("own.doc_id", "p_text", "p_metadata", "score", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    own = docs.columns
-    return score(docs, fit(docs, labels)).filter("keep").select(*own)
+    return _scored(docs, fit(docs, labels)).filter("keep").select(*[F.col(f"own.`{c}`") for c in docs.columns])
