@@ -2,23 +2,27 @@
 
 Writing: every task streams its Arrow batches into files of gzip members, one for each record, under names of
 its own; the commit lists the files of the successful attempts in a manifest, which is all that readers
-look at, so failed or repeated attempts leave no records behind. Reading: files are planned into
-partitions by size; predicates on the record type and on header fields are pushed down and decided on
-the parsed header; a payload that no kept record needs is skipped without decoding, hashing or copying.
+look at, so failed or repeated attempts leave no records behind. A member's gzip header holds the member's length in an extra field.
+Reading: files are planned into partitions by size; predicates on the record type and on header fields are pushed down and decided on
+the parsed header, for which only a member's first bytes are inflated; where no kept record needs the payload, the reader goes to the next member at once. Archives of other
+writers, without that field, are read through.
 
 Paths may be any that `pyarrow.fs` opens (file, hdfs, s3, gs).
 
 Defined cases: null html is an empty payload; null url an empty header; a null id is written and read back as
-null and never referred to; repeated rows of the smallest id are all responses; empty tables write no
-file and read back as no rows; other columns are not read.
+null and never referred to; repeated rows of the smallest id are all responses; very long payloads are whole records; empty tables write no
+file and read back as no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
+import struct
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs
@@ -34,6 +38,11 @@ LEAST_REVISIT = 100
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = {"warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-type": "record_type", "warc-refers-to": "refers_to", "warc-payload-digest": "payload_digest", "x-full-payload-length": "payload_bytes"}
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 128 << 20, 32 << 20, 8 << 20
+#: Head of a gzip member with one extra field (RFC 1952): name, size and value, the length of the whole member.
+_FIELD = struct.Struct("<10sH2sHQ")
+_FIXED, _NAME = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", b"IK"
+#: Keys that a payload digest with more than one page is spread over in a join.
+SALTS = 16
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -54,6 +63,12 @@ def _record(row: dict) -> bytes:
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    return _FIELD.pack(_FIXED, 12, _NAME, 8, _FIELD.size + len(body) + 8) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, files: list[str]):
         self.files = files
@@ -75,7 +90,7 @@ class WarcWriter(DataSourceArrowWriter):
                             out.close()
                         files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                         out, size = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
-                    member = gzip.compress(_record(row), 4, mtime=0)
+                    member = _member(_record(row))
                     out.write(member)
                     size += len(member)
         finally:
@@ -141,9 +156,8 @@ class WarcReader(DataSourceReader):
         store, _ = _open(self.path)
         rows, size = [], 0
         for path in partition.value:
-            raw = store.open_input_stream(path, compression=None)
-            with gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw as f:
-                for row in self._records(f):
+            with store.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 18) as f:
+                for row in self._members(f) if path.endswith(".gz") else self._records(f):
                     rows.append(row)
                     size += len(row["payload"] or b"") + 300
                     if size > BATCH_BYTES:
@@ -152,36 +166,76 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    def _records(self, f):
-        import io
+    @staticmethod
+    def _head(lines) -> tuple[dict, int]:
+        """(columns but the payload, length of the block) from header lines."""
+        head, length = dict.fromkeys(ARROW.names), 0
+        for line in lines:
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            name, value = name.strip().lower(), value.strip()
+            if name == "content-length":
+                length = int(value)
+            elif name in HEADERS:
+                head[HEADERS[name]] = value.removeprefix("sha256:") if name == "warc-payload-digest" else value
+        head["payload_bytes"] = int(head["payload_bytes"]) if head["payload_bytes"] else None
+        return head, length
+
+    def _decodes(self, head: dict) -> bool:
+        return self._wanted(head) and head["record_type"] == "response" and (self.payload or self.verify)
+
+    def _with_payload(self, head: dict, block: bytes) -> dict:
+        body = block[block.index(b"\r\n\r\n") + 4 :]
+        if self.verify:
+            digest = hashlib.sha256(body).hexdigest()
+            if head["payload_digest"] not in (None, digest):
+                raise ValueError(f"{head['record_id']}: payload does not match its digest")
+            head |= {"payload_digest": digest, "payload_bytes": len(body)}
+        return head | {"payload": body if self.payload else None}
+
+    def _members(self, f):
+        """Records of a file of members that know their length."""
+        at = 0
+        while True:
+            f.seek(at)
+            start = f.read(_FIELD.size)
+            if not start:
+                return
+            fixed, _, name, _, size = _FIELD.unpack(start) if len(start) == _FIELD.size else (b"", 0, b"", 0, 0)
+            f.seek(at)
+            if fixed != _FIXED or name != _NAME:
+                with gzip.GzipFile(fileobj=f) as rest:
+                    yield from self._records(rest)
+                return
+            at += size
+            unpack, text, pending = zlib.decompressobj(31), b"", b""
+            while (cut := text.find(b"\r\n\r\n")) < 0:
+                pending = pending or f.read(min(size, 4096))
+                if not pending:
+                    raise EOFError(f"a record at byte {at - size} has no end of its header")
+                text += unpack.decompress(pending, 2048)
+                pending = unpack.unconsumed_tail
+            head, length = self._head(text[:cut].split(b"\r\n")[1:])
+            if self._decodes(head):
+                while not unpack.eof and (pending := pending or f.read(1 << 20)):
+                    text += unpack.decompress(pending)
+                    pending = b""
+                yield self._with_payload(head, text[cut + 4 : cut + 4 + length])
+            elif self._wanted(head):
+                yield head
 
-        f = f if isinstance(f, gzip.GzipFile) else io.BufferedReader(f)
+    def _records(self, f):
+        """Records of a stream, from first to last."""
         while line := f.readline():
             if not line.startswith(b"WARC/"):
                 continue
-            head, length = dict.fromkeys(ARROW.names), 0
-            while (line := f.readline()).strip():
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                name, value = name.strip().lower(), value.strip()
-                if name == "content-length":
-                    length = int(value)
-                elif name in HEADERS:
-                    head[HEADERS[name]] = value.removeprefix("sha256:") if name == "warc-payload-digest" else value
-            head["payload_bytes"] = int(head["payload_bytes"]) if head["payload_bytes"] else None
-            if not self._wanted(head) or head["record_type"] != "response" or not (self.payload or self.verify):
-                while length > 0 and (skipped := len(f.read(min(length, 1 << 20)))):
-                    length -= skipped
-                if self._wanted(head):
-                    yield head
+            head, length = self._head(iter(lambda: f.readline().strip(), b""))
+            if self._decodes(head):
+                yield self._with_payload(head, f.read(length))
                 continue
-            block = f.read(length)
-            body = block[block.index(b"\r\n\r\n") + 4 :]
-            if self.verify:
-                digest = hashlib.sha256(body).hexdigest()
-                if head["payload_digest"] not in (None, digest):
-                    raise ValueError(f"{head['record_id']}: payload does not match its digest")
-                head |= {"payload_digest": digest, "payload_bytes": len(body)}
-            yield head | {"payload": body if self.payload else None}
+            while length > 0 and (skipped := len(f.read(min(length, 1 << 20)))):
+                length -= skipped
+            if self._wanted(head):
+                yield head
 
 
 class WarcSource(DataSource):
@@ -207,14 +261,16 @@ def register(spark: SparkSession) -> None:
 def page_records(pages: DataFrame) -> DataFrame:
     """A WARC record for each page; equal payloads of LEAST_REVISIT bytes or more refer to the smallest page_id.
 
-    The grouping moves ids and digests only; the html is shuffled once, by page, so that a payload that
-    much of the table shares makes no large group of html.
+    The grouping moves ids and digests only, first a row a task and digest, then by salted digest; the html is shuffled once, by page, so that a payload that
+    much of the table shares makes no large group.
     """
     html = F.coalesce("html", F.lit(""))
     seen = pages.select("page_id", "url", html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     ids = seen.filter(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest")
-    first = ids.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
-    again = ids.join(first, "payload_digest").filter("page_id > first_id").distinct()
+    first = ids.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    spread = first.select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = salted.join(spread, ["payload_digest", "salt"]).filter("page_id > first_id").select("page_id", "payload_digest", "first_id").distinct()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     return seen.join(again, ["page_id", "payload_digest"], "left").select(
         urn("page_id").alias("record_id"),

@@ -66,3 +66,36 @@ def test_warc(spark):
     empty = Scratch(spark, "t").path("b")
     warc.write_warc(warc.page_records(pages.limit(0)), empty)
     assert warc.read_warc(spark, empty).collect() == []
+
+
+def test_warc_goes_over_unwanted_members(tmp_path):
+    """Only heads of unwanted records are read and inflated; other writers' archives are read through."""
+    import gzip
+    import io
+    import random
+
+    noise = random.Random(1).randbytes(3_000_000)
+    rows = [{"record_type": t, "record_id": f"<urn:page:{i}>", "target_uri": u, "payload_digest": "d", "payload_bytes": len(noise), "payload": noise, "refers_to": "<urn:page:0>"} for i, (t, u) in enumerate([("response", "http://a/"), ("response", "http://b/"), ("revisit", "http://b/")])]
+    ours = b"".join(warc._member(warc._record(r)) for r in rows)
+    assert gzip.decompress(ours) == b"".join(map(warc._record, rows))
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    def read(data, **wanted):
+        reader = warc.WarcReader({"path": "x"})
+        reader.equal = {k: {v} for k, v in wanted.items()}
+        f = Counted(data)
+        return [(r["record_id"], r["payload"]) for r in reader._members(f)], f.taken
+
+    got, taken = read(ours, record_type="revisit")
+    assert got == [("<urn:page:2>", None)] and taken < 20_000
+    got, taken = read(ours, target_uri="http://a/")
+    assert got == [("<urn:page:0>", noise)] and taken < len(noise) * 1.1 + 20_000
+    theirs = b"".join(gzip.compress(warc._record(r)) for r in rows)
+    assert read(theirs, target_uri="http://b/")[0] == [("<urn:page:1>", noise), ("<urn:page:2>", None)]
