@@ -16,7 +16,7 @@ Scale: a row for about eight words is shuffled, never the windows. Each task fir
 own batch and leaves one row a symbol, so that a passage that a third of all documents hold is a row a
 batch. Sorted rows stream through tasks. Texts are shuffled twice: those with windows to compare, and all for the result.
 
-Defined cases: null and empty texts have no words; documents of fewer than WINDOW words lose nothing; rows that share an
+Defined cases: null and empty texts have no words; documents of fewer than WINDOW words lose nothing; very long texts are read whole, in chunks of whole documents; rows that share an
 id are one document read again: the same place is not earlier than itself, and what goes from one goes from
 each of them; rows without an id lose nothing and are not compared; an empty table gives an empty result;
 other columns are not read.
@@ -31,12 +31,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import Scratch
 
-WINDOW, ROUNDS = 20, 2
+WINDOW, ROUNDS, SALTS = 20, 2, 16
 CHUNK_WORDS, TABLE_WORDS = 200_000, 500_000
 #: What a row says: only region of its symbol in its batch, a repeat, one of several regions of its symbol, to be compared.
 ONLY, REPEAT, SEVERAL, COMPARE = range(4)
@@ -244,8 +243,12 @@ def _judged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("symbol", key).repartition("symbol").sortWithinPartitions("symbol", "region", "doc_id", "pos").mapInArrow(stream, _SPARK_SPAN)
 
 
-def _compared(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, pos, n=1) of the windows of the spans to compare that an equal window precedes."""
+def _compared(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, pos, n=1) of the windows of the spans to compare that an equal window precedes.
+
+    Of equal windows the first is found by partial aggregation, and they meet it under salted keys, so that a passage in a third
+    of all documents, each time in other surroundings, is no large group. Inside the first document, places are compared once more.
+    """
     wanted = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "pos", "n")
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -262,16 +265,21 @@ def _compared(docs: DataFrame, spans: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type, safe=False) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    windows = texts.mapInArrow(rows, "w1 long, w2 long, doc_id long, pos int")
-    rank = F.rank().over(W.partitionBy("w1", "w2").orderBy("doc_id", "pos"))
-    return windows.withColumn("rank", rank).filter("rank > 1").select("doc_id", "pos", F.lit(1).alias("n"))
+    windows = scratch.save(texts.mapInArrow(rows, "w1 long, w2 long, doc_id long, pos int"), "to-compare")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    met = scratch.save(salted.join(first.select("w1", "w2", "first_id", salts), ["w1", "w2", "salt"]), "met")
+    inside = met.filter("doc_id = first_id").groupBy("w1", "w2").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    again = met.filter("doc_id = first_id").join(inside.filter("last_pos > first_pos"), ["w1", "w2"]).filter("pos > first_pos")
+    return met.filter("doc_id > first_id").select("doc_id", "pos", F.lit(1).alias("n")).union(again.select("doc_id", "pos", F.lit(1)))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and spans: array of (pos, n), n windows from pos that equal windows precede. Documents without any are left out."""
     scratch = Scratch(docs.sparkSession, "substrings")
     judged = scratch.save(_judged(_region_rows(docs)), "judged")
-    windows = scratch.save(_compared(docs, judged.filter(F.col("kind") == COMPARE)), "windows")
+    windows = scratch.save(_compared(docs, judged.filter(F.col("kind") == COMPARE), scratch), "windows")
     found = judged.filter(F.col("kind") == REPEAT).select("doc_id", "pos", "n").unionByName(windows)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 

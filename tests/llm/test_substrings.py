@@ -68,3 +68,25 @@ def test_levels_are_local():
     for whole, part in zip(substrings.recompress(c), substrings.recompress(inner), strict=True):
         held = lambda level, a, b, off: {(int(s), int(lo) + off, int(hi) + off) for s, lo, hi in zip(*level) if lo >= a and hi <= b}
         assert held(whole, 1000, 1400, 0) == held(part, 0, 400, 1000)
+
+
+def test_one_passage_in_thousands_of_surroundings(spark):
+    """Every window of the passage meets its first under salted keys: no task has all of them."""
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(45)
+    rows = [(i, " ".join(words(12) + passage + words(12))) for i in range(2000)]
+    tables = {}
+    saved = substrings.Scratch.save
+
+    def save(self, df, name, partitions=None, codec="snappy"):
+        tables[name] = saved(self, df, name, partitions, codec)
+        return tables[name]
+
+    substrings.Scratch.save = save
+    try:
+        check(spark, rows, 8)
+    finally:
+        substrings.Scratch.save = saved
+    largest = [r[0] for r in tables["met"].groupBy("w1", "w2", "salt").count().select("count").collect()]
+    assert not largest or max(largest) < 2000 / 8
