@@ -9,10 +9,11 @@ Tokens: the word-level BPE drops white space and never joins what ASCII white sp
 ids are those of its words and units, and a worker encodes each once while its bounded cache holds it.
 
 Scale: tokenizing is a map over documents; its pieces (without ids, unless asked for) are written once,
-then range-partitioned by (length, document, start), which spreads a popular length over many tasks.
+then range-partitioned by (length, document, start), which spreads a popular length over many tasks, and written in that order. A sequence's number is its
+rank there: its place in its range plus the sizes of the ranges before, a row a range; so reruns give the same numbers wherever ranges are cut.
 
 Defined cases: null and empty texts have only the end token, one piece of length 1; repeated rows are documents
-of their own; null ids are kept; an empty table gives no pieces; other columns are not read.
+of their own; very long texts are whole, as many pieces as they need; ties (repeated rows) are numbered one after the other; null ids are kept; an empty table gives no pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import Scratch
@@ -129,11 +131,14 @@ def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, longest: int
 
 def pack(docs: DataFrame, tokenizer: str, with_ids: bool = False, longest: int = MAX_LENGTH) -> DataFrame:
     """`pieces` with sequence_id and offset, in order of (length, doc_id, start)."""
-    cut = Scratch(docs.sparkSession, "packing").save(pieces(docs, tokenizer, with_ids, longest), "pieces")
-    order = ["length", "doc_id", "start", "ids_crc32"]
-    return (
-        cut.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("sequence_id", F.monotonically_increasing_id())
-        .withColumn("offset", F.lit(0).cast("long"))
-    )
+    scratch = Scratch(docs.sparkSession, "packing")
+    cut = scratch.save(pieces(docs, tokenizer, with_ids, longest), "pieces")
+    order = ["length", "doc_id", "start", "doc_tokens", "ids_crc32"]
+    ranged = scratch.save(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    scratch.drop("pieces")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # as Spark numbers rows: partition, then place
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    numbered = ranged.join(F.broadcast(starts), part == F.col("_part"))  # one row a range
+    return numbered.select(*cut.columns, (F.col("_start") + row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -11,7 +11,8 @@ which are merged by a ranked window. No side is broadcast or collected; only cou
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors meet only those
 of their own length; rows repeated with the same id and vector count once; a null id takes no part; an empty
-table gives an empty result; other columns are not read. |components| up to 2^24 keep sums exact.
+table gives an empty result; very long vectors are blocks of their width; other columns, whatever their names, are not read. A vector whose squared
+components sum to 2^62 or more raises an error; below that, no score leaves 64 bits (Cauchy-Schwarz).
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ BLOCK_SCHEMA = "block long, width int, ids binary, vectors binary"
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v, floor(scale * x) of each component; unusable vectors are left out."""
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    scaled = F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double"))
+    square = F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + F.floor(x).cast("double") * F.floor(x).cast("double"))
+    too_large = F.raise_error(F.concat(F.lit("components too large for exact scores: vec_id "), F.col("vec_id").cast("string"))).cast("array<bigint>")
+    whole = F.when(square < F.lit(2.0**62), F.transform(scaled, lambda x: F.floor(x))).otherwise(too_large)
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable).select(F.col("vec_id").cast("long"), whole.alias("v"))
 
 

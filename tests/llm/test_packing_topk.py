@@ -64,3 +64,21 @@ def test_top_k_cases(spark):
     got = topk.top_k(topk.quantized(vectors), F.col("vec_id") % 50 == 0, k=2).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (50, 1, 2, 32768), (50, 2, 0, -65536)]
     assert topk.top_k(topk.quantized(vectors.limit(0)), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_sequence_numbers_are_ranks(spark):
+    docs = spark.createDataFrame([(i % 90, "word " * (i % 50)) for i in range(300)], "doc_id long, text string")
+    runs = [packing.pack(d, PATH).collect() for d in (docs, docs.repartition(7))]
+    for rows in runs:
+        rows.sort(key=lambda r: r.sequence_id)
+        assert [r.sequence_id for r in rows] == list(range(len(rows)))
+        assert [(r.length, r.doc_id, r.start) for r in rows] == sorted((r.length, r.doc_id, r.start) for r in rows)
+    assert runs[0] == runs[1]
+
+
+def test_large_components(spark):
+    fits = spark.createDataFrame([(0, [2.0**22, 1.0]), (1, [2.0**22, -1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(topk.quantized(fits), F.col("vec_id") == 0, k=1).first().score == 2**60 - 2**16
+    wide = spark.createDataFrame([(0, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="components too large"):
+        topk.quantized(wide).collect()
