@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkfold.llm import lines, packing, quality, warc
@@ -99,3 +100,19 @@ def test_warc_goes_over_unwanted_members(tmp_path):
     assert got == [("<urn:page:0>", noise)] and taken < len(noise) * 1.1 + 20_000
     theirs = b"".join(gzip.compress(warc._record(r)) for r in rows)
     assert read(theirs, target_uri="http://b/")[0] == [("<urn:page:1>", noise), ("<urn:page:2>", None)]
+
+
+def test_stages_on_odd_tables(spark):
+    """Columns with the names that stages use inside, null rows, and no rows at all."""
+    pytest.importorskip("public_tokenizers")
+    few = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = few.union(spark.createDataFrame([(None, None, None, None, None), (10**9, "", None, None, 0)], few.schema))
+    names = ("keep", "own", "y", "drop", "line", "leaf", "node", "component", "copy", "taken", "queue", "_key", "_times", "_views")
+    odd = odd.withColumns({n: F.lit(n) for n in names})
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            docs = out.cache()
+            assert all(r[n] == n for r in docs.collect() for n in names), name
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0) == (docs.count() > 0)
