@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Scratch, near_by
+from inkfold.llm.common import Scratch, near_by, worker_cache
 from inkfold.llm.minhash import near_duplicates
 
 DEPTH, MIN_DOCS, LEAST_CONSTANT, SUSPECT = 2, 12, 0.5, 0.25
@@ -63,6 +63,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     """A row for each distinct line of each document; `same` tells equal texts."""
 
     def rows(it):
+        worker_cache("lines", dict)
         for batch in it:
             out = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -36,18 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import BROADCAST_ROWS, Scratch, near_by
+from inkfold.llm.common import BROADCAST_ROWS, Scratch, near_by, worker_cache
 
 WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 128, 32, 12, 75
 SIMILAR = (75, 100)
-BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS = 2048, 500_000, 4096, 500_000
+BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS = 2048, 500_000, 4096, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@cache
 def _word_codes() -> dict[bytes, int]:
     """Codes of words, one table a worker; emptied when it has TABLE_WORDS."""
-    return {}
+    return worker_cache("minhash", dict)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

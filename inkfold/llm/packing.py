@@ -21,7 +21,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Scratch
+from inkfold.llm.common import Scratch, worker_cache
 
 MAX_LENGTH, END_ID = 4096, 2
 #: Units or words that a worker's caches hold at most, and the longest (in letters) that they take.
-CACHE_UNITS, CACHE_LETTERS = 1_000_000, 64
+CACHE_UNITS, CACHE_LETTERS = 200_000, 64
 #: Texts of these letters alone fall into the tokenizer's own units by _UNIT once they are in lower case.
 _PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
 _UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -91,10 +90,9 @@ class WordEncoder:
         return self._join(words, self.words, self._each)
 
 
-@cache
 def _encoder(path: str) -> WordEncoder:
     """One for each Python worker, so that tasks share what it knows."""
-    return WordEncoder(path)
+    return worker_cache(f"packing {path}", lambda: WordEncoder(path))
 
 
 def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:

@@ -25,7 +25,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import cache, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Scratch
+from inkfold.llm.common import Scratch, worker_cache
 
 WINDOW, ROUNDS, SALTS = 20, 2, 16
-CHUNK_WORDS, TABLE_WORDS = 200_000, 500_000
+CHUNK_WORDS, TABLE_WORDS = 200_000, 100_000
 #: What a row says: only region of its symbol in its batch, a repeat, one of several regions of its symbol, to be compared.
 ONLY, REPEAT, SEVERAL, COMPARE = range(4)
 _ROW = pa.schema([("symbol", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
@@ -52,10 +52,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-@cache
 def _table() -> dict[bytes, int]:
     """Codes of words, one table a worker; emptied when it has TABLE_WORDS."""
-    return {}
+    return worker_cache("substrings", dict)
 
 
 def codes(words: list[bytes]) -> np.ndarray:
