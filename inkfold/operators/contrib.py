@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
+from inkfold.operators.ranks import global_rank
 
-MAX_ATTEMPTS = 5
+MAX_ATTEMPTS, MAX_RETRIES = 5, 2
 SYNC_CATEGORIES = {"web": ("feedback", "contribution"), "android": ("feedback", "contribution", "contribute"), "ios": ("feedback", "contribution", "contribute")}
 
 
@@ -77,8 +78,13 @@ def classify_failure(status: Column, too_large: Column) -> Column:
 
 
 def sync_decision(outcomes: DataFrame) -> DataFrame:
-    """run, decision: success without transient failures, retry in the first runs, else failure. outcomes: run, failure."""
-    return outcomes.groupBy("run").agg(F.coalesce(F.bool_or(F.col("failure") == "transient"), F.lit(False)).alias("t")).select("run", F.when(~F.col("t"), "success").when(F.col("run") % 4 < 2, "retry").otherwise("failure").alias("decision"))
+    """work, run, decision: success without transient failures, retry in the first MAX_RETRIES runs, else failure.
+
+    outcomes: work, run (the number of its attempt, from 0), failure.
+    """
+    transient = F.coalesce(F.bool_or(F.col("failure") == "transient"), F.lit(False))
+    decision = F.when(~F.col("t"), "success").when(F.col("run") < MAX_RETRIES, "retry").otherwise("failure")
+    return outcomes.groupBy("work", "run").agg(transient.alias("t")).select("work", "run", decision.alias("decision"))
 
 
 def token_bucket(requests: DataFrame, rate: float = 5.0, burst: int = 10) -> DataFrame:
@@ -101,10 +107,11 @@ def token_bucket(requests: DataFrame, rate: float = 5.0, burst: int = 10) -> Dat
 
 
 def oldest_evicted(keys: DataFrame, now: Column, ttl_seconds: int = 600, cap: int = 50_000) -> DataFrame:
-    """Keys to drop: idle longer than the TTL, then the oldest beyond the cap. One rank over the live keys."""
-    idle = keys.withColumn("idle", now - F.col("last_seen") > ttl_seconds)
-    rank = F.row_number().over(W.partitionBy("idle").orderBy(F.col("last_seen").desc(), "key"))
-    return idle.withColumn("rank", rank).filter(F.col("idle") | (F.col("rank") > cap)).select("key", "last_seen", F.when(F.col("idle"), "idle").otherwise("cap").alias("why"))
+    """Keys to drop: idle longer than the TTL, then the oldest beyond the cap, by their rank among the live ones."""
+    judged = keys.select("key", "last_seen", (now - F.col("last_seen") > ttl_seconds).alias("idle"))
+    ranked = global_rank(judged.filter("not idle"), [F.col("last_seen").desc(), F.col("key")], "rank")
+    over = ranked.filter(F.col("rank") > cap).select("key", "last_seen", F.lit("cap").alias("why"))
+    return judged.filter("idle").select("key", "last_seen", F.lit("idle").alias("why")).unionByName(over)
 
 
 def write_object_store(objects: DataFrame, path: str) -> None:

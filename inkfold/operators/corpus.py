@@ -7,42 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
+from inkfold.operators.ranks import global_rank
+from inkfold.sources.files import list_folders, read_files, saved, write_files
 
 MAX_BYTES, MAX_PAGES = 500 << 20, 3000
 
 
 def natural_order(paths: DataFrame) -> DataFrame:
-    """Adds place: the rank of each path in natural order, ties by arg_no. A global order is one range-sorted sequence."""
-    return paths.withColumn("place", F.row_number().over(W.orderBy(S.natural_key(F.col("path")), "arg_no")).cast("long"))
+    """Adds place: the rank of each path in natural order, ties by arg_no."""
+    return global_rank(paths, [S.natural_key(F.col("path")), F.col("arg_no")], "place")
 
 
 def discover_inputs(spark: SparkSession, roots: list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(inputs(path, kind, length), skipped(path, reason)), listed through Hadoop, so that names of any kind are seen."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    inputs, skipped = [], []
-
-    def visit(path, named: bool, depth: int) -> None:
-        fs = path.getFileSystem(conf)
-        status = fs.getFileStatus(path)
-        if status.isDirectory():
-            if named or (recursive and depth):
-                for child in fs.listStatus(path):
-                    if not child.getPath().getName().startswith("."):
-                        visit(child.getPath(), False, depth + 1)
-            return
-        name = path.getName()
-        extension = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
-        kind = "pdf" if extension == "pdf" else "image" if extension in S.IMAGE_EXTENSIONS else None
-        if kind:
-            inputs.append((path.toString(), kind, status.getLen()))
-        elif named:
-            raise ValueError(f"{path.toString()}: not an image or PDF")
-        else:
-            skipped.append((path.toString(), "unknown type"))
-
-    for root in roots:
-        visit(jvm.org.apache.hadoop.fs.Path(root), True, 0)
-    return spark.createDataFrame(inputs, "path string, kind string, length long"), spark.createDataFrame(skipped, "path string, reason string")
+    """(inputs(path, kind, length), skipped(path, reason)) below the named files and folders.
+
+    Folders are listed inside tasks, one level of the tree a job; only the named roots are looked at by the driver. Names that begin with a dot are passed over;
+    what is no image or PDF, and a folder that can't be listed, is skipped with its reason; a named file of another type is an error. A path comes once.
+    """
+    named = list_folders(spark.createDataFrame([(r.rstrip("/").rsplit("/", 1)[0] or "/",) for r in roots], "path string").distinct())
+    asked = saved(named.filter(F.col("path").isin([r.rstrip("/") for r in roots])), "roots")
+    missing = {r.rstrip("/") for r in roots} - {r.path for r in asked.collect()}  # as many as were named
+    if missing:
+        raise FileNotFoundError(", ".join(sorted(missing)))
+    levels, level = [asked.filter("not folder")], asked.filter("folder")
+    while not level.isEmpty():
+        found = saved(list_folders(level), "listed")
+        shown = found.filter(F.col("error").isNotNull() | ~S.basename(F.col("path")).startswith("."))
+        levels.append(shown.filter(F.col("error").isNotNull() | ~F.col("folder")))
+        level = shown.filter(F.col("folder") & F.col("error").isNull()) if recursive else level.limit(0)
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    judged = every.distinct().withColumn("kind", F.when(F.col("error").isNull(), S.classify_input(F.col("path"))))
+    wrong = judged.join(asked.select("path"), "path", "left_semi").filter("kind is null and error is null").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].path}: not an image or PDF")
+    return judged.filter("kind is not null").select("path", "kind", "length"), judged.filter("kind is null").select("path", F.coalesce("error", F.lit("unknown type")).alias("reason"))
 
 
 def expand_pages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,16 +126,34 @@ def scan_manifest_lines(records: DataFrame) -> DataFrame:
 
 
 def write_page_text(pages: DataFrame, path: str) -> None:
-    """A text file for each page under its stem; a stem's pages are replaced as a whole. pages: stem, page, text."""
-    named = pages.select(F.col("text").alias("value"), "stem", S.page_filename(F.col("page")).alias("file"))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem", "file").text(path)
+    """<stem>/page-0001.txt for each page and <stem>.txt with all of its pages, each file whole or not at all. pages: stem, page, text.
+
+    A document's pages, MAX_PAGES at most, are one row while its file is made.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = pages.select(F.concat(F.col("stem").cast("string"), F.lit("/"), S.page_filename(F.col("page").cast("int"))).alias("name"), text.alias("content"))
+    ordered = F.array_sort(F.collect_list(F.struct("page", text.alias("text"))))
+    whole = pages.groupBy("stem").agg(F.array_join(F.filter(F.transform(ordered, lambda p: p["text"]), lambda t: t != ""), "\n").alias("content"))
+    write_files(own.unionByName(whole.select(F.concat(F.col("stem").cast("string"), F.lit(".txt")).alias("name"), "content")), path)
+
+
+def _texts(spark: SparkSession, path: str, pages: bool) -> DataFrame:
+    """(path, text) of the pages' or the documents' files, listed and read inside tasks, empty ones too."""
+    top = list_folders(spark.createDataFrame([(path,)], "path string"))
+    found = list_folders(top.filter("folder").repartition("path")) if pages else top
+    names = found.filter(~F.col("folder") & S.basename(F.col("path")).rlike(r"^page-[0-9]+\.txt$" if pages else r"^[^.].*\.txt$"))
+    return read_files(names.repartition("path")).select("path", F.col("content").cast("string").alias("text"))
 
 
 def scan_page_text(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, page, text) of written pages, in reading order."""
-    read = spark.read.text(path, wholetext=True)
-    number = F.regexp_extract("file", r"page-([0-9]+)", 1).cast("int")
-    return read.select("stem", number.alias("page"), F.regexp_replace("value", "\n$", "").alias("text")).orderBy("stem", "page")
+    """(stem, page, text) of written pages."""
+    place = lambda n: F.regexp_extract("path", r"([^/]+)/page-([0-9]+)\.txt$", n)
+    return _texts(spark, path, True).select(place(1).alias("stem"), place(2).cast("int").alias("page"), "text")
+
+
+def scan_document_text(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, text) of written documents."""
+    return _texts(spark, path, False).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), "text")
 
 
 def verify_digests(files: DataFrame, pinned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,11 +175,30 @@ def skip_report(skipped: DataFrame, most: int = 20) -> DataFrame:
     return total.crossJoin(first).select("total", "shown", F.greatest(F.col("total") - most, F.lit(0)).alias("more"))  # one row each
 
 
+#: Least width to height of a line, and the height from which an image is a page: twice what the recogniser takes.
+LINE_ASPECT, LINE_CEILING = 4, 320
+
+
 def choose_mode(kind: Column, width: Column, height: Column) -> Column:
-    """line for an image under 320 rows that is at least four times as wide as high, else page."""
-    line = (kind == "image") & (width > 0) & (height > 0) & (height < 320) & (width >= 4 * height)
+    """line for an image under LINE_CEILING rows that is at least LINE_ASPECT times as wide as high, else page. sparse is never chosen, only asked for."""
+    line = (kind == "image") & (width > 0) & (height > 0) & (height < LINE_CEILING) & (width >= LINE_ASPECT * height)
     return F.when(F.coalesce(line, F.lit(False)), "line").otherwise("page")
 
 
+def mode_reason(kind: Column, path: Column, width: Column, height: Column) -> Column:
+    """Why choose_mode chose: a sentence for the operator."""
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    aspect = F.format_string("%.1f", F.bround(width / height, 1))
+    return (
+        F.when(kind == "pdf", "PDF page render, which is known to be a document page")
+        .when(width.isNull() | height.isNull(), F.concat(F.lit("could not read the dimensions of "), path, F.lit("; defaulting to page")))
+        .when((width == 0) | (height == 0), F.concat(size, F.lit(" has no area; defaulting to page")))
+        .when((height < LINE_CEILING) & (width >= LINE_ASPECT * height), F.concat(size, F.lit(", aspect "), aspect, F.lit(": short enough and line-shaped, so it is already a single line")))
+        .when(height < LINE_CEILING, F.concat(size, F.lit(" is short but aspect "), aspect, F.lit(f" is under {LINE_ASPECT:.1f}, so it is a block of lines rather than one line")))
+        .otherwise(F.concat(size, F.lit(": a file on disk is treated as a page unless told otherwise, because a photo and a scan look the same from here")))
+    )
+
+
 def density_ratio(mode: Column, surface: str = "web") -> Column:
+    """Share of the mean row that a text row has to reach: by mode, and lower in the batch tool."""
     return F.when(mode == "page", 0.05 if surface == "cli" else 0.03).when(mode == "sparse", 0.5)

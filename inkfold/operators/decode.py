@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,10 +15,25 @@ def charset_dim(charset: DataFrame) -> DataFrame:
     return charset.select(F.posexplode(letters).alias("i", "ch")).select((F.col("i") + 1).alias("idx"), "ch")
 
 
-def model_contract(logits: DataFrame, classes: int, steps: DataFrame | None = None) -> DataFrame:
-    """Adds error: wrong class count or a score that is not finite, by step; null if the step is good."""
+def model_contract(logits: DataFrame, characters: int, steps: int | None = None) -> DataFrame:
+    """Adds error, by step: a class count that isn't one blank and the characters, more or fewer steps than the model declares, a score that is not finite; null if all is well.
+
+    logits: seq, t, scores. steps: how many steps a sequence has by the model's shape; null if that is not declared.
+    """
     finite = F.forall("scores", lambda s: s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")))
-    return logits.withColumn("error", F.when(F.size("scores") != classes, "classes").when(~finite, "not finite"))
+    error = F.when(F.coalesce(F.size("scores"), F.lit(-1)) != characters + 1, "classes")
+    if steps is not None:
+        own = logits.groupBy("seq").agg(F.count("*").alias("_n"), F.min("t").alias("_low"), F.max("t").alias("_high"))
+        logits = logits.join(own, "seq")
+        error = error.when((F.col("_n") != steps) | (F.col("_low") != 0) | (F.col("_high") != steps - 1), "steps")
+    return logits.withColumn("error", error.when(~finite, "not finite")).drop("_n", "_low", "_high")
+
+
+def require_contract(logits: DataFrame, characters: int, steps: int | None = None) -> DataFrame:
+    """The logits as they are; a task that reads a step which breaks the contract fails with what it found."""
+    judged = model_contract(logits, characters, steps)
+    said = F.concat(F.lit("model output refused at sequence "), F.col("seq").cast("string"), F.lit(", step "), F.col("t").cast("string"), F.lit(": "), F.col("error"))
+    return judged.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(said).cast("boolean"))).drop("error")
 
 
 def ctc_collapse(logits: DataFrame) -> DataFrame:
@@ -38,24 +53,27 @@ def charset_lookup(steps: DataFrame, charset: DataFrame) -> DataFrame:
     return named.groupBy("seq").agg(F.array_join(F.transform(rows, lambda r: r["ch"]), "").alias("text"), F.count_if(F.col("ch").isNull()).alias("unknown"))
 
 
-def recognize_tiles(tiles: DataFrame, recognise: Callable[[Iterator], Iterator], schema: str = "tile_id long, t int, scores array<double>, error string") -> DataFrame:
-    """Class scores of tiles from a recogniser: batches of tiles in, batches of `schema` out, one session a task.
+def recognize_tiles(tiles: DataFrame, open_session: Callable[[], Callable], schema: str = "tile_id long, t int, scores array<double>, error string") -> DataFrame:
+    """Class scores of tiles. open_session is called once a task and gives the recogniser: a batch of tiles in, a frame of `schema` out.
 
-    A batch that the recogniser fails on is tried tile by tile, so that a failure marks its own tile.
+    A batch that the recogniser fails on is tried tile by tile, so that a failure marks its own tile; nothing of a batch is given on before all of it is read.
     """
 
     def batches(it):
         import pandas as pd
 
+        recognise = open_session()
         for batch in it:
             try:
-                yield from recognise(iter([batch]))
+                out = [recognise(batch)]
             except Exception:
+                out = []
                 for i in range(len(batch)):
                     one = batch.iloc[i : i + 1]
                     try:
-                        yield from recognise(iter([one]))
+                        out.append(recognise(one))
                     except Exception as failed:
-                        yield pd.DataFrame({"tile_id": one["tile_id"], "t": [None], "scores": [None], "error": [str(failed)]})
+                        out.append(pd.DataFrame({"tile_id": one["tile_id"], "t": [None], "scores": [None], "error": [str(failed)]}))
+            yield from out
 
     return tiles.mapInPandas(batches, schema)

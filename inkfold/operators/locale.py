@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
+from inkfold.operators.ranks import number_rows
 
 LANGUAGES = ("en", "my", "mnw")
 
 
 def scan_sheet(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """Rows of a CSV export: the first is the header, missing cells are '', optional slice of row numbers from 1."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    full = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns], F.monotonically_increasing_id().alias("_id"))
-    numbered = full.withColumn("row_no", F.row_number().over(W.orderBy("_id"))).drop("_id")
-    return numbered.filter(F.col("row_no").between(start or 1, end or (1 << 30)))
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    full = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
+    return number_rows(full, "row_no").filter(F.col("row_no").between(start or 1, end or (1 << 62)))
 
 
 def platform_filter(translations: DataFrame, platform: str) -> DataFrame:
@@ -30,11 +29,29 @@ def language_rows(translations: DataFrame) -> DataFrame:
     return translations.select("key", F.inline(F.array(*[F.struct(F.lit(c).alias("lang"), F.col(c).alias("value")) for c in LANGUAGES])))
 
 
-def write_locale_json(translations: DataFrame) -> DataFrame:
-    """(lang, json): a dictionary for each language, English and then '' where it lacks a value; of repeated keys the last by value."""
-    rows = translations.select("key", F.inline(F.array(*[F.struct(F.lit(c).alias("lang"), S.translate_fallback(F.col(c), F.col("en")).alias("value")) for c in LANGUAGES])))
-    once = rows.groupBy("lang", "key").agg(F.max("value").alias("value"))
-    return once.groupBy("lang").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("json"))
+def locale_entries(translations: DataFrame) -> DataFrame:
+    """(lang, place, key, value): a dictionary's entries in order of their keys' first rows, each with the value of its last row.
+
+    A cell without a value falls back to English, then to ''. Rows without a key are left out; a sheet without rows is an error. translations: with row_no.
+    """
+    if translations.isEmpty():
+        raise ValueError("no rows in the sheet")
+    cells = F.array(*[F.struct(F.lit(c).alias("lang"), S.translate_fallback(F.col(c), F.col("en")).alias("value")) for c in LANGUAGES])
+    rows = translations.filter(F.col("key") != "").select("row_no", "key", F.inline(cells))
+    return rows.groupBy("lang", "key").agg(F.min("row_no").alias("place"), F.max_by("value", "row_no").alias("value")).select("lang", "place", "key", "value")
+
+
+def write_locale_json(translations: DataFrame, path: str) -> None:
+    """lang=<language>/ with the lines of its JSON dictionary; part files in order of their names are one document.
+
+    Lines are range-sorted by language and place, so that no task holds a dictionary.
+    """
+    entries = locale_entries(translations)
+    last = entries.groupBy("lang").agg(F.max("place").alias("last"))
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    rows = entries.join(F.broadcast(last), "lang").select("lang", F.col("place").cast("long").alias("place"), F.concat(F.lit("  "), text("key"), F.lit(": "), text("value"), F.when(F.col("place") < F.col("last"), ",").otherwise("")).alias("value"))
+    ends = last.select("lang", F.inline(F.array(F.struct(F.lit(-1).cast("long").alias("place"), F.lit("{").alias("value")), F.struct((F.col("last") + 1).cast("long").alias("place"), F.lit("}").alias("value")))))
+    rows.unionByName(ends).repartitionByRange("lang", "place").sortWithinPartitions("lang", "place").select("lang", "value").write.partitionBy("lang").text(path)
 
 
 def scan_strings_xml(files: DataFrame) -> DataFrame:

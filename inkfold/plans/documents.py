@@ -27,7 +27,7 @@ pages AS (SELECT doc, page, CASE WHEN count(*) FILTER (state = 'failed') = count
   CASE WHEN count(*) FILTER (state = 'failed') < count(*) THEN coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (state = 'read' AND NOT {BLANK}), '') END AS text,
   count(*) AS line_count, count(*) FILTER (state = 'failed') AS failed_line_count FROM lines GROUP BY doc, page)"""
 LOGITS = """
-logits AS (SELECT vec_id // 50 AS seq, CAST(vec_id % 50 AS INTEGER) AS t, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS scores FROM embeddings),
+logits AS (SELECT vec_id // 50 AS seq, CAST(vec_id % 50 * 8 + k AS INTEGER) AS t, list_transform(embedding[k * 8 + 1 : k * 8 + 8], lambda x: x::DOUBLE) AS scores FROM (SELECT *, unnest(range(len(embedding) // 8)) AS k FROM embeddings)),
 best AS (SELECT seq, t, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS idx FROM logits),
 steps AS (SELECT seq, t, idx FROM (SELECT *, lag(idx, 1, -1) OVER (PARTITION BY seq ORDER BY t) AS before FROM best) WHERE idx <> 0 AND idx <> before)"""
 
@@ -38,8 +38,9 @@ def _pages(spark, sf):
 
 def _logits(spark, sf):
     e = table(spark, sf, "embeddings")
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    return e.select(F.floor(F.col("vec_id") / 50).cast("long").alias("seq"), (F.col("vec_id") % 50).cast("int").alias("t"), scores.alias("scores"))
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1), lambda k: F.transform(F.slice("embedding", k * 8 + 1, 8), lambda x: x.cast("double")))
+    rows = e.select("vec_id", F.posexplode(steps).alias("k", "scores"))
+    return rows.select(F.floor(F.col("vec_id") / 50).cast("long").alias("seq"), (F.col("vec_id") % 50 * 8 + F.col("k")).cast("int").alias("t"), "scores")
 
 
 def _charset(spark, sf):
@@ -63,16 +64,15 @@ def charset_lookup(spark, sf):
     return D.charset_lookup(D.ctc_collapse(_logits(spark, sf)), _charset(spark, sf))
 
 
-@query("model_contract", LOGITS + " SELECT seq, t, CASE WHEN len(scores) <> 8 THEN 'classes' WHEN len(list_filter(scores, lambda x: NOT isfinite(x))) > 0 THEN 'not finite' END AS error FROM logits")
+@query("model_contract", LOGITS + " SELECT seq, t, CASE WHEN len(scores) <> 8 THEN 'classes' WHEN count(*) OVER (PARTITION BY seq) <> 400 OR min(t) OVER (PARTITION BY seq) <> 0 OR max(t) OVER (PARTITION BY seq) <> 399 THEN 'steps' WHEN len(list_filter(scores, lambda x: NOT isfinite(x))) > 0 THEN 'not finite' END AS error FROM logits")
 def model_contract(spark, sf):
-    return D.model_contract(_logits(spark, sf), 8).select("seq", "t", "error")
+    return D.model_contract(_logits(spark, sf), 7, 400).select("seq", "t", "error")
 
 
 @query("recognize_tiles", LOGITS + " SELECT seq AS tile_id, CAST(count(*) AS BIGINT) AS steps, CAST(sum(idx) AS BIGINT) AS total FROM best GROUP BY seq")
 def recognize_tiles(spark, sf):
-    def fake(batches):
-        for b in batches:
-            yield b.assign(error=None)[["tile_id", "t", "scores", "error"]]
+    def fake():
+        return lambda b: b.assign(error=None)[["tile_id", "t", "scores", "error"]]
 
     read = D.recognize_tiles(_logits(spark, sf).withColumnRenamed("seq", "tile_id"), fake)
     best = read.withColumn("idx", F.array_position("scores", F.array_max("scores")) - 1)

@@ -8,6 +8,7 @@ from inkfold.operators import contrib as C
 from inkfold.operators import corpus as K
 from inkfold.operators import locale as L
 from inkfold.plans.scalars import STEM
+from inkfold.sources import files
 from inkfold.sources.derived import HISTORY_SQL, LINES_SQL, PATHS_SQL, TRANSLATIONS_SQL, UPLOADS_SQL, history, lines, paths, table, translations, uploads
 
 QUERIES, ORACLE = {}, {}
@@ -23,15 +24,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark, label: str) -> str:
-    """A fresh folder in the shared place."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="inkfold-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 @query("expand_pages", "SELECT p_partkey AS id, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS page FROM part WHERE p_partkey % 10 <> 0")
 def expand_pages(spark, sf):
     p = table(spark, sf, "part")
@@ -69,25 +61,30 @@ def scan_manifest_lines(spark, sf):
 
 @query("write_manifest", MANIFEST_SQL)
 def write_manifest(spark, sf):
-    path = scratch(spark, "manifest")
+    path = files.fresh_dir(spark, "manifest")
     records = _records(spark, sf)
     K.write_manifest(records.filter("ms % 2 = 0"), path)
     K.write_manifest(records.filter("ms % 2 = 1"), path)
     return K.scan_manifest_lines(spark.read.schema(K.MANIFEST).json(path))
 
 
-@query("write_page_text", f"{LINES_SQL} SELECT CAST(doc AS INTEGER) AS stem, CAST(page AS INTEGER) AS page, coalesce(string_agg(text, chr(10) ORDER BY line), '') AS text FROM lines GROUP BY doc, page")
-def write_page_text(spark, sf):
+def _written_pages(spark, sf) -> str:
     rows = F.array_sort(F.collect_list(F.struct("line", "text")))
-    pages = lines(spark, sf).groupBy(F.col("doc").alias("stem"), "page").agg(F.array_join(F.filter(F.transform(rows, lambda r: r["text"]), lambda t: t.isNotNull()), "\n").alias("text"))
-    path = scratch(spark, "pages")
+    text = F.array_join(F.filter(F.transform(rows, lambda r: r["text"]), lambda t: t.isNotNull()), "\n")
+    pages = lines(spark, sf).groupBy(F.concat(F.lit("book-"), F.col("doc").cast("string")).alias("stem"), "page").agg(text.alias("text"))
+    path = files.fresh_dir(spark, "pages")
     K.write_page_text(pages, path)
-    return K.scan_page_text(spark, path)
+    return path
 
 
-@query("scan_page_text", ORACLE["write_page_text"])
+@query("write_page_text", f"{LINES_SQL} SELECT concat('book-', doc) AS stem, coalesce(string_agg(text, chr(10) ORDER BY page) FILTER (text <> ''), '') AS text FROM (SELECT doc, page, coalesce(string_agg(text, chr(10) ORDER BY line), '') AS text FROM lines GROUP BY doc, page) GROUP BY doc")
+def write_page_text(spark, sf):
+    return K.scan_document_text(spark, _written_pages(spark, sf))
+
+
+@query("scan_page_text", f"{LINES_SQL} SELECT concat('book-', doc) AS stem, CAST(page AS INTEGER) AS page, coalesce(string_agg(text, chr(10) ORDER BY line), '') AS text FROM lines GROUP BY doc, page")
 def scan_page_text(spark, sf):
-    return write_page_text(spark, sf)
+    return K.scan_page_text(spark, _written_pages(spark, sf))
 
 
 COMPLETED_SQL = """
@@ -106,7 +103,7 @@ def _completed(spark, sf):
 
 @query("load_resume_state", COMPLETED_SQL + " SELECT * FROM completed")
 def load_resume_state(spark, sf):
-    path = scratch(spark, "state")
+    path = files.fresh_dir(spark, "state")
     _completed(spark, sf).write.json(path)
     spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(path)
     return K.load_resume_state(spark, path)
@@ -135,14 +132,13 @@ def progress_upsert(spark, sf):
 SELECT kind, count(*) AS n FROM (SELECT CASE regexp_extract(path, '\.([A-Za-z]*)$', 1) WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'skipped' WHEN 'PNG' THEN 'image' WHEN 'jpg' THEN 'image' WHEN 'tiff' THEN 'image' ELSE 'skipped' END AS kind
 FROM (SELECT concat('f', arg_no, ['.pdf', '.PNG', '.jpg', '.txt', '.tiff', ''][arg_no % 6 + 1]) AS path FROM paths)) GROUP BY kind""")
 def discover_inputs(spark, sf):
-    root = scratch(spark, "found")
+    root = files.fresh_dir(spark, "found")
     kind = F.element_at(F.array(*map(F.lit, [".pdf", ".PNG", ".jpg", ".txt", ".tiff", ""])), (F.col("arg_no") % 6).cast("int") + 1)
-    names = paths(spark, sf).select(F.concat(F.lit("f"), F.col("arg_no").cast("string"), kind).alias("name"))
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in names.toLocalIterator():  # the fixture's files
-        fs.create(fs_path(f"{root}/{row.name}")).close()
-    inputs, skipped = K.discover_inputs(spark, [root])
+    folder = F.when(F.col("arg_no") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("d"), (F.col("arg_no") % 3).cast("string"), F.lit("/")))
+    made = paths(spark, sf).select(F.concat(folder, F.lit("f"), F.col("arg_no").cast("string"), kind).alias("name"), F.lit("x").alias("content"))
+    hidden = made.select(F.concat(F.lit(".git/"), "name").alias("name"), "content")
+    files.write_files(made.unionByName(hidden), root)
+    inputs, skipped = K.discover_inputs(spark, [root], recursive=True)
     return inputs.select("kind").unionByName(skipped.select(F.lit("skipped").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -186,6 +182,25 @@ def choose_mode(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.choose_mode(kind, F.col("l_partkey"), F.col("l_suppkey") * 9).alias("mode"))
 
 
+@query("mode_reason", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'PDF page render, which is known to be a document page'
+  WHEN w IS NULL THEN concat('could not read the dimensions of f', l_orderkey, '.png; defaulting to page') WHEN h = 0 THEN concat(w, 'x', h, ' has no area; defaulting to page')
+  WHEN h < 320 AND w >= 4 * h THEN concat(w, 'x', h, ', aspect ', printf('%.1f', round_even(w / h, 1)), ': short enough and line-shaped, so it is already a single line')
+  WHEN h < 320 THEN concat(w, 'x', h, ' is short but aspect ', printf('%.1f', round_even(w / h, 1)), ' is under 4.0, so it is a block of lines rather than one line')
+  ELSE concat(w, 'x', h, ': a file on disk is treated as a page unless told otherwise, because a photo and a scan look the same from here') END AS reason
+  FROM (SELECT *, CASE WHEN l_partkey % 11 <> 0 THEN l_partkey * 3 END AS w, CASE WHEN l_suppkey % 9 = 0 THEN 0 ELSE l_suppkey * 16 END AS h FROM lineitem)""")
+def mode_reason(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "R", "pdf").otherwise("image")
+    path = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".png"))
+    w, h = F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey") * 3), F.when(F.col("l_suppkey") % 9 == 0, F.lit(0)).otherwise(F.col("l_suppkey") * 16)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.mode_reason(kind, path, w, h).alias("reason"))
+
+
+@query("density_ratio", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 0.03::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS web, CASE l_linenumber % 3 WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS cli FROM lineitem")
+def density_ratio(spark, sf):
+    mode = F.element_at(F.array(*map(F.lit, ("page", "sparse", "line"))), (F.col("l_linenumber") % 3).cast("int") + 1)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.density_ratio(mode).alias("web"), K.density_ratio(mode, "cli").alias("cli"))
+
+
 @query("result_json", LINES_SQL + """ SELECT doc, CAST(to_json({'input': doc, 'pages': count(DISTINCT page), 'failed': count(*) FILTER (state = 'failed')}) AS VARCHAR) AS json FROM lines GROUP BY doc""")
 def result_json(spark, sf):
     out = lines(spark, sf).groupBy("doc").agg(F.count_distinct("page").alias("pages"), F.count_if(F.col("state") == "failed").alias("failed"))
@@ -260,9 +275,10 @@ def classify_failure(spark, sf):
     return _failures(spark, sf)
 
 
-@query("sync_decision", STATUS_SQL + " SELECT run, CASE WHEN NOT bool_or(failure = 'transient') THEN 'success' WHEN run % 4 < 2 THEN 'retry' ELSE 'failure' END AS decision FROM f GROUP BY run")
+@query("sync_decision", STATUS_SQL + " SELECT run AS work, id // 8 % 5 AS run, CASE WHEN NOT bool_or(failure = 'transient') THEN 'success' WHEN id // 8 % 5 IN (0, 1) THEN 'retry' ELSE 'failure' END AS decision FROM f GROUP BY run, id // 8 % 5")
 def sync_decision(spark, sf):
-    return C.sync_decision(_failures(spark, sf))
+    outcomes = _failures(spark, sf).select(F.col("run").alias("work"), (F.floor(F.col("id") / 8) % 5).alias("run"), "failure")
+    return C.sync_decision(outcomes)
 
 
 @query("token_bucket", """
@@ -276,12 +292,12 @@ def token_bucket(spark, sf):
     return C.token_bucket(requests, rate=2.0, burst=3)
 
 
-@query("oldest_evicted", "SELECT key, last_seen, CASE WHEN idle THEN 'idle' ELSE 'cap' END AS why FROM (SELECT *, row_number() OVER (PARTITION BY idle ORDER BY last_seen DESC, key) AS r FROM (SELECT user_id AS key, max(event_id) AS last_seen, (SELECT max(event_id) FROM events) - max(event_id) > 600 AS idle FROM events GROUP BY user_id)) WHERE idle OR r > 20")
+@query("oldest_evicted", "SELECT key, last_seen, CASE WHEN idle THEN 'idle' ELSE 'cap' END AS why FROM (SELECT *, row_number() OVER (PARTITION BY idle ORDER BY last_seen DESC, key) AS r FROM (SELECT user_id AS key, max(event_id) AS last_seen, (SELECT max(event_id) FROM events) - max(event_id) > 600 AS idle FROM events GROUP BY user_id)) WHERE idle OR r > 5")
 def oldest_evicted(spark, sf):
     e = table(spark, sf, "events")
     now = e.agg(F.max("event_id").alias("now"))
     keys = e.groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("last_seen")).join(F.broadcast(now))  # one row
-    return C.oldest_evicted(keys, F.col("now"), 600, 20)
+    return C.oldest_evicted(keys, F.col("now"), 600, 5)
 
 
 @query("history_recent", HISTORY_SQL + " SELECT id, ts, category FROM history WHERE category = 'feedback' ORDER BY ts DESC, id LIMIT 50")
@@ -305,7 +321,7 @@ def upgrade_history(spark, sf):
 
 @query("write_object_store", "SELECT folder, month, key, seq FROM (SELECT event_type AS folder, strftime(ts, '%Y-%m') AS month, concat('k', user_id) AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def write_object_store(spark, sf):
-    path = scratch(spark, "objects")
+    path = files.fresh_dir(spark, "objects")
     e = table(spark, sf, "events")
     C.write_object_store(e.select(F.col("event_type").alias("folder"), "ts", F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("content")), path)
     return spark.read.parquet(path).select("folder", F.col("month").cast("string").alias("month"), "key", "seq")
@@ -330,12 +346,13 @@ def idle_sessions(spark, sf):
 # --- translations
 
 
-@query("scan_sheet", TRANSLATIONS_SQL + " SELECT key, coalesce(en, '') AS en, coalesce(mnw, '') AS mnw FROM translations")
+@query("scan_sheet", TRANSLATIONS_SQL + " SELECT key, coalesce(en, '') AS en, coalesce(mnw, '') AS mnw, row_number() OVER (ORDER BY key, en, mnw) > 10 AS late FROM translations")
 def scan_sheet(spark, sf):
-    path = scratch(spark, "sheet")
-    translations(spark, sf).write.option("header", True).option("escape", '"').csv(path)
-    rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("key", "en", "mnw")])
+    path = files.fresh_dir(spark, "sheet")
+    translations(spark, sf).drop("row_no").orderBy("key", "en", "mnw").write.option("header", True).option("escape", '"').csv(path)
+    sheet = L.scan_sheet(spark, path)
+    rest = L.scan_sheet(spark, path, start=11)
+    return sheet.select("key", "en", "mnw", (F.col("row_no") > 10).alias("late")).exceptAll(rest.select("key", "en", "mnw", F.lit(True).alias("late"))).unionByName(rest.select("key", "en", "mnw", F.lit(True).alias("late")))
 
 
 for _platform in ("web", "ios"):
@@ -344,9 +361,28 @@ for _platform in ("web", "ios"):
     )
 
 
-@query("write_locale_json")
+LOCALE_SQL = TRANSLATIONS_SQL + """,
+web AS (SELECT concat('key_', row_no % 70) AS key, row_no, en, my, mnw FROM translations WHERE key <> '' AND (platforms = '' OR lower(platforms) LIKE '%all%' OR lower(platforms) LIKE '%web%')),
+cells AS (SELECT key, row_no, en, unnest(['en', 'my', 'mnw']) AS lang, unnest([en, my, mnw]) AS v FROM web),
+entries AS (SELECT lang, key, min(row_no) AS place, arg_max(coalesce(nullif(v, ''), nullif(en, ''), ''), row_no) AS value FROM cells GROUP BY lang, key)"""
+
+
+def _repeated_keys(spark, sf):
+    web = L.platform_filter(translations(spark, sf), "web")
+    return web.withColumn("key", F.concat(F.lit("key_"), (F.col("row_no") % 70).cast("string")))
+
+
+@query("locale_entries", LOCALE_SQL + " SELECT lang, place, key, value FROM entries")
+def locale_entries(spark, sf):
+    return L.locale_entries(_repeated_keys(spark, sf))
+
+
+@query("write_locale_json", LOCALE_SQL + """ SELECT lang, '{' AS line FROM entries GROUP BY lang UNION ALL SELECT lang, '}' FROM entries GROUP BY lang
+UNION ALL SELECT lang, concat('  ', to_json(key), ': ', to_json(value), CASE WHEN place < max(place) OVER (PARTITION BY lang) THEN ',' ELSE '' END) FROM entries""")
 def write_locale_json(spark, sf):
-    return L.write_locale_json(L.platform_filter(translations(spark, sf), "web"))
+    path = files.fresh_dir(spark, "messages")
+    L.write_locale_json(_repeated_keys(spark, sf), path)
+    return spark.read.text(path).select("lang", F.col("value").alias("line"))
 
 
 @query("scan_strings_xml", TRANSLATIONS_SQL + " SELECT 'f' AS file, key, max(en) AS value FROM translations WHERE key <> '' AND en <> '' GROUP BY key")

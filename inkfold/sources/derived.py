@@ -133,20 +133,20 @@ uploads AS (SELECT doc_id AS id,
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, platforms, en, my, mnw) from part, with blanks and copies of English."""
+    """(row_no, key, platforms, en, my, mnw) from part, with blanks and copies of English."""
     p = F.col("p_partkey")
     part = table(spark, sf_dir, "part")
     return part.select(
-        F.when(p % 50 == 0, "").otherwise(F.concat(F.lit("key_"), p.cast("string"))).alias("key"),
+        p.alias("row_no"), F.when(p % 50 == 0, "").otherwise(F.concat(F.lit("key_"), p.cast("string"))).alias("key"),
         F.element_at(F.array(*map(F.lit, ["", "all", "Web", "android, ios", "ios"])), (p % 5).cast("int") + 1).alias("platforms"),
         F.when(p % 40 == 3, "").otherwise(F.col("p_name")).alias("en"),
         F.when(p % 4 == 0, "").when(p % 4 == 1, F.col("p_name")).otherwise(F.col("p_brand")).alias("my"),
         F.when(p % 4 == 2, "").otherwise(F.concat("p_type", F.lit(' & "x" <'), p.cast("string"))).alias("mnw"),
-    )
+    )
 
 
 TRANSLATIONS_SQL = """
-translations AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN '' ELSE concat('key_', p_partkey) END AS key,
+translations AS (SELECT p_partkey AS row_no, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE concat('key_', p_partkey) END AS key,
   ['', 'all', 'Web', 'android, ios', 'ios'][p_partkey % 5 + 1] AS platforms, CASE WHEN p_partkey % 40 = 3 THEN '' ELSE p_name END AS en,
   CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN p_name ELSE p_brand END AS my,
   CASE WHEN p_partkey % 4 = 2 THEN '' ELSE concat(p_type, ' & "x" <', p_partkey) END AS mnw FROM part)"""
