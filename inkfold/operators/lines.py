@@ -99,8 +99,8 @@ def min_height_filter(bands: DataFrame, least: int = MIN_LINE) -> DataFrame:
 def band_extents(bands: DataFrame, mask: DataFrame, dims: DataFrame) -> DataFrame:
     """(page_id, line, x, y, width, height): boxes around each band's ink, padded by a quarter of its height across and a fifth up and down."""
     rows = mask.groupBy("page_id", "y").agg(F.min("x").alias("left"), F.max("x").alias("right"))
-    named = bands.select("page_id", F.col("run_no").alias("line"), "r0", "r1")
-    met = named.join(rows, "page_id").filter("y >= r0 and y < r1")
+    named = bands.select("page_id", F.col("run_no").alias("line"), "r0", "r1", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("y"))
+    met = named.join(rows, ["page_id", "y"])  # bands don't overlap: a row of a page is in one at most
     held = met.groupBy("page_id", "line", "r0", "r1").agg(F.min("left").alias("left"), F.max("right").alias("right")).join(dims, "page_id")
     core = F.col("r1") - F.col("r0")
     pad = lambda num, den: F.ceil(core * num / den).cast("int")
@@ -135,9 +135,11 @@ def whole_page_fallback(boxes: DataFrame, dims: DataFrame) -> DataFrame:
 
 def band_column_ink(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
     """(page_id, line, column, ink): pixels below COLUMN_INK in each column of each box, columns from the box's left."""
-    met = boxes.join(pixels.select("page_id", F.col("x").alias("px"), F.col("y").alias("py"), "luma"), "page_id")
-    met = met.filter("px >= x and px < x + width and py >= y and py < y + height")
-    return met.groupBy("page_id", "line", (F.col("px") - F.col("x")).alias("column")).agg(F.sum((F.col("luma") < COLUMN_INK).cast("int")).alias("ink"))
+    cells = F.array_sort(F.collect_list(F.struct("x", (F.col("luma") < COLUMN_INK).cast("int").alias("ink"))))
+    rows = pixels.groupBy("page_id", "y").agg(F.transform(cells, lambda c: c["ink"]).alias("inks"))
+    inside = boxes.filter("height > 0 and width > 0").select("page_id", "line", F.col("x").alias("left"), "width", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("height") - 1)).alias("y"))
+    met = inside.join(rows, ["page_id", "y"]).select("page_id", "line", F.posexplode(F.slice("inks", F.col("left") + 1, F.col("width"))).alias("column", "ink"))
+    return met.groupBy("page_id", "line", "column").agg(F.sum("ink").alias("ink"))
 
 
 def scaled_width(width: Column, height: Column) -> Column:

@@ -1,12 +1,15 @@
 """Page imaging on raster tables: (page_id, y, x, luma), dense, or a mask of ink pixels (page_id, y, x), sparse.
 
-Windows are keyed by page and one axis: after one repartition on page_id both axes are served without another
-shuffle. Two-dimensional filters are two one-dimensional ones. A row or column of a page has to
-fit a task; pages are independent.
+Filters over a neighbourhood take a row for each page (page_id, width, luma), as images are read: nothing is shuffled or sorted,
+and a page's sums come from one table of sums. Other operators take a row a pixel: their windows are keyed by page and one axis, and after one
+repartition on page_id both axes are served without another shuffle. A page has to fit a task; pages are independent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,38 +42,75 @@ def with_dims(pixels: DataFrame) -> DataFrame:
     return pixels.repartition("page_id").withColumns({"width": F.max("x").over(page) + 1, "height": F.max("y").over(page) + 1})
 
 
-def _span(at: str, size: str, radius: int) -> Column:
-    """Places of a window of 2 * radius + 1, cut at the edges."""
-    return F.least(F.col(at) + radius, F.col(size) - 1) - F.greatest(F.col(at) - radius, F.lit(0)) + 1
+def pages_of(pixels: DataFrame) -> DataFrame:
+    """(page_id, width, luma): a row for each page of a dense raster, its rows one after the other in one array."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "luma")))
+    return pixels.groupBy("page_id").agg((F.max("x") + 1).alias("width"), F.transform(cells, lambda c: c["luma"]).alias("luma"))
+
+
+def pixels_of(pages: DataFrame, value: str = "luma") -> DataFrame:
+    """(page_id, y, x, `value`) of a row a page."""
+    cells = pages.select("page_id", "width", F.posexplode(value).alias("p", value))
+    return cells.select("page_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), value)
+
+
+def _each_page(pages: DataFrame, work: Callable, fields: list[tuple]) -> DataFrame:
+    """work: a page's id and its values by row and column in, arrays of `fields` (name, Arrow type, Spark type) out; a page is never parted."""
+    import pyarrow as pa
+
+    def rows(it):
+        for batch in it:
+            ids, widths, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for page_id, width, v in zip(ids, widths, values, strict=True):
+                out = work(page_id, v.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t, _) in zip(out, fields, strict=True)], [n for n, _, _ in fields])
 
+    return pages.select("page_id", "width", "luma").filter(F.size("luma") > 0).mapInArrow(rows, ", ".join(f"{n} {s}" for n, _, s in fields))
 
-def box_sum(pixels: DataFrame, value: str, radius: int) -> DataFrame:
-    """Adds `total` and `places` of the square window, cut at the edges. Needs width and height."""
-    rows = pixels.withColumn("_row", F.sum(value).over(along_row().rowsBetween(-radius, radius)))
-    return rows.withColumns({"total": F.sum("_row").over(along_column().rowsBetween(-radius, radius)), "places": _span("x", "width", radius) * _span("y", "height", radius)}).drop("_row")
 
+def _box(a: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and size of the square window around each place, cut at the edges, from a table of sums from the corner."""
+    table = np.zeros((a.shape[0] + 1, a.shape[1] + 1), np.int64)
+    table[1:, 1:] = a.cumsum(0).cumsum(1)
+    ends = [(np.maximum(np.arange(n) - radius, 0), np.minimum(np.arange(n) + radius, n - 1) + 1) for n in a.shape]
+    (top, bottom), (left, right) = ends
+    total = table[bottom][:, right] - table[bottom][:, left] - table[top][:, right] + table[top][:, left]
+    return total, (bottom - top)[:, None] * (right - left)[None, :]
 
-def box_blur(pixels: DataFrame, surface: str = "web") -> DataFrame:
-    """Adds `blur`. web: 3 x 3 cut at the edges, floored once. android: 5 + 5 with the edge repeated, floored twice."""
+
+def _blurred(a: np.ndarray, surface: str) -> np.ndarray:
+    """web: 3 x 3 cut at the edges, floored once. android: 5 + 5 with the edge repeated, floored twice."""
     if surface == "web":
-        return box_sum(with_dims(pixels), "luma", 1).withColumn("blur", F.floor(F.col("total") / F.col("places")).cast("int")).drop("total", "places")
+        total, places = _box(a, 1)
+        return total // places
+    for axis in (1, 0):
+        wide = np.pad(a, [(2, 2) if k == axis else (0, 0) for k in (0, 1)], "edge")
+        a = np.lib.stride_tricks.sliding_window_view(wide, 5, axis).sum(-1) // 5
+    return a
+
 
-    def axis(value: str, window, at: str, size: str) -> Column:
-        whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        edges = F.greatest(2 - F.col(at), F.lit(0)) * F.first(value).over(whole) + F.greatest(F.col(at) + 3 - F.col(size), F.lit(0)) * F.last(value).over(whole)
-        return F.floor((F.sum(value).over(window.rowsBetween(-2, 2)) + edges) / 5).cast("int")
+def box_blur(pages: DataFrame, surface: str = "web") -> DataFrame:
+    """(page_id, width, blur) of pages, a row each; see _blurred."""
+    import pyarrow as pa
 
-    return with_dims(pixels).withColumn("_row", axis("luma", along_row(), "x", "width")).withColumn("blur", axis("_row", along_column(), "y", "height")).drop("_row")
+    fields = [("page_id", pa.int64(), "long"), ("width", pa.int32(), "int"), ("blur", pa.list_(pa.int32()), "array<int>")]
+    return _each_page(pages, lambda page_id, a: ([page_id], [a.shape[1]], [_blurred(a, surface).ravel()]), fields)
 
 
-def adaptive_threshold(pixels: DataFrame, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
-    """The ink mask: pixels darker than the local mean of the blurred page less a constant.
+def adaptive_threshold(pages: DataFrame, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
+    """The ink mask (page_id, y, x): pixels darker than the local mean of the blurred page less a constant. pages: a row each.
 
     web compares the pixel itself, android the blurred one. Sums are compared, so that nothing is divided.
     """
-    summed = box_sum(box_blur(pixels, surface), "blur", radius)
-    value = F.col("luma" if surface == "web" else "blur")
-    return summed.filter(value * F.col("places") < F.col("total") - constant * F.col("places")).select("page_id", "y", "x")
+    import pyarrow as pa
+
+    def dark(page_id, a):
+        blur = _blurred(a, surface)
+        total, places = _box(blur, radius)
+        y, x = np.nonzero((a if surface == "web" else blur) * places < total - constant * places)
+        return np.full(len(y), page_id), y, x
+
+    return _each_page(pages, dark, [("page_id", pa.int64(), "long"), ("y", pa.int32(), "int"), ("x", pa.int32(), "int")])
 
 
 def page_polarity(pixels: DataFrame) -> DataFrame:
@@ -127,18 +167,21 @@ def smear(mask: DataFrame, dims: DataFrame, across: int = 5, down: int = 2) -> D
     """Each ink pixel widened by `across`, then by `down`, inside the page."""
     steps = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
     sized = mask.join(dims, "page_id")
-    wide = sized.withColumn("d", steps(across)).withColumn("x", F.col("x") + F.col("d")).filter("x >= 0 and x < width").select("page_id", "y", "x", "height").distinct()
+    wide = sized.select("page_id", "y", "x", "height") if across == 0 else sized.withColumn("d", steps(across)).withColumn("x", F.col("x") + F.col("d")).filter("x >= 0 and x < width").select("page_id", "y", "x", "height").distinct()
     return wide.withColumn("d", steps(down)).withColumn("y", F.col("y") + F.col("d")).filter("y >= 0 and y < height").select("page_id", "y", "x").distinct()
 
 
-def laplacian_variance(pixels: DataFrame, soft_below: float = 100.0) -> DataFrame:
-    """page_id, sharpness and soft: population variance of the Laplacian over the interior; 0 for pages under 3 pixels."""
-    around = F.lag("luma").over(along_row()) + F.lead("luma").over(along_row()) + F.lag("luma").over(along_column()) + F.lead("luma").over(along_column())
-    lap = (around - 4 * F.col("luma")).cast("long")
-    sums = with_dims(pixels).withColumn("lap", lap).groupBy("page_id").agg(F.count("lap").alias("n"), F.coalesce(F.sum("lap"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("lap") * F.col("lap")), F.lit(0)).alias("ss"))
-    n, s = F.col("n").cast("double"), F.col("s").cast("double")
-    variance = F.when(F.col("n") > 0, (F.col("n") * F.col("ss") - F.col("s") * F.col("s")).cast("double") / (n * n)).otherwise(F.lit(0.0) * s)
-    return sums.select("page_id", variance.alias("sharpness")).withColumn("soft", F.col("sharpness") < soft_below)
+def laplacian_variance(pages: DataFrame, soft_below: float = 100.0) -> DataFrame:
+    """page_id, sharpness and soft: population variance of the Laplacian over the interior; 0 for pages under 3 pixels. pages: a row each."""
+    import pyarrow as pa
+
+    def sharpness(page_id, a):
+        lap = a[1:-1, :-2] + a[1:-1, 2:] + a[:-2, 1:-1] + a[2:, 1:-1] - 4 * a[1:-1, 1:-1]
+        n, s, squares = float(lap.size), float(lap.sum()), float((lap * lap).sum())
+        return [page_id], [(n * squares - s * s) / (n * n) if n else 0.0]
+
+    found = _each_page(pages, sharpness, [("page_id", pa.int64(), "long"), ("sharpness", pa.float64(), "double")])
+    return found.withColumn("soft", F.col("sharpness") < soft_below)
 
 
 def contrast_stretch(pixels: DataFrame, least_range: int = 30) -> DataFrame:

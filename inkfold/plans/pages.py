@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkfold.operators import lines as L
 from inkfold.operators import raster as R
-from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, raster, table
+from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, pages, raster, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -108,7 +108,7 @@ BOX = """, b AS (SELECT page_id, y, x, luma, sum(s) OVER (PARTITION BY page_id,
 
 @query("box_blur", on_raster(BOX + " SELECT page_id, CAST(sum(blur) AS BIGINT) AS total, CAST(sum(blur * (y * 8 + x + 1)) % 1000003 AS BIGINT) AS checksum FROM b GROUP BY page_id"))
 def box_blur(spark, sf):
-    return R.raster_signature(R.box_blur(raster(spark, sf)).select("page_id", "y", "x", "blur"), "blur")
+    return R.raster_signature(R.pixels_of(R.box_blur(pages(spark, sf)), "blur"), "blur")
 
 
 @query("box_blur_android", on_raster("""
@@ -119,7 +119,7 @@ v AS (SELECT page_id, y, x, (sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLO
   + greatest(y + 3 - height, 0) * last(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) // 5 AS blur FROM h WINDOW w AS (PARTITION BY page_id, x ORDER BY y))
 SELECT page_id, CAST(sum(blur) AS BIGINT) AS total, CAST(sum(blur * (y * 8 + x + 1)) % 1000003 AS BIGINT) AS checksum FROM v GROUP BY page_id"""))
 def box_blur_android(spark, sf):
-    return R.raster_signature(R.box_blur(raster(spark, sf), "android").select("page_id", "y", "x", "blur"), "blur")
+    return R.raster_signature(R.pixels_of(R.box_blur(pages(spark, sf), "android"), "blur"), "blur")
 
 
 @query("adaptive_threshold", on_raster(BOX + """,
@@ -128,7 +128,7 @@ s AS (SELECT page_id, y, x, luma, sum(r) OVER w AS total, sum(c) OVER w AS place
   WINDOW w AS (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING))
 SELECT page_id, count(*) AS ink, CAST(sum(y * 8 + x + 1) % 1000003 AS BIGINT) AS checksum FROM s WHERE luma * places < total - 8 * places GROUP BY page_id"""))
 def adaptive_threshold(spark, sf):
-    return R.adaptive_threshold(raster(spark, sf)).groupBy("page_id").agg(F.count("*").alias("ink"), (F.sum(F.col("y").cast("long") * 8 + F.col("x") + 1) % 1000003).alias("checksum"))
+    return R.adaptive_threshold(pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("ink"), (F.sum(F.col("y").cast("long") * 8 + F.col("x") + 1) % 1000003).alias("checksum"))
 
 
 @query("page_polarity", on_raster("""
@@ -189,7 +189,7 @@ s AS (SELECT page_id, count(lap) AS n, coalesce(sum(lap), 0) AS s, coalesce(sum(
 SELECT page_id, CASE WHEN n > 0 THEN (n::DOUBLE * ss::DOUBLE - s::DOUBLE * s::DOUBLE) / (n::DOUBLE * n::DOUBLE) ELSE 0.0::DOUBLE END AS sharpness,
   CASE WHEN n > 0 THEN (n::DOUBLE * ss::DOUBLE - s::DOUBLE * s::DOUBLE) / (n::DOUBLE * n::DOUBLE) ELSE 0 END < 100 AS soft FROM s"""))
 def laplacian_variance(spark, sf):
-    return R.laplacian_variance(raster(spark, sf))
+    return R.laplacian_variance(pages(spark, sf))
 
 
 @query("contrast_stretch", on_raster("""
@@ -347,7 +347,7 @@ def tile_scaled_width(spark, sf):
 
 @query("capture_assessment")
 def capture_assessment(spark, sf):
-    return L.capture_assessment(_every_box(spark, sf), R.laplacian_variance(raster(spark, sf)))
+    return L.capture_assessment(_every_box(spark, sf), R.laplacian_variance(pages(spark, sf)))
 
 
 def flagship(spark, sf):

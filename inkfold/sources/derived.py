@@ -19,13 +19,22 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, y, x, luma): every character of every document is a pixel, rows filled up with blanks."""
     text = F.coalesce("text", F.lit(""))
     full = F.rpad(text, (F.ceil(F.length(text) / WIDTH) * WIDTH).cast("int"), F.lit(" "))
-    letters = F.regexp_extract_all(full, F.lit("(?s)."), F.lit(0))
+    letters = F.split(full, "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(letters).alias("p", "ch"))
     return docs.select(
         "page_id", F.floor(F.col("p") / WIDTH).cast("int").alias("y"), (F.col("p") % WIDTH).alias("x"), ((F.ascii("ch") * 37 + 11) % 256).cast("int").alias("luma")
     )
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, width, luma) of the same rasters, a row a page."""
+    n = F.length("text")
+    docs = table(spark, sf_dir, "documents").filter(n > 0)
+    letters = F.split(F.rpad("text", (F.ceil(n / WIDTH) * WIDTH).cast("int"), F.lit(" ")), "")
+    luma = F.transform(letters, lambda ch: ((F.ascii(ch) * 37 + 11) % 256).cast("int"))
+    return docs.select(F.col("doc_id").alias("page_id"), F.lit(WIDTH).alias("width"), luma.alias("luma"))
+
+
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, y, x) of dark pixels only."""
     return raster(spark, sf_dir).filter(F.col("luma") < INK_BELOW).select("page_id", "y", "x")

@@ -160,3 +160,14 @@ def test_discovery_and_resume(spark, tmp_path):
     assert K.load_resume_state(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "state").write_text(json.dumps({"input": "a", "digest": "d", "pages": 1}) + "\n{oops\n")
     assert [r.digest for r in K.load_resume_state(spark, str(tmp_path / "state")).collect()] == ["d"]
+
+
+def test_pages_and_pixels(spark):
+    """A row a page and a row a pixel are the same raster."""
+    from inkfold.operators import raster as R
+
+    pixels = spark.createDataFrame([(p, y, x, (p * 50 + y * 7 + x * 3) % 256) for p in range(3) for y in range(4 + p) for x in range(5 + 2 * p)], "page_id long, y int, x int, luma int")
+    pages = R.pages_of(pixels.repartition(5))
+    assert {r.page_id: r.width for r in pages.collect()} == {0: 5, 1: 7, 2: 9}
+    assert sorted(map(tuple, R.pixels_of(pages).collect())) == sorted(map(tuple, pixels.collect()))
+    assert R.adaptive_threshold(pages.limit(0)).collect() == [] and R.laplacian_variance(pages.limit(0)).collect() == []
