@@ -163,12 +163,20 @@ def rule_ink_guard(mask: DataFrame, kept: DataFrame) -> DataFrame:
     return both.select("page_id", "ink", rule.alias("rule_ink"), (rule * 5 > F.col("ink") * 4).alias("abandoned"))
 
 
+def _widened(mask: DataFrame, at: str, size: str, n: int) -> DataFrame:
+    """Each pixel widened by n along an axis. A pixel gives only places that the one before does not reach, so that none comes twice."""
+    before = F.lag(at).over(along_row() if at == "x" else along_column())
+    low = F.greatest(F.col(at) - n, F.coalesce(before + n + 1, F.lit(0)), F.lit(0))
+    ends = mask.withColumns({"_low": low, "_high": F.least(F.col(at) + n, F.col(size) - 1)}).filter("_low <= _high")
+    return ends.withColumn(at, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
 def smear(mask: DataFrame, dims: DataFrame, across: int = 5, down: int = 2) -> DataFrame:
-    """Each ink pixel widened by `across`, then by `down`, inside the page."""
-    steps = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    sized = mask.join(dims, "page_id")
-    wide = sized.select("page_id", "y", "x", "height") if across == 0 else sized.withColumn("d", steps(across)).withColumn("x", F.col("x") + F.col("d")).filter("x >= 0 and x < width").select("page_id", "y", "x", "height").distinct()
-    return wide.withColumn("d", steps(down)).withColumn("y", F.col("y") + F.col("d")).filter("y >= 0 and y < height").select("page_id", "y", "x").distinct()
+    """Each ink pixel widened by `across`, then by `down`, inside the page. One shuffle by page serves both axes."""
+    wide = mask.join(dims, "page_id").repartition("page_id")
+    for at, size, n in (("x", "width", across), ("y", "height", down)):
+        wide = _widened(wide, at, size, n) if n else wide
+    return wide.select("page_id", "y", "x")
 
 
 def laplacian_variance(pages: DataFrame, soft_below: float = 100.0) -> DataFrame:
