@@ -120,7 +120,11 @@ def specifier_regex(template: Column) -> Column:
 
 def truncate_error(message: Column) -> Column:
     """The first 4096 bytes, cut in front of a character that they split."""
-    return F.regexp_replace(F.make_valid_utf8(F.substring(message.cast("binary"), 1, 4096).cast("string")), "�+$", "")
+    data = message.cast("binary")
+    split = F.hex(F.substring(data, 4097, 1)).rlike("^[89AB]")  # the first byte left out goes on with a character
+    begun = F.regexp_extract(F.hex(F.substring(data, 4093, 4)), r"(?:[CDEF].)(?:[89AB].){0,2}$", 0)
+    kept = F.lit(4096) - F.when(split, F.length(begun) / 2).otherwise(0).cast("int")
+    return F.when(F.octet_length(data) <= 4096, message).otherwise(F.substring(data, F.lit(1), kept).cast("string"))
 
 
 def redact_headers(headers: Column) -> Column:

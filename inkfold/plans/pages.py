@@ -218,7 +218,13 @@ def disk_dilate(spark, sf):
     return R.disk_dilate(R.area_downsample(raster(spark, sf)), R.kernel_size(F.col("height"))).select("page_id", "y", "x", "luma", "width", "height")
 
 
-@query("level_background")
+@query("level_background", on_raster(DISK + """,
+axes AS (SELECT r.page_id, y, x, luma AS own, height, greatest(height // 4, 1) AS th, greatest((2 * y + 1) * greatest(height // 4, 1) - height, 0) AS py, greatest((2 * x + 1) * 2 - 8, 0) AS px FROM raster r JOIN dims USING (page_id)),
+low AS (SELECT *, least(py // (2 * height), th - 1) AS ly, least(px // 16, 1) AS lx FROM axes),
+four AS (SELECT page_id, y, x, own, unnest([ly, ly, least(ly + 1, th - 1), least(ly + 1, th - 1)]) AS by_, unnest([lx, least(lx + 1, 1), lx, least(lx + 1, 1)]) AS bx,
+  unnest([(2 * height - py + ly * 2 * height) * (16 - px + lx * 16), (2 * height - py + ly * 2 * height) * (px - lx * 16), (py - ly * 2 * height) * (16 - px + lx * 16), (py - ly * 2 * height) * (px - lx * 16)]) AS w FROM low),
+level AS (SELECT f.page_id, f.y, f.x, own, sum(w * d.luma) AS v, sum(w) AS w FROM four f JOIN disk d ON d.page_id = f.page_id AND d.y = by_ AND d.x = bx GROUP BY ALL)
+SELECT page_id, count(*) AS n, CAST(sum(least(own * 255 * w // greatest(v, w), 255)) AS BIGINT) AS total FROM level GROUP BY page_id"""))
 def level_background(spark, sf):
     return R.level_background(raster(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"), F.sum("luma").alias("total"))
 
@@ -331,7 +337,7 @@ f AS (SELECT id, width, height, tw, 0 AS x0, 0 AS n, false AS fits, text FROM k
 SELECT id, list(x0 ORDER BY n) AS cuts FROM f WHERE n > 0 GROUP BY id UNION ALL SELECT id, [width] FROM k WHERE width * 160 // height <= 1024"""
 
 
-@query("tile_line")
+@query("tile_line", TILES)
 def tile_line(spark, sf):
     docs = table(spark, sf, "documents").filter(F.length("text") > 0)
     ink_of = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) % 7)
@@ -345,7 +351,15 @@ def tile_scaled_width(spark, sf):
     return t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), L.scaled_width(F.col("l_partkey"), F.col("l_suppkey") + 1).alias("width"))
 
 
-@query("capture_assessment")
+@query("capture_assessment", recursive(on_ink(FALLBACK + """,
+l AS (SELECT page_id, lag(luma) OVER r + lead(luma) OVER r + lag(luma) OVER c + lead(luma) OVER c - 4 * luma AS lap FROM raster
+  WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y)),
+t AS (SELECT page_id, count(lap) AS n, coalesce(sum(lap), 0) AS s, coalesce(sum(lap * lap), 0) AS ss FROM l GROUP BY page_id),
+sharp AS (SELECT page_id, CASE WHEN n > 0 THEN (n::DOUBLE * ss::DOUBLE - s::DOUBLE * s::DOUBLE) / (n::DOUBLE * n::DOUBLE) ELSE 0.0::DOUBLE END AS sharpness FROM t),
+found AS (SELECT page_id, list_sort(list(height)) AS hs, count(*) FILTER (NOT line_shaped) AS fused FROM shaped WHERE NOT no_regions GROUP BY page_id),
+judged AS (SELECT page_id, sharpness, coalesce(hs[len(hs) // 2 + 1], 0) AS median_height, coalesce(len(hs), 0) AS line_count, coalesce(fused, 0) AS fused FROM sharp LEFT JOIN found USING (page_id))
+SELECT *, list_filter([CASE WHEN line_count = 0 THEN 'no_lines' WHEN median_height <= 30 THEN concat('small_text:', CAST(floor(median_height / 2.5 + 0.5) AS INTEGER)) END,
+  CASE WHEN sharpness < 100 THEN 'soft' END, CASE WHEN fused > 0 THEN concat('fused:', fused, '/', line_count) END], lambda w: w IS NOT NULL) AS warnings FROM judged""")))
 def capture_assessment(spark, sf):
     return L.capture_assessment(_every_box(spark, sf), R.laplacian_variance(pages(spark, sf)))
 

@@ -44,7 +44,12 @@ def sanitize_filename(spark, sf):
     return uploads(spark, sf).select("id", S.sanitize_filename(F.col("name")).alias("clean"))
 
 
-@query("sanitize_key")
+LETTERS_SQL = """WITH c AS (SELECT doc_id AS id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents WHERE length(text) > 0),
+b AS (SELECT id, ch, i, sum(octet_length(encode(ch))) OVER (PARTITION BY id ORDER BY i) AS upto FROM c)"""
+
+
+@query("sanitize_key", LETTERS_SQL + r""", k AS (SELECT id, coalesce(string_agg(ch, '' ORDER BY i) FILTER (upto <= 128), '') AS head FROM b GROUP BY id)
+SELECT id, regexp_replace(regexp_replace(head, '[^A-Za-z0-9._-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS clean FROM k UNION ALL SELECT doc_id, '' FROM documents WHERE coalesce(length(text), 0) = 0""")
 def sanitize_key(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), S.sanitize_key(F.coalesce("text", F.lit(""))).alias("clean"))
 
@@ -150,7 +155,8 @@ def to_source_rect(spark, sf):
     return t.select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
 
-@query("truncate_error")
+@query("truncate_error", LETTERS_SQL + """
+SELECT id, coalesce(string_agg(ch, '' ORDER BY i) FILTER (upto <= 4096), '') AS error FROM b GROUP BY id UNION ALL SELECT doc_id, '' FROM documents WHERE coalesce(length(text), 0) = 0""")
 def truncate_error(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), S.truncate_error(F.coalesce("text", F.lit(""))).alias("error"))
 
@@ -162,7 +168,8 @@ def redact_headers(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.redact_headers(headers).alias("headers"))
 
 
-@query("work_digest")
+@query("work_digest", f"""WITH {UPLOADS_SQL}, h AS (SELECT id, content, printf('%016x', octet_length(content)) AS n FROM uploads)
+SELECT id, sha256(unhex(concat(n[15:16], n[13:14], n[11:12], n[9:10], n[7:8], n[5:6], n[3:4], n[1:2])) || content || encode('page') || unhex('2C010000') || encode('v1')) AS digest FROM h""")
 def work_digest(spark, sf):
     return uploads(spark, sf).select("id", S.work_digest(F.col("content"), F.lit("page"), F.lit(300)).alias("digest"))
 

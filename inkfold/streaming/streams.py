@@ -12,19 +12,25 @@ from inkfold.operators import contrib as C
 
 
 def stream_ingest(uploads: DataFrame, good: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Uploads to a month-partitioned store, the others with status and reason to a side table. Twin: validate_upload. uploads: with ts."""
+    """Uploads to a month-partitioned store, the others with status and reason to a side table. Twin: validate_upload. uploads: with ts.
+
+    Both have a folder for each epoch, so that an epoch that is repeated replaces its rows.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         judged = C.validate_upload(batch).withColumn("month", F.date_format("ts", "yyyy-MM")).persist()
-        judged.filter("status = 200").withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("month").parquet(good)
-        judged.filter("status <> 200").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(rejected)
+        judged.filter("status = 200").write.mode("overwrite").partitionBy("month").parquet(f"{good}/epoch={epoch}")
+        judged.filter("status <> 200").write.mode("overwrite").parquet(f"{rejected}/epoch={epoch}")
         judged.unpersist()
 
     return uploads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_sync_queue(outcomes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Delivery outcomes (id, ok, error) charged to records: one attempt each, success clears the error. state: Parquet of versions, one folder an epoch."""
+    """Delivery outcomes (id, ok, error) charged to records: one attempt each up to MAX_ATTEMPTS, success clears the error. state: Parquet of versions, one folder an epoch.
+
+    A version has all records; the one that a repeated epoch would read again stays, older ones go.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -32,10 +38,12 @@ def stream_sync_queue(outcomes: DataFrame, state: str, checkpoint: str) -> Strea
         new = batch.groupBy("id").agg(F.count("*").alias("_tries"), F.bool_or("ok").alias("_ok"), F.max("error").alias("_error"))
         both = before.join(new, "id", "left")
         after = both.select(
-            "id", (F.col("attempts") + F.coalesce("_tries", F.lit(0))).alias("attempts"), (F.col("synced") | F.coalesce("_ok", F.lit(False))).alias("synced"),
+            "id", F.least(F.col("attempts") + F.coalesce("_tries", F.lit(0)), F.greatest("attempts", F.lit(C.MAX_ATTEMPTS))).alias("attempts"), (F.col("synced") | F.coalesce("_ok", F.lit(False))).alias("synced"),
             F.when(F.col("_ok"), None).when(F.col("_ok").isNotNull(), F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
         )
         after.write.mode("overwrite").parquet(f"{state}/v{epoch + 1}")  # a repeated epoch writes the same version again
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/v{epoch - 1}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return outcomes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

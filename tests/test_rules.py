@@ -171,3 +171,15 @@ def test_pages_and_pixels(spark):
     assert {r.page_id: r.width for r in pages.collect()} == {0: 5, 1: 7, 2: 9}
     assert sorted(map(tuple, R.pixels_of(pages).collect())) == sorted(map(tuple, pixels.collect()))
     assert R.adaptive_threshold(pages.limit(0)).collect() == [] and R.laplacian_variance(pages.limit(0)).collect() == []
+
+
+def test_long_contents_and_cut_characters(spark):
+    import hashlib
+    import struct
+
+    big = bytes(range(256)) * 12_000  # over two MiB: its first and last MiB count
+    want = hashlib.sha256(struct.pack("<q", len(big)) + big[: 1 << 20] + big[-(1 << 20) :] + b"page" + struct.pack("<i", 300) + b"v1").hexdigest()
+    rows = [(1, "x" * 4095 + "é"), (2, "x" * 4094 + "€uro"), (3, "y" * 4093 + "😀z"), (4, "z" * 4093 + "�"), (5, "z" * 4093 + "�" + "more"), (6, "short�")]
+    cut = {r.id: r.e for r in spark.createDataFrame(rows, "id int, text string").select("id", S.truncate_error(F.col("text")).alias("e")).collect()}
+    assert cut == {i: t.encode()[:4096].decode("utf-8", "ignore") for i, t in rows}
+    assert spark.createDataFrame([(bytearray(big),)], "c binary").select(S.work_digest(F.col("c"), F.lit("page"), F.lit(300)).alias("d")).first().d == want
