@@ -167,6 +167,13 @@ def sniff_mime(content: Column) -> Column:
 
 
 SQL_FUNCTIONS = {
+    "ink_request_id": ("record STRING, slot STRING", "STRING", "concat_ws(':', record, slot)"),
+    "ink_retry_delay": ("attempt BIGINT", "BIGINT", "attempt * 1500"),
+    "ink_retry_delay_doubling": ("attempt BIGINT", "BIGINT", "CAST(30000 * pow(2, attempt - 1) AS BIGINT)"),
+    "ink_classify_failure": ("status INT, too_large BOOLEAN", "STRING", "CASE WHEN too_large THEN 'permanent' WHEN status IN (408, 429) OR status >= 500 THEN 'transient' WHEN status BETWEEN 400 AND 499 THEN 'permanent' ELSE 'transient' END"),
+    "ink_looks_like_line": ("width DOUBLE, height DOUBLE, page_height DOUBLE", "BOOLEAN", "height > 0 AND page_height > 0 AND (width >= 4 * height OR 5 * height <= 2 * page_height)"),
+    "ink_format_megabytes": ("size BIGINT", "STRING", "format_string('%d.%d', (size + 50000) div 1000000, (size + 50000) % 1000000 div 100000)"),
+    "ink_is_complete": ("expected INT, pages INT", "BOOLEAN", "coalesce(expected > 0 AND pages >= expected, false)"),
     "ink_percent": ("done DOUBLE, total DOUBLE", "INT", "CAST(CASE WHEN total > 0 THEN greatest(least(floor(done * 100 / total + 0.5), 100), 0) ELSE 0 END AS INT)"),
     "ink_page_filename": ("page INT", "STRING", "format_string('page-%04d.txt', page)"),
     "ink_path_tag": ("path STRING", "STRING", "left(sha2(path, 256), 8)"),

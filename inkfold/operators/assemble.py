@@ -113,6 +113,16 @@ def assemble_tiles(tiles: DataFrame) -> DataFrame:
     return line.select("line_id", F.when(F.col("failed"), "failed").otherwise("read").alias("state"), F.when(~F.col("failed"), F.array_join("texts", "")).alias("text"), reasons.alias("reasons"))
 
 
+def reading_order(tiles: DataFrame) -> DataFrame:
+    """(doc, page, text): a page's lines from the top, each its tiles by index without a separator; lines without text give no row of it. tiles: doc, page, line, y, tile, text.
+
+    A page's tiles are gathered in one task; sort keys go with them, so that any order of the input will do.
+    """
+    lines = tiles.groupBy("doc", "page", "line").agg(F.min("y").alias("y"), F.array_join(_ordered(F.col("text"), "tile"), "").alias("text"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("y", "line", "text"))))
+    return lines.groupBy("doc", "page").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+
+
 def uncertain_seam(tiles: DataFrame) -> DataFrame:
     """Empty tiles strictly between the first and the last tile with text of their line."""
     line = W.partitionBy("line_id")

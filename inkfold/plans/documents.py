@@ -255,3 +255,13 @@ def pages_left_readings(spark, sf):
 def lines_to_pages(spark, sf):
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("width"), F.col("l_suppkey").alias("height"))
     return A.lines_to_pages(items, table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("height")))
+
+
+@query("reading_order", """
+SELECT doc, page, coalesce(string_agg(t, chr(10) ORDER BY y, line) FILTER (t <> ''), '') AS text FROM
+(SELECT conv_id // 3 AS doc, conv_id % 3 AS page, turn // 2 AS line, min(1000 - turn // 2 * 30 % 100) AS y, coalesce(string_agg(text, '' ORDER BY turn), '') AS t FROM conversations GROUP BY conv_id, turn // 2) GROUP BY doc, page""")
+def reading_order(spark, sf):
+    c = table(spark, sf, "conversations")
+    line = F.floor(F.col("turn") / 2).cast("long")
+    tiles = c.select(F.floor(F.col("conv_id") / 3).cast("long").alias("doc"), (F.col("conv_id") % 3).alias("page"), line.alias("line"), (1000 - line * 30 % 100).alias("y"), (F.col("turn") % 2).alias("tile"), "text")
+    return A.reading_order(tiles)

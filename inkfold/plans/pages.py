@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from inkfold.operators import lines as L
 from inkfold.operators import raster as R
-from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, pages, raster, table
+from inkfold.sources import files
+from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, pages, png_files, raster, table
+from inkfold.sources.images import scan_images
 
 QUERIES, ORACLE = {}, {}
 
@@ -93,6 +95,17 @@ def character_raster(spark, sf):
     return raster(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("luma").cast("long") * (F.col("y") + 1) * (F.col("x") + 1)).alias("checksum"))
 
 
+@query("image_raster_scan", on_raster("""
+, p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 AND x = 0 THEN 255 ELSE CAST(floor(0.299::DOUBLE * luma + 0.587::DOUBLE * (luma * 3 % 256) + 0.114::DOUBLE * (luma * 7 % 256)) AS INTEGER) END AS v, y * 8 + x + 1 AS p FROM raster)
+SELECT concat('p', page_id, '.png') AS name, CAST(8 AS INTEGER) AS width, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * p) % 1000003 AS BIGINT) AS checksum FROM p GROUP BY page_id"""))
+def image_raster_scan(spark, sf):
+    root = files.fresh_dir(spark, "images")
+    files.write_files(png_files(spark, sf), root)
+    found = scan_images(spark, root)[0].select(F.regexp_extract("origin", r"([^/]+)$", 1).alias("name"), "width", F.posexplode("luma").alias("p", "v"))
+    checksum = F.sum(F.col("v").cast("long") * (F.col("p") + 1)) % 1000003
+    return found.groupBy("name", "width").agg(F.count("*").alias("n"), F.sum("v").alias("total"), checksum.alias("checksum"))
+
+
 @query("luma", on_raster("""
 SELECT page_id, CAST(sum(CAST(floor(v) AS INTEGER)) AS BIGINT) AS floored, CAST(sum(CAST(floor(v + 0.5::DOUBLE) AS INTEGER)) AS BIGINT) AS rounded, max(v) AS highest
 FROM (SELECT page_id, 0.299::DOUBLE * luma + 0.587::DOUBLE * (luma * 3 % 256) + 0.114::DOUBLE * (luma * 7 % 256) AS v FROM raster) GROUP BY page_id"""))

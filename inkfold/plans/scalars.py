@@ -193,8 +193,13 @@ def sniff_mime(spark, sf):
     return uploads(spark, sf).select("id", S.sniff_mime(F.col("content")).alias("mime"))
 
 
-@query("sql_functions", f"WITH {HISTORY_SQL} SELECT id, CAST(CASE WHEN size > 0 THEN greatest(least(floor(attempts * 100.0 / size + 0.5), 100), 0) ELSE 0 END AS INTEGER) AS pct, left(sha256(name), 8) AS tag, CASE WHEN category IN ('contribution', 'contribute') THEN 'contribution' ELSE 'feedback' END AS route FROM history")
+@query("sql_functions", f"""WITH {HISTORY_SQL} SELECT id, CAST(CASE WHEN size > 0 THEN greatest(least(floor(attempts * 100.0 / size + 0.5), 100), 0) ELSE 0 END AS INTEGER) AS pct, left(sha256(name), 8) AS tag,
+  CASE WHEN category IN ('contribution', 'contribute') THEN 'contribution' ELSE 'feedback' END AS route, concat(id, ':file') AS request, attempts * 1500 AS delay, CAST(30000 * pow(2, attempts - 1) AS BIGINT) AS doubling,
+  CASE WHEN id % 50 = 0 THEN 'permanent' WHEN attempts * 100 + 8 IN (408, 429) OR attempts * 100 + 8 >= 500 THEN 'transient' WHEN attempts * 100 + 8 BETWEEN 400 AND 499 THEN 'permanent' ELSE 'transient' END AS failure,
+  attempts > 0 AND size > 0 AND (id >= 4 * attempts OR 5 * attempts <= 2 * size) AS line_shaped, printf('%d.%d', (size + 50000) // 1000000, (size + 50000) % 1000000 // 100000) AS mb, attempts > 0 AND attempts >= 5 AS complete FROM history""")
 def sql_functions(spark, sf):
     S.register_sql_functions(spark)
     history(spark, sf).createOrReplaceTempView("ink_history")
-    return spark.sql("SELECT id, ink_percent(attempts, size) AS pct, ink_path_tag(name) AS tag, ink_upload_route(category) AS route FROM ink_history")
+    return spark.sql("""SELECT id, ink_percent(attempts, size) AS pct, ink_path_tag(name) AS tag, ink_upload_route(category) AS route, ink_request_id(CAST(id AS STRING), 'file') AS request, ink_retry_delay(attempts) AS delay,
+      ink_retry_delay_doubling(attempts) AS doubling, ink_classify_failure(CAST(attempts * 100 + 8 AS INT), id % 50 = 0) AS failure, ink_looks_like_line(id, attempts, size) AS line_shaped, ink_format_megabytes(size) AS mb,
+      ink_is_complete(5, CAST(attempts AS INT)) AS complete FROM ink_history""")
