@@ -82,6 +82,29 @@ def page_status(lines: DataFrame, surface: str = "android") -> DataFrame:
     return lines.groupBy("doc", "page").agg(status.alias("status"))
 
 
+#: Texts that a page's outcome carries.
+LINES_UNREAD, RENDER_FAILED = "No detected line could be read completely.", "The page could not be rendered."
+
+
+def page_outcomes(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, page, state, error, was_read) for every page, from its facts and its lines.
+
+    pages: doc, page, attempted, cancelled, rendered; lines: doc, page, text, reasons. A line with the reason tile_failed is unread.
+    """
+    unread = F.array_contains("reasons", "tile_failed")
+    found = lines.groupBy("doc", "page").agg(F.count("*").alias("n"), F.count_if(unread).alias("failed"), F.bool_or(F.array_contains("reasons", "no_regions_detected")).alias("bare"), F.bool_and(F.coalesce("text", F.lit("")) == "").alias("blank"))
+    both = pages.join(found, ["doc", "page"], "left")
+    n, failed = F.coalesce("n", F.lit(0)), F.coalesce("failed", F.lit(0))
+    state = (
+        F.when(~F.col("attempted"), F.when(F.col("cancelled"), "cancelled").otherwise("notAttempted")).when(~F.col("rendered"), "renderFailed")
+        .when((failed == 0) & F.coalesce("bare", F.lit(False)), "noRegionsDetected").when((failed == 0) & F.coalesce("blank", F.lit(True)), "emptyUnverified").when(failed == 0, "completed")
+        .when(failed == n, "inferenceFailed").otherwise("partial")
+    )
+    judged = both.select("doc", "page", state.alias("state"))
+    error = F.when(F.col("state") == "inferenceFailed", LINES_UNREAD).when(F.col("state") == "renderFailed", RENDER_FAILED)
+    return judged.select("doc", "page", "state", error.alias("error"), F.col("state").isin("completed", "partial", "emptyUnverified", "noRegionsDetected").alias("was_read"))
+
+
 def review_warnings(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, warnings): typed warnings with counts, in display order. pages: doc, page, status, cancelled, soft; lines: doc, reasons, line_shaped."""
     unread = F.col("status").isin("renderFailed", "inferenceFailed")

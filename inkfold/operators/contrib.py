@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import scalars as S
 from inkfold.operators.ranks import global_rank
 
-MAX_ATTEMPTS, MAX_RETRIES = 5, 2
+MAX_ATTEMPTS, MAX_RETRIES, PIECE = 5, 2, 256
 SYNC_CATEGORIES = {"web": ("feedback", "contribution"), "android": ("feedback", "contribution", "contribute"), "ios": ("feedback", "contribution", "contribute")}
 
 
@@ -92,18 +92,21 @@ def token_bucket(requests: DataFrame, rate: float = 5.0, burst: int = 10) -> Dat
 
     requests: key, ts in seconds, seq. A fold over each key's requests in order; a key's requests have to fit a task.
     """
-    state = "struct<tokens:double,ts:double,out:array<struct<seq:bigint,allowed:boolean>>>"
+    row, rows = "struct<seq:bigint,allowed:boolean>", "array<struct<seq:bigint,allowed:boolean>>"
+    state = f"struct<tokens:double,ts:double,out:{rows},pieces:array<{rows}>>"
     keys = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")))).alias("all"))
 
     def step(acc: Column, r: Column) -> Column:
         tokens = F.least(F.lit(float(burst)), acc["tokens"] + F.greatest(r["ts"] - acc["ts"], F.lit(0.0)) * rate)
         ok = tokens >= 1
-        row = F.array(F.struct(r["seq"].alias("seq"), ok.alias("allowed")))
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), r["ts"].alias("ts"), F.concat(acc["out"], row).alias("out")).cast(state)
+        own = F.array(F.struct(r["seq"].alias("seq"), ok.alias("allowed")).cast(row))
+        full = F.size(acc["out"]) == PIECE  # rows are gathered in pieces, so that a long history is not copied at every step
+        out = F.when(full, own).otherwise(F.concat(acc["out"], own))
+        pieces = F.when(full, F.concat(acc["pieces"], F.array(acc["out"]))).otherwise(acc["pieces"])
+        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), r["ts"].alias("ts"), out.alias("out"), pieces.alias("pieces")).cast(state)
 
-    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(float("-inf")).alias("ts"), F.array().cast("array<struct<seq:bigint,allowed:boolean>>").alias("out"))
-    zero = F.struct(zero["tokens"].alias("tokens"), F.col("all")[0]["ts"].alias("ts"), zero["out"].alias("out")).cast(state)
-    return keys.select("key", F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"])))
+    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.col("all")[0]["ts"].alias("ts"), F.array().cast(rows).alias("out"), F.array().cast(f"array<{rows}>").alias("pieces")).cast(state)
+    return keys.select("key", F.inline(F.aggregate("all", zero, step, lambda acc: F.flatten(F.concat(acc["pieces"], F.array(acc["out"]))))))
 
 
 def oldest_evicted(keys: DataFrame, now: Column, ttl_seconds: int = 600, cap: int = 50_000) -> DataFrame:
@@ -128,6 +131,23 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return both.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "_seq")
 
 
+def delete_records(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The table without the records of `ids`; ids that it lacks change nothing."""
+    return table.join(ids.select(key), key, "left_anti")
+
+
+def clear_history(table: DataFrame, category: str) -> DataFrame:
+    """The table without the records of a category."""
+    return table.filter(F.coalesce(F.col("category") != category, F.lit(True)))
+
+
+def reset_retries(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The table with the records of `ids` as if they had never been tried: no attempts, no error; what is synced stays so."""
+    marked = table.join(ids.select(key).distinct().withColumn("_reset", F.lit(True)), key, "left")
+    again = F.coalesce(F.col("_reset"), F.lit(False)) & ~F.col("synced")
+    return marked.withColumns({"attempts": F.when(again, F.lit(0).cast("long")).otherwise(F.col("attempts")), "last_error": F.when(~again, F.col("last_error"))}).drop("_reset")
+
+
 def upgrade_history(old: DataFrame) -> DataFrame:
     """Rows of earlier versions with the columns of the fourth: defaults for what is missing, an id for each."""
     have = set(old.columns)

@@ -132,6 +132,21 @@ def page_status_ios(spark, sf):
     return A.page_status(lines(spark, sf).withColumn("reasons", reasons), "ios")
 
 
+@query("page_outcomes", LINES_SQL + f"""
+, f AS (SELECT doc, page, count(*) AS n, count(*) FILTER ((doc * 3 + page + line) % 4 = 0) AS f, bool_or((doc + line) % 9 = 0) AS bare, bool_and(coalesce(text, '') = '') AS blank FROM lines GROUP BY doc, page),
+p AS (SELECT *, (doc + page) % 7 <> 1 AS attempted, doc % 2 = 0 AS cancelled, (doc + page) % 7 <> 2 AS rendered FROM f),
+s AS (SELECT doc, page, CASE WHEN NOT attempted AND cancelled THEN 'cancelled' WHEN NOT attempted THEN 'notAttempted' WHEN NOT rendered THEN 'renderFailed' WHEN f = 0 AND bare THEN 'noRegionsDetected' WHEN f = 0 AND blank THEN 'emptyUnverified'
+  WHEN f = 0 THEN 'completed' WHEN f = n THEN 'inferenceFailed' ELSE 'partial' END AS state FROM p)
+SELECT *, CASE state WHEN 'inferenceFailed' THEN '{A.LINES_UNREAD}' WHEN 'renderFailed' THEN '{A.RENDER_FAILED}' END AS error, state IN ('completed', 'partial', 'emptyUnverified', 'noRegionsDetected') AS was_read FROM s""")
+def page_outcomes(spark, sf):
+    ls = lines(spark, sf)
+    failed = F.when((F.col("doc") * 3 + F.col("page") + F.col("line")) % 4 == 0, F.array(F.lit("tile_failed"))).otherwise(F.array().cast("array<string>"))
+    bare = F.when((F.col("doc") + F.col("line")) % 9 == 0, F.array(F.lit("no_regions_detected"))).otherwise(F.array().cast("array<string>"))
+    at = (F.col("doc") + F.col("page")) % 7
+    pages = ls.select("doc", "page").distinct().select("doc", "page", (at != 1).alias("attempted"), (F.col("doc") % 2 == 0).alias("cancelled"), (at != 2).alias("rendered"))
+    return A.page_outcomes(pages, ls.select("doc", "page", "text", F.concat(failed, bare).alias("reasons")))
+
+
 @query("review_warnings", LINES_SQL + """,
 p AS (SELECT doc, page, CASE (doc + page) % 5 WHEN 0 THEN 'renderFailed' WHEN 1 THEN 'emptyUnverified' WHEN 2 THEN 'notAttempted' ELSE 'completed' END AS status, doc % 7 = 0 AS cancelled, doc % 4 = 1 AS soft FROM (SELECT DISTINCT doc, page FROM lines)),
 a AS (SELECT doc, list(page + 1 ORDER BY page) FILTER (status = 'renderFailed') AS u, bool_or(cancelled) AS c, count(*) FILTER (status = 'notAttempted') AS l, count(*) AS n, bool_or(status = 'emptyUnverified') AS e, bool_or(soft) AS s FROM p GROUP BY doc),

@@ -310,7 +310,13 @@ def history_table(spark, sf):
     base = history(spark, sf).select("id", "category", "attempts")
     edits = base.filter("id % 3 = 0")
     changes = edits.withColumn("seq", F.lit(1)).unionByName(edits.withColumns({"category": F.lit("feedback"), "attempts": F.lit(0), "seq": F.lit(2)}))
-    return C.upsert(base, changes).filter("id % 10 <> 9")
+    return C.delete_records(C.upsert(base, changes), base.filter("id % 10 = 9"))
+
+
+@query("reset_retries", HISTORY_SQL + " SELECT id, CASE WHEN id % 2 = 0 AND NOT synced THEN 0 ELSE attempts END AS attempts, CASE WHEN (id % 2 <> 0 OR synced) AND attempts > 2 THEN 'error' END AS last_error FROM history WHERE category <> 'contribute'")
+def reset_retries(spark, sf):
+    h = history(spark, sf).select("id", "category", "synced", "attempts", F.when(F.col("attempts") > 2, "error").alias("last_error"))
+    return C.reset_retries(C.clear_history(h, "contribute"), h.filter("id % 2 = 0")).select("id", "attempts", "last_error")
 
 
 @query("upgrade_history", HISTORY_SQL + " SELECT id, category, 0 AS attempts, false AS synced, true AS has_id FROM history")
