@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkfold.llm import pii, quality, warc
 from inkfold.llm.audio import media_digest
 from inkfold.llm.common import Scratch, table
+from inkfold.llm.conversations import damaged, repair
 from inkfold.llm.lines import line_report
 from inkfold.llm.minhash import near_duplicates
 from inkfold.llm.mixing import taken_words
@@ -124,6 +125,65 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations),
+coded AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)))) % 20 AS kind
+  FROM keyed),
+copies AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM coded WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time,
+    lag(left(role, 1)) OVER w AS before, lag(turn) OVER w AS turn_before,
+    regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last
+  FROM copies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN last = '' THEN 1 WHEN time > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id),
+everyone AS (SELECT DISTINCT conv_id FROM conversations),
+rest AS (
+  SELECT everyone.conv_id, coalesce(n, 0) + 1 AS i, {'c': 0, 's': '', 't': ''} AS st, {'c': 6, 's': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS sy,
+    {'c': 3, 's': 'I', 't': 'assistant:'} AS us, {'c': 0, 's': '', 't': ''} AS an
+  FROM everyone LEFT JOIN facts ON everyone.conv_id IS NOT DISTINCT FROM facts.conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([b0, i0, {'c': 3 + i2.c, 's': 'I' || i2.s, 't': 'user:' || CASE WHEN i2.t = '' THEN '' ELSE chr(10) || i2.t END}]),
+    list_min([b1, i0, {'c': 3 + i2.c, 's': 'I' || i2.s, 't': 'user:' || CASE WHEN i2.t = '' THEN '' ELSE chr(10) || i2.t END}]),
+    list_min([b2, i2, {'c': 3 + i0.c, 's': 'I' || i0.s, 't': 'assistant:' || CASE WHEN i0.t = '' THEN '' ELSE chr(10) || i0.t END}]),
+    list_min([b3, i0, {'c': 3 + i2.c, 's': 'I' || i2.s, 't': 'user:' || CASE WHEN i2.t = '' THEN '' ELSE chr(10) || i2.t END}])
+  FROM (
+    SELECT conv_id, i, b0, b1, b2, b3, {'c': 3 + b2.c, 's': 'I' || b2.s, 't': 'user:' || CASE WHEN b2.t = '' THEN '' ELSE chr(10) || b2.t END} AS i0,
+      {'c': 3 + b3.c, 's': 'I' || b3.s, 't': 'assistant:' || CASE WHEN b3.t = '' THEN '' ELSE chr(10) || b3.t END} AS i2
+    FROM (
+      SELECT conv_id, i,
+        list_min([d0, {'c': 3 + more + us.c, 's': 'R' || us.s, 't': 'user:' || text || tu}] || CASE initial WHEN 's' THEN [{'c': more + sy.c, 's': 'K' || sy.s, 't': own || ts}] WHEN 'u' THEN [{'c': more + us.c, 's': 'K' || us.s, 't': own || tu}] ELSE [] END) AS b0,
+        list_min([d1, {'c': 3 + more + us.c, 's': 'R' || us.s, 't': 'user:' || text || tu}] || CASE initial WHEN 'u' THEN [{'c': more + us.c, 's': 'K' || us.s, 't': own || tu}] ELSE [] END) AS b1,
+        list_min([d2, {'c': 3 + more + an.c, 's': 'R' || an.s, 't': 'assistant:' || text || ta}] || CASE initial WHEN 'a' THEN [{'c': more + an.c, 's': 'K' || an.s, 't': own || ta}] ELSE [] END) AS b2,
+        list_min([d3, {'c': 3 + more + us.c, 's': 'R' || us.s, 't': 'user:' || text || tu}] || CASE initial WHEN 'u' THEN [{'c': more + us.c, 's': 'K' || us.s, 't': own || tu}] ELSE [] END) AS b3
+      FROM (
+        SELECT r.conv_id, j.i, j.initial, j.text, st, sy, us, an, CASE j.fault WHEN 0 THEN 0 WHEN 3 THEN 3 ELSE 1000000000 END AS more, j.role || ':' || j.text AS own,
+          CASE WHEN us.t = '' THEN '' ELSE chr(10) || us.t END AS tu, CASE WHEN sy.t = '' THEN '' ELSE chr(10) || sy.t END AS ts, CASE WHEN an.t = '' THEN '' ELSE chr(10) || an.t END AS ta,
+          {'c': 4 + st.c, 's': 'D' || st.s, 't': st.t} AS d0, {'c': 4 + sy.c, 's': 'D' || sy.s, 't': sy.t} AS d1,
+          {'c': 4 + us.c, 's': 'D' || us.s, 't': us.t} AS d2, {'c': 4 + an.c, 's': 'D' || an.s, 't': an.t} AS d3
+        FROM rest r JOIN judged j ON j.conv_id IS NOT DISTINCT FROM r.conv_id AND j.i = r.i - 1))))
+SELECT e.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(f.blank, 0) AS BIGINT) AS blank, CAST(coalesce(f.duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(f.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(f.illegal, 0) AS BIGINT) AS illegal, CAST(e.st.c AS BIGINT) AS cost, e.st.s AS audit, sha256(e.st.t) AS repaired_sha256
+FROM rest e LEFT JOIN facts f ON e.conv_id IS NOT DISTINCT FROM f.conv_id WHERE e.i = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -135,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE: dict[str, str] = {
@@ -142,4 +203,5 @@ ORACLE: dict[str, str] = {
     "op2_substrings": OP2_SQL,
     "op6_mixing": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_conversations": OP11_SQL,
 }
