@@ -15,6 +15,7 @@ from inkfold.llm.lines import line_report
 from inkfold.llm.minhash import near_duplicates
 from inkfold.llm.mixing import taken_words
 from inkfold.llm.packing import pack
+from inkfold.llm.rules import STOP_WORDS, quality_report
 from inkfold.llm.substrings import kept_words
 from inkfold.llm.topk import quantized, top_k
 
@@ -145,7 +146,9 @@ copies AS (
 placed AS (
   SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time,
     lag(left(role, 1)) OVER w AS before, lag(turn) OVER w AS turn_before,
-    regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) AS last
   FROM copies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
 judged AS (
   SELECT *, left(role, 1) AS initial, CASE WHEN last = '' THEN 1 WHEN time > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
@@ -184,6 +187,40 @@ FROM rest e LEFT JOIN facts f ON e.conv_id IS NOT DISTINCT FROM f.conv_id WHERE
 """
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = (
+    r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w),
+found AS (SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(ws[i:i+4], ' ')) AS n FROM win),
+rep AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM found WHERE n > 1) GROUP BY k),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len(regexp_extract_all(text, '\p{Lu}{2,}')) AS n_shouts, len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+    len(list_filter(ws, lambda x: list_contains({stops}, x))) AS n_stop_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines
+  FROM w LEFT JOIN rep USING (k)),
+f AS (
+  SELECT *, list_filter([
+    CASE WHEN n_words < 10 THEN 'few_words' END, CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 'repeats' END,
+    CASE WHEN 100 * word_chars < 250 * n_words THEN 'short_words' END, CASE WHEN 100 * word_chars > 1500 * n_words THEN 'long_words' END,
+    CASE WHEN 100 * n_symbols > 20 * n_words THEN 'symbols' END, CASE WHEN 100 * n_shouts > 40 * n_words THEN 'shouting' END,
+    CASE WHEN 100 * n_letter_words < 60 * n_words THEN 'no_letters' END, CASE WHEN n_words >= 50 AND 100 * n_stop_words < 2 * n_words THEN 'no_stop_words' END,
+    CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'same_lines' END, CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullets' END,
+    CASE WHEN 100 * n_cut_lines > 50 * n_lines THEN 'cut_lines' END], lambda x: x IS NOT NULL) AS failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed
+FROM f
+"""
+).replace("{stops}", str([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -196,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
     "op11_conversations": op11_conversations,
+    "op12_rules": op12_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -204,4 +242,5 @@ ORACLE: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op11_conversations": OP11_SQL,
+    "op12_rules": OP12_SQL,
 }
