@@ -18,6 +18,7 @@ from inkfold.llm.packing import pack
 from inkfold.llm.rules import STOP_WORDS, quality_report
 from inkfold.llm.substrings import kept_words
 from inkfold.llm.topk import quantized, top_k
+from inkfold.llm.whitening import whiten
 
 #: The tokenizer vocabulary that the packing query uses.
 TOKENIZER = "word_bpe_49k.json"
@@ -221,6 +222,10 @@ FROM f
 ).replace("{stops}", str([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -234,6 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_conversations": op11_conversations,
     "op12_rules": op12_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
