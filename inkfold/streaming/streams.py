@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from inkfold.operators import contrib as C
+from inkfold.streaming.ordered import Buckets, Delivery, Pages, Throttle
 
 
 def stream_ingest(uploads: DataFrame, good: str, rejected: str, checkpoint: str) -> StreamingQuery:
@@ -26,57 +26,55 @@ def stream_ingest(uploads: DataFrame, good: str, rejected: str, checkpoint: str)
     return uploads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_sync_queue(outcomes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Delivery outcomes (id, ok, error) charged to records: one attempt each up to MAX_ATTEMPTS, success clears the error. state: Parquet of versions, one folder an epoch.
-
-    A version has all records; the one that a repeated epoch would read again stays, older ones go.
-    """
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{state}/v{epoch}")
-        new = batch.groupBy("id").agg(F.count("*").alias("_tries"), F.bool_or("ok").alias("_ok"), F.max("error").alias("_error"))
-        both = before.join(new, "id", "left")
-        after = both.select(
-            "id", F.least(F.col("attempts") + F.coalesce("_tries", F.lit(0)), F.greatest("attempts", F.lit(C.MAX_ATTEMPTS))).alias("attempts"), (F.col("synced") | F.coalesce("_ok", F.lit(False))).alias("synced"),
-            F.when(F.col("_ok"), None).when(F.col("_ok").isNotNull(), F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
-        )
-        after.write.mode("overwrite").parquet(f"{state}/v{epoch + 1}")  # a repeated epoch writes the same version again
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/v{epoch - 1}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    return outcomes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class _Bucket(StatefulProcessor):
-    """A token bucket for each key; idle state goes after the time to live."""
-
-    def __init__(self, rate: float, burst: int, ttl_ms: int):
-        self.rate, self.burst, self.ttl = rate, burst, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, ts double", ttlDurationMs=self.ttl)
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
+def _timed(rows: DataFrame, ms: Column, delay: str) -> DataFrame:
+    """rows with their event time in ms, and a watermark on it."""
+    return rows.withColumn("ms", ms.cast("long")).withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
 
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        tokens, last = self.state.get() if self.state.exists() else (float(self.burst), None)
-        allowed = []
-        for ts in batch["ts"]:
-            tokens = min(float(self.burst), tokens + max(ts - last, 0.0) * self.rate) if last is not None else tokens
-            allowed.append(tokens >= 1)
-            tokens, last = tokens - (tokens >= 1), ts
-        self.state.update((tokens, float(last)))
-        yield pd.DataFrame({"key": key[0], "seq": batch["seq"], "allowed": allowed})
 
-    def close(self) -> None:
-        pass
+def stream_sync_queue(outcomes: DataFrame, records: DataFrame, surface: str = "android", delay: str = "1 minute") -> DataFrame:
+    """Changes (id, ms, attempts, synced, last_error, due) of records by delivery outcomes. Twin: charge_outcomes.
 
-
-def stream_rate_limit(requests: DataFrame, rate: float = 5.0, burst: int = 10, ttl_ms: int = 600_000) -> DataFrame:
-    """(key, seq, allowed). Twin: token_bucket. Needs the RocksDB state store; the cap on keys is oldest_evicted on a snapshot of the state."""
-    return requests.groupBy("key").transformWithStateInPandas(_Bucket(rate, burst, ttl_ms), "key long, seq long, allowed boolean", "Append", "ProcessingTime")
+    outcomes: id, ts, seq, ok, error. records (a batch): id, attempts, synced, last_error, where deliveries begin. One attempt an outcome, up to MAX_ATTEMPTS and to
+    the first success, which clears the error. After a failure the record comes out again, due, when its retry delay is over. State is keyed by record;
+    a batch gives out the records that it changes and no others.
+    """
+    retry = (lambda n: 1500 * n) if surface == "web" else (lambda n: 30_000 << (n - 1))
+    timed = _timed(outcomes, F.round(F.unix_micros("ts") / 1000), delay).select("id", "ms", "at", "seq", "ok", "error")
+    schema = "id long, ms long, attempts long, synced boolean, last_error string, due boolean"
+    return timed.groupBy("id").transformWithStateInPandas(Delivery(retry), schema, "Update", "EventTime", initialState=records.select("id", "attempts", "synced", "last_error").groupBy("id"))
+
+
+def charge_outcomes(records: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """id, attempts, synced, last_error of all records after the outcomes, in the order of ts, then seq: the batch form of stream_sync_queue."""
+    before = records.select("id", F.col("attempts").alias("_attempts"), F.col("synced").alias("_synced"))
+    order = W.partitionBy("id").orderBy("ts", "seq")
+    earlier = F.coalesce(F.max("ok").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    met = outcomes.join(before, "id", "left").withColumns({"_n": F.row_number().over(order), "_done": earlier | F.coalesce("_synced", F.lit(False))})
+    counted = met.filter(~F.col("_done") & (F.coalesce("_attempts", F.lit(0)) + F.col("_n") <= C.MAX_ATTEMPTS))
+    new = counted.groupBy("id").agg(F.count("*").alias("_tries"), F.bool_or("ok").alias("_ok"), F.max_by(F.struct("error"), "_n").alias("_last"))
+    both = records.join(new, "id", "full_outer")
+    return both.select(
+        "id", (F.coalesce("attempts", F.lit(0)) + F.coalesce("_tries", F.lit(0))).alias("attempts"), (F.coalesce("synced", F.lit(False)) | F.coalesce("_ok", F.lit(False))).alias("synced"),
+        F.when(F.col("_ok"), None).when(F.col("_tries") > 0, F.col("_last.error")).otherwise(F.col("last_error")).alias("last_error"),
+    )
+
+
+def current_records(records: DataFrame, changes: DataFrame) -> DataFrame:
+    """The records with the newest of the changes that stream_sync_queue gave out."""
+    newest = changes.groupBy("id").agg(F.max_by(F.struct("attempts", "synced", "last_error"), F.struct("attempts", "synced")).alias("_new"))
+    both = records.join(newest, "id", "full_outer")
+    pick = lambda c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("id", pick("attempts"), pick("synced"), pick("last_error"))
+
+
+def stream_rate_limit(requests: DataFrame, rate: float = 5.0, burst: int = 10, ttl: float = 600.0, cap: int = 50_000, shards: int = 64, delay: str = "10 seconds") -> DataFrame:
+    """(key, seq, allowed). Twin: token_bucket, while no shard has more than `cap` keys. requests: key, ts in seconds, seq.
+
+    Requests are judged in the order of ts, then seq, once the watermark has passed them. Keys fall into shards; each is like one instance of the service: it forgets a key after `ttl` idle seconds
+    and the least recently seen one beyond `cap`. Its state is bounded by the cap, whatever keys come. Needs the RocksDB state store.
+    """
+    timed = _timed(requests, F.round(F.col("ts") * 1000), delay).select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "ts", "seq", "ms", "at")
+    return timed.groupBy("shard").transformWithStateInPandas(Buckets(rate, burst, ttl, cap), "key long, seq long, allowed boolean", "Append", "EventTime")
 
 
 def stream_latest(runs: DataFrame) -> DataFrame:
@@ -85,58 +83,43 @@ def stream_latest(runs: DataFrame) -> DataFrame:
     return newest.select("key", "r.seq", "r.cancelled")
 
 
-class _Throttle(StatefulProcessor):
-    """Passes a progress row if its percent changed and `gap` seconds are over, and always the last (100)."""
-
-    def __init__(self, gap: float):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "ts double, percent int")
+def stream_throttle(progress: DataFrame, gap: float = 0.2, idle: float = 60.0, delay: str = "10 seconds") -> DataFrame:
+    """(key, ts, percent) rows to show. Twin: throttle. Needs the RocksDB state store. progress: key, ts in seconds, percent (-1: of unknown total)."""
+    timed = _timed(progress, F.round(F.col("ts") * 1000), delay).select("key", "ts", "percent", "ms", "at")
+    return timed.groupBy("key").transformWithStateInPandas(Throttle(round(gap * 1000), round(idle * 1000)), "key long, ts double, percent int", "Append", "EventTime")
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
 
-        batch = pd.concat(list(rows)).sort_values(["ts", "percent"])
-        last_ts, last = self.state.get() if self.state.exists() else (float("-inf"), -1)
-        keep = []
-        for ts, percent in zip(batch["ts"], batch["percent"], strict=True):
-            passes = percent != last and (ts - last_ts >= self.gap or percent == 100)
-            keep.append(passes)
-            if passes:
-                last_ts, last = float(ts), int(percent)
-        self.state.update((last_ts, last))
-        yield batch[keep][["key", "ts", "percent"]]
+def throttle(progress: DataFrame, gap: float = 0.2, idle: float = 60.0) -> DataFrame:
+    """The batch form of stream_throttle: a fold over each key's progress in order, and its last row before each pause and at its end."""
+    row = "struct<ms:bigint,ts:double,percent:int>"
+    kind = f"struct<ms:bigint,percent:int,out:array<{row}>>"
+    own = F.struct(F.round(F.col("ts") * 1000).cast("long").alias("ms"), F.col("ts").cast("double").alias("ts"), F.col("percent").cast("int").alias("percent"))
+    keys = progress.groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("all"))
+    ends = F.zip_with("all", F.slice("all", 2, F.size("all")), lambda r, n: F.struct(r.alias("r"), F.coalesce(n["ms"] - r["ms"] > round(idle * 1000), F.lit(True)).alias("end")))
 
-    def close(self) -> None:
-        pass
+    def step(acc, e):
+        r = e["r"]
+        passes = acc["ms"].isNull() | ((r["ms"] - acc["ms"] >= round(gap * 1000)) & ((r["percent"] < 0) | (r["percent"] != acc["percent"]))) | e["end"]
+        return F.when(passes, F.struct(r["ms"].alias("ms"), r["percent"].alias("percent"), F.concat(acc["out"], F.array(r)).alias("out")).cast(kind)).otherwise(acc)
 
+    zero = F.struct(F.lit(None).cast("long").alias("ms"), F.lit(None).cast("int").alias("percent"), F.array().cast(f"array<{row}>").alias("out")).cast(kind)
+    return keys.select("key", F.inline(F.aggregate(ends, zero, step, lambda acc: acc["out"]))).select("key", "ts", "percent")
 
-def stream_throttle(progress: DataFrame, gap: float = 0.2) -> DataFrame:
-    """(key, ts, percent) rows to show. Twin: throttle."""
-    return progress.groupBy("key").transformWithStateInPandas(_Throttle(gap), "key long, ts double, percent int", "Append", "None")
 
+def stream_combine_pages(pages: DataFrame) -> DataFrame:
+    """(doc, text) of the documents whose text changed, as pages arrive or are read again. Twin: combine_pages of newest_pages. Needs the RocksDB state store.
 
-def throttle(progress: DataFrame, gap: float = 0.2) -> DataFrame:
-    """The batch form of stream_throttle: a fold over each key's progress in order."""
-    kind = "struct<ts:double,percent:int,out:array<struct<ts:double,percent:int>>>"
-    keys = progress.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("percent").cast("int").alias("percent")))).alias("all"))
-
-    def step(acc, r):
-        passes = (r["percent"] != acc["percent"]) & ((r["ts"] - acc["ts"] >= gap) | (r["percent"] == 100))
-        shown = F.struct(r["ts"].alias("ts"), r["percent"].alias("percent"), F.concat(acc["out"], F.array(r)).alias("out")).cast(kind)
-        return F.when(passes, shown).otherwise(acc)
-
-    zero = F.struct(F.lit(float("-inf")).alias("ts"), F.lit(-1).alias("percent"), F.array().cast("array<struct<ts:double,percent:int>>").alias("out")).cast(kind)
-    return keys.select("key", F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"])))
+    pages: doc, page, status, text, seq (the number of its reading: the newest counts). State has a row a page, so a page that comes again replaces what it held.
+    """
+    shown = F.when((F.col("status") == "read") & (F.trim(F.coalesce("text", F.lit(""))) != ""), F.col("text"))
+    rows = pages.select("doc", F.col("page").cast("int").alias("page"), F.col("seq").cast("long").alias("seq"), shown.alias("shown"))
+    return rows.groupBy("doc").transformWithStateInPandas(Pages(), "doc long, text string", "Update", "None")
 
 
-def stream_combine_pages(pages: DataFrame) -> DataFrame:
-    """(doc, text) recomputed in page order as pages arrive. Twin: combine_pages."""
-    shown = (F.col("status") == "read") & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    text = F.concat(F.lit("--- Page "), (F.col("page") + 1).cast("string"), F.lit(" ---\n"), "text")
-    docs = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(shown, F.struct("page", text.alias("text"))))).alias("rows"))
-    return docs.select("doc", F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("text"))
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """Of each page its newest reading. pages: doc, page, status, text, seq."""
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    return pages.groupBy("doc", "page").agg(F.max_by(own, F.struct("seq", "text")).alias("own")).select("own.*")
 
 
 def idle_sessions(events: DataFrame, gap: str = "5 minutes") -> DataFrame:

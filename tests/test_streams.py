@@ -1,5 +1,6 @@
 """Streaming forms against their batch twins."""
 
+import os
 import random
 
 import pytest
@@ -44,21 +45,95 @@ def drain(frame, name, tmp_path, mode="append"):
 
 def requests(spark, n=300):
     rng = random.Random(2)
-    return spark.createDataFrame([(rng.randrange(8), float(i // 3) / 4, i) for i in range(n)], "key long, ts double, seq long")
+    return spark.createDataFrame([(rng.randrange(8), 1 + float(i // 3) / 4, i) for i in range(n)], "key long, ts double, seq long")
 
 
-def test_rate_limit(spark, tmp_path, rocks, feed):
-    frame = requests(spark)
-    want = {(r.key, r.seq): r.allowed for r in C.token_bucket(frame, 1.0, 3).collect()}
-    assert set(want.values()) == {True, False}
-    stream = feed(frame, 1)  # one batch: arrival in other batches would be another order
-    assert {(r.key, r.seq): r.allowed for r in drain(T.stream_rate_limit(stream, 1.0, 3), "limited", tmp_path)} == want
+class Source:
+    """A folder that batches are put into, and what a query over it gave out; each run goes on from the checkpoint."""
 
+    def __init__(self, spark, tmp_path, schema):
+        self.spark, self.path, self.n, self.schema = spark, tmp_path, 0, schema
+        (tmp_path / "source").mkdir()
 
-def test_throttle(spark, tmp_path, rocks, feed):
-    frame = spark.createDataFrame([(k, t / 10, min(100, t * (k + 1))) for k in range(4) for t in range(60)], "key long, ts double, percent int")
+    def put(self, frame):
+        self.n += 1
+        frame.coalesce(1).write.parquet(str(self.path / f"made-{self.n}"))
+        part = next((self.path / f"made-{self.n}").glob("part-*.parquet"))
+        os.utime(part, (self.n * 10, self.n * 10))
+        part.rename(self.path / "source" / f"{self.n}.parquet")
+
+    def run(self, make, mode="append"):
+        out = []
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(str(self.path / "source"))
+        q = make(stream).writeStream.foreachBatch(lambda batch, _: out.append(batch.collect())).outputMode(mode).option("checkpointLocation", str(self.path / "checkpoint")).trigger(availableNow=True).start()
+        assert q.awaitTermination(240) and q.exception() is None
+        return out
+
+
+def shuffled_in_parts(frame, parts=3, seed=1):
+    rows = frame.collect()
+    random.Random(seed).shuffle(rows)
+    return [frame.sparkSession.createDataFrame(rows[k::parts], frame.schema) for k in range(parts)]
+
+
+@pytest.fixture
+def timed_rocks(spark):
+    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def ran(spark, tmp_path, frame, far, make, mode="append"):
+    """Rows that `make` gives for three shuffled batches of the frame, one of its rows again, and a last row far ahead; the query is stopped and started between them."""
+    source = Source(spark, tmp_path, frame.schema)
+    first, *rest = shuffled_in_parts(frame)
+    source.put(first)
+    out = source.run(make, mode)
+    for batch in rest:
+        source.put(batch)
+    out += source.run(make, mode)
+    source.put(far)
+    return [r for batch in out + source.run(make, mode) for r in batch]
+
+
+def test_rate_limit(spark, tmp_path, timed_rocks):
+    """Three shuffled batches and a restart give what the batch form gives; a request that comes twice counts twice."""
+    frame = requests(spark).union(requests(spark).limit(1))
+    want = sorted((r.key, r.seq, r.allowed) for r in C.token_bucket(frame, 1.0, 3).collect())
+    assert {w[2] for w in want} == {True, False}
+    far = spark.createDataFrame([(99, 1e6, 10**6)], frame.schema)
+    got = ran(spark, tmp_path, frame, far, lambda f: T.stream_rate_limit(f, 1.0, 3, shards=3, delay="1 hour"))
+    assert sorted((r.key, r.seq, r.allowed) for r in got if r.key != 99) == want
+
+
+def test_rate_limit_cap(spark, tmp_path, timed_rocks):
+    """One shard that holds two keys: the least recently seen is forgotten, and so has a full bucket when it comes again."""
+    keys = [1, 1, 2, 1, 3, 1, 2, 2, 3, 1]
+    frame = spark.createDataFrame([(k, 1 + float(i) / 100, i) for i, k in enumerate(keys)], "key long, ts double, seq long")
+    far = spark.createDataFrame([(99, 1e6, 10**6)], frame.schema)
+    got = ran(spark, tmp_path, frame, far, lambda f: T.stream_rate_limit(f, 0.0, 1, cap=2, shards=1, delay="1 hour"))
+    held, want = [], {}
+    for i, k in enumerate(keys):
+        want[i] = k not in held
+        held = [x for x in held if x != k] + [k]
+        held = held[-2:]
+    assert {r.seq: r.allowed for r in got if r.key != 99} == want and len(set(want.values())) == 2
+
+
+def test_throttle(spark, tmp_path, timed_rocks):
+    """The last row of a key comes out, whatever its percent; unknown totals pass by time alone; a pause ends a run of rows."""
+    rows = [(k, 1 + t / 10, min(37 + k, t * (k + 1))) for k in range(3) for t in range(60)] + [(7, 1 + t / 20, -1) for t in range(50)] + [(8, 1.0, 5), (8, 1.05, 6), (8, 500.0, 6), (8, 500.1, 6)]
+    frame = spark.createDataFrame(rows, "key long, ts double, percent int")
     want = sorted(map(tuple, T.throttle(frame).collect()))
-    assert sorted(map(tuple, drain(T.stream_throttle(feed(frame, 1)), "throttled", tmp_path))) == want and 0 < len(want) < 240
+    assert (0, 6.9, 37) in want and (8, 1.05, 6) in want and (8, 500.1, 6) in want
+    unknown = [ts for k, ts, _ in want if k == 7]
+    assert unknown == [1 + t / 20 for t in range(0, 50, 4)] + [1 + 49 / 20]
+    far = spark.createDataFrame([(99, 1e6, 1)], frame.schema)
+    got = sorted(map(tuple, ran(spark, tmp_path, frame.union(frame.limit(1)), far, lambda f: T.stream_throttle(f, delay="1 hour"))))
+    assert [g for g in got if g[0] != 99] == want and len(want) < len(rows)
 
 
 def test_latest_and_pages(spark, tmp_path, feed):
@@ -67,10 +142,23 @@ def test_latest_and_pages(spark, tmp_path, feed):
     assert {k: s for k, (s, c) in got.items() if not c} == {r.key: r.seq for r in A.latest_run(runs).collect()}
 
 
-def test_combine_pages(spark, tmp_path, feed):
-    pages = A.assemble_page(lines(spark, SF))
-    want = {r.doc: r.text or "" for r in A.combine_pages(pages).collect()}
-    assert {r.doc: r.text for r in drain(T.stream_combine_pages(feed(pages)), "combined", tmp_path, "complete")} == want
+def test_combine_pages(spark, tmp_path, timed_rocks):
+    """A page that comes again, in its batch or a later one, replaces its text; the last text of a document is the batch form's."""
+    pages = A.assemble_page(lines(spark, SF)).select(F.col("doc").cast("long").alias("doc"), F.col("page").cast("int").alias("page"), "status", "text").withColumn("seq", F.lit(1).cast("long"))
+    again = pages.filter("page % 2 = 0").withColumns({"text": F.concat(F.lit("again "), "text"), "seq": F.lit(2).cast("long")})
+    blank = pages.filter("page % 5 = 1").withColumns({"text": F.lit(" "), "seq": F.lit(3).cast("long")})
+    frame = pages.union(again).union(blank).union(pages.limit(20))
+    want = {r.doc: r.text or "" for r in A.combine_pages(T.newest_pages(frame)).collect()}
+    source = Source(spark, tmp_path, frame.schema)
+    texts, seen = {}, 0
+    for batch in shuffled_in_parts(frame):
+        source.put(batch)
+        for r in [r for rows in source.run(T.stream_combine_pages, "update") for r in rows]:
+            assert texts.get(r.doc) != r.text
+            texts[r.doc], seen = r.text, seen + 1
+    assert texts == want and seen > len(want)
+    source.put(frame)  # all of it once more: nothing changes, so nothing comes out
+    assert not [r for rows in source.run(T.stream_combine_pages, "update") for r in rows]
 
 
 def test_ingest(spark, tmp_path, feed):
@@ -81,14 +169,25 @@ def test_ingest(spark, tmp_path, feed):
     assert {r.ok: r["count"] for r in judged} == {True: spark.read.parquet(str(tmp_path / "good")).count(), False: spark.read.parquet(str(tmp_path / "bad")).count()}
 
 
-def test_sync_queue(spark, tmp_path, feed):
-    state = spark.createDataFrame([(i, 0, False, None) for i in range(5)], "id long, attempts long, synced boolean, last_error string")
-    state.write.parquet(str(tmp_path / "state" / "v0"))
-    outcomes = spark.createDataFrame([(0, True, None), (1, False, "a"), (3, False, "b")], "id long, ok boolean, error string")
-    q = T.stream_sync_queue(feed(outcomes, 1), str(tmp_path / "state"), str(tmp_path / "c"))
-    assert q.awaitTermination(120)
-    got = {r.id: (r.attempts, r.synced, r.last_error) for r in spark.read.parquet(str(tmp_path / "state" / "v1")).collect()}
-    assert got == {0: (1, True, None), 1: (1, False, "a"), 2: (0, False, None), 3: (1, False, "b"), 4: (0, False, None)}
+def test_sync_queue(spark, tmp_path, timed_rocks):
+    """Several batches and a restart: attempts stop at five, success ends them, a batch gives out what it changes only, and failures come out as due after their delay."""
+    records = spark.createDataFrame([(i, i % 3, i == 4, "old" if i % 3 else None) for i in range(40)], "id long, attempts long, synced boolean, last_error string")
+    rng = random.Random(3)
+    rows = [(rng.randrange(12), 1000 * n + 1, n, rng.random() < 0.2, None if rng.random() < 0.3 else f"e{n}") for n in range(90)]
+    outcomes = spark.createDataFrame(rows, "id long, s long, seq long, ok boolean, error string").select("id", F.timestamp_seconds("s").alias("ts"), "seq", "ok", "error")
+    want = {r.id: tuple(r)[1:] for r in T.charge_outcomes(records, outcomes).collect()}
+    assert max(w[0] for w in want.values()) == C.MAX_ATTEMPTS and any(w[1] for i, w in want.items() if i != 4)
+    far = spark.createDataFrame([(99, 10**7, 10**6, True, None)], "id long, s long, seq long, ok boolean, error string").select("id", F.timestamp_seconds("s").alias("ts"), "seq", "ok", "error")
+    got = ran(spark, tmp_path, outcomes, far, lambda f: T.stream_sync_queue(f, records, delay="2 days"), "update")
+    changes = [r for r in got if r.id != 99]
+    assert {r.id for r in changes} <= {r[0] for r in rows}
+    schema = "id long, ms long, attempts long, synced boolean, last_error string, due boolean"
+    assert {r.id: tuple(r)[1:] for r in T.current_records(records, spark.createDataFrame(changes, schema)).collect()} == want
+    due = {r.id: r.ms for r in changes if r.due}
+    last = {i: max(r[1] for r in rows if r[0] == i) for i in due}
+    for i, (attempts, synced, _) in want.items():
+        assert (i in due) == (i in {r[0] for r in rows} and not synced and attempts < C.MAX_ATTEMPTS)
+        assert i not in due or due[i] == last[i] * 1000 + (30_000 << (attempts - 1))
 
 
 def test_sweep_and_sessions(spark, tmp_path, feed):
