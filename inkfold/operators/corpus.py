@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
-from inkfold.operators.ranks import global_rank
+from inkfold.operators.ranks import global_rank, rank_within
 from inkfold.sources.files import list_folders, read_files, saved, write_files
 
 MAX_BYTES, MAX_PAGES = 500 << 20, 3000
@@ -66,18 +66,81 @@ def assign_stems(paths: DataFrame) -> DataFrame:
     return named.withColumn("stem", F.when(F.count("*").over(W.partitionBy(F.lower("base"))) > 1, F.concat_ws("-", "base", S.path_tag(F.col("path")))).otherwise(F.col("base"))).drop("base")
 
 
+#: A number that a repeated name may be given, at the end of a name: from 2, without leading zeros; longer ones are never reached.
+_NUMBER = "(?:[2-9]|[1-9][0-9]{1,17})"
+
+
+def _free_numbers(asked: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arg_no, name, unique) of the rows that ask for a number, and (name) of the numbered names that they got before their first row.
+
+    asked: arg_no, name. taken: name, n, arg_no, own: the first row of the numbered name `own`, which is `name`-n.
+    A number is taken if fewer rows asked before it than there are free numbers below it; that depends on lower numbers only, so the taken
+    ones are told in one pass by number, which carries their count. Then the k-th row that asks has the k-th number that isn't taken.
+    """
+    number = lambda rank: F.concat(F.col("name"), F.lit("-"), rank.cast("string")).alias("unique")
+    wanted = taken.join(asked.select("name").distinct(), "name", "left_semi")
+    if wanted.isEmpty():
+        return rank_within(asked, ["name"], [F.col("arg_no")], "k").select("arg_no", "name", number(F.col("k") + 1)), wanted.select("own").limit(0)
+    both = asked.select("name", "arg_no", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("own")).unionByName(wanted)
+    timed = rank_within(both, ["name"], [F.col("arg_no"), F.col("n").asc_nulls_first()], "at")
+    firsts = rank_within(timed.filter("n is not null"), ["name"], [F.col("arg_no"), F.col("n")], "nth").withColumn("asked", F.col("at") - F.col("nth"))
+
+    def scan(it):
+        import pandas as pd
+
+        name, count = None, 0
+        for batch in it:
+            out = []
+            for own_name, n, asked_before in zip(batch["name"], batch["n"], batch["asked"], strict=True):
+                name, count = own_name, count if own_name == name else 0
+                held = count < n - 1 - asked_before
+                out.append(n - count - 2 if held else -1)
+                count += held
+            yield pd.DataFrame({"name": batch["name"].astype(object), "own": batch["own"].astype(object), "below": out})
+
+    judged = saved(firsts.select("name", "n", "asked", "own").repartition("name").sortWithinPartitions("name", "n").mapInPandas(scan, "name string, own string, below long"), "numbers")
+    asking = rank_within(asked, ["name"], [F.col("arg_no")], "k").select("name", "arg_no", (2 * F.col("k")).alias("place"))
+    held = judged.filter("below >= 0").select("name", F.lit(None).cast("long").alias("arg_no"), (2 * F.col("below") + 1).alias("place"))
+    given = rank_within(asking.unionByName(held), ["name"], [F.col("place")], "rank").filter("arg_no is not null")
+    return given.select("arg_no", "name", number(F.col("rank") + 1)), judged.filter("below < 0").select("own")
+
+
 def force_unique(names: DataFrame) -> DataFrame:
-    """Adds unique: later rows of a name get -2, -3, … , the first number whose name no row has.
+    """arg_no, name, unique: by rising arg_no, a name that an earlier row has (its own, or given to it) gets -2, -3, … , the first that no earlier row has.
 
-    names: arg_no, name. Numbers that are names themselves are left out, so one pass is enough: the taken
-    numbers of a name are gathered (as many as it has numbered namesakes) and skipped.
+    names: arg_no (a long, unique), name. What takes a number of a name are rows of that name, and first rows of the numbered name itself. So
+    names are worked on by how many numbers they end in, shortest first; a numbered name whose number was given away before its first row asks like a repeated one.
+    One round a number at the end of names, as far as names with repeated rows have them. No list a name, and none on the driver: ranks are over range partitions, so a name's rows may fill
+    many tasks; only the first rows of names, by number, go through one task a name, with one count in memory. Null names get null.
     """
-    number = F.regexp_extract("name", r"^(.*)-([0-9]+)$", 2)
-    owned = names.filter(number != "").select(F.regexp_extract("name", r"^(.*)-([0-9]+)$", 1).alias("name"), number.cast("int").alias("n")).groupBy("name").agg(F.collect_set("n").alias("taken"))
-    ranked = names.withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("arg_no"))).join(owned, "name", "left")
-    taken = F.coalesce("taken", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(2), F.col("rank") + F.size(taken)), lambda n: ~F.array_contains(taken, n))
-    return ranked.select("arg_no", "name", F.when(F.col("rank") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", F.get(free, F.col("rank") - 2).cast("string"))).alias("unique"))
+    rows = saved(names.filter("name is not null").select(F.col("arg_no").cast("long").alias("arg_no"), "name"), "names")
+    tail = F.regexp_extract("name", rf"((?:-{_NUMBER})*)\z", 1)
+    depth = F.size(F.split(tail, "-")) - 1
+    firsts = saved(rows.groupBy("name").agg(F.min("arg_no").alias("arg_no"), F.count("*").alias("n_rows")).withColumn("depth", depth), "firsts")
+    parent, number = F.regexp_extract("name", rf"(?s)^(.*)-({_NUMBER})\z", 1), F.regexp_extract("name", rf"(?s)^(.*)-({_NUMBER})\z", 2).cast("long")
+    todo = {r.depth for r in firsts.filter("n_rows > 1").select("depth").distinct().collect()}  # as many as names end in numbers
+    given, lost = [], None
+    while todo:
+        now = min(todo)
+        todo.remove(now)
+        level = firsts.filter(F.col("depth") == now)
+        again = rows.join(level.filter("n_rows > 1").select("name", F.col("arg_no").alias("_first")), "name").filter("arg_no <> _first").select("arg_no", "name")
+        if lost is not None:
+            again = again.unionByName(level.join(lost, level["name"] == lost["own"], "left_semi").select("arg_no", "name"))
+        taken = firsts.filter(F.col("depth") == now + 1).select(parent.alias("name"), number.alias("n"), "arg_no", F.col("name").alias("own"))
+        some, gone = _free_numbers(saved(again, "asked"), taken)
+        given.append(saved(some, "given"))
+        lost = saved(gone, "lost")
+        if not lost.isEmpty():
+            todo.add(now + 1)
+    found = names.select(F.col("arg_no"), "name").withColumn("unique", F.col("name"))
+    if not given:
+        return found
+    every = given[0]
+    for more in given[1:]:
+        every = every.unionByName(more)
+    every = every.select(F.col("arg_no").alias("_arg"), F.col("unique").alias("_unique"))
+    return found.join(every, F.col("arg_no") == F.col("_arg"), "left").select("arg_no", "name", F.coalesce("_unique", "unique").alias("unique"))
 
 
 def is_complete(expected: Column, pages: Column) -> Column:

@@ -26,3 +26,10 @@ def number_rows(rows: DataFrame, name: str) -> DataFrame:
 def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the rank from 1 in a global order. Rows are range-partitioned by it and sorted inside their range."""
     return number_rows(rows.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def rank_within(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: the rank from 1 among the rows of the same keys (not null). A key's rows may fill many tasks: a rank over all, less that of the key's first row."""
+    ranked = global_rank(rows, [*[F.col(k) for k in keys], *order], "_all")  # reads the rows that it has written, whenever it is read
+    firsts = ranked.groupBy(*keys).agg(F.min("_all").alias("_first"))
+    return ranked.join(firsts, keys).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_all") - F.col("_first") + 1).alias(name))

@@ -152,11 +152,25 @@ def assign_stems(spark, sf):
     return K.assign_stems(paths(spark, sf))
 
 
-@query("force_unique", """WITH n AS (SELECT event_id AS arg_no, concat('u', user_id % 100) AS name FROM events)
-SELECT arg_no, name, CASE WHEN r = 1 THEN name ELSE concat(name, '-', r) END AS "unique" FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY arg_no) AS r FROM n)""")
+NAMES = """n AS (SELECT event_id AS arg_no, concat('u', user_id % 600) AS root, CASE event_id % 9 WHEN 0 THEN '-2' WHEN 1 THEN '-3' WHEN 2 THEN '-2-2' WHEN 3 THEN '-12345678901234567890' WHEN 4 THEN '-02' WHEN 5 THEN '-4' ELSE '' END AS tail FROM events)"""
+
+
+@query("force_unique", f"""WITH RECURSIVE {NAMES},
+r AS (SELECT arg_no, root, concat(root, tail) AS name, row_number() OVER (PARTITION BY root ORDER BY arg_no) AS i FROM n),
+named(root, i, arg_no, name, "unique", seen) AS (
+  SELECT root, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] FROM r GROUP BY root
+  UNION ALL
+  SELECT root, i, arg_no, name, u, list_append(seen, u) FROM (
+    SELECT r.root, r.i, r.arg_no, r.name, d.seen, CASE WHEN list_contains(d.seen, r.name)
+      THEN concat(r.name, '-', list_min(list_filter(range(2, len(d.seen) + 3), lambda k: NOT list_contains(d.seen, concat(r.name, '-', k))))) ELSE r.name END AS u
+    FROM named d JOIN r ON r.root = d.root AND r.i = d.i + 1))
+SELECT arg_no, name, "unique" FROM named WHERE i > 0""")
 def force_unique(spark, sf):
-    names = table(spark, sf, "events").select(F.col("event_id").alias("arg_no"), F.concat(F.lit("u"), (F.col("user_id") % 100).cast("string")).alias("name"))
-    return K.force_unique(names)
+    tails = {0: "-2", 1: "-3", 2: "-2-2", 3: "-12345678901234567890", 4: "-02", 5: "-4"}
+    tail = F.lit("")
+    for k, v in tails.items():
+        tail = F.when(F.col("event_id") % 9 == k, v).otherwise(tail)
+    return K.force_unique(table(spark, sf, "events").select(F.col("event_id").alias("arg_no"), F.concat(F.lit("u"), (F.col("user_id") % 600).cast("string"), tail).alias("name")))
 
 
 @query("verify_digests", "SELECT page_id AS name FROM pages WHERE page_id % 6 <> 0")

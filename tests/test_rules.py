@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
@@ -143,10 +144,57 @@ def test_scalars(spark):
     assert row.digest == hashlib.sha256((3).to_bytes(8, "little") + b"abc" + b"page" + (300).to_bytes(4, "little") + b"v1").hexdigest()
 
 
+def plain_unique(names):
+    seen, out = set(), []
+    for name in names:
+        n, unique = 2, name
+        while unique in seen:
+            n, unique = n + 1, f"{name}-{n}"
+        seen.add(unique)
+        out.append(unique)
+    return out
+
+
+def unique_names(spark, names):
+    rows = spark.createDataFrame(list(enumerate(names)), "arg_no int, name string").repartition(3)
+    got = {r.arg_no: r.unique for r in K.force_unique(rows).collect()}
+    return [got[i] for i in range(len(names))]
+
+
 def test_force_unique(spark):
-    names = ["a", "a", "a-2", "a", "b", "b", "a-2", "b-3"]
-    got = {r.arg_no: r.unique for r in K.force_unique(spark.createDataFrame(list(enumerate(names)), "arg_no int, name string")).collect()}
-    assert len(set(got.values())) == len(names) and got[0] == "a" and got[1] == "a-3" and got[5] == "b-2"
+    assert unique_names(spark, ["foo", "foo", "foo-2"]) == ["foo", "foo-2", "foo-2-2"]
+    assert unique_names(spark, ["a", "a", "a-2", "a", "b", "b", "a-2", "b-3"]) == ["a", "a-2", "a-2-2", "a-3", "b", "b-2", "a-2-3", "b-3"]
+    long = "scan-20240101123456789012"
+    assert unique_names(spark, [long, "scan", "scan", long, "scan-02", "scan-2", "scan-1", "scan", "a\n", "a\n-2", "a\n"]) == plain_unique([long, "scan", "scan", long, "scan-02", "scan-2", "scan-1", "scan", "a\n", "a\n-2", "a\n"])
+    empty = spark.createDataFrame([], "arg_no int, name string")
+    assert K.force_unique(empty).collect() == [] and K.force_unique(spark.createDataFrame([(1, None)], "arg_no int, name string")).first().unique is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_force_unique_on_random_lists(spark, seed):
+    rng = random.Random(seed)
+    tails = ["", "", "", "-2", "-3", "-4", "-2-2", "-3-2", "-1", "-02", "-2-2-2", "-99999999999999999999"]
+    names = [rng.choice("ab") + rng.choice(tails[: rng.choice([4, 6, 12])]) for _ in range(400)]
+    assert unique_names(spark, names) == plain_unique(names)
+
+
+def test_force_unique_of_one_hot_name(spark):
+    """100,000 namesakes with 20,000 numbered names among them; ranks stay in range partitions."""
+    names = spark.range(120_000).select(F.col("id").alias("arg_no"), F.when(F.col("id") % 6 == 5, F.concat(F.lit("hot-"), (F.col("id") * 7 % 120_000).cast("string"))).otherwise("hot").alias("name"))
+    got = {r.arg_no: r.unique for r in K.force_unique(names).collect()}
+    assert [got[i] for i in range(120_000)] == hot_names(names)
+
+
+def hot_names(names):
+    seen, free, out = set(), {}, []
+    for r in sorted(names.collect()):
+        n, unique = free.get(r.name, 2), r.name
+        while unique in seen:
+            n, unique = n + 1, f"{r.name}-{n}"
+        free[r.name] = n if unique != r.name else 2
+        seen.add(unique)
+        out.append(unique)
+    return out
 
 
 def test_discovery_and_resume(spark, tmp_path):
