@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
 from inkfold.operators.ranks import global_rank
+from inkfold.sources.files import saved
 
-MAX_ATTEMPTS, MAX_RETRIES, PIECE = 5, 2, 256
+MAX_ATTEMPTS, MAX_RETRIES = 5, 2
 SYNC_CATEGORIES = {"web": ("feedback", "contribution"), "android": ("feedback", "contribution", "contribute"), "ios": ("feedback", "contribution", "contribute")}
 
 
@@ -88,25 +89,29 @@ def sync_decision(outcomes: DataFrame) -> DataFrame:
 
 
 def token_bucket(requests: DataFrame, rate: float = 5.0, burst: int = 10) -> DataFrame:
-    """Adds allowed: a bucket for each key starts full, refills by `rate` a second and gives a token a request.
+    """(key, seq, allowed): a bucket for each key starts full, refills by `rate` a second and gives a token a request.
 
-    requests: key, ts in seconds, seq. A fold over each key's requests in order; a key's requests have to fit a task.
+    requests: key, ts in seconds, seq. A secondary sort: requests are dealt by key and sorted by (key, ts, seq), and a task streams them with one key's bucket in hand, carried from
+    batch to batch. So a key may have any number of requests; they go through one task, as each depends on the one before.
     """
-    row, rows = "struct<seq:bigint,allowed:boolean>", "array<struct<seq:bigint,allowed:boolean>>"
-    state = f"struct<tokens:double,ts:double,out:{rows},pieces:array<{rows}>>"
-    keys = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")))).alias("all"))
+    own = requests.select("key", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    kind = own.schema["key"].dataType.simpleString()
 
-    def step(acc: Column, r: Column) -> Column:
-        tokens = F.least(F.lit(float(burst)), acc["tokens"] + F.greatest(r["ts"] - acc["ts"], F.lit(0.0)) * rate)
-        ok = tokens >= 1
-        own = F.array(F.struct(r["seq"].alias("seq"), ok.alias("allowed")).cast(row))
-        full = F.size(acc["out"]) == PIECE  # rows are gathered in pieces, so that a long history is not copied at every step
-        out = F.when(full, own).otherwise(F.concat(acc["out"], own))
-        pieces = F.when(full, F.concat(acc["pieces"], F.array(acc["out"]))).otherwise(acc["pieces"])
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), r["ts"].alias("ts"), out.alias("out"), pieces.alias("pieces")).cast(state)
+    def stream(it):
+        import pyarrow as pa
 
-    zero = F.struct(F.lit(float(burst)).alias("tokens"), F.col("all")[0]["ts"].alias("ts"), F.array().cast(rows).alias("out"), F.array().cast(f"array<{rows}>").alias("pieces")).cast(state)
-    return keys.select("key", F.inline(F.aggregate("all", zero, step, lambda acc: F.flatten(F.concat(acc["pieces"], F.array(acc["out"]))))))
+        key, tokens, last, full = None, 0.0, None, float(burst)
+        for batch in it:
+            allowed = []
+            for own_key, ts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is None or own_key != key:
+                    key, tokens, last = own_key, full, ts
+                tokens = min(full, tokens + max(ts - last, 0.0) * rate)
+                allowed.append(tokens >= 1)
+                tokens, last = tokens - allowed[-1], ts
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, pa.bool_())], ["key", "seq", "allowed"])
+
+    return own.repartition("key").sortWithinPartitions("key", "ts", "seq").mapInArrow(stream, f"key {kind}, seq long, allowed boolean")
 
 
 def oldest_evicted(keys: DataFrame, now: Column, ttl_seconds: int = 600, cap: int = 50_000) -> DataFrame:
@@ -118,10 +123,30 @@ def oldest_evicted(keys: DataFrame, now: Column, ttl_seconds: int = 600, cap: in
 
 
 def write_object_store(objects: DataFrame, path: str) -> None:
-    """Month-partitioned objects; of rows with one key the last written stays. objects: folder, ts, key, seq, content."""
-    last = W.partitionBy("key").orderBy(F.col("seq").desc())
-    kept = objects.withColumn("rank", F.row_number().over(last)).filter("rank = 1").drop("rank")
-    kept.withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode("append").partitionBy("folder", "month").parquet(path)
+    """Month-partitioned objects, one a key: a later write of a key takes its place, in whatever folder and month it was. objects: folder, ts, key, seq, content.
+
+    Of rows of one write with one key the last (seq) counts. A month that a write puts objects into, or takes replaced ones out of, is written anew from
+    what it holds and what is new; other months are not touched. The months are written to the shared folder first, so that none is read while it is replaced. A write that breaks off can be repeated.
+    """
+    spark = objects.sparkSession
+    own = F.struct(*[F.col(f"`{c}`") for c in objects.columns])
+    new = objects.groupBy("key").agg(F.max_by(own, F.struct("seq", "ts")).alias("own")).select("own.*").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    new = saved(new, "objects")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        new.write.partitionBy("folder", "month").parquet(path)
+        return
+    schema = new.select(*[c for c in new.columns if c not in ("folder", "month")], "folder", "month").schema
+    held = spark.read.schema(schema).parquet(path)
+    replaced = held.join(new.select("key"), "key", "left_semi").select("folder", "month")
+    touched = saved(replaced.union(new.select("folder", "month")).distinct(), "months")  # a row a month
+    kept = held.join(F.broadcast(touched), ["folder", "month"], "left_semi").join(new.select("key"), "key", "left_anti")
+    after = saved(kept.unionByName(new), "stored")
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "month").parquet(path)
+    emptied = touched.join(after.select("folder", "month").distinct(), ["folder", "month"], "left_anti")
+    for row in emptied.collect():  # months that lost their last object to another one
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, f"folder={row.folder}/month={row.month}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -149,8 +174,10 @@ def reset_retries(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
 
 
 def upgrade_history(old: DataFrame) -> DataFrame:
-    """Rows of earlier versions with the columns of the fourth: defaults for what is missing, an id for each."""
+    """Rows of earlier versions with the columns of the fourth: defaults for what is missing, an id for each, made from the row's own id so that a repeated task gives it again."""
+    digest = F.sha2(F.concat(F.lit("record:"), F.col("id").cast("string")), 256)
+    made = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4))], F.concat(F.lit("4"), F.substring(digest, 14, 3)), F.concat(F.lit("8"), F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
     have = set(old.columns)
     missing = {"synced": F.lit(False), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "record_id": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")}
     full = old.withColumns({c: v for c, v in missing.items() if c not in have})
-    return full.withColumns({"record_id": F.coalesce("record_id", F.uuid()), "synced": F.coalesce("synced", F.lit(False)), "attempts": F.coalesce("attempts", F.lit(0).cast("long"))})
+    return full.withColumns({"record_id": F.coalesce("record_id", made), "synced": F.coalesce("synced", F.lit(False)), "attempts": F.coalesce("attempts", F.lit(0).cast("long"))})

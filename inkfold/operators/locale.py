@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars as S
-from inkfold.operators.ranks import number_rows
+from inkfold.operators.ranks import global_rank
+from inkfold.sources.files import saved
 
 LANGUAGES = ("en", "my", "mnw")
 
 
 def scan_sheet(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Rows of a CSV export: the first is the header, missing cells are '', optional slice of row numbers from 1."""
+    """Rows of a CSV export: the first is the header, missing cells are '', optional slice of row numbers from 1.
+
+    A sheet in several files goes by their names, whatever their sizes: rows are numbered in the order of (file, place in file). A cell may hold line ends, so a file is
+    read from its start by one task, row by row; what places a row is its number in that read.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    full = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
-    return number_rows(full, "row_no").filter(F.col("row_no").between(start or 1, end or (1 << 62)))
+    own = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns]
+    placed = saved(rows.select(*own, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")), "sheet")
+    return global_rank(placed, [F.col("_file"), F.col("_row")], "row_no").drop("_file", "_row").filter(F.col("row_no").between(start or 1, end or (1 << 62)))
 
 
 def platform_filter(translations: DataFrame, platform: str) -> DataFrame:
@@ -81,15 +87,21 @@ def keys_not_in_catalogue(used: DataFrame, catalogue: DataFrame) -> tuple[DataFr
     return used.join(keys, "key", "left_anti"), used.join(keys, "key", "left_semi")
 
 
+#: What stands for a slot of a literal and for a specifier of a key; no text holds it.
+_SLOT = "\u0001"
+_SPECIFIER = r"%(?:[0-9]+\$)?(?:lld|@|d)"
+
+
 def pattern_key_join(literals: DataFrame, keys: DataFrame) -> DataFrame:
     """(literal, key): the first catalogue key (by ordinal) that an interpolated literal's pattern matches.
 
-    Both sides meet on the fixed text in front of a literal's first slot (its first 48 characters), so that no
-    literal is tried on every key, but one that begins with its slot.
+    A pattern has fixed text, and a specifier for each slot. So both sides are written with one mark for each slot and specifier, and meet where these
+    are equal, wherever the slots stand; specifiers in a literal's fixed text are marked too, and the pattern decides among the few that meet. Keys come in once, with their first ordinal.
     """
-    asked = literals.select("literal", S.specifier_regex(F.col("literal")).alias("pattern"), F.left(F.regexp_extract("literal", r"^([^{]*)", 1), F.lit(48)).alias("lead"))
-    starts = keys.select("key", "ordinal", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("key"), F.lit(48))), lambda n: F.left(F.col("key"), n))).alias("lead"))
-    met = asked.join(starts, "lead").filter(F.rlike("key", F.col("pattern")))
+    marked = lambda text: F.regexp_replace(text, _SPECIFIER, _SLOT)
+    asked = literals.select("literal").distinct().select("literal", S.specifier_regex(F.col("literal")).alias("pattern"), marked(F.regexp_replace("literal", r"\{[^}]*\}", _SLOT)).alias("form"))
+    forms = keys.groupBy("key").agg(F.min("ordinal").alias("ordinal")).withColumn("form", marked(F.col("key")))
+    met = asked.join(forms, "form").filter(F.rlike("key", F.col("pattern")))
     return met.groupBy("literal").agg(F.min_by("key", "ordinal").alias("key"))
 
 
