@@ -1,6 +1,6 @@
 """From an ink mask to text-line boxes and tiles. Ratios are kept as whole numbers, so that no rounding decides a row.
 
-Tables: profile(page_id, y, raw), runs(page_id, r0, r1) with exclusive ends, boxes(page_id, line, x, y, width, height,
+Tables: masks and profile(page_id, y, raw, left, right) as in `masks`, runs(page_id, r0, r1) with exclusive ends, boxes(page_id, line, x, y, width, height,
 line_shaped). A fold runs inside one page's array of runs, or one line's array of columns.
 """
 
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkfold.operators.masks import row_profile
+from inkfold.sources.files import saved
+
 #: Least height of a line, and the largest gap inside one.
 MIN_LINE, MAX_GAP = 10, 10
 #: Tiling: height and width that the recogniser takes, and the share of a tile searched for a blank column.
@@ -22,13 +25,6 @@ def down_page():
     return W.partitionBy("page_id").orderBy("y")
 
 
-def row_profile(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """(page_id, y, raw): ink of every row, rows without any included."""
-    spine = dims.select("page_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    counts = mask.groupBy("page_id", "y").agg(F.count("*").alias("raw"))
-    return spine.join(counts, ["page_id", "y"], "left").select("page_id", "y", F.coalesce("raw", F.lit(0)).alias("raw"))
-
-
 def smooth_profile(profile: DataFrame, size: int = 3) -> DataFrame:
     """Adds smooth: mean over `size` rows, fewer at the edges; smooth60 is 60 times it, a whole number."""
     window = down_page().rowsBetween(-(size // 2), size // 2)
@@ -73,35 +69,42 @@ def merge_runs(runs: DataFrame, max_gap: int = MAX_GAP, least: int = MIN_LINE) -
     A run joins the line so far if the gap is at most `max_gap`, all its rows hold ink or one of both is a
     fragment of a line, and both together are at most twice as high as a typical run.
     """
-    run = "struct<r0:int,r1:int>"
     pages = runs.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r0").cast("int").alias("r0"), F.col("r1").cast("int").alias("r1"), F.col("blank").alias("blank")))).alias("runs"))
     pages = pages.withColumn("typical", typical_height(F.transform("runs", lambda r: r["r1"] - r["r0"]), least))
 
-    def step(acc: Column, r: Column) -> Column:
-        own, line = r["r1"] - r["r0"], acc["r1"] - acc["r0"]
-        gap = F.greatest(r["r0"] - acc["r1"], F.lit(0))
-        fragment = (2 * F.least(own, line) <= F.col("typical")) & (F.greatest(own, line) >= least)
-        joins = (gap <= max_gap) & ((r["blank"] == 0) | fragment) & (r["r1"] - acc["r0"] <= 2 * F.col("typical"))
-        done = F.concat(acc["done"], F.array(F.struct(acc["r0"].alias("r0"), acc["r1"].alias("r1"))))
-        return F.when(joins, F.struct(acc["done"].alias("done"), acc["r0"].alias("r0"), r["r1"].alias("r1"))).otherwise(F.struct(done.alias("done"), r["r0"].alias("r0"), r["r1"].alias("r1")))
-
-    first = F.col("runs")[0]
-    zero = F.struct(F.array().cast(f"array<{run}>").alias("done"), first["r0"].alias("r0"), first["r1"].alias("r1"))
-    merged = F.aggregate(F.slice("runs", F.lit(2), F.size("runs")), zero, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["r0"].alias("r0"), acc["r1"].alias("r1")))))
-    bands = pages.select("page_id", F.posexplode(merged).alias("n", "band"))
-    return bands.select("page_id", (F.col("n") + 1).alias("run_no"), "band.r0", "band.r1")
+    def merged(it):
+        import pyarrow as pa
+
+        for batch in it:
+            out: list[list] = [[], [], [], []]
+            for page_id, own, typical in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines: list[list[int]] = []
+                for r in own:
+                    if lines:
+                        r0, r1 = lines[-1]
+                        high, line = r["r1"] - r["r0"], r1 - r0
+                        fragment = 2 * min(high, line) <= typical and max(high, line) >= least
+                        if max(r["r0"] - r1, 0) <= max_gap and (r["blank"] == 0 or fragment) and r["r1"] - r0 <= 2 * typical:
+                            lines[-1][1] = r["r1"]
+                            continue
+                    lines.append([r["r0"], r["r1"]])
+                for column, values in zip(out, ([page_id] * len(lines), range(1, len(lines) + 1), *zip(*lines, strict=True)), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.int32()) for c in out[1:])], ["page_id", "run_no", "r0", "r1"])
+
+    return pages.select("page_id", "runs", "typical").mapInArrow(merged, "page_id long, run_no int, r0 int, r1 int")
 
 
 def min_height_filter(bands: DataFrame, least: int = MIN_LINE) -> DataFrame:
     return bands.filter(F.col("r1") - F.col("r0") >= least)
 
 
-def band_extents(bands: DataFrame, mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """(page_id, line, x, y, width, height): boxes around each band's ink, padded by a quarter of its height across and a fifth up and down."""
-    rows = mask.groupBy("page_id", "y").agg(F.min("x").alias("left"), F.max("x").alias("right"))
+def band_extents(bands: DataFrame, profile: DataFrame) -> DataFrame:
+    """(page_id, line, x, y, width, height): boxes around each band's ink, padded by a quarter of its height across and a fifth up and down. profile: as row_profile gives it."""
+    rows = profile.filter("left is not null").select("page_id", "y", "left", "right", "width", "height")
     named = bands.select("page_id", F.col("run_no").alias("line"), "r0", "r1", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("y"))
     met = named.join(rows, ["page_id", "y"])  # bands don't overlap: a row of a page is in one at most
-    held = met.groupBy("page_id", "line", "r0", "r1").agg(F.min("left").alias("left"), F.max("right").alias("right")).join(dims, "page_id")
+    held = met.groupBy("page_id", "line", "r0", "r1", "width", "height").agg(F.min("left").alias("left"), F.max("right").alias("right"))
     core = F.col("r1") - F.col("r0")
     pad = lambda num, den: F.ceil(core * num / den).cast("int")
     x, y = F.greatest(F.col("left") - pad(1, 4), F.lit(0)), F.greatest(F.col("r0") - pad(1, 5), F.lit(0))
@@ -183,9 +186,8 @@ def capture_assessment(boxes: DataFrame, sharpness: DataFrame, small: int = 30,
     return page.withColumn("warnings", F.filter(every, lambda w: w.isNotNull()))
 
 
-def text_lines(mask: DataFrame, dims: DataFrame) -> DataFrame:
-    """Boxes of the text lines of a mask: profile, threshold, runs, merging, height, extents."""
-    profile = row_profile(mask, dims)
-    smoothed = smooth_profile(profile)
-    bands = min_height_filter(merge_runs(detect_runs(profile, profile_threshold(smoothed))))
-    return band_extents(bands, mask, dims)
+def text_lines(masks: DataFrame) -> DataFrame:
+    """Boxes of the text lines of masks by runs: profile, threshold, runs, merging, height, extents. The profile is written once and read by each of these."""
+    profile = saved(row_profile(masks), "profile")
+    bands = min_height_filter(merge_runs(detect_runs(profile, profile_threshold(smooth_profile(profile)))))
+    return band_extents(bands, profile)

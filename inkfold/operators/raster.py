@@ -97,17 +97,22 @@ def box_blur(pages: DataFrame, surface: str = "web") -> DataFrame:
     return _each_page(pages, lambda page_id, a: ([page_id], [a.shape[1]], [_blurred(a, surface).ravel()]), fields)
 
 
+def dark_pixels(a: np.ndarray, surface: str, radius: int, constant: int) -> np.ndarray:
+    """Whether a page's pixels are darker than the local mean of the blurred page less a constant. Sums are compared, so that nothing is divided."""
+    blur = _blurred(a, surface)
+    total, places = _box(blur, radius)
+    return (a if surface == "web" else blur) * places < total - constant * places
+
+
 def adaptive_threshold(pages: DataFrame, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
     """The ink mask (page_id, y, x): pixels darker than the local mean of the blurred page less a constant. pages: a row each.
 
-    web compares the pixel itself, android the blurred one. Sums are compared, so that nothing is divided.
+    web compares the pixel itself, android the blurred one.
     """
     import pyarrow as pa
 
     def dark(page_id, a):
-        blur = _blurred(a, surface)
-        total, places = _box(blur, radius)
-        y, x = np.nonzero((a if surface == "web" else blur) * places < total - constant * places)
+        y, x = np.nonzero(dark_pixels(a, surface, radius, constant))
         return np.full(len(y), page_id), y, x
 
     return _each_page(pages, dark, [("page_id", pa.int64(), "long"), ("y", pa.int32(), "int"), ("x", pa.int32(), "int")])
@@ -138,24 +143,6 @@ def raster_signature(pixels: DataFrame, value: str = "luma", modulus: int = 1_00
     return with_dims(pixels).groupBy("page_id").agg(F.sum(value).alias("total"), (F.sum(place * F.col(value)) % modulus).alias("checksum"))
 
 
-def suppress_rules(mask: DataFrame, dims: DataFrame, least: int = LEAST_SPAN, share: float = SPAN_SHARE) -> DataFrame:
-    """The mask without unbroken runs of ink as long as a rule; pages whose rules hold over 4/5 of the ink are left alone.
-
-    Runs of both axes are found in the mask as it came.
-    """
-    span = lambda side: F.greatest(F.floor(F.col(side) * share), F.lit(least))
-    sized = mask.join(dims, "page_id")
-
-    def run(window, at: str, *keys: str) -> Column:
-        return F.count("*").over(W.partitionBy("page_id", *keys, f"_{at}"))
-
-    marked = sized.withColumns({"_x": F.col("x") - F.row_number().over(along_row()), "_y": F.col("y") - F.row_number().over(along_column())})
-    hit = (run(along_row(), "x", "y") >= span("width")) | (run(along_column(), "y", "x") >= span("height"))
-    page = W.partitionBy("page_id")
-    judged = marked.withColumn("rule", hit).withColumns({"ink": F.count("*").over(page), "rule_ink": F.sum(F.col("rule").cast("int")).over(page)})
-    return judged.filter(~F.col("rule") | (F.col("rule_ink") * 5 > F.col("ink") * 4)).select("page_id", "y", "x")
-
-
 def rule_ink_guard(mask: DataFrame, kept: DataFrame) -> DataFrame:
     """page_id, ink, rule_ink, abandoned, from a mask and what suppression without the guard kept."""
     both = mask.groupBy("page_id").agg(F.count("*").alias("ink")).join(kept.groupBy("page_id").agg(F.count("*").alias("kept")), "page_id", "left")
@@ -163,22 +150,6 @@ def rule_ink_guard(mask: DataFrame, kept: DataFrame) -> DataFrame:
     return both.select("page_id", "ink", rule.alias("rule_ink"), (rule * 5 > F.col("ink") * 4).alias("abandoned"))
 
 
-def _widened(mask: DataFrame, at: str, size: str, n: int) -> DataFrame:
-    """Each pixel widened by n along an axis. A pixel gives only places that the one before does not reach, so that none comes twice."""
-    before = F.lag(at).over(along_row() if at == "x" else along_column())
-    low = F.greatest(F.col(at) - n, F.coalesce(before + n + 1, F.lit(0)), F.lit(0))
-    ends = mask.withColumns({"_low": low, "_high": F.least(F.col(at) + n, F.col(size) - 1)}).filter("_low <= _high")
-    return ends.withColumn(at, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-
-
-def smear(mask: DataFrame, dims: DataFrame, across: int = 5, down: int = 2) -> DataFrame:
-    """Each ink pixel widened by `across`, then by `down`, inside the page. One shuffle by page serves both axes."""
-    wide = mask.join(dims, "page_id").repartition("page_id")
-    for at, size, n in (("x", "width", across), ("y", "height", down)):
-        wide = _widened(wide, at, size, n) if n else wide
-    return wide.select("page_id", "y", "x")
-
-
 def laplacian_variance(pages: DataFrame, soft_below: float = 100.0) -> DataFrame:
     """page_id, sharpness and soft: population variance of the Laplacian over the interior; 0 for pages under 3 pixels. pages: a row each."""
     import pyarrow as pa

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkfold.operators import lines as L
+from inkfold.operators import masks as M
 from inkfold.operators import raster as R
 from inkfold.sources import files
-from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, pages, png_files, raster, table
+from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, ink, ink_masks, pages, png_files, raster, table
 from inkfold.sources.images import scan_images
 
 QUERIES, ORACLE = {}, {}
@@ -32,7 +33,7 @@ def on_raster(body: str) -> str:
 
 
 def _smeared(spark, sf):
-    return R.smear(ink(spark, sf), dims(spark, sf), across=0)
+    return M.smear(ink_masks(spark, sf), across=0)
 
 
 SMEAR = """,
@@ -74,7 +75,7 @@ def recursive(sql: str) -> str:
 
 
 def _profile(spark, sf):
-    return L.row_profile(_smeared(spark, sf), dims(spark, sf))
+    return M.row_profile(_smeared(spark, sf)).select("page_id", "y", "raw")
 
 
 def _runs(spark, sf):
@@ -83,7 +84,7 @@ def _runs(spark, sf):
 
 
 def _boxes(spark, sf):
-    return L.text_lines(_smeared(spark, sf), dims(spark, sf))
+    return L.text_lines(_smeared(spark, sf))
 
 
 def _every_box(spark, sf):
@@ -173,7 +174,7 @@ g AS (SELECT page_id, count(*) AS ink, count(*) FILTER (rule) AS rule_ink, count
 
 @query("suppress_rules", on_ink(RULES + " SELECT j.page_id, j.y, j.x FROM j JOIN g USING (page_id) WHERE NOT rule OR abandoned"))
 def suppress_rules(spark, sf):
-    return R.suppress_rules(ink(spark, sf), dims(spark, sf), least=3)  # the rasters are eight pixels wide
+    return M.pixels_of(M.suppress_rules(ink_masks(spark, sf), least=3))  # the rasters are eight pixels wide
 
 
 @query("rule_ink_guard", on_ink(RULES + " SELECT * FROM g"))
@@ -192,7 +193,7 @@ def rule_ink_guard(spark, sf):
 b AS (SELECT DISTINCT page_id, y + d AS y, x FROM a, unnest(range(-2, 3)) t(d) WHERE y + d >= 0 AND y + d < height)
 SELECT page_id, count(*) AS n, CAST(sum(y * 8 + x + 1) % 1000003 AS BIGINT) AS checksum FROM b GROUP BY page_id"""))
 def smear(spark, sf):
-    return R.smear(ink(spark, sf), dims(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"), (F.sum(F.col("y").cast("long") * 8 + F.col("x") + 1) % 1000003).alias("checksum"))
+    return M.pixels_of(M.smear(ink_masks(spark, sf))).groupBy("page_id").agg(F.count("*").alias("n"), (F.sum(F.col("y").cast("long") * 8 + F.col("x") + 1) % 1000003).alias("checksum"))
 
 
 @query("laplacian_variance", on_raster("""

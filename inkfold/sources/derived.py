@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.operators.masks import ink_runs
+
 #: Width of the character rasters.
 WIDTH = 8
 #: Ink is darker than this on a character raster.
@@ -64,6 +66,11 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).filter(F.col("luma") < INK_BELOW).select("page_id", "y", "x")
 
 
+def ink_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ink by runs, a row a page."""
+    return ink_runs(pages(spark, sf_dir), INK_BELOW)
+
+
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, width, height) of every raster that has a pixel."""
     n = F.length("text")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import scalars as S
 from inkfold.operators import corpus as K
 from inkfold.operators import lines as L
+from inkfold.operators import masks as M
 from inkfold.operators import raster as R
 
 
@@ -118,11 +119,30 @@ def test_suppress_rules(spark):
         pixels += [(page, y, x) for y, x in every]
     mask = spark.createDataFrame(pixels, "page_id int, y int, x int")
     dims = spark.createDataFrame([(0, 60, 40), (1, 60, 40), (2, 40, 80), (3, 50, 50)], "page_id int, width int, height int")
-    got = R.suppress_rules(mask, dims).collect()
+    masks = M.runs_of(mask, dims)
+    assert sorted(map(tuple, M.pixels_of(masks).collect())) == sorted(pixels)
+    got = M.pixels_of(M.suppress_rules(masks)).collect()
     for page, left in want.items():
         assert {(r.y, r.x) for r in got if r.page_id == page} == left
 
 
+def test_smear_and_profile(spark):
+    """Odd masks by runs: pixels widened by definition, and every row's ink and ends; a page without ink too."""
+    rng = random.Random(1)
+    sizes = {1: (9, 7), 2: (30, 20), 3: (1, 1), 4: (5, 4), 5: (17, 3)}
+    ink = {p: {(rng.randrange(h), rng.randrange(w)) for _ in range(0 if p == 4 else w)} for p, (w, h) in sizes.items()}
+    mask = spark.createDataFrame([(p, y, x) for p, cells in ink.items() for y, x in cells], "page_id int, y int, x int")
+    dims = spark.createDataFrame([(p, w, h) for p, (w, h) in sizes.items()], "page_id int, width int, height int")
+    for across, down in ((5, 2), (0, 2), (1, 0)):
+        wide = {(p, y + d, x + e) for p, cells in ink.items() for y, x in cells for d in range(-down, down + 1) for e in range(-across, across + 1) if 0 <= y + d < sizes[p][1] and 0 <= x + e < sizes[p][0]}
+        masks = M.smear(M.runs_of(mask, dims), across, down)
+        got = [tuple(r) for r in M.pixels_of(masks).collect()]
+        assert sorted(got) == sorted(wide)
+        rows = {(r.page_id, r.y): (r.raw, r.left, r.right) for r in M.row_profile(masks).collect()}
+        xs = {(p, y): sorted(x for q, z, x in wide if (q, z) == (p, y)) for p, (_, h) in sizes.items() for y in range(h)}
+        assert rows == {k: (len(v), v[0] if v else None, v[-1] if v else None) for k, v in xs.items()}
+
+
 def test_orientations_and_levelling(spark):
     page = spark.createDataFrame([(1, y, x, 10 * y + x) for y in range(3) for x in range(2)], "page_id int, y int, x int, luma int")
     grid = lambda df: {(r.y, r.x): r.luma for r in df.collect()}
