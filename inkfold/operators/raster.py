@@ -172,63 +172,105 @@ def contrast_stretch(pixels: DataFrame, least_range: int = 30) -> DataFrame:
     return ranged.withColumn("value", v / F.lit(127.5) - 1).drop("low", "high")
 
 
-def area_downsample(pixels: DataFrame, factor: int = 4) -> DataFrame:
-    """(page_id, y, x, luma, width, height): area-weighted mean over size / factor cells, rounded. Weights are whole numbers."""
-    small = lambda size: F.greatest(F.floor(F.col(size) / factor).cast("int"), F.lit(1))
-    sized = with_dims(pixels).withColumns({"tw": small("width"), "th": small("height")})
+_PAGE = [("page_id", "int64", "long"), ("width", "int32", "int"), ("luma", "list", "array<int>")]
 
-    def cells(at: str, size: str, to: str) -> Column:
-        first = F.floor(F.col(at) * F.col(to) / F.col(size)).cast("int")
-        last = F.floor(((F.col(at) + 1) * F.col(to) - 1) / F.col(size)).cast("int")
-        return F.explode(F.sequence(first, last))
 
-    def overlap(at: str, size: str, to: str, cell: str) -> Column:
-        return (F.least((F.col(at) + 1) * F.col(to), (F.col(cell) + 1) * F.col(size)) - F.greatest(F.col(at) * F.col(to), F.col(cell) * F.col(size))).cast("long")
+def _page_to_page(pages: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(page_id, width, luma) of what `work` makes of each page."""
+    import pyarrow as pa
+
+    kinds = {"int64": pa.int64(), "int32": pa.int32(), "list": pa.list_(pa.int32())}
+
+    def rows(page_id, a):
+        out = work(a)
+        return [page_id], [out.shape[1]], [out.ravel()]
+
+    return _each_page(pages, rows, [(n, kinds[k], s) for n, k, s in _PAGE])
+
+
+def _shrunk(a: np.ndarray, to: int) -> np.ndarray:
+    """Sums over `to` equal parts of the columns, in units of 1 / to of a row: what lies before a part's edge is whole rows and a share of one."""
+    size = len(a)
+    before = np.concatenate([np.zeros((1, a.shape[1]), np.int64), (a * to).cumsum(0)])
+    row, share = np.divmod(np.arange(to + 1) * size, to)
+    edges = before[row] + share[:, None] * a[np.minimum(row, size - 1)]
+    return np.diff(edges, axis=0)
+
+
+def _downsampled(a: np.ndarray, factor: int) -> np.ndarray:
+    height, width = (max(n // factor, 1) for n in a.shape)
+    total, weight = _shrunk(_shrunk(a, height).T, width).T, a.shape[0] * a.shape[1]
+    return np.clip((2 * total + weight) // (2 * weight), 0, 255)
+
+
+def area_downsample(pages: DataFrame, factor: int = 4) -> DataFrame:
+    """(page_id, width, luma): area-weighted mean over size / factor cells, rounded. Weights are whole numbers. pages: a row each."""
+    return _page_to_page(pages, lambda a: _downsampled(a, factor))
+
+
+def half_widths(kernel: int) -> list[int]:
+    """Half the width of a disk of diameter `kernel`, by row from its top."""
+    r = kernel // 2
+    return [int(np.rint(np.sqrt(r * r - dy * dy))) for dy in range(-r, r + 1)]
+
+
+def _dilated(a: np.ndarray, kernel: int) -> np.ndarray:
+    """The largest value under a disk. A row's chord is covered by two windows of a power of two, whose maxima come from a table by doubling: linear in the pixels for each row of the disk."""
+    height, width = a.shape
+    halves = half_widths(kernel)
+    reach = min(max(halves), width)
+    tables = [np.pad(a, ((0, 0), (reach, reach)), constant_values=-1)]  # tables[k][:, i]: maximum of 2^k places from i
+    while 2 << (len(tables) - 1) <= 2 * reach + 1:
+        last, step = tables[-1], 1 << (len(tables) - 1)
+        tables.append(np.maximum(last[:, : last.shape[1] - step], last[:, step:]))
+    out, chords = np.full_like(a, -1), {}
+    for dy, half in zip(range(-(kernel // 2), kernel // 2 + 1), halves, strict=True):
+        if abs(dy) >= height:
+            continue
+        half = min(half, reach)
+        if half not in chords:
+            k = (2 * half + 1).bit_length() - 1
+            first = reach - half
+            second = first + 2 * half + 1 - (1 << k)
+            chords[half] = np.maximum(tables[k][:, first : first + width], tables[k][:, second : second + width])
+        low, high = max(-dy, 0), min(height - dy, height)
+        np.maximum(out[low:high], chords[half][low + dy : high + dy], out=out[low:high])
+    return out
+
+
+def disk_dilate(pages: DataFrame, kernel: int | None = None) -> DataFrame:
+    """(page_id, width, luma): the largest value under a disk; of a background's kernel by the page's height, if none is given. pages: a row each."""
+    return _page_to_page(pages, lambda a: _dilated(a, kernel or background_kernel(len(a))))
+
 
-    spread = sized.withColumn("cy", cells("y", "height", "th")).withColumn("cx", cells("x", "width", "tw"))
-    spread = spread.withColumn("w", overlap("y", "height", "th", "cy") * overlap("x", "width", "tw", "cx"))
-    total = spread.groupBy("page_id", "cy", "cx", "tw", "th").agg(F.sum(F.col("w") * F.col("luma")).alias("v"), F.sum("w").alias("w"))
-    mean = F.floor((2 * F.col("v") + F.col("w")) / (2 * F.col("w"))).cast("int")
-    return total.select("page_id", F.col("cy").alias("y"), F.col("cx").alias("x"), F.least(F.greatest(mean, F.lit(0)), F.lit(255)).alias("luma"), F.col("tw").alias("width"), F.col("th").alias("height"))
+def background_kernel(height: int) -> int:
+    """kernel_size of one page."""
+    return max(height // 4 | 1, 7)
 
 
-def half_width(kernel: Column, dy: Column) -> Column:
-    """Half the width of a disk of diameter `kernel` in the row `dy` from its middle."""
-    r = F.floor(kernel / 2)
-    return F.rint(F.sqrt((r * r - dy * dy).cast("double"))).cast("int")
+def _between(size: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both neighbours of each of `size` places among `to`, and the second one's weight of 2 * size."""
+    place = np.maximum((2 * np.arange(size) + 1) * to - size, 0)
+    low = np.minimum(place // (2 * size), to - 1)
+    return low, np.minimum(low + 1, to - 1), place - low * 2 * size
 
 
-def disk_dilate(pixels: DataFrame, kernel: Column) -> DataFrame:
-    """(page_id, y, x, luma, width, height): the largest value under a disk. pixels carry width and height."""
-    sized = pixels.withColumn("r", F.floor(kernel / 2).cast("int")).withColumn("k", kernel)
-    rows = sized.withColumn("dy", F.explode(F.sequence(-F.col("r"), F.col("r")))).withColumn("half", half_width(F.col("k"), F.col("dy")))
-    rows = rows.withColumn("dx", F.explode(F.sequence(-F.col("half"), F.col("half"))))
-    moved = rows.withColumns({"y": F.col("y") + F.col("dy"), "x": F.col("x") + F.col("dx")}).filter("y >= 0 and y < height and x >= 0 and x < width")
-    return moved.groupBy("page_id", "y", "x", "width", "height").agg(F.max("luma").alias("luma"))
+def _levelled(a: np.ndarray) -> np.ndarray:
+    small = _downsampled(a, 4)
+    back = _dilated(small, background_kernel(len(small)))
+    for size in a.shape:  # down, then across
+        low, high, part = _between(size, len(back))
+        back = (back[low] * (2 * size - part)[:, None] + back[high] * part[:, None]).T
+    weight = 4 * a.shape[0] * a.shape[1]
+    return np.minimum(a * 255 * weight // np.maximum(back, weight), 255)
 
 
-def level_background(pixels: DataFrame) -> DataFrame:
-    """(page_id, y, x, luma): each pixel over its background, x 255, cut to a byte.
+def level_background(pages: DataFrame) -> DataFrame:
+    """(page_id, width, luma): each pixel over its background, x 255, cut to a byte. pages: a row each.
 
-    The background is a downsampled page, dilated by a disk, read back by linear interpolation on both axes.
+    The background is a downsampled page, dilated by a disk, read back by linear interpolation, one axis after the other.
     """
-    small = area_downsample(pixels)
-    back = disk_dilate(small, kernel_size(F.col("height"))).select("page_id", F.col("y").alias("by"), F.col("x").alias("bx"), "luma")
-    sized = with_dims(pixels).withColumns({"tw": F.greatest(F.floor(F.col("width") / 4).cast("int"), F.lit(1)), "th": F.greatest(F.floor(F.col("height") / 4).cast("int"), F.lit(1))})
-
-    def corners(at: str, size: str, to: str) -> Column:
-        """Both neighbours with whole-number weights of unit 2 * size."""
-        place = F.greatest((2 * F.col(at) + 1) * F.col(to) - F.col(size), F.lit(0))
-        low = F.least(F.floor(place / (2 * F.col(size))).cast("int"), F.col(to) - 1)
-        part = place - low * 2 * F.col(size)
-        high = F.least(low + 1, F.col(to) - 1)
-        return F.array(F.struct(low.alias("at"), (2 * F.col(size) - part).cast("long").alias("w")), F.struct(high.alias("at"), part.cast("long").alias("w")))
-
-    four = sized.withColumn("v", F.explode(corners("y", "height", "th"))).withColumn("h", F.explode(corners("x", "width", "tw")))
-    four = four.select("page_id", "y", "x", F.col("luma").alias("own"), F.col("v.at").alias("by"), F.col("h.at").alias("bx"), (F.col("v.w") * F.col("h.w")).alias("w"))
-    over = four.join(back, ["page_id", "by", "bx"]).groupBy("page_id", "y", "x", "own").agg(F.sum(F.col("w") * F.col("luma")).alias("v"), F.sum("w").alias("w"))
-    level = F.floor(F.col("own") * 255 * F.col("w") / F.greatest("v", "w"))
-    return over.select("page_id", "y", "x", F.least(level, F.lit(255)).cast("int").alias("luma"))
+    return _page_to_page(pages, _levelled)
 
 
 #: Clockwise turns and the eight EXIF orientations as (swap axes, flip y, flip x), after the swap.

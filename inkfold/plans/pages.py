@@ -222,14 +222,21 @@ z AS (SELECT k.page_id, k.y + dy AS y, k.x, k.luma, height, round_even(sqrt(r *
 disk AS (SELECT page_id, y, x, max(luma) AS luma, 2 AS width, height FROM (SELECT page_id, y, luma, height, x + unnest(range(-half, half + 1)) AS x FROM z) WHERE x >= 0 AND x < 2 GROUP BY page_id, y, x, height)"""
 
 
+def _sized(found):
+    """Pixels of pages, with the sizes of these."""
+    height = (F.size("luma") / F.col("width")).cast("int")
+    cells = found.select("page_id", "width", height.alias("height"), F.posexplode("luma").alias("p", "luma"))
+    return cells.select("page_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), "luma", "width", "height")
+
+
 @query("area_downsample", on_raster(SMALL + " SELECT * FROM small"))
 def area_downsample(spark, sf):
-    return R.area_downsample(raster(spark, sf))
+    return _sized(R.area_downsample(pages(spark, sf)))
 
 
 @query("disk_dilate", on_raster(DISK + " SELECT * FROM disk"))
 def disk_dilate(spark, sf):
-    return R.disk_dilate(R.area_downsample(raster(spark, sf)), R.kernel_size(F.col("height"))).select("page_id", "y", "x", "luma", "width", "height")
+    return _sized(R.disk_dilate(R.area_downsample(pages(spark, sf))))
 
 
 @query("level_background", on_raster(DISK + """,
@@ -240,7 +247,8 @@ four AS (SELECT page_id, y, x, own, unnest([ly, ly, least(ly + 1, th - 1), least
 level AS (SELECT f.page_id, f.y, f.x, own, sum(w * d.luma) AS v, sum(w) AS w FROM four f JOIN disk d ON d.page_id = f.page_id AND d.y = by_ AND d.x = bx GROUP BY ALL)
 SELECT page_id, count(*) AS n, CAST(sum(least(own * 255 * w // greatest(v, w), 255)) AS BIGINT) AS total FROM level GROUP BY page_id"""))
 def level_background(spark, sf):
-    return R.level_background(raster(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"), F.sum("luma").alias("total"))
+    found = R.level_background(pages(spark, sf))
+    return found.select("page_id", F.size("luma").cast("long").alias("n"), F.aggregate("luma", F.lit(0).cast("long"), lambda total, v: total + v).alias("total"))
 
 
 @query("crop_columns", on_raster("""

@@ -29,12 +29,21 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, width, luma) of the same rasters, a row a page."""
-    n = F.length("text")
-    docs = table(spark, sf_dir, "documents").filter(n > 0)
-    letters = F.split(F.rpad("text", (F.ceil(n / WIDTH) * WIDTH).cast("int"), F.lit(" ")), "")
-    luma = F.transform(letters, lambda ch: ((F.ascii(ch) * 37 + 11) % 256).cast("int"))
-    return docs.select(F.col("doc_id").alias("page_id"), F.lit(WIDTH).alias("width"), luma.alias("luma"))
+    """(page_id, width, luma) of the same rasters, a row a page. Documents are dealt out to all cores first: work on pages is long for their bytes."""
+
+    def rows(it):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in it:
+            for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32).astype(np.int64)
+                luma = (np.pad(codes, (0, -len(codes) % WIDTH), constant_values=ord(" ")) * 37 + 11) % 256
+                lists = pa.ListArray.from_arrays(pa.array([0, len(luma)], pa.int32()), pa.array(luma.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([WIDTH], pa.int32()), lists], ["page_id", "width", "luma"])
+
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", "text")
+    return docs.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(rows, "page_id long, width int, luma array<int>")
 
 
 def png_files(spark: SparkSession, sf_dir: str) -> DataFrame:

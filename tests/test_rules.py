@@ -149,7 +149,24 @@ def test_orientations_and_levelling(spark):
     assert grid(R.orient(page, R.TURNS[90])) == {(0, 0): 20, (0, 1): 10, (0, 2): 0, (1, 0): 21, (1, 1): 11, (1, 2): 1}
     assert grid(R.orient(R.orient(page, R.TURNS[90]), R.TURNS[270])) == grid(page)
     flat = spark.createDataFrame([(1, y, x, 80) for y in range(20) for x in range(16)], "page_id int, y int, x int, luma int")
-    assert set(grid(R.level_background(flat)).values()) == {255}
+    assert set(grid(R.pixels_of(R.level_background(R.pages_of(flat)))).values()) == {255}
+
+
+def test_dilation(spark):
+    """Disks of any size on pages of any shape, by definition, and one of 251 rows on a large page."""
+    rng = random.Random(6)
+    sizes = {1: (1, 1), 2: (5, 3), 3: (17, 9), 4: (3, 20), 5: (12, 12)}
+    shade = {p: [[rng.randrange(256) for _ in range(w)] for _ in range(h)] for p, (w, h) in sizes.items()}
+    pages = spark.createDataFrame([(p, sizes[p][0], [v for row in rows for v in row]) for p, rows in shade.items()], "page_id long, width int, luma array<int>")
+    for kernel in (1, 3, 7, 11, 31):
+        r = kernel // 2
+        disk = [(dy, dx) for dy in range(-r, r + 1) for half in [round((r * r - dy * dy) ** 0.5)] for dx in range(-half, half + 1)]
+        got = {r_.page_id: list(r_.luma) for r_ in R.disk_dilate(pages, kernel).collect()}
+        for p, (w, h) in sizes.items():
+            want = [max(shade[p][y + dy][x + dx] for dy, dx in disk if 0 <= y + dy < h and 0 <= x + dx < w) for y in range(h) for x in range(w)]
+            assert got[p] == want
+    large = spark.range(1).select(F.col("id").alias("page_id"), F.lit(1000).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1_399_999)), lambda i: (i % 251).cast("int")).alias("luma"))
+    assert R.disk_dilate(large, 251).select(F.size("luma").alias("n"), F.array_max("luma").alias("most")).first() == (1_400_000, 250)
 
 
 def test_scalars(spark):
