@@ -17,7 +17,7 @@ texts; a match starts where a run starts or where the match before ended, as a l
 pieces of PIECE, so that texts of many matches stay near linear too.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; null ids and repeated rows are each reported, but train once or not at all;
-very long texts are read whole; candidates of equal score are selected or left together; without candidates in the sample only base spans are selected;
+very long texts are read whole, and texts of many matches too, in near linear time; candidates of equal score are selected or left together; without candidates in the sample only base spans are selected;
 an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
@@ -135,17 +135,51 @@ def _spans(found: Column, parts: Column, kind: str) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and, in `spans`, every generator's candidates; a digit run inside a secret or phone is also a card candidate."""
+def candidates(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """The column `keep` (not text, nor a generator's name) and, in `spans`, every generator's candidates; a digit run inside a secret or phone is also a card candidate."""
     text = F.coalesce("text", F.lit(""))
     cut = {}
     for kind, (pattern, core) in GENERATORS.items():
         has = F.col("text").contains(core) if len(core) == 1 else F.col("text").rlike(core)
         # one column for each, so that both are made once and only where the core is
         cut[kind] = F.when(has, F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern, -1).alias("parts")))
-    matched = docs.select("doc_id", text.alias("text")).select("doc_id", *[c.alias(k) for k, c in cut.items()])
+    matched = docs.select(keep, text.alias("text")).select(keep, *[c.alias(k) for k, c in cut.items()])
     each = [F.when(F.col(k).isNotNull(), _spans(F.col(f"{k}.found"), F.col(f"{k}.parts"), k)).otherwise(F.array().cast(_NO_SPANS)) for k in GENERATORS]
-    return matched.select("doc_id", F.concat(*each).alias("spans"))
+    return matched.select(keep, F.concat(*each).alias("spans"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _before(rows: Column, first: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of int: what `step` has made of the rows before each one, from `first` on. Gathered in pieces, so that it stays near linear."""
+    none = F.array().cast("array<int>")
+
+    def fold(acc: Column, row: Column) -> Column:
+        full = F.size(acc["out"]) == PIECE
+        out = F.concat(F.when(full, none).otherwise(acc["out"]), F.array(acc["v"]))
+        pieces = F.when(full, F.concat(acc["pieces"], F.array(acc["out"]))).otherwise(acc["pieces"])
+        return F.struct(step(acc["v"], row).cast("int").alias("v"), pieces.alias("pieces"), out.alias("out"))
+
+    zero = F.struct(F.lit(first).alias("v"), F.array().cast("array<array<int>>").alias("pieces"), none.alias("out"))
+    return F.aggregate(rows, zero, fold, lambda acc: F.flatten(F.concat(acc["pieces"], F.array(acc["out"]))))
+
+
+def _apart(chosen: Column, base: Column) -> Column:
+    """The chosen spans that overlap no base span, by start: one sweep over both from the left and one from the right."""
+    mark = lambda spans, added: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(added).alias("added"), s["end"].alias("end"), s["kind"].alias("kind")))
+    ends = lambda rows: _before(rows, 0, lambda v, s: F.when(s["added"], v).otherwise(F.greatest(v, s["end"])))
+    starts = lambda rows: F.reverse(_before(F.reverse(rows), (1 << 31) - 1, lambda v, s: F.when(s["added"], v).otherwise(s["start"])))
+
+    def free(t: Column) -> Column:
+        kept = F.filter(t["rows"], lambda s, i: s["added"] & (F.get(t["ends"], i) <= s["start"]) & (F.get(t["starts"], i) >= s["end"]))
+        return F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    both = F.sort_array(F.concat(mark(base, False), mark(chosen, True)))
+    swept = _let(both, lambda rows: _let(F.struct(rows.alias("rows"), ends(rows).alias("ends"), starts(rows).alias("starts")), free))
+    return F.when((F.size(base) > 0) & (F.size(chosen) > 0), swept).otherwise(chosen)
 
 
 class Tree:
@@ -230,35 +264,58 @@ def fit(docs: DataFrame) -> tuple[list[Tree], float]:
     return trees, float(threshold(np.round(score, 9), y[held], w[held]))
 
 
-def find(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
-    """doc_id, base and added: arrays of (kind, start, end), code points, end exclusive, by kind, then start.
+def find(docs: DataFrame, model: tuple[list[Tree], float] | None = None, keep: str = "doc_id") -> DataFrame:
+    """The column `keep`, base and added: arrays of (kind, start, end), code points, end exclusive, by kind, then start.
 
     Added spans are the selected candidates that overlap no base span.
     """
     trees, least = fit(docs) if model is None else model
-    found = candidates(docs)
+    found = candidates(docs, keep)
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.transform(F.filter("spans", lambda s: s["ok"]), plain)
     if not trees or least == math.inf:
-        return found.select("doc_id", base.alias("base"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("added"))
+        return found.select(keep, base.alias("base"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("added"))
     score: Callable[[Column], Column] = lambda s: F.round(sum((t.column(s["features"]) for t in trees[1:]), trees[0].column(s["features"])), 9)
-    chosen = F.filter("spans", lambda s: ~s["ok"] & s["kind"].isin(*ADDED) & (score(s) >= F.lit(least)))
-    free = F.filter(F.transform(chosen, plain), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rank = lambda s: F.array_position(F.array(*map(F.lit, ADDED)), s["kind"])
-    ordered = F.array_sort(free, lambda a, b: F.when((rank(a) < rank(b)) | ((rank(a) == rank(b)) & (a["start"] < b["start"])), -1).otherwise(1))
-    return found.withColumn("base", base).select("doc_id", "base", ordered.alias("added"))
+    chosen = F.transform(F.filter("spans", lambda s: ~s["ok"] & s["kind"].isin(*ADDED) & (score(s) >= F.lit(least))), plain)
+    free = _apart(F.col("chosen"), F.col("base"))
+    of = lambda kind: lambda s: s["kind"] == kind
+    ordered = F.concat(*[F.sort_array(F.filter("free", of(kind))) for kind in ADDED])  # of one kind: by start
+    return found.withColumns({"base": base, "chosen": chosen}).withColumn("free", free).select(keep, "base", ordered.alias("added"))
+
+
+#: Code points of a piece of a text, so that a place in a long one is found without reading it from its start.
+CHUNK = 4096
 
 
 def redact(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
-    """doc_id and text with every selected span replaced by its kind in brackets; null texts stay null."""
-    spans = find(docs, model).select("doc_id", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("spans"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"), acc["text"].alias("text")),
-    ).otherwise(acc)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col("text").alias("text"))
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
-    return docs.select("doc_id", "text").join(spans.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce(done, "text")).alias("text"))
+    """doc_id and text with every selected span replaced by its kind in brackets; null texts stay null. A row for each row, whatever its id.
+
+    Of spans that overlap, the first (the longest, if they start together) is replaced, then what is left of the others; so no letter of a span stays.
+    """
+    if model is None:
+        model = fit(docs)
+    own = docs.select(F.struct(F.col("doc_id"), F.col("text")).alias("own"), "text")
+    sort = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = find(own, model, "own").select("own", sort.alias("spans"))
+    reach = _before(F.col("spans"), 0, lambda v, s: F.greatest(v, s["end"]))
+    text = F.col("own.text")
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def part(chunks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+        whole = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(whole, start - first * CHUNK + 1, end - start)).otherwise("")
+
+    def done(t: Column) -> Column:
+        def replaced(s: Column, i: Column) -> Column:
+            at = F.get(t["reach"], i)
+            return F.when(s["end"] > at, F.concat(part(t["chunks"], at, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+        last = F.array_max(F.transform(t["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(t["spans"], replaced), ""), part(t["chunks"], last, F.length(text)))
+
+    cut = F.struct(F.col("spans").alias("spans"), reach.alias("reach"), chunks.alias("chunks"))
+    return spans.select("own.doc_id", F.when(F.size("spans") > 0, _let(cut, done)).otherwise(text).alias("text"))
 
 
 def report(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
