@@ -179,6 +179,15 @@ SQL_FUNCTIONS = {
     "ink_path_tag": ("path STRING", "STRING", "left(sha2(path, 256), 8)"),
     "ink_upload_route": ("category STRING", "STRING", "CASE WHEN category IN ('contribution', 'contribute') THEN 'contribution' ELSE 'feedback' END"),
     "ink_translate_fallback": ("value STRING, english STRING", "STRING", "coalesce(nullif(value, ''), nullif(english, ''), '')"),
+    "ink_header_safe": ("value STRING", "STRING", "replace(replace(replace(value, chr(13), ''), chr(10), ''), chr(34), chr(39))"),
+    "ink_xml_escape": ("text STRING", "STRING", "replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), concat(chr(92), chr(39))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n'))"),
+    "ink_transcription_name": ("name STRING, text_only BOOLEAN", "STRING", "concat(regexp_replace(name, '(?<=.)[.][^.]*$', ''), CASE WHEN text_only THEN '.txt' ELSE '-transcription.txt' END)"),
+    "ink_sync_badge": ("synced BOOLEAN, attempts BIGINT", "STRING", "CASE WHEN synced THEN 'synced' WHEN attempts >= 5 THEN 'failed' ELSE 'pending' END"),
+    "ink_luma": ("r DOUBLE, g DOUBLE, b DOUBLE", "DOUBLE", "0.299D * r + 0.587D * g + 0.114D * b"),
+    "ink_invert": ("v INT, dark BOOLEAN", "INT", "CASE WHEN dark THEN 255 - v ELSE v END"),
+    "ink_kernel_size": ("height INT", "INT", "greatest(CAST(floor(height / 4) AS INT) | 1, 7)"),
+    "ink_corner_patch": ("side INT", "INT", "greatest(CAST(floor(side / 10) AS INT), 3)"),
+    "ink_scaled_width": ("width INT, height INT", "INT", "CAST(least(floor(width * 160 / height), 1024) AS INT)"),
     "ink_sanitize_filename": ("name STRING", "STRING", "left(regexp_replace(replace(name, '..', ''), '[^a-zA-Z0-9.-]', '_'), 100)"),
 }
 

@@ -243,9 +243,19 @@ LINE_ASPECT, LINE_CEILING = 4, 320
 
 
 def choose_mode(kind: Column, width: Column, height: Column) -> Column:
-    """line for an image under LINE_CEILING rows that is at least LINE_ASPECT times as wide as high, else page. sparse is never chosen, only asked for."""
-    line = (kind == "image") & (width > 0) & (height > 0) & (height < LINE_CEILING) & (width >= LINE_ASPECT * height)
-    return F.when(F.coalesce(line, F.lit(False)), "line").otherwise("page")
+    """sparse for a camera capture, whatever its shape; line for an image or a scan under LINE_CEILING rows that is at least LINE_ASPECT times as wide as high; else page. kind: pdf, image, scan or camera."""
+    line = kind.isin("image", "scan") & (width > 0) & (height > 0) & (height < LINE_CEILING) & (width >= LINE_ASPECT * height)
+    return F.when(kind == "camera", "sparse").when(F.coalesce(line, F.lit(False)), "line").otherwise("page")
+
+
+def result_record(results: DataFrame) -> DataFrame:
+    """(input, json): the line of each input's result. results: input, kind, mode, stem, pages (how many were written), expected_pages, failed_pages (array).
+
+    A PDF says too how many pages it has (null: unknown) and which could not be read, so that a part is told from the whole; other inputs have neither.
+    """
+    own = [F.col(c) for c in ("input", "mode", "pages", "stem")]
+    book = F.to_json(F.struct("expected_pages", F.coalesce(F.array_sort("failed_pages"), F.array().cast("array<int>")).alias("failed_pages"), *own), {"ignoreNullFields": "false"})
+    return results.select("input", F.when(F.col("kind") == "pdf", book).otherwise(F.to_json(F.struct(*own))).alias("json"))
 
 
 def mode_reason(kind: Column, path: Column, width: Column, height: Column) -> Column:

@@ -190,9 +190,9 @@ def skip_report(spark, sf):
     return K.skip_report(paths(spark, sf).filter(F.col("path").endswith(".txt")).select("path"))
 
 
-@query("choose_mode", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' AND l_partkey > 0 AND l_suppkey > 0 AND l_suppkey * 9 < 320 AND l_partkey >= 36 * l_suppkey THEN 'line' ELSE 'page' END AS mode FROM lineitem")
+@query("choose_mode", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'sparse' WHEN l_returnflag <> 'R' AND l_partkey > 0 AND l_suppkey > 0 AND l_suppkey * 9 < 320 AND l_partkey >= 36 * l_suppkey THEN 'line' ELSE 'page' END AS mode FROM lineitem")
 def choose_mode(spark, sf):
-    kind = F.when(F.col("l_returnflag") == "R", "pdf").otherwise("image")
+    kind = F.when(F.col("l_returnflag") == "R", "pdf").when(F.col("l_returnflag") == "A", "camera").when(F.col("l_linenumber") % 2 == 0, "scan").otherwise("image")
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.choose_mode(kind, F.col("l_partkey"), F.col("l_suppkey") * 9).alias("mode"))
 
 
@@ -215,10 +215,21 @@ def density_ratio(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", K.density_ratio(mode).alias("web"), K.density_ratio(mode, "cli").alias("cli"))
 
 
-@query("result_json", LINES_SQL + """ SELECT doc, CAST(to_json({'input': doc, 'pages': count(DISTINCT page), 'failed': count(*) FILTER (state = 'failed')}) AS VARCHAR) AS json FROM lines GROUP BY doc""")
+@query("result_json", LINES_SQL + """,
+p AS (SELECT doc, page, bool_or(state = 'failed') AS failed FROM lines GROUP BY doc, page),
+d AS (SELECT doc, concat('in/book ', doc) AS input, CASE WHEN doc % 2 = 0 THEN 'page' ELSE 'sparse' END AS mode, concat('book_', doc) AS stem, count(*) FILTER (NOT failed) AS pages,
+  CASE WHEN doc % 5 <> 0 THEN count(*) END AS expected, coalesce(list_sort(list(page + 1) FILTER (failed)), []) AS failed FROM p GROUP BY doc)
+SELECT input, CAST(CASE WHEN doc % 3 <> 0 THEN to_json({'expected_pages': expected, 'failed_pages': failed, 'input': input, 'mode': mode, 'pages': pages, 'stem': stem})
+  ELSE to_json({'input': input, 'mode': mode, 'pages': pages, 'stem': stem}) END AS VARCHAR) AS json FROM d""")
 def result_json(spark, sf):
-    out = lines(spark, sf).groupBy("doc").agg(F.count_distinct("page").alias("pages"), F.count_if(F.col("state") == "failed").alias("failed"))
-    return out.select("doc", F.to_json(F.struct(F.col("doc").alias("input"), "pages", "failed", F.lit(None).cast("string").alias("error"))).alias("json"))
+    read = lines(spark, sf).groupBy("doc", "page").agg(F.bool_or(F.col("state") == "failed").alias("failed"))
+    n = F.col("page").cast("int") + 1
+    docs = read.groupBy("doc").agg(F.count_if(~F.col("failed")).alias("pages"), F.count("*").alias("expected"), F.collect_list(F.when(F.col("failed"), n)).alias("failed_pages"))
+    mode = F.when(F.col("doc") % 2 == 0, "page").otherwise("sparse")
+    return K.result_record(docs.select(
+        F.concat(F.lit("in/book "), F.col("doc").cast("string")).alias("input"), F.when(F.col("doc") % 3 != 0, "pdf").otherwise("image").alias("kind"), mode.alias("mode"),
+        F.concat(F.lit("book_"), F.col("doc").cast("string")).alias("stem"), "pages", F.when(F.col("doc") % 5 != 0, F.col("expected")).alias("expected_pages"), "failed_pages",
+    ))
 
 
 # --- contributions

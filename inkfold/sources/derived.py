@@ -164,7 +164,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(d % 11 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select(
         d.alias("id"), F.when(d % 13 == 0, "not-a-uuid").when(d % 29 == 0, "").otherwise(uuid).alias("record_id"),
-        F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), F.lit("/.."), d.cast("string"), F.lit(".png")).alias("name"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit("/.."), d.cast("string"), F.lit(".png")).alias("name"),
         kind.alias("type"), F.when(d % 17 == 0, F.lit(0)).otherwise(F.coalesce("n_chars", F.lit(0)) * 6007).cast("long").alias("size"),
         F.when(d % 11 == 0, F.lit(b"")).otherwise(F.concat(F.unhex(magic), body.cast("binary"))).alias("content"), (d % 19 != 0).alias("origin_ok"),
     )
@@ -173,7 +173,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPLOADS_SQL = """
 uploads AS (SELECT doc_id AS id,
   CASE WHEN doc_id % 13 = 0 THEN 'not-a-uuid' WHEN doc_id % 29 = 0 THEN '' ELSE concat(m[1:8], '-', m[9:12], '-', m[13:16], '-', m[17:20], '-', m[21:32]) END AS record_id,
-  concat(substring(coalesce(text, ''), 1, 40), '/..', doc_id, '.png') AS name,
+  concat(coalesce(text, ''), '/..', doc_id, '.png') AS name,
   ['image/jpeg', 'image/png', 'image/webp', 'application/pdf', 'text/plain', 'video/mp4', 'image/jpeg'][doc_id % 7 + 1] AS type,
   CASE WHEN doc_id % 17 = 0 THEN 0 ELSE coalesce(n_chars, 0) * 6007 END AS size,
   CASE WHEN doc_id % 11 = 0 THEN ''::BLOB ELSE unhex(['FFD8FFE0', '89504E470D0A1A0A', '52494646AAAAAAAA57454250', '255044462D312E37', '', '00FF00FE'][doc_id % 6 + 1]) || encode(coalesce(text, '')) END AS content,

@@ -258,6 +258,21 @@ def test_pages_and_pixels(spark):
     assert R.adaptive_threshold(pages.limit(0)).collect() == [] and R.laplacian_variance(pages.limit(0)).collect() == []
 
 
+def test_sql_functions_are_the_columns(spark):
+    """The SQL functions give what the column rules give."""
+    S.register_sql_functions(spark)
+    rows = spark.createDataFrame([("a<b>&'\"\n.png", 7, True), (".hidden", 403, False), ("x.tar.gz\r\n", 0, False), ("plain", 40, True)], "s string, n int, b boolean")
+    n, s, b = F.col("n"), F.col("s"), F.col("b")
+    pairs = {
+        "ink_header_safe(s)": S.header_safe(s), "ink_xml_escape(s)": S.xml_escape(s), "ink_transcription_name(s, b)": S.transcription_name(s, b), "ink_sync_badge(b, n)": S.sync_badge("ios", b, b, s, n),
+        "ink_luma(n, n + 1, 9)": R.luma(n, n + 1, F.lit(9)), "ink_invert(n, b)": R.invert(n, b), "ink_kernel_size(n)": R.kernel_size(n), "ink_corner_patch(n)": R.corner_patch(n),
+        "ink_scaled_width(n, 9)": L.scaled_width(n, F.lit(9)), "ink_path_tag(s)": S.path_tag(s), "ink_percent(n, 40)": S.percent(n, F.lit(40)), "ink_page_filename(n)": S.page_filename(n),
+        "ink_sanitize_filename(s)": S.sanitize_filename(s), "ink_upload_route(s)": S.upload_route(s), "ink_format_megabytes(n * 99999)": S.format_megabytes(n * 99999),
+    }
+    got = rows.select(*[F.expr(sql).eqNullSafe(column).alias(sql) for sql, column in pairs.items()]).collect()
+    assert all(all(r) for r in got), [r.asDict() for r in got]
+
+
 def test_long_contents_and_cut_characters(spark):
     import hashlib
     import struct
