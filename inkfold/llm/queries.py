@@ -196,8 +196,8 @@ OP12_SQL = (
     r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
-win AS (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w),
-found AS (SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(ws[i:i+4], ' ')) AS n FROM win),
+win AS (SELECT k, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS g FROM w),
+found AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win),
 rep AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM found WHERE n > 1) GROUP BY k),
 m AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
