@@ -9,6 +9,8 @@ one they share is among the rest of both. What many documents share, as a common
 a document with too few shared lists has none left. Pairs that meet have their collisions counted over all
 coordinates; pairs with MATCHES are confirmed on their full sets, each document with its best partner first.
 
+Joins by list or text deal a long list, or a text with many copies, to several tasks (`_dealt`).
+
 No list is expanded into all its pairs. Each list links its members to its smallest one, which joins groups of
 copies in a pass. Lists whose members are then in one component are done. What the others hold is dealt
 with once, in families (components that meet in a list), whole sets side by side: a family is cut into blocks by
@@ -41,6 +43,8 @@ from inkfold.llm.common import BROADCAST_ROWS, Scratch, near_by, worker_cache
 WORDS, COORDINATES, PREFIX, COLLIDE, MATCHES = 5, 128, 32, 12, 75
 SIMILAR = (75, 100)
 BLOCK, BLOCK_SHINGLES, COLUMNS, TABLE_WORDS = 2048, 500_000, 4096, 100_000
+#: Keys of up to so many rows are joined in one task.
+LONG = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -130,20 +134,36 @@ def _postings(nodes: DataFrame, minima: str) -> DataFrame:
     return nodes.select("node", minima).mapInArrow(rows, "list long, node long")
 
 
-def _shared(posted: DataFrame) -> DataFrame:
-    """(list, node, n, least): postings of lists of more than one node, with a list's length and smallest node."""
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    return posted.join(sizes, "list")
+def _dealt(rows: DataFrame, key: str, spread: str, found: DataFrame, counted: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with found (key, n and more; n rows have the key) by key, where a long key's rows are dealt to several tasks by the column `spread`.
+
+    counted (saved) has key and n of all in found. A key is long from LONG rows and a BROADCAST_ROWS-th part of the `total` rows on: so at most BROADCAST_ROWS
+    keys are long, whatever the input, and they alone are broadcast. Rows of a null key, which meet nothing, are dealt too.
+    """
+    bound = max(LONG, -(-total // BROADCAST_ROWS))
+    parts = F.ceil(F.col("n") / bound).cast("long")
+    long = counted.filter(F.col("n") > bound).select(key, parts.alias("_parts"))
+    at = F.xxhash64(spread)
+    part = F.when(F.col(key).isNull(), at).otherwise(F.pmod(at, F.coalesce("_parts", F.lit(1).cast("long"))))
+    salted = rows.join(F.broadcast(long), key, "left").withColumn("_part", part).drop("_parts")
+    copies = found.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return salted.join(copies, [key, "_part"], how).drop("_part")
+
 
+def _shared(posted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(list, node, n, least): postings (saved) of lists of more than one node, with a list's length and smallest node."""
+    sizes = scratch.save(posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"), name)
+    return _dealt(posted, "list", "node", sizes, sizes, posted.count())
 
-def _skipped(shared: DataFrame) -> DataFrame:
-    """(list, node, least) without each node's MATCHES - 1 longest lists."""
+
+def _skipped(shared: DataFrame, matches: int) -> DataFrame:
+    """(list, node, least) without each node's matches - 1 longest lists."""
     order = W.partitionBy("node").orderBy(F.col("n").desc(), "list")
-    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= MATCHES).select("list", "node", "least")
+    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= matches).select("list", "node", "least")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, equal) of the pairs with MATCHES collisions over all coordinates and sets of like size."""
+def _likely(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """(a, b, equal) of the pairs with so many collisions over all coordinates and sets of like size."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("marks").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter(low * SIMILAR[1] >= high * SIMILAR[0])
@@ -152,7 +172,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in it:
             a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in batch.columns[2:])
             equal = (a == b).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= MATCHES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int32))], ["a", "b", "equal"]).filter(pa.array(equal >= matches))
 
     return met.select("a", "b", "s_a", "s_b").mapInArrow(agree, "a long, b long, equal int")
 
@@ -220,8 +240,10 @@ def _extended(links: DataFrame, of: DataFrame, likely: DataFrame, docs: DataFram
 def _families(lists: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, component, family) of what lists with several components hold; None if there are none."""
     named = lists.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "low")
-    members = scratch.save(named.join(mixed, "list").select("node", "component", "low").distinct(), "members")
+    ends = named.groupBy("list").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = scratch.save(ends.filter("low <> high").select("list", "n", "low"), "mixed")
+    members = scratch.save(_dealt(named, "list", "node", mixed, mixed, lists.count()).select("node", "component", "low").distinct(), "members")
+    scratch.drop("mixed")
     ties = members.filter("low <> component").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
     if ties.isEmpty():
         return None
@@ -351,24 +373,34 @@ def _between(blocks: DataFrame) -> DataFrame:
     return met.select("members", "members2").mapInArrow(rows, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each input row."""
+def near_duplicates(docs: DataFrame, matches: int = MATCHES, collide: int = COLLIDE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each input row.
+
+    matches=1, collide=0 is the exact way: all documents are posted under every coordinate, no list is skipped, and what meets in any list is
+    compared by full sets. A link is lost then only if no coordinate of 128 is equal (4 ** -128 at a similarity of 0.75).
+    """
+    if not 1 <= matches <= COORDINATES or not 0 <= collide <= PREFIX:
+        raise ValueError(f"matches is from 1 to {COORDINATES}, collide from 0 to {PREFIX}")
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(_signatures(docs), "signed")
     full = signed.filter("twin is not null and doc_id is not null")
-    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.save(full.groupBy("twin").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     first = full.join(classes, (full["doc_id"] == classes["node"]) & (full["twin"] == classes["twin"])).select("node", "heads")
 
-    heads = scratch.save(_postings(first, "heads"), "heads")
-    met = scratch.save(_shared(heads).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= COLLIDE).select("node"), "met")
+    if collide:
+        heads = scratch.save(_postings(first, "heads"), "heads")
+        met = scratch.save(_shared(heads, scratch, "head-sizes").groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= collide).select("node"), "met")
+        scratch.drop("heads", "head-sizes")
+    else:
+        met = classes.select("node")
     own = full.join(near_by(met), full["doc_id"] == met["node"]).groupBy("node").agg(F.min_by(F.struct("signature", "marks", "n_shingles"), "twin").alias("own"))
     nodes = scratch.save(own.select("node", "own.*"), "nodes")
     posted = scratch.save(_postings(nodes, "signature"), "posted")
-    lists = scratch.save(_skipped(_shared(posted)), "lists")
-    scratch.drop("heads", "posted")
+    lists = scratch.save(_skipped(_shared(posted, scratch, "sizes"), matches), "lists")
+    scratch.drop("posted", "sizes")
 
     stars = lists.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    likely = scratch.save(_likely(stars, nodes), "likely")
+    likely = scratch.save(_likely(stars, nodes, matches), "likely")
     best = W.partitionBy("b").orderBy(F.col("equal").desc(), "a")
     links = scratch.save(_confirmed(likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1"), docs, scratch, "best"), "best")
     links, of = _extended(links, components(links, scratch, "first"), likely, docs, scratch, "stars")
@@ -378,8 +410,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not new.isEmpty():
             links = links.union(new)
             of = components(links, scratch, "last")
-    found = classes.select("twin", "node").join(of, "node", "left").select("twin", F.coalesce("component", "node").alias("component"))
-    own = signed.select("doc_id", "n_shingles", "twin").join(found, "twin", "left")
+    found = classes.join(of, "node", "left").select("twin", "n", F.coalesce("component", "node").alias("component"))
+    own = _dealt(signed.select("doc_id", "n_shingles", "twin"), "twin", "doc_id", found, classes, signed.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from inkfold.llm import minhash
 
 
@@ -75,6 +77,35 @@ def test_families_in_blocks(spark, monkeypatch):
     test_chains_groups_and_odd_rows(spark)
 
 
+def test_long_lists_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG", 3)
+    test_chains_groups_and_odd_rows(spark)
+
+
+def test_dealt_join_is_the_join(spark, monkeypatch):
+    """Rows of one long key go to many parts, and none is lost or doubled; null keys stay in a left join."""
+    monkeypatch.setattr(minhash, "LONG", 10)
+    rows = [(k, i) for i in range(500) for k in (7, i % 50, None)]
+    left = spark.createDataFrame(rows, "key long, node long")
+    found = left.filter("key is not null and key <> 49").groupBy("key").count().withColumnRenamed("count", "n")
+    joined = minhash._dealt(left, "key", "node", found, found, len(rows))
+    assert sorted((r.key, r.node) for r in joined.collect()) == sorted(r for r in rows if r[0] not in (None, 49))
+    outer = minhash._dealt(left, "key", "node", found, found, len(rows), "left").collect()
+    assert sorted(map(str, ((r.key, r.node) for r in outer))) == sorted(map(str, rows))
+    assert {r.n for r in outer if r.key in (None, 49)} == {None}
+
+
+def test_exact_way(spark):
+    """matches=1, collide=0 finds every link of brute force, where a high match threshold loses some."""
+    texts = lookalikes(150, 3, 11) | {1000 + i: t for i, t in lookalikes(60, 4, 12).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(minhash.near_duplicates(docs, matches=1, collide=0).collect(), texts)
+    want = {d: c for d, (_, c) in brute(texts).items()}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, matches=118).collect()} != want
+    with pytest.raises(ValueError, match="matches"):
+        minhash.near_duplicates(docs, matches=0)
+
+
 def lookalikes(n, changed, seed=3):
     """Copies of one text, each with words of its own at `changed` of 200 places."""
     rng = random.Random(seed)
