@@ -154,6 +154,12 @@ def page_polarity(spark, sf):
     return R.page_polarity(raster(spark, sf))
 
 
+@query("corner_patch", on_raster(" SELECT page_id, CAST(greatest(width // 10, 3) AS INTEGER) AS patch_width, CAST(greatest(height // 10, 3) AS INTEGER) AS patch_height FROM dims"))
+def corner_patch(spark, sf):
+    sizes = raster(spark, sf).groupBy("page_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return sizes.select("page_id", R.corner_patch(F.col("width")).alias("patch_width"), R.corner_patch(F.col("height")).alias("patch_height"))
+
+
 @query("invert", on_raster(", d AS (SELECT page_id, avg(luma) < 128 AS dark FROM raster GROUP BY page_id) SELECT page_id, CAST(sum(CASE WHEN dark THEN 255 - luma ELSE luma END) AS BIGINT) AS total FROM raster JOIN d USING (page_id) GROUP BY page_id"))
 def invert(spark, sf):
     pixels = raster(spark, sf)

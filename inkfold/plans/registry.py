@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfold.plans import documents, jobs, pages, scalars
+from inkfold.plans import documents, jobs, pages, scalars, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for part in (pages, scalars, documents, jobs):
+for part in (pages, scalars, documents, jobs, streams):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
 
