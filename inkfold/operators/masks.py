@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.operators.raster import LEAST_SPAN, SPAN_SHARE, dark_pixels
+from inkfold.operators.raster import LEAST_SPAN, SPAN_SHARE, Drawn, dark_pixels, drawn_of
 
 _PROFILE = ["page_id", "y", "raw", "left", "right", "width", "height"]
 RUNS = "page_id long, width int, height int, runs array<struct<y:int,x0:int,x1:int>>"
@@ -42,22 +42,23 @@ def _batch(page_id, width: int, height: int, runs: tuple[np.ndarray, ...]):
     return pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), lists], ["page_id", "width", "height", "runs"])
 
 
-def _from_pages(pages: DataFrame, dark: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _from_pages(pages: DataFrame | Drawn, dark: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    source, draw = drawn_of(pages)
+
     def rows(it):
         for batch in it:
-            for page_id, width, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                mask = dark(values.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width))
-                yield _batch(page_id, width, len(mask), runs_in(mask))
+            for page_id, a in draw(batch):
+                yield _batch(page_id, a.shape[1], len(a), runs_in(dark(a)))
 
-    return pages.select("page_id", "width", "luma").filter(F.size("luma") > 0).mapInArrow(rows, RUNS)
+    return source.mapInArrow(rows, RUNS)
 
 
-def ink_runs(pages: DataFrame, below: int) -> DataFrame:
+def ink_runs(pages: DataFrame | Drawn, below: int) -> DataFrame:
     """The pixels darker than `below`. pages: page_id, width, luma."""
     return _from_pages(pages, lambda a: a < below)
 
 
-def adaptive_runs(pages: DataFrame, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
+def adaptive_runs(pages: DataFrame | Drawn, surface: str = "web", radius: int = 12, constant: int = 8) -> DataFrame:
     """The mask of adaptive_threshold, by runs."""
     return _from_pages(pages, lambda a: dark_pixels(a, surface, radius, constant))
 

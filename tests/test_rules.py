@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from inkfold.operators import corpus as K
 from inkfold.operators import lines as L
 from inkfold.operators import masks as M
 from inkfold.operators import raster as R
+from inkfold.plans import registry
 
 
 def noise(n, density, seed=2463534242):
@@ -283,3 +285,37 @@ def test_long_contents_and_cut_characters(spark):
     cut = {r.id: r.e for r in spark.createDataFrame(rows, "id int, text string").select("id", S.truncate_error(F.col("text")).alias("e")).collect()}
     assert cut == {i: t.encode()[:4096].decode("utf-8", "ignore") for i, t in rows}
     assert spark.createDataFrame([(bytearray(big),)], "c binary").select(S.work_digest(F.col("c"), F.lit("page"), F.lit(300)).alias("d")).first().d == want
+
+
+def executed(frame):
+    """The plan as it runs."""
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["box_blur", "box_blur_android", "raster_signature", "invert", "contrast_stretch", "page_polarity", "area_downsample", "disk_dilate"])
+def test_pages_stay_in_their_task(spark, name):
+    """Pixels are neither sorted nor put into windows, and no chain of workers hands the pixels on: what is shuffled is the documents, and a row a page."""
+    plan = executed(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan
+    assert plan.count("MapInArrow") == (2 if name == "disk_dilate" else 1)
+
+
+def test_page_statements(spark):
+    rng = random.Random(8)
+    pages = [(i, w, [rng.choice([0, 90, 127, 200, 255]) for _ in range(w * h)]) for i, (w, h) in enumerate([(1, 1), (2, 3), (8, 40), (45, 31), (7, 100)])]
+    frame = spark.createDataFrame(pages, "page_id long, width int, luma array<int>")
+    polarity = {r.page_id: (r.corner_luma, r.dark) for r in R.page_polarity(frame).collect()}
+    signatures = {r.page_id: (r.total, r.checksum) for r in R.raster_signature(frame).collect()}
+    upright = {r.page_id: r.luma for r in R.upright(frame).collect()}
+    stretched = {(r.page_id, r.y, r.x): r.value for r in R.contrast_stretch(frame).collect()}
+    for i, w, luma in pages:
+        h = len(luma) // w
+        ph, pw = max(h // 10, 3), max(w // 10, 3)
+        corners = [luma[y * w + x] for right in (0, 1) for low in (0, 1) for y in range(h) for x in range(w) if (x >= w - pw if right else x < pw) and (y >= h - ph if low else y < ph)]
+        middle = statistics.median(corners)
+        assert polarity[i] == (middle, middle < 128)
+        assert signatures[i] == (sum(luma), sum((p + 1) * v for p, v in enumerate(luma)) % 1_000_003)
+        assert upright[i] == ([255 - v for v in luma] if sum(luma) < 128 * len(luma) else luma)
+        low, high = min(luma), max(luma)
+        want = [(v - low) * 255 / (high - low) if high - low > 30 else v for v in luma]
+        assert all(abs(stretched[i, p // w, p % w] - (v / 127.5 - 1)) < 1e-12 for p, v in enumerate(want))
