@@ -8,7 +8,7 @@ from inkfold.operators import lines as L
 from inkfold.operators import masks as M
 from inkfold.operators import raster as R
 from inkfold.sources import files
-from inkfold.sources.derived import INK_SQL, RASTER_SQL, dims, drawn, ink, ink_masks, pages, png_files, raster, table
+from inkfold.sources.derived import INK_BELOW, INK_SQL, RASTER_SQL, drawn, ink_masks, pages, png_files, raster, table
 from inkfold.sources.images import scan_images
 
 QUERIES, ORACLE = {}, {}
@@ -32,10 +32,6 @@ def on_raster(body: str) -> str:
     return f"WITH {RASTER_SQL}{body}"
 
 
-def _smeared(spark, sf):
-    return M.smear(ink_masks(spark, sf), across=0)
-
-
 SMEAR = """,
 smeared AS (SELECT DISTINCT i.page_id, i.y + d AS y, i.x FROM ink i JOIN dims USING (page_id), unnest(range(-2, 3)) t(d) WHERE i.y + d >= 0 AND i.y + d < height)"""
 PROFILE = SMEAR + """,
@@ -74,21 +70,20 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _profile(spark, sf):
-    return M.row_profile(_smeared(spark, sf)).select("page_id", "y", "raw")
+def _profiles(spark, sf, with_luma=False):
+    return M.profiles(drawn(spark, sf), lambda a: M.widened(a < INK_BELOW, 0, 2), with_luma)
 
 
 def _runs(spark, sf):
-    profile = _profile(spark, sf)
-    return L.detect_runs(profile, L.profile_threshold(L.smooth_profile(profile)))
+    return L.page_runs(_profiles(spark, sf))
 
 
-def _boxes(spark, sf):
-    return L.text_lines(_smeared(spark, sf))
+def _boxes(spark, sf, with_luma=False):
+    return L.page_boxes(_profiles(spark, sf, with_luma))
 
 
-def _every_box(spark, sf):
-    return L.whole_page_fallback(_boxes(spark, sf), dims(spark, sf))
+def _every_box(spark, sf, with_luma=False):
+    return L.whole_page_fallback(_boxes(spark, sf, with_luma))
 
 
 @query("character_raster", on_raster(" SELECT page_id, count(*) AS n, CAST(sum(luma * (y + 1) * (x + 1)) AS BIGINT) AS checksum FROM raster GROUP BY page_id"))
@@ -183,13 +178,7 @@ def suppress_rules(spark, sf):
 
 @query("rule_ink_guard", on_ink(RULES + " SELECT * FROM g"))
 def rule_ink_guard(spark, sf):
-    mask, size = ink(spark, sf), dims(spark, sf)
-    span = lambda side: F.greatest(F.floor(F.col(side) / 2), F.lit(3))
-    from pyspark.sql import Window as W
-
-    marked = mask.join(size, "page_id").withColumns({"_x": F.col("x") - F.row_number().over(R.along_row()), "_y": F.col("y") - F.row_number().over(R.along_column())})
-    long = (F.count("*").over(W.partitionBy("page_id", "y", "_x")) >= span("width")) | (F.count("*").over(W.partitionBy("page_id", "x", "_y")) >= span("height"))
-    return R.rule_ink_guard(mask, marked.withColumn("rule", long).filter("not rule").select("page_id", "y", "x"))
+    return M.rule_ink_guard(ink_masks(spark, sf), least=3)
 
 
 @query("smear", on_ink("""
@@ -271,45 +260,46 @@ def kernel_size(spark, sf):
 
 @query("row_profile", on_ink(PROFILE + " SELECT page_id, y, raw FROM profile"))
 def row_profile(spark, sf):
-    return _profile(spark, sf)
+    return _profiles(spark, sf).select("page_id", F.posexplode("raw").alias("y", "raw")).withColumn("raw", F.col("raw").cast("long"))
 
 
 @query("smooth_profile", on_ink(PROFILE + " SELECT page_id, y, raw, smooth60, smooth FROM smoothed"))
 def smooth_profile(spark, sf):
-    return L.smooth_profile(_profile(spark, sf))
+    rows = L.smooth_profile(_profiles(spark, sf)).select("page_id", F.posexplode(F.arrays_zip("raw", "smooth60", "smooth")).alias("y", "r"))
+    return rows.select("page_id", "y", F.col("r.raw").cast("long").alias("raw"), "r.smooth60", "r.smooth")
 
 
 @query("profile_threshold", on_ink(THRESHOLD + " SELECT * FROM threshold"))
 def profile_threshold(spark, sf):
-    return L.profile_threshold(L.smooth_profile(_profile(spark, sf)))
+    return L.profile_threshold(_profiles(spark, sf)).select("page_id", "num", "den")
 
 
 @query("detect_runs", on_ink(RUNS + " SELECT * FROM runs"))
 def detect_runs(spark, sf):
-    return _runs(spark, sf)
+    return L.listed(_runs(spark, sf), "runs")
 
 
 @query("merge_runs", recursive(on_ink(MERGED + " SELECT * FROM merged")))
 def merge_runs(spark, sf):
-    return L.merge_runs(_runs(spark, sf))
+    return L.listed(L.page_bands(_profiles(spark, sf)), "bands")
 
 
 @query("min_height_filter", on_ink(RUNS + " SELECT page_id, run_no, r0, r1, blank FROM runs WHERE r1 - r0 >= 10"))
 def min_height_filter(spark, sf):
-    return L.min_height_filter(_runs(spark, sf))
+    return L.min_height_filter(L.listed(_runs(spark, sf), "runs"))
 
 
 @query("upper_median", on_ink(RUNS + """
 SELECT page_id, list_sort(hs)[len(hs) // 2 + 1] AS median, greatest(coalesce(list_sort(tall)[len(tall) // 2 + 1], list_sort(hs)[len(hs) // 2 + 1]), 1) AS typical
 FROM (SELECT page_id, list(r1 - r0) FILTER (r1 - r0 >= 10) AS tall, list(r1 - r0) AS hs FROM runs GROUP BY page_id)"""))
 def upper_median(spark, sf):
-    heights = _runs(spark, sf).groupBy("page_id").agg(F.collect_list(F.col("r1") - F.col("r0")).alias("hs"))
+    heights = _runs(spark, sf).filter(F.size("runs") > 0).select("page_id", F.transform("runs", lambda r: r["r1"] - r["r0"]).alias("hs"))
     return heights.select("page_id", L.upper_median(F.col("hs")).alias("median"), L.typical_height(F.col("hs")).alias("typical"))
 
 
 @query("band_extents", recursive(on_ink(BOXES + " SELECT * FROM boxes")))
 def band_extents(spark, sf):
-    return _boxes(spark, sf)
+    return L.box_rows(_boxes(spark, sf))
 
 
 REJECT = BOXES + """,
@@ -337,7 +327,7 @@ shaped AS (SELECT e.*, e.height > 0 AND d.height > 0 AND (e.width >= 4 * e.heigh
 
 @query("whole_page_fallback", recursive(on_ink(FALLBACK + " SELECT * FROM shaped")))
 def whole_page_fallback(spark, sf):
-    return _every_box(spark, sf)
+    return L.box_rows(_every_box(spark, sf))
 
 
 @query("looks_like_line", "SELECT l_orderkey AS id, l_linenumber AS line, l_quantity > 0 AND l_suppkey > 0 AND (l_partkey >= 4 * l_quantity OR 5 * l_quantity <= 2 * l_suppkey) AS line_shaped FROM lineitem")
@@ -350,7 +340,7 @@ def looks_like_line(spark, sf):
 SELECT s.page_id, s.line, r.x - s.x AS "column", count(*) FILTER (luma < 250) AS ink FROM shaped s JOIN raster r ON r.page_id = s.page_id
   AND r.x >= s.x AND r.x < s.x + s.width AND r.y >= s.y AND r.y < s.y + s.height GROUP BY ALL""")))
 def band_column_ink(spark, sf):
-    return L.band_column_ink(_every_box(spark, sf), raster(spark, sf))
+    return L.band_column_ink(_every_box(spark, sf, with_luma=True))
 
 
 TILES = """
@@ -387,8 +377,8 @@ judged AS (SELECT page_id, sharpness, coalesce(hs[len(hs) // 2 + 1], 0) AS media
 SELECT *, list_filter([CASE WHEN line_count = 0 THEN 'no_lines' WHEN median_height <= 30 THEN concat('small_text:', CAST(floor(median_height / 2.5 + 0.5) AS INTEGER)) END,
   CASE WHEN sharpness < 100 THEN 'soft' END, CASE WHEN fused > 0 THEN concat('fused:', fused, '/', line_count) END], lambda w: w IS NOT NULL) AS warnings FROM judged""")))
 def capture_assessment(spark, sf):
-    return L.capture_assessment(_every_box(spark, sf), R.laplacian_variance(drawn(spark, sf)))
+    return L.capture_assessment(L.box_rows(_every_box(spark, sf)), R.laplacian_variance(drawn(spark, sf)))
 
 
 def flagship(spark, sf):
-    return _boxes(spark, sf)
+    return L.box_rows(_boxes(spark, sf))

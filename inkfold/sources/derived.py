@@ -72,23 +72,11 @@ def png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "width", "luma").mapInArrow(rows, "name string, content binary")
 
 
-def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, y, x) of dark pixels only."""
-    return raster(spark, sf_dir).filter(F.col("luma") < INK_BELOW).select("page_id", "y", "x")
-
-
 def ink_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ink by runs, a row a page."""
+    """Dark pixels by runs, a row a page."""
     return ink_runs(drawn(spark, sf_dir), INK_BELOW)
 
 
-def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, width, height) of every raster that has a pixel."""
-    n = F.length("text")
-    docs = table(spark, sf_dir, "documents").filter(n > 0)
-    return docs.select(F.col("doc_id").alias("page_id"), F.lit(WIDTH).alias("width"), F.ceil(n / WIDTH).cast("int").alias("height"))
-
-
 RASTER_SQL = """
 letters AS (SELECT doc_id AS page_id, string_split(rpad(text, CAST(ceil(length(text) / 8.0) * 8 AS INTEGER), ' '), '') AS cs FROM documents WHERE length(text) > 0),
 pixels AS (SELECT page_id, unnest(cs) AS ch, unnest(range(len(cs))) AS p FROM letters),

@@ -319,3 +319,46 @@ def test_page_statements(spark):
         low, high = min(luma), max(luma)
         want = [(v - low) * 255 / (high - low) if high - low > 30 else v for v in luma]
         assert all(abs(stretched[i, p // w, p % w] - (v / 127.5 - 1)) < 1e-12 for p, v in enumerate(want))
+
+
+@pytest.mark.parametrize("name", ["rule_ink_guard", "row_profile", "smooth_profile", "profile_threshold", "detect_runs", "merge_runs", "min_height_filter", "upper_median", "band_extents", "whole_page_fallback", "band_column_ink"])
+def test_lines_stay_in_their_task(spark, name):
+    """One shuffle, that of the documents; no rows of pages in windows, sorts or joins; at most three workers a task."""
+    plan = executed(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") <= (3 if name == "band_column_ink" else 2)
+
+
+def test_lines_of_pages(spark):
+    """Pages in one row each against tables of rows and runs, blank pages and pages of one row among them; boxes and their columns by definition."""
+    rng = random.Random(9)
+    raws = [[0], [7], [0] * 40, [9] * 35, *[[rng.choice([0, 0, 1, 9, 9, 12]) for _ in range(3) for _ in range(rng.randrange(1, 30))] for _ in range(40)]]
+    raws += [[v for _ in range(20) for v in [rng.choice([0, 10])] * rng.randrange(1, 25)] for _ in range(30)]
+    pages, ink = [], {}
+    for i, raw in enumerate(raws):
+        lefts = [rng.randrange(0, 14 - v) if v else None for v in raw]
+        ink[i] = [[x for x in range(left, left + v)] if v else [] for left, v in zip(lefts, raw, strict=True)]
+        luma = bytearray(255 if x not in row else 0 for row in ink[i] for x in range(14))
+        pages.append((i, 14, len(raw), raw, lefts, [left + v - 1 if v else None for left, v in zip(lefts, raw, strict=True)], luma))
+    frame = spark.createDataFrame(pages, "page_id long, width int, height int, raw array<int>, left array<int>, right array<int>, luma binary")
+    rows = spark.createDataFrame([(i, y, v) for i, raw in enumerate(raws) for y, v in enumerate(raw)], "page_id long, y int, raw long")
+    runs = L.detect_runs(rows, L.profile_threshold(frame).select("page_id", "num", "den"))
+    order = lambda f: sorted(map(tuple, f.select("page_id", "run_no", "r0", "r1").collect()))
+    assert sorted(map(tuple, L.listed(L.page_runs(frame), "runs").collect())) == sorted(map(tuple, runs.collect()))
+    bands = order(L.listed(L.page_bands(frame), "bands"))
+    assert bands == order(L.merge_runs(runs)) and len(bands) > 100
+    want, columns = {}, {}
+    for i, no, r0, r1 in bands:
+        if r1 - r0 >= 10:
+            held, core = [x for row in ink[i][r0:r1] for x in row], r1 - r0
+            x, y, x2, y2 = max(min(held) - -(-core // 4), 0), max(r0 - -(-core // 5), 0), min(max(held) + -(-core // 4), 14), min(r1 + -(-core // 5), len(raws[i]))
+            want[i, no] = (x, y, x2 - x, y2 - y, False, x2 - x >= 4 * (y2 - y) or 5 * (y2 - y) <= 2 * len(raws[i]))
+    for i, raw in enumerate(raws):
+        if not any(page == i for page, _ in want):
+            want[i, 1] = (0, 0, 14, len(raw), True, 14 >= 4 * len(raw))
+    boxes = L.whole_page_fallback(L.page_boxes(frame))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in L.box_rows(boxes).collect()} == want
+    for (i, no), (x, y, width, height, *_) in want.items():
+        for c in range(width):
+            columns[i, no, c] = sum(x + c in row for row in ink[i][y : y + height])
+    assert {tuple(r)[:3]: r.ink for r in L.band_column_ink(boxes).collect()} == columns
