@@ -14,12 +14,13 @@ from inkfold.streaming.ordered import Buckets, Delivery, Pages, Throttle
 def stream_ingest(uploads: DataFrame, good: str, rejected: str, checkpoint: str) -> StreamingQuery:
     """Uploads to a month-partitioned store, the others with status and reason to a side table. Twin: validate_upload. uploads: with ts.
 
-    Both have a folder for each epoch, so that an epoch that is repeated replaces its rows.
+    Both have a folder for each epoch, so that an epoch that is repeated replaces its rows. Ranges of months and ids go to a task each: an epoch has about a file a month, however
+    many tasks there are, and a month with many rows is parted among tasks.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
         judged = C.validate_upload(batch).withColumn("month", F.date_format("ts", "yyyy-MM")).persist()
-        judged.filter("status = 200").write.mode("overwrite").partitionBy("month").parquet(f"{good}/epoch={epoch}")
+        judged.filter("status = 200").repartitionByRange("month", "id").write.mode("overwrite").partitionBy("month").parquet(f"{good}/epoch={epoch}")
         judged.filter("status <> 200").write.mode("overwrite").parquet(f"{rejected}/epoch={epoch}")
         judged.unpersist()
 

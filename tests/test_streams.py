@@ -196,3 +196,17 @@ def test_sweep_and_sessions(spark, tmp_path, feed):
     assert q.awaitTermination(120) and sum(seen) == 30
     events = spark.createDataFrame([(1, 0), (1, 200), (1, 700), (2, 0)], "key int, s long").select("key", F.timestamp_seconds("s").alias("ts"))
     assert sorted(r.n for r in T.idle_sessions(events).collect()) == [1, 1, 2]
+
+
+def test_ingest_writes_few_files(spark, tmp_path, feed):
+    """Many months: a file a month and task that shares it, not one for each month of each task."""
+    frame = uploads(spark, SF).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1_200_000))
+    q = T.stream_ingest(feed(frame.repartition(4)), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "c"))
+    assert q.awaitTermination(120)
+    shared = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for epoch in (tmp_path / "good").glob("epoch=*"):
+        months = list(epoch.glob("month=*"))
+        assert len(list(epoch.glob("month=*/*.parquet"))) < len(months) + shared
+    stored = C.validate_upload(frame).filter("status = 200")
+    kept = spark.read.parquet(str(tmp_path / "good"))
+    assert kept.select("id", kept["month"].cast("string")).exceptAll(stored.select("id", F.date_format("ts", "yyyy-MM"))).count() == 0 and kept.count() == stored.count()
