@@ -362,3 +362,9 @@ def test_lines_of_pages(spark):
         for c in range(width):
             columns[i, no, c] = sum(x + c in row for row in ink[i][y : y + height])
     assert {tuple(r)[:3]: r.ink for r in L.band_column_ink(boxes).collect()} == columns
+
+
+def test_image_names_are_read_once(spark):
+    """An image's name is taken from its path before its pixels are parted, not for each of them."""
+    plan = executed(registry.QUERIES["image_raster_scan"](spark, "/root/testdata/sf0.001"))
+    assert plan.index("regexp_extract") > plan.index("Generate")
