@@ -120,8 +120,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def _postings(nodes: DataFrame, minima: str) -> DataFrame:
-    """(list, node) for each of the `minima` (heads or signature); a list's number holds coordinate and value."""
+def _postings(nodes: DataFrame, minima: str, long: tuple[np.ndarray, np.ndarray] | None = None, skip: int = 0) -> DataFrame:
+    """(list, node, left) for each of the `minima` (heads or signature); a list's number holds coordinate and value.
+
+    Of the lists in `long` (sorted numbers and sizes), each node skips its longest ones, `skip` at most; left is how many it may skip still.
+    """
 
     def rows(it):
         for batch in it:
@@ -129,9 +132,34 @@ def _postings(nodes: DataFrame, minima: str) -> DataFrame:
                 continue
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(batch.num_rows, -1)
             lists = (np.arange(sigs.shape[1], dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sigs.shape[1]))], ["list", "node"])
+            keep = np.ones(lists.shape, bool)
+            if long is not None and len(long[0]) and skip:
+                place = np.minimum(np.searchsorted(long[0], lists), len(long[0]) - 1)
+                n = np.where(long[0][place] == lists, long[1][place], 0)
+                first = np.argsort(-n, axis=1, kind="stable")[:, :skip]  # longest first, then by number, as in _skipped
+                np.put_along_axis(keep, first, np.take_along_axis(n, first, 1) == 0, 1)
+            left = skip - (~keep).sum(1)
+            own = [np.repeat(c, keep.sum(1)) for c in (batch.column(0).to_numpy(zero_copy_only=False), left)]
+            yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(own[0]), pa.array(own[1].astype(np.int32))], ["list", "node", "left"])
+
+    return nodes.select("node", minima).mapInArrow(rows, "list long, node long, left int")
+
+
+def _sizes(posted: DataFrame) -> DataFrame:
+    """(list, n, least) of all lists: length and smallest node."""
+    return posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least"))
 
-    return nodes.select("node", minima).mapInArrow(rows, "list long, node long")
+
+def _sharing(nodes: DataFrame, sizes: DataFrame, posts: int, least: int) -> DataFrame:
+    """(node) of those that share `least` or more of their `posts` lists with another row: a list of one row is its smallest node's, so no posting is joined."""
+    own = nodes.select("node", F.lit(posts).alias("n"))
+    alone = sizes.filter("n = 1").select(F.col("least").alias("node"), F.lit(-1).alias("n"))
+    return own.union(alone).groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("node")
+
+
+def _bound(total: int) -> int:
+    """Rows from which a key is long: at most BROADCAST_ROWS keys of `total` rows are longer."""
+    return max(LONG, -(-total // BROADCAST_ROWS))
 
 
 def _dealt(rows: DataFrame, key: str, spread: str, found: DataFrame, counted: DataFrame, total: int, how: str = "inner") -> DataFrame:
@@ -140,7 +168,7 @@ def _dealt(rows: DataFrame, key: str, spread: str, found: DataFrame, counted: Da
     counted (saved) has key and n of all in found. A key is long from LONG rows and a BROADCAST_ROWS-th part of the `total` rows on: so at most BROADCAST_ROWS
     keys are long, whatever the input, and they alone are broadcast. Rows of a null key, which meet nothing, are dealt too.
     """
-    bound = max(LONG, -(-total // BROADCAST_ROWS))
+    bound = _bound(total)
     parts = F.ceil(F.col("n") / bound).cast("long")
     long = counted.filter(F.col("n") > bound).select(key, parts.alias("_parts"))
     at = F.xxhash64(spread)
@@ -150,16 +178,21 @@ def _dealt(rows: DataFrame, key: str, spread: str, found: DataFrame, counted: Da
     return salted.join(copies, [key, "_part"], how).drop("_part")
 
 
-def _shared(posted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(list, node, n, least): postings (saved) of lists of more than one node, with a list's length and smallest node."""
-    sizes = scratch.save(posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"), name)
-    return _dealt(posted, "list", "node", sizes, sizes, posted.count())
+def _skipped(nodes: DataFrame, matches: int, scratch: Scratch) -> DataFrame:
+    """(list, node, least) of lists of more than one node, without each node's matches - 1 longest lists.
 
-
-def _skipped(shared: DataFrame, matches: int) -> DataFrame:
-    """(list, node, least) without each node's matches - 1 longest lists."""
+    Nodes that share fewer than `matches` lists have none left and are not posted again. Long lists are skipped in the task that posts a node, the others once
+    their lengths are joined, in one order: so a member of a large group brings the lists that it keeps, not all of them.
+    """
+    sizes = scratch.save(_sizes(_postings(nodes, "signature")), "sizes")
+    total = nodes.count() * COORDINATES
+    sharing = scratch.save(_sharing(nodes, sizes, COORDINATES, matches), "sharing")
+    shared = sizes.filter("n > 1")
+    long = shared.filter(F.col("n") > _bound(total)).select("list", "n").orderBy("list").toPandas()
+    posted = _postings(nodes.join(near_by(sharing), "node", "left_semi"), "signature", (long["list"].to_numpy(np.int64), long["n"].to_numpy(np.int64)), matches - 1)
     order = W.partitionBy("node").orderBy(F.col("n").desc(), "list")
-    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") >= matches).select("list", "node", "least")
+    ranked = _dealt(posted, "list", "node", shared, shared, total).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") > F.col("left")).select("list", "node", "least")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -388,16 +421,13 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, collide: int = COLL
     first = full.join(classes, (full["doc_id"] == classes["node"]) & (full["twin"] == classes["twin"])).select("node", "heads")
 
     if collide:
-        heads = scratch.save(_postings(first, "heads"), "heads")
-        met = scratch.save(_shared(heads, scratch, "head-sizes").groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= collide).select("node"), "met")
-        scratch.drop("heads", "head-sizes")
+        met = scratch.save(_sharing(first, _sizes(_postings(first, "heads")), PREFIX, collide), "met")
     else:
         met = classes.select("node")
     own = full.join(near_by(met), full["doc_id"] == met["node"]).groupBy("node").agg(F.min_by(F.struct("signature", "marks", "n_shingles"), "twin").alias("own"))
     nodes = scratch.save(own.select("node", "own.*"), "nodes")
-    posted = scratch.save(_postings(nodes, "signature"), "posted")
-    lists = scratch.save(_skipped(_shared(posted, scratch, "sizes"), matches), "lists")
-    scratch.drop("posted", "sizes")
+    lists = scratch.save(_skipped(nodes, matches, scratch), "lists")
+    scratch.drop("sizes", "sharing")
 
     stars = lists.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     likely = scratch.save(_likely(stars, nodes, matches), "likely")

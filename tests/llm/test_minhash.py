@@ -82,6 +82,47 @@ def test_long_lists_are_dealt(spark, monkeypatch):
     test_chains_groups_and_odd_rows(spark)
 
 
+def test_members_of_a_group_bring_the_lists_they_keep(spark, monkeypatch):
+    """Rows that meet lists grow as a group of near copies does, and are fewer than the group's 160 postings a member."""
+    monkeypatch.setattr(minhash, "LONG", 8)
+    dealt, met = minhash._dealt, []
+
+    def counted(rows, key, *rest):
+        met.append(rows.count() if key == "list" else 0)
+        return dealt(rows, key, *rest)
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    made = {}
+    for n in (80, 160):
+        met.clear()
+        texts = lookalikes(n, 2)
+        check(minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+        made[n] = sum(met)
+    assert made[160] <= 2.2 * made[80] and made[160] <= 110 * 160, made
+
+
+def test_skipped_lists_by_definition(spark, monkeypatch):
+    """What each node keeps of its lists, with long lists skipped while they are posted or after."""
+    texts = lookalikes(40, 3) | {100 + i: t for i, t in lookalikes(6, 1, 8).items()} | {200: "one two three four five six"}
+    lists = {d: [(i << 32) | (int(v) & 0xFFFFFFFF) for i, v in enumerate(minhash.signature(minhash.shingles(t)))] for d, t in texts.items()}
+    of = {}
+    for d, own in lists.items():
+        for x in own:
+            of.setdefault(x, []).append(d)
+    want = set()
+    for d, own in lists.items():
+        shared = sorted((x for x in own if len(of[x]) > 1), key=lambda x: (-len(of[x]), x))
+        want |= {(x, d, min(of[x])) for x in shared[74:]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = minhash._signatures(docs).withColumnRenamed("doc_id", "node")
+    for long in (3, 256):
+        monkeypatch.setattr(minhash, "LONG", long)
+        got = minhash._skipped(nodes, 75, minhash.Scratch(spark, "skipped")).collect()
+        assert len(got) == len(want) and {(r["list"], r.node, r.least) for r in got} == want
+    few = minhash._sharing(nodes, minhash._sizes(minhash._postings(nodes, "heads")), 32, 12)
+    assert {r.node for r in few.collect()} == {d for d, own in lists.items() if sum(len(of[x]) > 1 for x in own[:32]) >= 12}
+
+
 def test_dealt_join_is_the_join(spark, monkeypatch):
     """Rows of one long key go to many parts, and none is lost or doubled; null keys stay in a left join."""
     monkeypatch.setattr(minhash, "LONG", 10)
