@@ -18,6 +18,8 @@ QUERIES, ORACLE = {}, {}
 BATCHES = 3
 #: Batches come in no order, so nothing is late: the delay is longer than the data, and one row of END_S, years after all others, ends the waiting.
 DELAY, END_S, END_KEY = "3650 days", 4_102_444_800, -1
+#: Records of a shard of the sync queue, about.
+SHARD = 5_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -90,7 +92,8 @@ def stream_sync_queue(spark, sf):
     outcomes = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), e.alias("seq"), (e % 7 == 1).alias("ok"), F.when(e % 3 != 0, F.concat(F.lit("e"), e.cast("string"))).alias("error"))
     last = spark.range(1).select(F.lit(END_KEY).cast("long").alias("id"), F.timestamp_seconds(F.lit(END_S)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
     fed = _fed(spark, outcomes, "sync", last)
-    changes = _drained(spark, T.stream_sync_queue(fed, records(fed.sparkSession), delay=DELAY), "sync", "update")
+    shards = max(64, records(spark).count() // SHARD)
+    changes = _drained(spark, T.stream_sync_queue(fed, records(fed.sparkSession), delay=DELAY, shards=shards), "sync", "update")
     return T.current_records(records(spark), changes.filter(F.col("id") != END_KEY))
 
 

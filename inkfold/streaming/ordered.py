@@ -126,29 +126,82 @@ class Throttle(Ordered):
         return out
 
 
-class Delivery(Ordered):
-    """Attempts, success and last error of one record; a failure sets a timer for the next try, which gives the record out as due."""
+class Delivery(StatefulProcessor):
+    """Attempts, success and last error of a shard's records; a failure sets a timer for the next try, which gives the record out as due.
 
-    WAITING = "ms long, seq long, ok boolean, error string"
-    STATE = "attempts long, synced boolean, last_error string, due_ms long"
+    Every outcome that counts takes one of MAX_ATTEMPTS, in order: so of those of a record that one batch brings, none after the MAX_ATTEMPTS earliest can count, and they don't wait.
+    A record's state is a row of the shard's map, and waiting rows and retries are lists of the shard: the calls to the state store are a few for each shard and batch, and three for each record at most when its rows are due.
+    """
+
+    WAITING = ["ms", "known", "seq", "ok", "error", "named", "id"]
     OUT = ["id", "ms", "attempts", "synced", "last_error", "due"]
 
     def __init__(self, delay):
         self.delay = delay
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, known boolean, seq long, ok boolean, error string, named boolean, id long")
+        self.retries = handle.getListState("retries", "ms long, named boolean, id long")
+        self.own = handle.getMapState("own", "named boolean, id long", "attempts long, synced boolean, last_error string, due_ms long")
+
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.own.update((int(row["attempts"]), bool(row["synced"]), None if row["last_error"] != row["last_error"] else row["last_error"], None))
+        for named, own, attempts, synced, error in zip(*(initialState[c].tolist() for c in ("named", "id", "attempts", "synced", "last_error")), strict=True):
+            self.own.updateValue((named, own), (int(attempts), bool(synced), None if error != error else error, None))
 
-    def fold(self, key, due, state, upto):
-        attempts, synced, error, due_ms = state or (0, False, None, None)
-        if not due:
-            if due_ms is None or due_ms > upto:
-                return []
-            self.own.update((attempts, synced, error, None))
-            return [(key[0], due_ms, attempts, synced, error, True)]
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        new = []
+        for batch in rows:
+            first = batch.sort_values(self.WAITING[:5], na_position="first").groupby(["named", "id"], sort=False).head(MAX_ATTEMPTS)
+            new += zip(*(first[c].tolist() for c in self.WAITING), strict=True)
+        if new:
+            self.waiting.appendList([tuple(None if v != v else v for v in row) for row in new])
+            self.handle.registerTimer(min(row[0] for row in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        upto = timerValues.getCurrentWatermarkInMs()
+        due, later = self._taken(self.waiting, upto)
+        retries, rest = self._taken(self.retries, upto)
+        out, by = [], {}
+        due.sort(key=lambda row: [(v is not None, v) for v in row])
+        for *row, named, own in due:
+            by.setdefault((named, own), []).append(row)
+        for own, found in by.items():
+            rest += self._charged(own, found, out)
+        now = [r for r in rest if r[0] <= upto]
+        for ms, *own in [*retries, *now]:
+            attempts, synced, error, due_ms = self._state(tuple(own))
+            if due_ms == ms:
+                self.own.updateValue(tuple(own), (attempts, synced, error, None))
+                out.append((own[1] if own[0] else None, ms, attempts, synced, error, True))
+        rest = [r for r in rest if r[0] > upto]
+        for held, left, changed in ((self.waiting, later, due), (self.retries, rest, retries or by)):
+            if changed and left:
+                held.put(left)
+            elif changed:
+                held.clear()
+        if (due or retries) and (later or rest):
+            self.handle.registerTimer(min(r[0] for r in [*later, *rest]))
+        if out:
+            yield _frame(self.OUT, out)
+
+    @staticmethod
+    def _taken(held, upto: int) -> tuple[list[tuple], list[tuple]]:
+        """A list's rows up to the watermark, and the others."""
+        due, rest = [], []
+        for row in held.get() if held.exists() else ():
+            (due if row[0] <= upto else rest).append(tuple(row))
+        return due, rest
+
+    def _state(self, own: tuple) -> tuple:
+        return tuple(self.own.getValue(own) or (0, False, None, None))
+
+    def _charged(self, own: tuple, due: list, out: list) -> list[tuple]:
+        """Charges a record with its due rows; its retry, if there is to be one."""
+        attempts, synced, error, due_ms = self._state(own)
         before = attempts
-        for ms, _, ok, why in due:
+        for ms, _, _, ok, why in due:
             if synced or attempts >= MAX_ATTEMPTS:
                 break
             attempts, synced, error = attempts + 1, ok, None if ok else why
@@ -156,10 +209,12 @@ class Delivery(Ordered):
             at = ms
         if attempts == before:
             return []
-        self.own.update((attempts, synced, error, due_ms))
-        if due_ms is not None:
-            self.handle.registerTimer(due_ms)
-        return [(key[0], at, attempts, synced, error, False)]
+        self.own.updateValue(own, (attempts, synced, error, due_ms))
+        out.append((own[1] if own[0] else None, at, attempts, synced, error, False))
+        return [] if due_ms is None else [(due_ms, *own)]
+
+    def close(self) -> None:
+        pass
 
 
 class Pages(StatefulProcessor):

@@ -32,17 +32,22 @@ def _timed(rows: DataFrame, ms: Column, delay: str) -> DataFrame:
     return rows.withColumn("ms", ms.cast("long")).withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
 
 
-def stream_sync_queue(outcomes: DataFrame, records: DataFrame, surface: str = "android", delay: str = "1 minute") -> DataFrame:
+def stream_sync_queue(outcomes: DataFrame, records: DataFrame, surface: str = "android", delay: str = "1 minute", shards: int = 64) -> DataFrame:
     """Changes (id, ms, attempts, synced, last_error, due) of records by delivery outcomes. Twin: charge_outcomes.
 
     outcomes: id, ts, seq, ok, error. records (a batch): id, attempts, synced, last_error, where deliveries begin. One attempt an outcome, up to MAX_ATTEMPTS and to
-    the first success, which clears the error. After a failure the record comes out again, due, when its retry delay is over. State is keyed by record;
+    the first success, which clears the error. After a failure the record comes out again, due, when its retry delay is over. Records fall into shards, a task's call each, whose
+    state has a row a record: choose `shards` so that one's waiting rows fit a task. Needs the RocksDB state store;
     a batch gives out the records that it changes and no others.
     """
     retry = (lambda n: 1500 * n) if surface == "web" else (lambda n: 30_000 << (n - 1))
-    timed = _timed(outcomes, F.round(F.unix_micros("ts") / 1000), delay).select("id", "ms", "at", "seq", "ok", "error")
+    shard = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(shards)).alias("shard")
+    own = (F.col("id").isNotNull().alias("named"), F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")).alias("id"))  # Pandas makes fractions of columns with nulls
+    seq = (F.col("seq").isNotNull().alias("known"), F.coalesce(F.col("seq").cast("long"), F.lit(0).cast("long")).alias("seq"))
+    timed = _timed(outcomes, F.round(F.unix_micros("ts") / 1000), delay).select(shard, *own, "ms", "at", *seq, "ok", "error")
+    before = records.select(shard, *own, "attempts", "synced", "last_error")
     schema = "id long, ms long, attempts long, synced boolean, last_error string, due boolean"
-    return timed.groupBy("id").transformWithStateInPandas(Delivery(retry), schema, "Update", "EventTime", initialState=records.select("id", "attempts", "synced", "last_error").groupBy("id"))
+    return timed.groupBy("shard").transformWithStateInPandas(Delivery(retry), schema, "Update", "EventTime", initialState=before.groupBy("shard"))
 
 
 def charge_outcomes(records: DataFrame, outcomes: DataFrame) -> DataFrame:

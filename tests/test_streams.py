@@ -190,6 +190,47 @@ def test_sync_queue(spark, tmp_path, timed_rocks):
         assert i not in due or due[i] == last[i] * 1000 + (30_000 << (attempts - 1))
 
 
+def test_sync_queue_waits_with_what_can_count():
+    """A shard's state is called for a batch, not for each of its outcomes, and no more rows wait than can be charged; retries come out whatever the batches."""
+    import pandas as pd
+
+    from inkfold.streaming.ordered import Delivery
+
+    calls = []
+
+    class Held(dict):
+        rows = ()
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        put = lambda self, rows: setattr(self, "rows", rows)
+        appendList = lambda self, rows: calls.append(len(rows)) or self.put([*self.rows, *rows])
+        clear = lambda self: self.put(())
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        getListState = getMapState = lambda self, name, *_: Held()
+        registerTimer = lambda self, ms: timers.add(ms)
+
+    timers, rng = set(), random.Random(4)
+    queue = Delivery(lambda n: 50 * n)
+    queue.init(Handle())
+    rows = [(1000 + n, True, n, rng.random() < 0.05, f"e{n}", i < 29, i if i < 29 else 0) for n in range(3000) for i in [rng.randrange(30)]]
+    rng.shuffle(rows)
+    for at in range(0, 3000, 1000):
+        assert list(queue.handleInputRows((0,), iter([pd.DataFrame(rows[at : at + 1000], columns=Delivery.WAITING)]), None)) == []
+    assert len(calls) == 3 and max(calls) <= 30 * C.MAX_ATTEMPTS
+    got = []
+    for upto in (999, 1040, 1100, 2000, 10_000, 10_000):
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, upto=upto: upto})()
+        got += [r for f in queue.handleExpiredTimer((0,), clock, None) for r in f.itertuples(index=False)]
+    for i in [*range(29), None]:
+        own = sorted(r for r in rows if (r[6] if r[5] else None) == i)[: C.MAX_ATTEMPTS]
+        tries = next((n for n, r in enumerate(own, 1) if r[3]), len(own))
+        last = [r for r in got if r.id == i and not r.due][-1]
+        assert (last.ms, last.attempts, last.synced, last.last_error) == (own[tries - 1][0], tries, own[tries - 1][3], None if own[tries - 1][3] else own[tries - 1][4])
+    assert timers and queue.waiting.rows == ()
+
+
 def test_sweep_and_sessions(spark, tmp_path, feed):
     seen = []
     q = T.periodic_sweep(feed(requests(spark, 30)), lambda batch, epoch: seen.append(batch.count()), str(tmp_path / "c"))
