@@ -9,7 +9,8 @@ one they share is among the rest of both. What many documents share, as a common
 a document with too few shared lists has none left. Pairs that meet have their collisions counted over all
 coordinates; pairs with MATCHES are confirmed on their full sets, each document with its best partner first.
 
-Joins by list or text deal a long list, or a text with many copies, to several tasks (`_dealt`).
+Lengths and smallest nodes of the longest lists, BROADCAST_ROWS at most, go to the tasks that post documents; joins by list or text
+deal what is long still, a list or a text with many copies, to several tasks (`_dealt`).
 
 No list is expanded into all its pairs. Each list links its members to its smallest one, which joins groups of
 copies in a pass. Lists whose members are then in one component are done. What the others hold is dealt
@@ -20,7 +21,7 @@ is refuted. So rows grow with the documents; the counting inside a family of unl
 excludes, is the one thing that grows with the square of the family, in blocks.
 
 Components: smallest id by repeated minimum over links and pointer jumping, in tables of links between
-classes. Every round's tables are written to the shared folder; nothing but counts reaches the driver.
+classes. Every round's tables are written to the shared folder; nothing but counts and the longest lists' lengths reaches the driver.
 
 Defined cases: null and empty texts have no set and are linked with nothing; fewer than five words make one
 shingle; very long texts are read whole, and blocks are bounded by shingles too; a null id takes no part and has a null component, kept; rows that share an id are one
@@ -32,6 +33,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -120,11 +122,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def _postings(nodes: DataFrame, minima: str, long: tuple[np.ndarray, np.ndarray] | None = None, skip: int = 0) -> DataFrame:
-    """(list, node, left) for each of the `minima` (heads or signature); a list's number holds coordinate and value.
+def _postings(nodes: DataFrame, minima: str, known: pd.DataFrame | None = None, skip: int = 0, known_only: bool = False) -> DataFrame:
+    """(list, node, left, least) for each of the `minima` (heads or signature); a list's number holds coordinate and value.
 
-    Of the lists in `long` (sorted numbers and sizes), each node skips its longest ones, `skip` at most; left is how many it may skip still.
+    known: list (sorted), n and least of the longest lists. Of these each node skips its longest ones, `skip` at most; left is how many it may skip still,
+    least a known list's smallest node, null for others, which known_only leaves out. A node that may skip still has no known list left.
     """
+    numbers, sizes, smallest = ((known[c] if known is not None else pd.Series()).to_numpy(np.int64) for c in ("list", "n", "least"))
 
     def rows(it):
         for batch in it:
@@ -132,17 +136,21 @@ def _postings(nodes: DataFrame, minima: str, long: tuple[np.ndarray, np.ndarray]
                 continue
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(batch.num_rows, -1)
             lists = (np.arange(sigs.shape[1], dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
+            hit, place = np.zeros(lists.shape, bool), np.zeros(lists.shape, np.int64)
+            if len(numbers):
+                place = np.minimum(np.searchsorted(numbers, lists), len(numbers) - 1)
+                hit = numbers[place] == lists
+            n = np.where(hit, sizes[place], 0) if len(numbers) else place
+            first = np.argsort(-n, axis=1, kind="stable")[:, :skip]  # longest first, then by number, as in _skipped
             keep = np.ones(lists.shape, bool)
-            if long is not None and len(long[0]) and skip:
-                place = np.minimum(np.searchsorted(long[0], lists), len(long[0]) - 1)
-                n = np.where(long[0][place] == lists, long[1][place], 0)
-                first = np.argsort(-n, axis=1, kind="stable")[:, :skip]  # longest first, then by number, as in _skipped
-                np.put_along_axis(keep, first, np.take_along_axis(n, first, 1) == 0, 1)
+            np.put_along_axis(keep, first, ~np.take_along_axis(hit, first, 1), 1)
             left = skip - (~keep).sum(1)
+            keep &= hit | (not known_only)
             own = [np.repeat(c, keep.sum(1)) for c in (batch.column(0).to_numpy(zero_copy_only=False), left)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(own[0]), pa.array(own[1].astype(np.int32))], ["list", "node", "left"])
+            least = pa.array(smallest[place[keep]] if len(numbers) else place[keep], mask=~hit[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(own[0]), pa.array(own[1].astype(np.int32)), least], ["list", "node", "left", "least"])
 
-    return nodes.select("node", minima).mapInArrow(rows, "list long, node long, left int")
+    return nodes.select("node", minima).mapInArrow(rows, "list long, node long, left int, least long")
 
 
 def _sizes(posted: DataFrame) -> DataFrame:
@@ -178,21 +186,36 @@ def _dealt(rows: DataFrame, key: str, spread: str, found: DataFrame, counted: Da
     return salted.join(copies, [key, "_part"], how).drop("_part")
 
 
+def _known_from(shared: DataFrame, total: int) -> int:
+    """Lists of more rows than this are BROADCAST_ROWS at most; never above _bound, so that no longer list is left."""
+    top = _bound(total)
+    upto, more = F.least("n", F.lit(top + 1)).alias("n"), 0
+    for n, count in sorted(map(tuple, shared.groupBy(upto).count().collect()), reverse=True):
+        more += count
+        if more > BROADCAST_ROWS and n <= top:
+            return n
+    return 1
+
+
 def _skipped(nodes: DataFrame, matches: int, scratch: Scratch) -> DataFrame:
     """(list, node, least) of lists of more than one node, without each node's matches - 1 longest lists.
 
-    Nodes that share fewer than `matches` lists have none left and are not posted again. Long lists are skipped in the task that posts a node, the others once
-    their lengths are joined, in one order: so a member of a large group brings the lists that it keeps, not all of them.
+    Nodes that share fewer than `matches` lists have none left and are not posted again. The longest lists, BROADCAST_ROWS at most, are known to the tasks
+    that post nodes: these are skipped, or have their smallest node, there, and are joined with nothing. Other lists are short; they are skipped in the same
+    order once their lengths are joined. So a member of a large group brings the lists that it keeps, and meets long ones without a join.
     """
     sizes = scratch.save(_sizes(_postings(nodes, "signature")), "sizes")
-    total = nodes.count() * COORDINATES
     sharing = scratch.save(_sharing(nodes, sizes, COORDINATES, matches), "sharing")
     shared = sizes.filter("n > 1")
-    long = shared.filter(F.col("n") > _bound(total)).select("list", "n").orderBy("list").toPandas()
-    posted = _postings(nodes.join(near_by(sharing), "node", "left_semi"), "signature", (long["list"].to_numpy(np.int64), long["n"].to_numpy(np.int64)), matches - 1)
+    bound = _known_from(shared, nodes.count() * COORDINATES)
+    known = shared.filter(F.col("n") > bound).orderBy("list").toPandas()
+    posted = _postings(nodes.join(near_by(sharing), "node", "left_semi"), "signature", known, matches - 1, bound == 1)
+    if bound == 1:
+        return posted.select("list", "node", "least")
+    posted = scratch.save(posted, "posted")
     order = W.partitionBy("node").orderBy(F.col("n").desc(), "list")
-    ranked = _dealt(posted, "list", "node", shared, shared, total).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") > F.col("left")).select("list", "node", "least")
+    short = posted.filter("least is null").drop("least").join(shared.filter(F.col("n") <= bound), "list").withColumn("rank", F.row_number().over(order))
+    return posted.filter("least is not null").select("list", "node", "least").union(short.filter(F.col("rank") > F.col("left")).select("list", "node", "least"))
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -427,7 +450,7 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, collide: int = COLL
     own = full.join(near_by(met), full["doc_id"] == met["node"]).groupBy("node").agg(F.min_by(F.struct("signature", "marks", "n_shingles"), "twin").alias("own"))
     nodes = scratch.save(own.select("node", "own.*"), "nodes")
     lists = scratch.save(_skipped(nodes, matches, scratch), "lists")
-    scratch.drop("sizes", "sharing")
+    scratch.drop("sizes", "sharing", "posted")
 
     stars = lists.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     likely = scratch.save(_likely(stars, nodes, matches), "likely")

@@ -123,6 +123,53 @@ def test_skipped_lists_by_definition(spark, monkeypatch):
     assert {r.node for r in few.collect()} == {d for d, own in lists.items() if sum(len(of[x]) > 1 for x in own[:32]) >= 12}
 
 
+def test_long_lists_are_met_without_a_join(spark, monkeypatch):
+    """A group of near copies joins lists once, with the lists its members keep: 54 at most each."""
+    dealt, met = minhash._dealt, []
+
+    def counted(rows, key, *rest):
+        met.append(rows.count() if key == "list" else 0)
+        return dealt(rows, key, *rest)
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    texts = lookalikes(150, 2)
+    check(minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    assert 0 < sum(met) <= 54 * 150, met
+
+
+@pytest.mark.parametrize("rows", [1, 60, 600, 100_000])
+def test_skipped_lists_where_tasks_know_some(spark, monkeypatch, rows):
+    """Tasks know `rows` lists at most, the longest; what nodes keep is the same, and members of the group post few lists more than that."""
+    texts = {d - 40: t for d, t in (lookalikes(80, 3) | {100 + i: t for i, t in lookalikes(6, 1, 8).items()}).items()}
+    lists = {d: [(i << 32) | (int(v) & 0xFFFFFFFF) for i, v in enumerate(minhash.signature(minhash.shingles(t)))] for d, t in texts.items()}
+    of, want, posted, known, once = {}, set(), [], [], minhash._postings
+    for d, own in lists.items():
+        for x in own:
+            of.setdefault(x, []).append(d)
+    for d, own in lists.items():
+        want |= {(x, d, min(of[x])) for x in sorted((x for x in own if len(of[x]) > 1), key=lambda x: (-len(of[x]), x))[74:]}
+
+    def counted(nodes, minima, *rest):
+        out = once(nodes, minima, *rest)
+        posted.append(out.count())
+        known.extend(len(x) for x in rest[:1])
+        return out
+
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(minhash, "_postings", counted)
+    nodes = minhash._signatures(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+    got = minhash._skipped(nodes, 75, minhash.Scratch(spark, "skipped")).collect()
+    assert len(got) == len(want) and {(r["list"], r.node, r.least) for r in got} == want
+    assert known[0] <= rows and posted[0] == 128 * len(texts)
+    assert posted[1] == len(want) if rows == 100_000 else posted[1] <= 128 * len(texts)
+
+
+def test_few_known_lists(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 30)
+    monkeypatch.setattr(minhash, "LONG", 3)
+    test_chains_groups_and_odd_rows(spark)
+
+
 def test_dealt_join_is_the_join(spark, monkeypatch):
     """Rows of one long key go to many parts, and none is lost or doubled; null keys stay in a left join."""
     monkeypatch.setattr(minhash, "LONG", 10)
