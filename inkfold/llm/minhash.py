@@ -122,40 +122,61 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def _postings(nodes: DataFrame, minima: str, known: pd.DataFrame | None = None, skip: int = 0, known_only: bool = False) -> DataFrame:
-    """(list, node, left, least) for each of the `minima` (heads or signature); a list's number holds coordinate and value.
+def _lists(minima: pa.Array, rows: int) -> np.ndarray:
+    """A row's lists by coordinate; a list's number holds coordinate and value."""
+    sigs = np.frombuffer(b"".join(minima.to_pylist()), np.int32).reshape(rows, -1)
+    return (np.arange(sigs.shape[1], dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
+
+
+def _postings(nodes: DataFrame, minima: str) -> DataFrame:
+    """(list, n, node): for each of the `minima` (heads or signature) how many rows of a batch have it, and their smallest node."""
+
+    def rows(it):
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            lists = _lists(batch.column(1), batch.num_rows)
+            found, place, n = np.unique(lists, return_inverse=True, return_counts=True)
+            least = np.full(len(found), np.iinfo(np.int64).max)
+            np.minimum.at(least, place.ravel(), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64)), pa.array(least)], ["list", "n", "node"])
+
+    return nodes.select("node", minima).mapInArrow(rows, "list long, n long, node long")
+
+
+def _sizes(posted: DataFrame) -> DataFrame:
+    """(list, n, least) of all lists: length and smallest node."""
+    return posted.groupBy("list").agg(F.sum("n").alias("n"), F.min("node").alias("least"))
+
+
+def _unskipped(nodes: DataFrame, known: pd.DataFrame, skip: int, known_only: bool) -> DataFrame:
+    """(list, node, left, least) of each node's lists by signature but those that it skips.
 
     known: list (sorted), n and least of the longest lists. Of these each node skips its longest ones, `skip` at most; left is how many it may skip still,
     least a known list's smallest node, null for others, which known_only leaves out. A node that may skip still has no known list left.
     """
-    numbers, sizes, smallest = ((known[c] if known is not None else pd.Series()).to_numpy(np.int64) for c in ("list", "n", "least"))
+    numbers, sizes, smallest = (known[c].to_numpy(np.int64) for c in ("list", "n", "least"))
 
     def rows(it):
         for batch in it:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(batch.num_rows, -1)
-            lists = (np.arange(sigs.shape[1], dtype=np.int64) << 32) | (sigs.astype(np.int64) & 0xFFFFFFFF)
-            hit, place = np.zeros(lists.shape, bool), np.zeros(lists.shape, np.int64)
+            lists = _lists(batch.column(1), batch.num_rows)
+            hit, n, least = np.zeros(lists.shape, bool), np.zeros(lists.shape, np.int64), np.zeros(lists.shape, np.int64)
             if len(numbers):
                 place = np.minimum(np.searchsorted(numbers, lists), len(numbers) - 1)
                 hit = numbers[place] == lists
-            n = np.where(hit, sizes[place], 0) if len(numbers) else place
+                n, least = np.where(hit, sizes[place], 0), smallest[place]
             first = np.argsort(-n, axis=1, kind="stable")[:, :skip]  # longest first, then by number, as in _skipped
             keep = np.ones(lists.shape, bool)
             np.put_along_axis(keep, first, ~np.take_along_axis(hit, first, 1), 1)
             left = skip - (~keep).sum(1)
             keep &= hit | (not known_only)
             own = [np.repeat(c, keep.sum(1)) for c in (batch.column(0).to_numpy(zero_copy_only=False), left)]
-            least = pa.array(smallest[place[keep]] if len(numbers) else place[keep], mask=~hit[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(own[0]), pa.array(own[1].astype(np.int32)), least], ["list", "node", "left", "least"])
+            columns = [pa.array(lists[keep]), pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(least[keep], mask=~hit[keep])]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "node", "left", "least"])
 
-    return nodes.select("node", minima).mapInArrow(rows, "list long, node long, left int, least long")
-
-
-def _sizes(posted: DataFrame) -> DataFrame:
-    """(list, n, least) of all lists: length and smallest node."""
-    return posted.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    return nodes.select("node", "signature").mapInArrow(rows, "list long, node long, left int, least long")
 
 
 def _sharing(nodes: DataFrame, sizes: DataFrame, posts: int, least: int) -> DataFrame:
@@ -209,7 +230,7 @@ def _skipped(nodes: DataFrame, matches: int, scratch: Scratch) -> DataFrame:
     shared = sizes.filter("n > 1")
     bound = _known_from(shared, nodes.count() * COORDINATES)
     known = shared.filter(F.col("n") > bound).orderBy("list").toPandas()
-    posted = _postings(nodes.join(near_by(sharing), "node", "left_semi"), "signature", known, matches - 1, bound == 1)
+    posted = _unskipped(nodes.join(near_by(sharing), "node", "left_semi"), known, matches - 1, bound == 1)
     if bound == 1:
         return posted.select("list", "node", "least")
     posted = scratch.save(posted, "posted")
