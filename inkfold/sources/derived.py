@@ -19,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, y, x, luma): every character of every document is a pixel, rows filled up with blanks."""
-    text = F.coalesce("text", F.lit(""))
-    full = F.rpad(text, (F.ceil(F.length(text) / WIDTH) * WIDTH).cast("int"), F.lit(" "))
-    letters = F.split(full, "")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(letters).alias("p", "ch"))
+    """(page_id, y, x, luma): every character of every document is a pixel, rows filled up with blanks. Without text there is no page."""
+    full = F.rpad("text", (F.ceil(F.length("text") / WIDTH) * WIDTH).cast("int"), F.lit(" "))
+    letters = F.split(full, "")  # of an empty text, one empty letter
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("page_id"), F.posexplode(letters).alias("p", "ch"))
     return docs.select(
         "page_id", F.floor(F.col("p") / WIDTH).cast("int").alias("y"), (F.col("p") % WIDTH).alias("x"), ((F.ascii("ch") * 37 + 11) % 256).cast("int").alias("luma")
     )

@@ -53,6 +53,18 @@ def test_query(spark, duck, name):
     assert values == rows(want.columns, want.fetchall()) and values
 
 
+@pytest.mark.parametrize("name", ["luma", "character_raster", "corner_patch", "crop_columns", "raster_signature"])
+def test_documents_without_text_are_no_page(spark, tmp_path, name):
+    """Null and empty texts among others: blanks, characters beyond 16 bits, a zero, and lengths about a row's."""
+    texts = [None, "", " ", "a", "\0", "a\0b", "12345678", "123456789", "\U0010ffff" * 9, "e\u0301\r\n\t", "\u1019\u103c\u1014\u103a" * 20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(registry.ORACLE[name])
+        assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.ORACLE])
 def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).limit(1).count() == 1
