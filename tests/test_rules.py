@@ -368,3 +368,29 @@ def test_image_names_are_read_once(spark):
     """An image's name is taken from its path before its pixels are parted, not for each of them."""
     plan = executed(registry.QUERIES["image_raster_scan"](spark, "/root/testdata/sf0.001"))
     assert plan.index("regexp_extract") > plan.index("Generate")
+
+
+def test_images_are_read_some_at_a_time(spark, tmp_path, monkeypatch):
+    """Spark is given a few files a read, all of them in the end: in folders of folders, with names that look like patterns, hidden ones and one that is no image among them."""
+    from pyspark.sql import DataFrameReader
+
+    from inkfold.sources import images
+    from inkfold.sources.derived import png_files
+
+    monkeypatch.setattr(images, "FILES", 10)
+    given, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **b: given.append([path] if isinstance(path, str) else path) or load(self, path, *a, **b))
+    made = png_files(spark, "/root/testdata/sf0.001").limit(60).collect()
+    folders = ["", "a/", "a/b c/", "a/[x]/", "a/x=1/"]
+    for i, (name, content) in enumerate(made):
+        for place in (folders[i % 5] + name.replace("p", "p*?{%20", 1), f".hidden/{name}", f"_hidden/{name}"):
+            (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / place).write_bytes(content)
+    (tmp_path / "a/none.png").write_bytes(b"no image")
+    pages, refused = images.scan_images(spark, str(tmp_path))
+    assert pages.select("origin").distinct().count() == pages.count() == 60 and refused.count() == 1
+    assert refused.first().origin.endswith("/a/none.png") and refused.first().reason
+    assert len(given) > 3 and max(map(len, given)) <= 30 and sum(map(len, given)) == 61
+    assert images.scan_images(spark, str(tmp_path / "a/none.png"))[1].count() == 1 and images.scan_images(spark, f"{tmp_path}/a/*/")[0].count() == 48
+    (tmp_path / "empty").mkdir()
+    assert images.scan_images(spark, str(tmp_path / "empty"))[0].count() == 0
